@@ -25,7 +25,9 @@ from tidemark.llm import common as C
 BITS = 20
 MAX_ROWS = 16000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.1
+ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+#: L1 is this times the root of the number of rows learned from, so that chance words stay out at any size.
+L1_RATE = 0.05
 SKIP = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -56,7 +58,7 @@ def _lists(bits: int):
     return run
 
 
-def _fit(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
+def _fit(bits: int, epochs: int, alpha: float, beta: float, l1_rate: float, l2: float):
     """The rows of one task, in hash order, to (place, weight); the bias has place 2**bits."""
 
     def run(batches):
@@ -64,8 +66,7 @@ def _fit(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         size = (1 << bits) + 1
         z, n = np.zeros(size), np.zeros(size)
-        share = min(max(np.mean([y for _, y, _ in rows]) if rows else 0.5, 0.02), 0.98)
-        cost = {1: min(0.5 / share, 3.0), 0: 1.0}
+        l1 = l1_rate * np.sqrt(len(rows))
         for _ in range(epochs):
             for _, y, p in rows:
                 i = np.append(p, size - 1)
@@ -74,7 +75,7 @@ def _fit(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float
                 bound = np.full(len(i), l1)
                 bound[-1] = 0.0
                 w = np.where(np.abs(zi) <= bound, 0.0, -(zi - np.sign(zi) * bound) / ((beta + root) / alpha + l2))
-                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * cost[y]
+                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y)
                 now = ni + g * g
                 z[i] = zi + g - (np.sqrt(now) - root) / alpha * w
                 n[i] = now
@@ -99,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
     marked = marked.filter(F.col("h") <= top)
     joined = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("l_doc_id")).select("h", "toxic", "text")
     lists = joined.mapInArrow(_lists(bits), "h long, toxic int, places array<int>")
-    return lists.repartition(1).mapInArrow(_fit(bits, epochs, ALPHA, BETA, L1, L2), "place long, weight double")
+    return lists.repartition(1).mapInArrow(_fit(bits, epochs, ALPHA, BETA, L1_RATE, L2), "place long, weight double")
 
 
 def _scorer(model, bits: int, text_at: str):
