@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mixing, suffix, toxicity
+from tidemark.llm import decontaminate, html_text, minhash, mixing, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,21 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op3_decontaminate": op3_decontaminate, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_mix_sources": op1_mix_sources, "op3_decontaminate": op3_decontaminate, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_url_filter": op7_url_filter, "op8_html_text": op8_html_text, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE, "op7_url_filter": urls.oracle()}
