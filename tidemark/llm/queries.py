@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_text, minhash, mixing, suffix, toxicity, urls
+from tidemark.llm import decontaminate, embeddings, html_text, language, lm_score, minhash, mixing, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +30,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -38,13 +46,35 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op3_decontaminate": op3_decontaminate, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash_near_dedup": op6_minhash_near_dedup, "op7_url_filter": op7_url_filter, "op8_html_text": op8_html_text, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_mix_sources": op1_mix_sources,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_lm_score": op5_lm_score,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_url_filter": op7_url_filter,
+        "op8_html_text": op8_html_text,
+        "op9_language_id": op9_language_id,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE, "op7_url_filter": urls.oracle()}
+    return {
+        "op1_mix_sources": mixing.ORACLE,
+        "op2_embedding_near_dedup": embeddings.ORACLE,
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op5_lm_score": lm_score.ORACLE,
+        "op6_minhash_near_dedup": minhash.ORACLE,
+        "op7_url_filter": urls.oracle(),
+    }
