@@ -121,36 +121,49 @@ def _contexts(least: int, step: int):
     A step holds the starts from hi to lo bytes before the anchor (hi >= lo), those of them that exist.
     """
 
+    def steps(d: np.ndarray, s, e, a, half, times) -> list[np.ndarray]:
+        """first, back, half, times, k, core, stretch of each step, then sizes and ranks of its starts."""
+        h, down = C.prefix_hash(d)
+
+        def rank(lo, hi):
+            return C.mix((h[hi] - h[lo]) * down[lo])
+
+        count = (a - s) // step - (a - e) // step + 1
+        at = np.repeat(np.arange(len(s)), count)
+        k = (a - e)[at] // step + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        first, last = np.maximum(s[at], a[at] - (k + 1) * step + 1), np.minimum(e[at], a[at] - k * step)
+        core = rank(a[at] - k * step, a[at] - (k + 1) * step + 1 + least)
+        shape = ((a[at] - first) << 16 | (last - first)).astype(np.uint64)
+        stretch = C.pair(rank(first, last + least), shape)
+        n = last - first + 1
+        p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return [first, a[at] - first, half[at], times[at], k, core.view(np.int64), stretch.view(np.int64), n, rank(p, p + least).view(np.int64)]
+
     def run(batches):
         codec = pa.Codec("zstd")
         for b in batches:
-            rows = []
+            listed = b["anchors"]
+            bounds = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
+            flat = listed.flatten()
+            start, width, back, half, times = (flat.field(f).to_numpy().astype(np.int64) for f in ("start", "width", "back", "half", "times"))
+            rows, made, held = [], [], 0
             for r in range(len(b)):
                 d = np.frombuffer(_unpack(codec, b["packed"][r], b["n_bytes"][r].as_py()), np.uint8)
-                h, down = C.prefix_hash(d)
-                doc_id, th = b["doc_id"][r].as_py(), b["th"][r].as_py()
-                for x in b["anchors"][r].as_py():
-                    s, e = x["start"], x["start"] + x["width"]
-                    a = s + x["back"]
-                    for k in range((a - e) // step, (a - s) // step + 1):
-                        first, last = max(s, a - (k + 1) * step + 1), min(e, a - k * step)
-                        if first > last:
-                            continue
-                        c0, c1 = a - k * step, a - (k + 1) * step + 1 + least
-                        p = np.arange(first, last + 1)
-                        starts = C.mix((h[p + least] - h[p]) * down[p]).view(np.int64)
-                        core = C.mix((h[c1 : c1 + 1] - h[c0 : c0 + 1]) * down[c0 : c0 + 1]).view(np.int64)[0]
-                        stretch = C.pair(C.mix((h[last + least : last + least + 1] - h[first : first + 1]) * down[first : first + 1]), np.array([(a - first) << 16 | (last - first)], np.uint64)).view(np.int64)[0]
-                        rows.append((doc_id, th, first, a - first, x["half"], x["times"], k, int(core), int(stretch), starts.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(_STEP_TYPES), _STEP_TYPES.values(), strict=True)], names=list(_STEP_TYPES))
+                x = slice(bounds[r], bounds[r + 1])
+                made.append(steps(d, start[x], start[x] + width[x], start[x] + back[x], half[x], times[x]))
+                rows.append(np.full(len(made[-1][0]), r))
+                held += len(made[-1][0])
+                if held >= 4096 or r == len(b) - 1:
+                    cols = [np.concatenate(c) for c in zip(*made, strict=True)]
+                    at = pa.array(np.concatenate(rows))
+                    ranks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[7])]).astype(np.int32)), pa.array(cols[8]))
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["th"].take(at), *[pa.array(c) for c in cols[:7]], ranks], names=_STEP_NAMES)
+                    rows, made, held = [], [], 0
 
     return run
 
 
-_STEP_TYPES = {
-    "doc_id": pa.int64(), "th": pa.int64(), "first": pa.int64(), "back": pa.int64(), "half": pa.int64(), "times": pa.int64(),
-    "k": pa.int64(), "core": pa.int64(), "stretch": pa.int64(), "starts": pa.list_(pa.int64()),
-}
+_STEP_NAMES = ["doc_id", "th", "first", "back", "half", "times", "k", "core", "stretch", "starts"]
 _STEP_SCHEMA = "doc_id long, th long, first long, back long, half long, times long, k long, core long, stretch long, starts array<long>"
 
 
@@ -158,7 +171,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, step: int = STEP) -> Dat
     """doc_id, th, lo, hi: byte ranges whose union is what repeats; rows keyed by (doc_id, hash of the text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = C.cut(keyed.mapInArrow(_anchors(least), "doc_id long, th long, start int, width int, back int, half long, whole long"))
-    twice = found.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
+    # a table of its own, so that the join may split a rank that is very common
+    twice = C.cut(found.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
     found = C.cut(found.join(twice, "half"))
     one = F.struct("doc_id", "th", "start", "width", "back")
     classes = C.cut(found.groupBy("half", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one")))
