@@ -32,7 +32,7 @@ MAX_ROWS = 2000
 SMOOTHING = 2000.0
 LONGEST = 12
 CHUNK = 32
-RUN = 8 << 20
+RUN = 2 << 20
 
 
 @functools.lru_cache(maxsize=2)

@@ -5,7 +5,9 @@ non-space bytes with A-Z lower-cased; a text of fewer words has its whole sequen
 are collapsed first, whatever their number. Of the rest, signatures of ``bands * rows`` minima are cut
 into bands; in each bucket of two or more, every member is compared with a centre (the member that
 collides most), and then, only where that leaves a bucket in several components, members of different
-components are compared block by block inside workers, which hand on survivors alone. A pair is
+components are compared block by block inside workers, which verify survivors there and hand on links
+that join components, never candidates. Buckets that share members form one unit of that work, so that
+a document is sent once; units of over ``UNIT`` members are taken bucket by bucket instead. A pair is
 compared a batch of minima at a time and given up once the posterior probability that its similarity
 reaches the threshold falls below ``MISS``; every survivor is verified on the full sets.
 
@@ -27,7 +29,9 @@ from tidemark.llm.graph import components
 BANDS, ROWS = 25, 5
 BATCH = 25
 MISS = 1e-7
-BLOCK = 1024
+#: Members of a block, of which two at a time meet in a worker, and of a unit.
+BLOCK = 512
+UNIT = 32 * BLOCK
 
 
 def _sets(data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,26 +155,36 @@ def _verify(percent: int, steps: list[tuple[int, int]]):
     return run
 
 
-def _blocks(steps: list[tuple[int, int]]):
-    """The members of one pair of blocks to pairs of different components that survive every batch."""
+def _blocks(percent: int, steps: list[tuple[int, int]]):
+    """The members of one pair of blocks to links that join their components."""
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, ids, comp = (table[c].to_numpy() for c in ("block", "id", "comp"))
+        block, ids, comp, n = (table[c].to_numpy().copy() for c in ("block", "id", "comp", "n_hashes"))
         sig = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table["sig"].combine_chunks()])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"].combine_chunks()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found_a, found_b = [], []
         for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
+            y = right[(comp[right] != comp[x]) & ((right > x) | (i != j))]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             done, match = 0, np.zeros(len(y), np.int64)
-            for n, m in steps:
-                match = match + (sig[y, done:n] == sig[x, done:n]).sum(1)
-                on = match >= m
-                y, match, done = y[on], match[on], n
-            found_a.append(np.full(len(y), ids[x]))
-            found_b.append(ids[y])
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+            for size, least in steps:
+                match = match + (sig[y, done:size] == sig[x, done:size]).sum(1)
+                on = match >= least
+                y, match, done = y[on], match[on], size
+            a = sets[x]
+            for k in y[np.argsort(-match, kind="stable")]:
+                if comp[k] == comp[x]:  # joined meanwhile
+                    continue
+                b = sets[k]
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    found_a.append(ids[x])
+                    found_b.append(ids[k])
+                    comp[comp == comp[k]] = comp[x]
+        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -188,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # buckets of two or more, one of each set of members
     spread = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
-    sizes = sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    sizes = C.cut(sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
     member = C.cut(spread.join(sizes, "bucket"))
     weight = member.groupBy("id").agg(F.sum("n").alias("weight"))
     member = member.join(weight, "id")
@@ -209,18 +223,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = C.cut(verified(pairs).unionByName(same))
     joined = C.cut(components(links))
 
-    # buckets that are still in several components: compare across them
+    # buckets that are still in several components: compare across them, unit by unit
     label = joined.select("id", F.col("component").alias("comp"))
     member = member.select("bucket", "id", "n").filter("n > 2").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    member = member.join(mixed, "bucket")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = member.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), count).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    member = member.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
-    member = member.join(full.select("id", "sig"), "id").select("bucket", "i", "j", "block", "id", "comp", "sig")
-    found = member.groupBy("bucket", "i", "j").applyInArrow(_blocks(steps), "a long, b long").distinct()
-    more = C.cut(verified(found.join(pairs, ["a", "b"], "left_anti")))
+    member = C.cut(member.join(mixed, "bucket").select("bucket", "id", "comp"))
+    near = member.groupBy("bucket").agg(F.min("id").alias("first"))
+    near = components(member.join(near, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    near = C.cut(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
+    member = member.join(near, "id")
+    small = member.filter(F.col("size") <= UNIT).select(F.lit(0).alias("kind"), F.col("component").alias("unit"), "id", "comp", "size").distinct()
+    large = member.filter(F.col("size") > UNIT)
+    counts = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
+    large = large.join(counts, "bucket").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "id", "comp", F.col("in_bucket").alias("size"))
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    work = small.unionByName(large).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    work = work.select("kind", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+    work = work.join(full.select("id", "sig", "hashes", (F.octet_length("hashes") / 8).cast("long").alias("n_hashes")), "id")
+    more = C.cut(work.groupBy("kind", "unit", "i", "j").applyInArrow(_blocks(percent, steps), "a long, b long"))
     if not more.isEmpty():
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = base.select("doc_id", "n_shingles").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
