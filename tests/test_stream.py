@@ -153,3 +153,35 @@ def test_small_rules(spark):
 def test_empty_batch_moves_nothing(spark, store):
     Applier(store)(spark.createDataFrame([], "value string"), 0)
     assert store.manifest()["position"] is None and store.manifest()["batch"] == 0
+
+
+def test_pages_cover_each_row_once(spark):
+    from tidemark.operators import chunks
+
+    df = spark.range(0, 1000, 3).withColumn("point", F.lit(1))
+    done = []
+    total = chunks.chunked_update(df, "id", 100, {"point": F.col("point") + 1}, lambda page: done.extend(page.collect()))
+    assert total == 334 and sorted(r["id"] for r in done) == list(range(0, 1000, 3)) and all(r["point"] == 2 for r in done)
+    assert chunks.chunked_update(df, "id", 100, {}, lambda page: None, most=150) == 150
+
+
+def test_progress_is_counted(spark, tmp_path, store):
+    from tidemark.sources.changes import snapshot_tables, tables_with_prefix
+    from tidemark.streaming.metrics import Progress, observed
+
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "1.txt", [event("grade", "d", i, None, {"id": str(i)}) for i in range(5)])
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        q = go(spark, tmp_path, Applier(store))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.values[str(q.id)]["rows"] == 5
+    seen = observed(spark.createDataFrame([("u", 4), ("d", 9)], "op string, lsn long"))
+    assert seen.count() == 2
+    assert snapshot_tables(["car", "cdc_heartbeat"]) == ["car"]
+    spark.range(1).createOrReplaceTempView("cdc_own")
+    spark.range(1).createOrReplaceTempView("car_view")
+    assert "car_view" in tables_with_prefix(spark) and "cdc_own" not in tables_with_prefix(spark)

@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.clock import code_of, skew_seconds, skewed
 from tidemark.functions.lsn import format_lsn, lsn_lag, parse_lsn
 from tidemark.functions.strict import strict
 from tidemark.functions.verdict import verdict
-from tidemark.operators import diff, fold, guard, merge, quarantine, reconcile
+from tidemark.operators import chunks, diff, fold, guard, merge, quarantine, reconcile
 from tidemark.operators import timeseries as S
 from tidemark.operators.mapping import mapped, typed
 from tidemark.plans import alerts
 from tidemark.schemas import SPECS
 from tidemark.sources import changes
+from tidemark.streaming import metrics as stream_metrics
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -699,6 +701,77 @@ def dlq_roundtrip(spark, d):
     return quarantine.from_payload(letters).select("table", F.col("op_").alias("op"), "lsn", "source_ts_ms", F.element_at("after", "amount").alias("amount"), "restored")
 
 
+@query(""", m as (select seq, case seq % 7 when 0 then 'begin' when 1 then 'insert' when 2 then 'update' when 3 then 'delete' when 4 then 'snapshot_row' when 5 then 'commit' else 'truncate' end as kind, epoch_us(changed_at) // 1000 as ms from log)
+select seq as lsn, case kind when 'insert' then 'c' when 'update' then 'u' when 'delete' then 'd' else 'r' end as op, kind in ('update', 'delete') as has_before, kind <> 'delete' as has_after, case kind when 'snapshot_row' then 0 else ms end::bigint as source_ts_ms
+from m where kind in ('insert', 'update', 'delete', 'snapshot_row')""")
+def message_decode(spark, d):
+    x = log(spark, d)
+    kinds = F.array(*[F.lit(k) for k in ("begin", "insert", "update", "delete", "snapshot_row", "commit", "truncate")])
+    image = F.create_map(F.lit("id"), F.col("row_id").cast("string"))
+    m = x.select(F.col("table_name").alias("table"), F.element_at(kinds, (F.col("seq") % 7 + 1).cast("int")).alias("kind"), image.alias("old"), image.alias("new"), F.col("seq").alias("lsn"), F.unix_millis(F.col("changed_at").cast("timestamp")).alias("sent_ms"))
+    return changes.decode(m).select("lsn", "op", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"), "source_ts_ms")
+
+
+@query("select o_orderkey // 1000 as page, count(*) as rows, max(o_orderkey) as last from orders group by 1")
+def chunk_totals(spark, d):
+    return chunks.page_totals(t(spark, d, "orders"), "o_orderkey", 1000)
+
+
+@query("select event_id, round((event_id % 1000 * 1000.0 - 400000.0) / 1e6, 6) as skew, abs((event_id % 1000 * 1000.0 - 400000.0) / 1e6) > 0.5 as skewed from events")
+def clock_skew(spark, d):
+    e = t(spark, d, "events").select("event_id")
+    skew = skew_seconds(F.col("event_id") % 1000 * 1000, F.lit(300000), F.lit(500000))
+    return e.select("event_id", F.round(skew, 6).alias("skew"), skewed(skew).alias("skewed"))
+
+
+@query("select table_name as \"table\", op, count(*) as n from log where table_name in ('computer', 'grade', 'member') group by all")
+def registered_counters(spark, d):
+    return stream_metrics.counters(log(spark, d).withColumnRenamed("table_name", "table"), ["computer", "grade", "member"])
+
+
+@query(f"select table_name as \"table\", round(max(greatest((epoch_us(timestamp '{NOW}') - epoch_us(changed_at) // 1000 * 1000) / 1e6, 0)), 3) as lag_max from log where seq % 4 <> 0 group by table_name")
+def known_lags(spark, d):
+    ms = F.when(F.col("seq") % 4 != 0, F.unix_millis(F.col("changed_at").cast("timestamp"))).otherwise(0)
+    x = log(spark, d).withColumn("source_ts_ms", ms).withColumnRenamed("table_name", "table")
+    return stream_metrics.lags(x, NOW).select("table", F.round("lag_max", 3).alias("lag_max"))
+
+
+@query(f"select c_custkey as pipeline, date_diff('second', timestamp '2024-01-01 00:00:00' + to_seconds(c_custkey), timestamp '{NOW}')::bigint as stale from customer where c_custkey < 100")
+def checkpoint_staleness(spark, d):
+    at = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("c_custkey")
+    return t(spark, d, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("pipeline"), (F.unix_seconds(F.lit(NOW).cast("timestamp")) - at).alias("stale"))
+
+
+@query("select state, case state when 'd' then 0 when 'f' then 1 when 'i' then 2 when 'n' then 3 else -1 end as code from (values ('d'), ('f'), ('i'), ('n'), ('?')) x(state)")
+def replica_identity_codes(spark, d):
+    s = spark.createDataFrame([(x,) for x in "dfin?"], "state string")
+    return s.select("state", code_of(F.col("state"), {"d": 0, "f": 1, "i": 2, "n": 3}).alias("code"))
+
+
+@query(f"with {COLUMNS_SQL} select table_name, count(*) as n from cols where table_name in (select table_name from cols where column_name = 'deleted') group by table_name")
+def catalog_semi_join(spark, d):
+    c = spark.createDataFrame(COLUMNS, "table_name string, column_name string")
+    return c.join(c.filter("column_name = 'deleted'").select("table_name"), "table_name", "left_semi").groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select n_name, r_name, s_name from nation join region on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey")
+def catalog_inner_joins(spark, d):
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "s_name")
+
+
+@query("select seq from log where seq % 10 = 0 and seq not in (select seq from log where seq % 20 = 0)")
+def expected_not_received(spark, d):
+    x = log(spark, d).select("seq")
+    return x.filter("seq % 10 = 0").exceptAll(x.filter("seq % 20 = 0"))
+
+
+@query("select row_id, string_agg(op, '' order by seq) as ops, string_agg(op, '' order by seq)[-1:] as last_op from log group by row_id")
+def key_histories(spark, d):
+    h = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "op"))), lambda s: s["op"]), "")
+    return log(spark, d).groupBy("row_id").agg(h.alias("ops")).withColumn("last_op", F.substring("ops", -1, 1))
+
+
 def metrics(spark, d) -> DataFrame:
     """Made-up metric samples a minute over two hours, from a row generator."""
     m = spark.range(0, 120).withColumnRenamed("id", "m").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60))

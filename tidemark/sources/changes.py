@@ -69,3 +69,21 @@ def route(events: DataFrame, tables: list[str], column: str = "table") -> DataFr
 def tables_with_prefix(spark, without: str = "cdc_") -> list[str]:
     """Catalog tables but those of the engine itself."""
     return sorted(t.name for t in spark.catalog.listTables() if not t.name.startswith(without))
+
+
+def snapshot_tables(tables: list[str], without: tuple[str, ...] = ("cdc_heartbeat",)) -> list[str]:
+    """Tables to copy at the start: beats are not."""
+    return [t for t in tables if t not in without]
+
+
+def decode(messages: DataFrame) -> DataFrame:
+    """Replication messages (kind, old, new, table, lsn, sent_ms) as change events.
+
+    Inserts, updates, deletes and rows of a snapshot count (the last without a time); other kinds go.
+    """
+    op = F.when(F.col("kind") == "insert", "c").when(F.col("kind") == "update", "u").when(F.col("kind") == "delete", "d").when(F.col("kind") == "snapshot_row", "r")
+    out = messages.withColumn("op", op).filter("op is not null")
+    return out.select(
+        "table", "op", F.when(F.col("op").isin("u", "d"), F.col("old")).alias("before"), F.when(F.col("op") != "d", F.col("new")).alias("after"), "lsn",
+        F.when(F.col("op") == "r", 0).otherwise(F.col("sent_ms")).cast("bigint").alias("source_ts_ms"),
+    )
