@@ -157,6 +157,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_columns_free(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns, so extra columns of any name cannot clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def plain_names(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """df with the wanted columns as named and all others as x0, x1, ..., these names in order, and its own names.
+
+    Columns of any name then cannot clash with those that an operator adds; ``toDF`` gives the names back.
+    """
+    now = [n if n in wanted else f"x{i}" for i, n in enumerate(df.columns)]
+    return df.toDF(*now), now, df.columns

@@ -2,8 +2,8 @@
 
 A document's set holds the distinct hashes (64 bit) of its ``shingle``-word shingles, words being runs of
 non-space bytes with A-Z lower-cased; a text of fewer words has its whole sequence as one. Equal sets
-are collapsed first, whatever their number. Of the rest, signatures of ``bands * rows`` minima are cut
-into bands; in each bucket of two or more, every member is compared with a centre (the member that
+are collapsed first, whatever their number. Of the rest, signatures of at most ``MINIMA`` minima are cut
+into bands (as many, and as wide, as the threshold asks for); in each bucket of two or more, every member is compared with a centre (the member that
 collides most), and then, only where that leaves a bucket in several components, members of different
 components are compared block by block inside workers, which verify survivors there and hand on links
 that join components, never candidates. Buckets that share members form one unit of that work, so that
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 from tidemark.llm.graph import components
 
-BANDS, ROWS = 25, 5
-BATCH = 25
+#: Most minima of a signature, and the chance that a pair at the threshold shares no band.
+MINIMA = 128
+MISS_BANDS = 1e-6
+#: Minima compared at a time, and the chance of giving up a pair at the threshold.
+BATCH = 24
 MISS = 1e-7
 #: Members of a block, of which two at a time meet in a worker, and of a unit.
 BLOCK = 512
@@ -119,12 +122,21 @@ def _full(k: int, bands: int, rows: int):
     return run
 
 
+def banding(threshold: float, minima: int = MINIMA, miss: float = MISS_BANDS) -> tuple[int, int]:
+    """(bands, rows): the most rows a band for which few enough bands keep that chance."""
+    for rows in range(12, 0, -1):
+        bands = int(np.ceil(np.log(miss) / np.log1p(-(threshold**rows))))
+        if bands * rows <= minima:
+            return bands, rows
+    return minima, 1
+
+
 def least_matches(threshold: float, size: int, batch: int, miss: float) -> list[tuple[int, int]]:
     """(minima compared, least matches to go on) after each batch, by the posterior under a flat prior."""
     x = (np.arange(200_000) + 0.5) / 200_000
     lx, ly = np.log(x), np.log1p(-x)
     out = []
-    for n in range(batch, size + 1, batch):
+    for n in [*range(batch, size, batch), size]:
         for m in range(n + 1):
             d = m * lx + (n - m) * ly
             d = np.exp(d - d.max())
@@ -189,10 +201,11 @@ def _blocks(percent: int, steps: list[tuple[int, int]]):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima: int = MINIMA, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
+    bands, rows = banding(percent / 100, minima)
     steps = least_matches(percent / 100, bands * rows, BATCH, miss)
-    source = docs.select("doc_id", "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = C.cut(source.mapInArrow(_banded(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     vertices = base.filter("n_shingles > 0 and doc_id is not null")
     least = vertices.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
     Documents are joined to their copies by (doc_id, source, size); rows equal in all three share the
     copies of their group evenly, the first ones getting the remainder.
     """
-    names = docs.columns
+    docs, names, own = C.plain_names(docs, ["doc_id", "source", "text"])
     plan = mix_plan(docs, weights, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")], "__copies", "__rows")
     sized = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
     same = joined.filter("__rows > 1").withColumn("__rank", F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy("__n")))
     same = same.withColumn("__take", F.expr("__copies div __rows + if(__rank <= __copies % __rows, 1, 0)")).drop("__rank")
     out = once.unionByName(same)
-    return out.withColumn("__i", F.explode(F.expr("if(__take > 0, sequence(1L, __take), array())"))).select(*[F.col(f"`{n}`") for n in names])
+    return out.withColumn("__i", F.explode(F.expr("if(__take > 0, sequence(1L, __take), array())"))).select(*names).toDF(*own)
 
 
 ORACLE = rf"""

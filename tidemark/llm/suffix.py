@@ -260,6 +260,7 @@ def removal(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
 
 def remove_repeated(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
     """The documents with what is left of each text, and all their other columns."""
+    docs, order, own = C.plain_names(docs, ["doc_id", "text"])
     spans = _by_document(repeated_spans(docs, least, step))
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     names = [n for n in keyed.columns if n != "text"]
@@ -267,4 +268,4 @@ def remove_repeated(docs: DataFrame, least: int = LEAST, step: int = STEP) -> Da
     packed = keyed.select(*names, "text").mapInArrow(_pack, T.StructType([*[fields[n] for n in names], T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
     joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["r_id"]) & (packed["__th"] == spans["r_th"]), "left").drop("r_id", "r_th")
     out = joined.mapInArrow(_rest, T.StructType([*[fields[n] for n in names], T.StructField("__text", T.StringType())]))
-    return out.select(*[F.col("__text").alias("text") if n == "text" else F.col(n) for n in docs.columns])
+    return out.select(*[F.col("__text").alias("text") if n == "text" else F.col(n) for n in order]).toDF(*own)

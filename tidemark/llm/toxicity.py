@@ -145,4 +145,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return score(docs, train(docs, labels, **options)).filter("__score < 0.5").drop("__score")
+    docs, names, own = C.plain_names(docs, ["doc_id", "text"])
+    return score(docs, train(docs, labels, **options)).filter("__score < 0.5").select(*names).toDF(*own)
