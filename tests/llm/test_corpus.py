@@ -53,7 +53,7 @@ def test_odd_documents(spark):
     by = {n: [r.asDict() for r in df.collect()] for n, df in out.items()}
     hit = {r["doc_id"]: r for r in by[3]}
     assert hit[4]["n_hit"] == 20 and hit[4]["contaminated"] and hit[None]["n_hit"] == 20
-    assert hit[3]["n_items"] == 0 and hit[1]["n_words"] == 0 and hit[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert hit[3]["n_items"] == 1 and hit[3]["n_hit"] == 40_000 and hit[1]["n_words"] == 0 and hit[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     near = {(r["doc_id"], r["n_shingles"]): r for r in by[6]}
     assert near[(5, 38)]["component_id"] == 4 and not near[(5, 38)]["kept"] and near[(None, 38)]["kept"] and near[(1, 0)]["component_id"] == 1
     assert {r["doc_id"]: r["lang_pred"] for r in by[9]}[7] == "und"

@@ -24,8 +24,8 @@ from tidemark.llm import common as C
 
 BITS = 20
 MAX_ROWS = 16000
-EPOCHS = 3
-ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L2 = 2.0, 1.0, 0.05
 #: L1 is this times the root of the number of rows learned from, so that chance words stay out at any size.
 L1_RATE = 0.05
 SKIP = np.uint64(0x5851F42D4C957F2D)
