@@ -89,6 +89,30 @@ def runs(offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]
         i = j
 
 
+def pack(batches):
+    """Batches with their text column as compressed bytes (packed) and size (n_bytes), to shuffle less."""
+    codec = pa.Codec("zstd", 3)
+    for b in batches:
+        raw = [x.as_buffer() if x.is_valid else None for x in b["text"].cast(pa.large_binary())]
+        packed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
+        sizes = pa.array([0 if x is None else x.size for x in raw], pa.int64())
+        rest = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[b[n] for n in rest], packed, sizes], names=[*rest, "packed", "n_bytes"])
+
+
+def unpack(codec: pa.Codec, packed, size: int) -> bytes:
+    """One packed text (null: empty)."""
+    return codec.decompress(packed.as_buffer(), size, asbytes=True) if size and packed.is_valid else b""
+
+
+def unpacked(packed: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of packed texts one after another and where each starts, as ``texts`` gives them."""
+    codec = pa.Codec("zstd")
+    n = sizes.to_numpy()
+    data = b"".join(unpack(codec, packed[i], int(n[i])) for i in range(len(n)))
+    return np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(n)])
+
+
 def words(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, values: np.ndarray = LOWER_VALUES):
     """Hash of each maximal run of bytes that are inside, and the row it is in.
 

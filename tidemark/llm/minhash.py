@@ -104,11 +104,11 @@ def _banded(k: int, bands: int, rows: int):
 
 
 def _full(k: int, bands: int, rows: int):
-    """Batches of (id, text) to (id, sig, hashes), both binary."""
+    """Batches of (id, packed text) to (id, sig, hashes), both binary."""
 
     def run(batches):
         for b in batches:
-            data, offsets = C.texts(b["text"])
+            data, offsets = C.unpacked(b["packed"], b["n_bytes"])
             ids = b["id"].to_numpy()
             for i, j in C.runs(offsets):
                 u, st = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
@@ -223,9 +223,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima
     pairs = member.join(centre, "bucket").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     pairs = C.cut(pairs)
 
-    # full sets of the documents that are compared at all
-    wanted = member.select("id").distinct()
-    full = source.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    # full sets of the documents that are compared at all; texts are packed for the shuffle, which is the
+    # plan at every size (broadcasting the ids would only do for few)
+    wanted = member.select("id").distinct().hint("merge")
+    full = source.select(F.col("doc_id").alias("id"), "text").mapInArrow(C.pack, "id long, packed binary, n_bytes long").join(wanted, "id")
     full = C.cut(full.mapInArrow(_full(shingle, bands, rows), "id long, sig binary, hashes binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -100,21 +100,6 @@ def _anchors(least: int):
     return run
 
 
-def _pack(batches):
-    """(doc_id, th, text) with the text compressed, to shuffle less."""
-    codec = pa.Codec("zstd", 3)
-    for b in batches:
-        raw = [x.as_buffer() if x.is_valid else None for x in b["text"].cast(pa.large_binary())]
-        packed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
-        sizes = pa.array([0 if x is None else x.size for x in raw], pa.int64())
-        rest = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[b[n] for n in rest], packed, sizes], names=[*rest, "packed", "n_bytes"])
-
-
-def _unpack(codec: pa.Codec, packed, size: int) -> bytes:
-    return codec.decompress(packed.as_buffer(), size, asbytes=True) if size and packed.is_valid else b""
-
-
 def _contexts(least: int, step: int):
     """Documents with their listed anchors to rows of steps: the ranks of the core, the stretch and each start.
 
@@ -148,7 +133,7 @@ def _contexts(least: int, step: int):
             start, width, back, half, times = (flat.field(f).to_numpy().astype(np.int64) for f in ("start", "width", "back", "half", "times"))
             rows, made, held = [], [], 0
             for r in range(len(b)):
-                d = np.frombuffer(_unpack(codec, b["packed"][r], b["n_bytes"][r].as_py()), np.uint8)
+                d = np.frombuffer(C.unpack(codec, b["packed"][r], b["n_bytes"][r].as_py()), np.uint8)
                 x = slice(bounds[r], bounds[r + 1])
                 made.append(steps(d, start[x], start[x] + width[x], start[x] + back[x], half[x], times[x]))
                 rows.append(np.full(len(made[-1][0]), r))
@@ -184,7 +169,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, step: int = STEP) -> Dat
     left = left.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "width", "back", "half", "times")).alias("anchors"))
     left = left.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "anchors")
     # one row of each (doc_id, th) is enough: equal rows have equal bytes
-    texts = keyed.mapInArrow(_pack, "doc_id long, th long, packed binary, n_bytes long")
+    texts = keyed.mapInArrow(C.pack, "doc_id long, th long, packed binary, n_bytes long")
     texts = texts.join(left, texts["doc_id"].eqNullSafe(left["r_id"]) & (texts["th"] == left["r_th"])).drop("r_id", "r_th")
     single = texts.dropDuplicates(["doc_id", "th"])
     steps = C.cut(single.mapInArrow(_contexts(least, step), _STEP_SCHEMA))
@@ -214,7 +199,7 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 
 def _kept(packed, size: int, spans, codec) -> tuple[bytes, list[tuple[int, int]]]:
-    raw, at, parts = _unpack(codec, packed, size), 0, []
+    raw, at, parts = C.unpack(codec, packed, size), 0, []
     runs = _merged((x["lo"], x["hi"]) for x in spans) if spans else []
     for lo, hi in runs:
         parts.append(raw[at:lo])
@@ -253,7 +238,7 @@ def removal(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
     spans = _by_document(repeated_spans(docs, least, step))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    packed = keyed.mapInArrow(_pack, "doc_id long, th long, packed binary, n_bytes long")
+    packed = keyed.mapInArrow(C.pack, "doc_id long, th long, packed binary, n_bytes long")
     joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["r_id"]) & (packed["th"] == spans["r_th"]), "left")
     return joined.select("doc_id", "packed", "n_bytes", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -265,7 +250,7 @@ def remove_repeated(docs: DataFrame, least: int = LEAST, step: int = STEP) -> Da
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     names = [n for n in keyed.columns if n != "text"]
     fields = {f.name: f for f in keyed.schema.fields}
-    packed = keyed.select(*names, "text").mapInArrow(_pack, T.StructType([*[fields[n] for n in names], T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
+    packed = keyed.select(*names, "text").mapInArrow(C.pack, T.StructType([*[fields[n] for n in names], T.StructField("packed", T.BinaryType()), T.StructField("n_bytes", T.LongType())]))
     joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["r_id"]) & (packed["__th"] == spans["r_th"]), "left").drop("r_id", "r_th")
     out = joined.mapInArrow(_rest, T.StructType([*[fields[n] for n in names], T.StructField("__text", T.StringType())]))
     return out.select(*[F.col("__text").alias("text") if n == "text" else F.col(n) for n in order]).toDF(*own)
