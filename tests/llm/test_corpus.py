@@ -251,6 +251,19 @@ def test_links_spread_trust_and_distrust(spark):
     assert {r["host"]: pytest.approx(r["rank"]) for r in found.collect()} == {k: v for k, v in rank.items() if v}
 
 
+def test_seeds_are_judged_the_same_without_links(spark):
+    rows = [(1, "http://x.example.com/de/1", ""), (2, "http://x.example.com/en/1", ""), (3, "http://y.org/fr/1", ""), (4, "http://y.org/en/1", None), (5, "http://z.test/", "")]
+    linked = [*rows, (6, "http://p.test/", '<a href="http://q.test/">q</a>')]
+    for pages in (rows, linked):
+        got = {r["page_id"]: r["verdict"] for r in urls.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert [got[k] for k in range(1, 6)] == ["block", "block", "allow", "allow", "allow"]
+
+
+def test_given_pages_without_the_switch_on_links(spark):
+    switch = " and (select count(*) from e) > 0"
+    assert collected(queries.op7_url_filter(spark, SF)) == duck(urls.oracle().replace(switch, ""))
+
+
 # --- 8
 
 

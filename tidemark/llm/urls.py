@@ -6,7 +6,8 @@ a host and a path: it fits that host and its subdomains where the path starts wi
 longest rule decides. Other pages get their host's verdict: hosts of allowed pages are trusted seeds,
 hosts of blocked ones blocked seeds (by the share of their pages), links in the html make host edges,
 personalised PageRank carries trust along the edges and distrust against them, and a host is blocked
-when its distrust passes ``ratio`` times its trust. A host that nothing reaches is allowed.
+when its distrust passes ``ratio`` times its trust. Seeds have their ranks with and without links; a host
+that nothing reaches is allowed.
 
 Ranks are DataFrames, one row a host, summed with map-side partial sums and cut each round. Links to the
 own host and repeated links count nothing or once; null html has no links; repeated rows get equal
@@ -70,8 +71,6 @@ def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float
     rule, said = rule_of(rules)
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
     edges = C.cut(host_edges(pages))
-    if edges.isEmpty():  # nothing spreads: every host without a rule is allowed
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
     ruled = judged.filter("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce(F.col("said") == w, F.lit(False)).cast("double")).alias(w) for w in ("allow", "block")])
     ruled = C.cut(ruled.filter("allow > 0 or block > 0"))
     whole = ruled.agg(F.sum("allow"), F.sum("block")).first()
