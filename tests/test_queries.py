@@ -11,6 +11,12 @@ def test_same_as_sql(spark, name):
     assert collected(M.queries()[name](spark, SF)) == duck(M.oracle_sql()[name])
 
 
+@pytest.mark.parametrize(("name", "subset"), [("lag_rolling_max", " where user_id < 40"), ("rolling_max_read", " where user_id < 40"), ("checkpoint_staleness", " where c_custkey < 100")])
+def test_every_key_has_rows(spark, name, subset):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest with keys beyond the subsets
+    assert collected(M.queries()[name](spark, sf_dir)) == duck(M.oracle_sql()[name].replace(subset, ""), sf_dir)
+
+
 def test_alert_rules_fire_once_or_twice(spark):
     rows = M.alert_rules(spark, SF).collect()
     fired = {r["alert"] for r in rows}
