@@ -346,6 +346,13 @@ def test_rare_and_tied_words_share_one_class(spark):
     assert got == plain
 
 
+def test_bigrams_seen_once_count(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+    lg = np.log10
+    assert got[1] == pytest.approx(round((lg(2 / 5) + lg(1 / 2) + lg(1 / 1)) / 3, 6)) and got[2] == pytest.approx(round((lg(2 / 5) + lg(1 / 2)) / 2, 6))
+
+
 # --- shared
 
 

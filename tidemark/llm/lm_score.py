@@ -3,7 +3,7 @@
 Words are runs of non-space bytes, A-Z lower-cased. The vocabulary is the most frequent words of the
 whole corpus, at most ``VOCABULARY`` of them (words tied at the cut stay out); all others are one unknown
 word, so unigram counts are bounded and broadcast. Bigrams of the whole corpus are counted with map-side
-partial sums; those seen less than ``MIN_COUNT`` times count as unseen. A word after another scores
+partial sums; those seen less than ``min_count`` times (1: none) count as unseen. A word after another scores
 log10(c(bigram) / c(first word)) if the bigram is seen, else log10(BACKOFF * c(word) / N); the first word
 scores log10(c / N). A document's score is the mean over its words.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 VOCABULARY = 65535
-MIN_COUNT = 2
+MIN_COUNT = 2  # of the SQL alone; the operator counts every bigram
 BACKOFF = 0.4
 HOT = 50_000
 RUN = 2 << 20
@@ -122,7 +122,7 @@ def _exploded(shared):
     return run
 
 
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, min_count: int = MIN_COUNT, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = VOCABULARY, min_count: int = 1, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, score: one row a document. vocabulary is at most 65535."""
     spark = docs.sparkSession
     texts = docs.select("text")
