@@ -353,6 +353,22 @@ def test_bigrams_seen_once_count(spark):
     assert got[1] == pytest.approx(round((lg(2 / 5) + lg(1 / 2) + lg(1 / 1)) / 3, 6)) and got[2] == pytest.approx(round((lg(2 / 5) + lg(1 / 2)) / 2, 6))
 
 
+@pytest.mark.parametrize("hot", [1, 20, 50_000])
+def test_scores_without_the_limits_of_the_sql(spark, hot):
+    sql = lm_score.ORACLE.replace("when count(*) > 65535 then", "when false then").replace(" having count(*) >= 2", "")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert collected(lm_score.score(docs, hot=hot)) == duck(sql)
+
+
+def test_every_word_is_its_own(spark):
+    # 66,000 words seen once and one seen twice: before, only the latter was known
+    text = " ".join(f"w{i}" for i in range(66_000))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, "x"), (4, "w7")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+    assert got[2] == got[3] == round(np.log10(2 / 66_003), 6) and got[4] == got[2]
+    assert got[1] == pytest.approx((np.log10(1 / 66_003) - np.log10(2)) / 66_000, abs=1e-6)
+
+
 # --- shared
 
 

@@ -1,35 +1,40 @@
 """Operator 5: stupid-backoff scores of documents, computed relationally.
 
-Words are runs of non-space bytes, A-Z lower-cased. The vocabulary is the most frequent words of the
-whole corpus, at most ``VOCABULARY`` of them (words tied at the cut stay out); all others are one unknown
-word, so unigram counts are bounded and broadcast. Bigrams of the whole corpus are counted with map-side
-partial sums; those seen less than ``min_count`` times (1: none) count as unseen. A word after another scores
-log10(c(bigram) / c(first word)) if the bigram is seen, else log10(BACKOFF * c(word) / N); the first word
-scores log10(c / N). A document's score is the mean over its words.
-
-Every document first gets its sum as if no bigram were seen. Its bigrams are then exploded, pre-summed
-by document and joined on the bigram to the table of gains, and gains are summed by document. Bigrams
-that hold at least one in ``HOT`` of all words (no more than HOT can) are not shuffled: their counts are
-broadcast and they are added where the text is. So no join key is hot.
-
-Null and empty texts have no words and a null score. Rows are told apart by (doc_id, hash of the text);
-equal rows get equal scores and are all counted. An empty table gives an empty result.
+Words are runs of non-space bytes, A-Z lower-cased. Every word and every bigram of the whole corpus counts. A
+word after another scores log10(c(bigram) / c(first word)); the first word scores log10(c / N). A document's
+score is the mean over its words. The documents scored are the corpus counted, so each of their bigrams is
+seen and none backs off. Words can be limited to the ``vocabulary`` most frequent ones (words tied at the
+cut stay out); all others are then one unknown word.
+
+So a document's sum is that of the log counts of its bigrams, less those of its words but the last, plus that
+of its first, less log10(N): one weight for each of its words and bigrams, told by 64-bit hashes. Those
+that hold at least one in ``HOT`` of all words are not shuffled: their counts are broadcast and they are added
+where the text is. All others are shuffled once, with their documents, by the hash; a window counts each and
+its rows become gains, which are summed by document. So no key is hot, and nothing else is bounded.
+
+Hot ones are found by sums of counts by run of text: a run leaves out what it holds less than one in twice
+``HOT`` times, so that no hot one falls below half its bound; the few that pass are counted exactly.
+
+Null and empty texts have no words and a null score. Rows are told apart by a hash of (doc_id, text); equal
+rows get equal scores and are all counted. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-VOCABULARY = 65535
+VOCABULARY = 65535  # of the SQL alone
 MIN_COUNT = 2  # of the SQL alone; the operator counts every bigram
-BACKOFF = 0.4
+BACKOFF = 0.4  # of the SQL alone; see above
 HOT = 50_000
 RUN = 2 << 20
+#: The hash of the unknown word, and the code under which all words are counted.
+UNKNOWN, ALL = np.uint64(1), 0
 
 
 def _word_counts(batches):
@@ -41,121 +46,135 @@ def _word_counts(batches):
             yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-class _Coder:
-    """Word hashes to ids: the place in the vocabulary, or len(vocabulary) for the unknown word."""
+def _known(words: DataFrame, vocabulary: int) -> np.ndarray:
+    """Hashes of the most frequent words, sorted."""
+    top = words.orderBy(F.col("n").desc()).limit(vocabulary + 1).collect()  # bounded by the vocabulary
+    cut_at = top[-1][1] if len(top) > vocabulary else 0
+    return np.sort(np.array([w for w, n in top if n > cut_at], np.int64).view(np.uint64))
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        h = h.view(np.int64)
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, len(self.words))
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
-def _bigrams(coder: _Coder, data: np.ndarray, starts: np.ndarray):
-    """Ids and rows of words, then codes and rows of bigrams."""
+def _codes(known: np.ndarray | None, data: np.ndarray, starts: np.ndarray):
+    """Codes (odd for words, even for bigrams), rows and weights in the sum of words, then of bigrams; and how many are words."""
     h, row, _, _ = C.words(data, starts, C.NOT_SPACE)
-    ids = coder(h)
+    if known is not None:
+        h = np.where(_place(known, h)[1], h, UNKNOWN)
     same = row[1:] == row[:-1]
-    return ids, row, (ids[:-1] << 16 | ids[1:])[same], row[1:][same]
+    weight = np.zeros(len(h), np.int64)
+    weight[:-1] -= same
+    weight[1:] += ~same
+    weight[:1] += 1
+    code = np.concatenate([h | np.uint64(1), (C.pair(h[:-1], h[1:]) & ~np.uint64(1))[same]]).view(np.int64)
+    return code, np.concatenate([row, row[1:][same]]), np.concatenate([weight, np.ones(same.sum(), np.int64)]), len(h)
 
 
-def _bigram_counts(shared):
+def _often(known, hot: int):
+    """text to (code, n): all words under ALL, and what a run holds often enough."""
+
     def run(batches):
-        coder = _Coder(shared.value[0])
         for b in batches:
             data, offsets = C.texts(b["text"])
             for i, j in C.runs(offsets, RUN):
-                _, _, code, _ = _bigrams(coder, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                code, _, _, words = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 u, n = np.unique(code, return_counts=True)
-                yield pa.record_batch([pa.array(u), pa.array(n)], ["code", "n"])
+                some = n * 2 * hot >= words
+                yield pa.record_batch([pa.array(np.append(u[some], ALL)), pa.array(np.append(n[some], words))], ["code", "n"])
+
+    return run
+
+
+def _exact(known, table):
+    """text to (code, n) of the codes in the table."""
+
+    def run(batches):
+        codes = table.value
+        for b in batches:
+            data, offsets = C.texts(b["text"])
+            sums = np.zeros(len(codes), np.int64)
+            for i, j in C.runs(offsets, RUN):
+                at, hit = _place(codes, _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])
+                sums += np.bincount(at[hit], minlength=len(codes))
+            some = np.flatnonzero(sums)
+            yield pa.record_batch([pa.array(codes[some]), pa.array(sums[some])], ["code", "n"])
 
     return run
 
 
-def _unseen(shared):
-    """(doc_id, th, text) to (doc_id, th, n_words, total): the sum without shuffled bigrams."""
+def _base(known, table):
+    """(doc_id, key, text) to (doc_id, key, n_words, total): the sum without what is shuffled."""
 
     def run(batches):
-        words, count, codes, gains = shared.value
-        coder, total = _Coder(words), count.sum()
-        with np.errstate(divide="ignore"):
-            first, after = np.log10(count / max(total, 1)), np.log10(BACKOFF * count / max(total, 1))
+        codes, logs, log_all = table.value
         for b in batches:
             data, offsets = C.texts(b["text"])
             n_words, sums = np.zeros(len(b), np.int64), np.zeros(len(b))
             for i, j in C.runs(offsets, RUN):
-                ids, row, code, at = _bigrams(coder, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                start = np.ones(len(ids), bool)
-                start[1:] = row[1:] != row[:-1]
-                n_words[i:j] = np.bincount(row, minlength=j - i)
-                sums[i:j] = np.bincount(row, np.where(start, first[ids], after[ids]), j - i)
-                if len(codes):
-                    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    hit = codes[place] == code
-                    sums[i:j] += np.bincount(at[hit], gains[place[hit]], j - i)
-            yield pa.record_batch([b["doc_id"], b["th"], pa.array(n_words), pa.array(sums)], ["doc_id", "th", "n_words", "total"])
+                code, row, weight, words = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n_words[i:j] = np.bincount(row[:words], minlength=j - i)
+                at, hit = _place(codes, code)
+                if hit.any():
+                    sums[i:j] = np.bincount(row[hit], weight[hit] * logs[at[hit]], j - i)
+            yield pa.record_batch([b["doc_id"], b["key"], pa.array(n_words), pa.array(sums - log_all)], ["doc_id", "key", "n_words", "total"])
 
     return run
 
 
-def _exploded(shared):
-    """(doc_id, th, text) to (doc_id, th, code, times) of the bigrams that are not broadcast."""
+def _exploded(known, table):
+    """(key, text) to (code, key, times, weight) of what is not broadcast."""
 
     def run(batches):
-        words, _, codes, _ = shared.value
-        coder = _Coder(words)
+        codes = table.value[0]
         for b in batches:
             data, offsets = C.texts(b["text"])
             for i, j in C.runs(offsets, C.RUN_BYTES):
-                _, _, code, at = _bigrams(coder, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if len(codes):
-                    cold = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] != code
-                    code, at = code[cold], at[cold]
-                key, times = np.unique(at << 32 | code, return_counts=True)
-                row = pa.array((key >> 32) + i)
-                yield pa.record_batch([b["doc_id"].take(row), b["th"].take(row), pa.array(key & 0xFFFFFFFF), pa.array(times.astype(np.int32))], ["doc_id", "th", "code", "times"])
+                code, row, weight, _ = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                cold = ~_place(codes, code)[1]
+                code, row, weight = code[cold], row[cold], weight[cold]
+                order = np.lexsort((code, row))
+                code, row, weight = code[order], row[order], weight[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(code)))
+                sums = np.add.reduceat(weight, at) if len(at) else weight
+                yield pa.record_batch([pa.array(code[at]), b["key"].take(pa.array(row[at] + i)), pa.array(times.astype(np.int32)), pa.array(sums.astype(np.int32))], ["code", "key", "times", "weight"])
 
     return run
 
 
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, min_count: int = 1, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, score: one row a document. vocabulary is at most 65535."""
+def score(docs: DataFrame, vocabulary: int | None = None, hot: int = HOT) -> DataFrame:
+    """doc_id, n_words, score: one row a document. Without a vocabulary every word is its own."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     texts = docs.select("text")
-    words = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = C.cut(words)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.col("n").desc()).limit(vocabulary + 1).collect()  # bounded by the vocabulary
-    cut_at = top[-1][1] if len(top) > vocabulary else 0
-    known = sorted((w, n) for w, n in top if n > cut_at)
-    ids = np.array([w for w, _ in known], np.int64)
-    count = np.array([n for _, n in known] + [total - sum(n for _, n in known)], np.float64)
-
-    unigrams = spark.sparkContext.broadcast((ids, count))
-    pairs = texts.mapInArrow(_bigram_counts(unigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    # at most vocabulary + 1 rows
-    logs = spark.createDataFrame(pa.table({"id": np.arange(len(count)), "c": count}).to_pandas() if len(count) else [], "id long, c double")
-    before = F.broadcast(logs.select(F.col("id").alias("a"), F.col("c").alias("ca")))
-    after = F.broadcast(logs.select(F.col("id").alias("b"), F.col("c").alias("cb")))
-    gains = pairs.withColumn("a", F.shiftright("code", 16)).withColumn("b", F.col("code").bitwiseAND(0xFFFF)).join(before, "a").join(after, "b")
-    gain = F.log10(F.col("n") / F.col("ca")) - F.log10(F.lit(BACKOFF) * F.col("cb") / F.lit(float(max(total, 1))))
-    gains = C.cut(gains.select("code", "n", gain.alias("gain")))
-    is_hot = F.col("n") * hot >= total
-    often = gains.filter(is_hot).select("code", "gain").orderBy("code").collect()  # fewer than hot
-    shared = spark.sparkContext.broadcast((ids, count, np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.float64)))
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    base = keyed.mapInArrow(_unseen(shared), "doc_id long, th long, n_words long, total double")
-    rows = keyed.mapInArrow(_exploded(shared), "doc_id long, th long, code long, times int")
-    found = rows.join(gains.filter(~is_hot).select("code", "gain"), "code")
-    # a row's own bigrams are summed once for each equal row, and shared out again
-    more = found.groupBy("doc_id", "th").agg(F.sum(F.col("times") * F.col("gain")).alias("more")).withColumnsRenamed({"doc_id": "r_id", "th": "r_th"})
-    base = base.groupBy("doc_id", "th", "n_words").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("rows"))
-    out = base.join(more, base["doc_id"].eqNullSafe(more["r_id"]) & (base["th"] == more["r_th"]), "left")
+    known = None
+    if vocabulary is not None:
+        known = send(_known(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), vocabulary))
+
+    often = C.cut(texts.mapInArrow(_often(known, hot), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    total = often.filter(F.col("code") == ALL).agg(F.sum("n")).first()[0] or 0
+    maybe = often.filter((F.col("code") != ALL) & (F.col("n") * (2 * hot) >= total)).select("code").collect()  # at most four times hot
+    maybe = send(np.sort(np.array([r[0] for r in maybe], np.int64)))
+    counts = texts.mapInArrow(_exact(known, maybe), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = sorted(tuple(r) for r in counts.filter(F.col("n") * hot >= total).collect())  # at most twice hot
+    table = send((np.array([r[0] for r in counts], np.int64), np.log10([float(r[1]) for r in counts]), float(np.log10(max(total, 1)))))
+
+    # equal rows have equal keys
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
+    base = keyed.mapInArrow(_base(known, table), "doc_id long, key long, n_words long, total double")
+    rows = keyed.select("key", "text").mapInArrow(_exploded(known, table), "code long, key long, times int, weight int")
+    found = rows.withColumn("n", F.sum("times").over(Window.partitionBy("code"))).filter("n > 1 and weight <> 0")  # log10(1) is 0
+    # a row's own gains are summed once for each equal row, and shared out again
+    more = found.groupBy("key").agg(F.sum(F.col("weight") * F.log10("n")).alias("more"))
+    base = base.groupBy("doc_id", "key", "n_words").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("rows"))
+    out = base.join(more, "key", "left")
     value = F.when(F.col("n_words") > 0, F.round((F.col("total") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0))) / F.col("n_words"), 6))
     return out.withColumn("value", value).withColumn("i", F.explode(F.expr("sequence(1L, rows)"))).select("doc_id", "n_words", F.col("value").alias("score"))
 
