@@ -129,6 +129,14 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert got[406] == (1, 406, True) and got[407] == (1, 406, False)
 
 
+def test_clean_texts_stay_under_a_shared_or_null_id(spark):
+    leak = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, leak), (None, "clean one"), (1, leak), (1, "clean two"), (1, None), (2, leak)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = [tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()]
+    assert sorted(left, key=str) == sorted([(None, "clean one"), (1, "clean two"), (1, None)], key=str)
+
+
 # --- 4
 
 

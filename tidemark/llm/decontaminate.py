@@ -86,24 +86,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return counts.join(listed, counts["doc_id"].eqNullSafe(listed["r_id"]) & (counts["th"] == listed["r_th"])).select("doc_id", "th", "n_hit", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
     found = hits(docs, benchmark, window).withColumnsRenamed({"doc_id": "h_id", "th": "h_th"})
     out = base.join(found, base["doc_id"].eqNullSafe(found["h_id"]) & (base["th"] == found["h_th"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
+        "doc_id", "th", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row a document."""
+    return _judged(docs, benchmark, window).drop("th")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark, window).filter("contaminated")
-    gone = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    found = _judged(docs, benchmark, window).filter("contaminated")
+    gone = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left_anti")
 
 
 ORACLE = r"""
