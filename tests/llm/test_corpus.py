@@ -272,6 +272,15 @@ def test_given_pages_without_the_switch_on_links(spark):
     assert collected(queries.op7_url_filter(spark, SF)) == duck(urls.oracle().replace(switch, ""))
 
 
+def test_distrust_goes_down_a_long_chain(spark):
+    # each links to the next, the last to a blocked host
+    rows = [(i, f"http://h{i}.test/", f'<a href="http://{f"h{i + 1}.test" if i < 13 else "bad.net"}/">x</a>') for i in range(14)] + [(99, "http://bad.net/", "")]
+    got = {r["page_id"]: r["verdict"] for r in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}
+    with pytest.raises(RuntimeError):
+        urls.spread(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"), spark.createDataFrame([("a", 1.0)], "host string, seed double"), rounds=2, tolerance=1e-9)
+
+
 # --- 8
 
 

@@ -9,7 +9,8 @@ personalised PageRank carries trust along the edges and distrust against them, a
 when its distrust passes ``ratio`` times its trust. Seeds have their ranks with and without links; a host
 that nothing reaches is allowed.
 
-Ranks are DataFrames, one row a host, summed with map-side partial sums and cut each round. Links to the
+Ranks are DataFrames, one row a host, summed with map-side partial sums and cut each round, until they are
+settled. Links to the
 own host and repeated links count nothing or once; null html has no links; repeated rows get equal
 results; an empty table gives an empty result.
 """
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-ROUNDS = 10
+ROUNDS = 10  # of the SQL, and of ``spread`` when it is given no tolerance
+#: Ranks are settled when they change by no more in sum and no further host is reached; an error after so many rounds.
+TOLERANCE = 1e-9
+MOST_ROUNDS = 1000
 DAMPING = 0.85
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,19 +57,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, seed) along edges (src, dst)."""
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, seed) along edges (src, dst).
+
+    With a tolerance it goes on until the ranks are settled, and fails if they are not after that many rounds.
+    """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     edges = C.cut(edges.join(degree, "src"))
     rank = seeds.select("host", F.col("seed").alias("rank"))
     for _ in range(rounds):
         moved = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg((F.sum(F.col("rank") / F.col("out")) * damping).alias("rank")).select(F.col("dst").alias("host"), "rank")
         start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-        rank = C.cut(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
+        if tolerance is None:
+            rank = C.cut(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
+            continue
+        sums = moved.unionByName(start).withColumn("was", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+        both = C.cut(sums.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
+        change, fresh = both.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.count_if((F.col("was") == 0) & (F.col("rank") > 0))).first()
+        rank = both.filter("rank > 0").select("host", "rank")
+        if (change or 0.0) <= tolerance and not fresh:
+            return rank
+    if tolerance is not None:
+        raise RuntimeError(f"ranks are not settled after {rounds} rounds")
     return rank
 
 
-def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def verdicts(pages: DataFrame, rules=RULES, rounds: int = MOST_ROUNDS, damping: float = DAMPING, ratio: float = RATIO, tolerance: float | None = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict: one row a page."""
     host, path = host_and_path("url")
     rule, said = rule_of(rules)
@@ -78,9 +95,9 @@ def verdicts(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float
     def seeds(which: str, total: float | None) -> DataFrame:
         return ruled.filter(F.col(which) > 0).select("host", (F.col(which) / (total or 1.0)).alias("seed"))
 
-    trust = spread(edges, seeds("allow", whole[0]), rounds, damping).select("host", F.col("rank").alias("trust"))
+    trust = spread(edges, seeds("allow", whole[0]), rounds, damping, tolerance).select("host", F.col("rank").alias("trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = spread(back, seeds("block", whole[1]), rounds, damping).select("host", F.col("rank").alias("distrust"))
+    distrust = spread(back, seeds("block", whole[1]), rounds, damping, tolerance).select("host", F.col("rank").alias("distrust"))
     bad = distrust.join(trust, "host", "left").filter(F.col("distrust") > F.coalesce("trust", F.lit(0.0)) * ratio).select(F.col("host").alias("bad"))
     out = judged.join(bad, judged["host"] == bad["bad"], "left")
     verdict = F.coalesce("said", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
