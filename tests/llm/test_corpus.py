@@ -327,6 +327,21 @@ def test_marginal_probability_sums_all_segmentations():
     assert np.allclose(m.text(data, np.array([0, 7, 12]))[1], m.words(np.frombuffer(b" abab", np.uint8)[None])[0])
 
 
+def test_long_pieces_and_long_words_are_summed_whole():
+    long = b" abcdefghijklmnopqrst"
+    rows = [("x", b"ab", 5), ("x", b"ba", 2), ("y", b"ab", 1), ("y", b"aba", 4), ("y", long, 9)]
+    m = language.Model(rows, [b"bab", b"abababab"])  # the last two are not in the sample
+    pieces = {bytes([i]) for i in range(256)} | {r[1] for r in rows} | {b"bab", b"abababab"}
+    order = {p: i for i, p in enumerate(sorted(pieces))}
+    for w in (long, b" " + b"ab" * 31, b" " + b"ab" * 400):
+        data = np.frombuffer(w[1:], np.uint8)
+        for k in range(2):
+            sums = [0.0]  # log of the sum over all segmentations of each prefix
+            for j in range(1, len(w) + 1):
+                sums.append(np.logaddexp.reduce([sums[i] + np.log(m.prob[order[w[i:j]], k]) for i in range(max(0, j - 21), j) if w[i:j] in pieces]))
+            assert m.text(data, np.array([0, len(data)]))[0, k] == pytest.approx(sums[-1], rel=1e-9)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()

@@ -2,9 +2,9 @@
 
 A language is a distribution over the pieces of a fixed public byte vocabulary. The probability of a
 word (a run of non-space bytes after one space) is the sum over all its segmentations of the product of
-their pieces, by the forward algorithm; a text's is the product over its words. Words that are longer
-than ``CHUNK`` bytes are cut every CHUNK bytes, and segmentations do not cross cuts. Each distinct word of
-a run of texts is scored once for all languages.
+their pieces, by the forward algorithm; a text's is the product over its words. All pieces of the vocabulary
+count, also those that the sample lacks, and words of any length are scored whole: the forward state is
+scaled up as it goes. Each distinct word of a run of texts is scored once for all languages.
 
 Pieces are counted on the vocabulary's own segmentation of a bounded sample: for each language the rows
 with the smallest hashes of doc_id, about ``max_rows``. Counts are smoothed towards the pooled ones.
@@ -30,8 +30,8 @@ from tidemark.llm import common as C
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MAX_ROWS = 2000
 SMOOTHING = 2000.0
-LONGEST = 12
-CHUNK = 32
+#: Bytes after which the forward state is scaled, and cells of it at once.
+SCALED, CELLS = 8, 1 << 19
 RUN = 2 << 20
 
 
@@ -53,7 +53,7 @@ def _counts(path: str):
         sums: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words = [w[i : i + CHUNK] for w in text.encode().split() for w in [b" " + w] for i in range(0, len(w), CHUNK)]
+                words = [b" " + w for w in text.encode().split()]
                 got = sums.setdefault(lang, Counter())
                 for w, times in Counter(words).items():
                     for t in encoding._core_bpe.encode_single_piece(w):
@@ -75,18 +75,18 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, held_out: int = 2, fold
 
 
 class Model:
-    """A trie over the pieces in use and each language's piece probabilities."""
+    """A trie over all pieces (those counted, the vocabulary's and single bytes) and each language's piece probabilities."""
 
-    def __init__(self, rows: list[tuple[str, bytes, int]]):
+    def __init__(self, rows: list[tuple[str, bytes, int]], vocabulary=()):
         self.langs = sorted({r[0] for r in rows}, key=lambda s: s.encode())
         single = [bytes([i]) for i in range(256)]
-        pieces = sorted({r[1] for r in rows if len(r[1]) <= LONGEST} | set(single))
+        pieces = sorted({r[1] for r in rows} | set(vocabulary) | set(single))
+        self.longest = max(map(len, pieces))
         at = {p: i for i, p in enumerate(pieces)}
         count = np.zeros((len(pieces), max(len(self.langs), 1)))
         lang_at = {x: i for i, x in enumerate(self.langs)}
         for lang, piece, n in rows:
-            if piece in at:
-                count[at[piece], lang_at[lang]] += n
+            count[at[piece], lang_at[lang]] += n
         pooled = count.sum(1) + 1
         pooled /= pooled.sum()
         self.prob = (count + SMOOTHING * pooled[:, None]) / (count.sum(0) + SMOOTHING)
@@ -106,10 +106,16 @@ class Model:
         n, length = grid.shape
         alpha = np.zeros((length + 1, n, self.prob.shape[1]))
         alpha[0] = 1.0
+        scale = np.zeros((n, self.prob.shape[1]))
         for i in range(length):
+            if i and i % SCALED == 0:
+                ahead = alpha[i : i + self.longest]
+                top = ahead.max(0)
+                ahead /= top
+                scale += np.log(top)
             alive = np.arange(n)
             node = np.zeros(n, np.int32)
-            for j in range(i, min(length, i + LONGEST)):
+            for j in range(i, min(length, i + self.longest)):
                 node = self.step[node, grid[alive, j]]
                 ok = node >= 0
                 if not ok.all():
@@ -123,7 +129,7 @@ class Model:
                 else:
                     to = alive[some]
                     alpha[j + 1, to] += alpha[i, to] * self.prob[piece[some]]
-        return np.log(alpha[length])
+        return np.log(alpha[length]) + scale
 
     def text(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log probability (rows x languages) of texts one after another."""
@@ -135,22 +141,15 @@ class Model:
         _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
         first, size = first[one], (last - first)[one]
         score = np.zeros((len(one), k))
-        # the space and the first bytes, then the rest chunk by chunk
-        done, lead = np.zeros(len(one), np.int64), 1
-        left = np.arange(len(one))
-        while len(left):
-            take = np.minimum(CHUNK - lead, size[left] - done[left])
-            order = np.argsort(take, kind="stable")
-            cuts = np.flatnonzero(np.diff(take[order])) + 1
-            for part in np.split(order, cuts):
-                t = int(take[part[0]])
-                for at in range(0, len(part), 1 << 14):
-                    w = left[part[at : at + (1 << 14)]]
-                    grid = np.full((len(w), t + lead), 32, np.uint8)
-                    grid[:, lead:] = data[(first[w] + done[w])[:, None] + np.arange(t)]
-                    score[w] += self.words(grid)
-            done[left] += take
-            left, lead = left[done[left] < size[left]], 0
+        order = np.argsort(size, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            t = int(size[part[0]])
+            most = max(1, CELLS // (t + 1))
+            for at in range(0, len(part), most):
+                w = part[at : at + most]
+                grid = np.full((len(w), t + 1), 32, np.uint8)  # a space leads
+                grid[:, 1:] = data[first[w][:, None] + np.arange(t)]
+                score[w] = self.words(grid)
         for j in range(k):
             out[:, j] = np.bincount(row, score[inverse, j], len(out))
         return out
@@ -159,9 +158,9 @@ class Model:
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def _predict(shared):
+def _predict(shared, vocabulary: str):
     def run(batches):
-        model = Model(shared.value)
+        model = Model(shared.value, _encoding(vocabulary)[0] if shared.value else ())
         for b in batches:
             data, offsets = C.texts(b["text"])
             lang = ["und"] * len(b)
@@ -187,4 +186,4 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, held_out: int = 2, f
     model = [(r[0], bytes(r[1]), r[2]) for r in train(docs, vocabulary, held_out, folds, max_rows).collect()]  # at most languages x vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(C.crc_mod("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, vocabulary), "doc_id long, held_out boolean, lang_pred string, score double")
