@@ -220,6 +220,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, unit):
     assert got == brute_groups(rows, 3, 85)
 
 
+def test_one_row_of_each_group_stays(spark):
+    x, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    near = x.replace("w59", "w60")
+    rows = [(1, x, "a"), (1, x, "b"), (2, x, "a"), (3, other, "a"), (3, near, "a"), (None, other, "a"), (4, None, "a"), (4, None, "a"), (4, "", "b"), (5, "lone", None)]
+    left = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __first string")).collect()]
+    assert sorted((d, t) for d, t, _ in left if t and d) == sorted([(1, x), (3, other), (5, "lone")]) and len(left) == 6
+    assert sum(r[1] is None for r in left) == 2 and sum(r[1] == "" for r in left) == 1
+
+
 def test_pruning_keeps_to_its_miss_probability():
     steps = minhash.least_matches(0.85, 125, 25, 1e-7)
     rng = np.random.default_rng(5)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
@@ -263,9 +263,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which one of each group stays, with all their columns."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of which one of each group stays, with all their columns.
+
+    Here the vertex is the row, told by (doc_id, text): rows that share an id but not the text are judged
+    apart, null ids take part, and of rows equal in both one stays. Of a group the row of the smallest
+    doc_id stays, null last. Rows without words all stay.
+    """
+    docs, names, own = C.plain_names(docs, ["doc_id", "text"])
+    rows = docs.withColumn("__v", F.xxhash64("doc_id", F.xxhash64("text")))
+    found = near_duplicates(rows.select(F.col("__v").alias("doc_id"), "text"), **options)
+    member = C.cut(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("v"), F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")))
+    groups = member.groupBy("c").agg(F.sum("n").alias("rows")).filter("rows > 1").select("c")
+    member = member.join(groups, "c").select("v", "c")
+    ids = rows.select(F.col("__v").alias("v"), "doc_id").distinct()
+    first = member.join(ids, "v").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("f"))
+    judged = member.join(first.select(F.col("c"), F.col("f.v").alias("first")), "c").select(F.col("v").alias("__at"), (F.col("v") == F.col("first")).alias("__first"))
+    # one merge on the row's key; equal rows then stand together, sorted, and are numbered there
+    out = rows.join(judged.hint("merge"), F.col("__v") == F.col("__at"), "left")
+    out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__v").orderBy("__v")))
+    return out.filter("__first is null or (__first and __nth = 1)").select(*names).toDF(*own)
 
 
 ORACLE = r"""
