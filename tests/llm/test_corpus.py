@@ -377,37 +377,39 @@ def test_toxicity_finds_held_out_words(spark):
     assert toxicity.train(docs, m).count() < 2000
 
 
-def test_rare_and_tied_words_share_one_class(spark):
-    docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "a a b c"), (3, "d e")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, vocabulary=2).collect()}
-    # a 5, b 3, others (c and d tie at the cut) 5 of 13; aa 3, ab 2, bc/bd-like 2, xx 2 bigrams
-    lg = np.log10
-    assert got[3] == pytest.approx(round((lg(5 / 13) + lg(2 / 5)) / 2, 6))
-    plain = {r["doc_id"]: r["score"] for r in lm_score.score(docs, vocabulary=2, hot=1).collect()}
-    assert got == plain
-
-
-def test_bigrams_seen_once_count(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "a c")], "doc_id long, text string")
+def test_trigrams_seen_once_count(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a c"), (3, "a b d A b"), (4, "c"), (5, "rare"), (6, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
-    lg = np.log10
-    assert got[1] == pytest.approx(round((lg(2 / 5) + lg(1 / 2) + lg(1 / 1)) / 3, 6)) and got[2] == pytest.approx(round((lg(2 / 5) + lg(1 / 2)) / 2, 6))
+    lg, n = np.log10, 12  # a 4, b 3, c 3; ab 3, bc 1, ac 1; abc 1, abd 1
+    assert got[1] == pytest.approx(round((lg(4 / n) + lg(3 / 4) + lg(1 / 3)) / 3, 6)) and got[2] == pytest.approx(round((lg(4 / n) + lg(1 / 4)) / 2, 6))
+    assert got[4] == pytest.approx(round(lg(3 / n), 6)) and got[5] == pytest.approx(round(lg(1 / n), 6)) and got[6] is None
 
 
-@pytest.mark.parametrize("hot", [1, 20, 50_000])
-def test_scores_without_the_limits_of_the_sql(spark, hot):
-    sql = lm_score.ORACLE.replace("when count(*) > 65535 then", "when false then").replace(" having count(*) >= 2", "")
+@pytest.mark.parametrize(("hot", "rows"), [(1, 10**9), (20, 10**9), (300, 20_000), (50_000, 4_000_000)])
+def test_scores_with_few_and_many_hot_contexts(spark, hot, rows):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert collected(lm_score.score(docs, hot=hot)) == duck(sql)
+    docs = docs.unionByName(docs.limit(7)).unionByName(spark.createDataFrame([(None, "the", None, None, 1), (7, "the the the the", "en", "a", 1)], DOCS))
+    texts = docs.select("doc_id", "text").collect()
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in texts]
+    c = [Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    total = c[0].total()
+
+    def one(w, i):
+        k = min(i, 2)
+        return np.log10(c[k][tuple(w[i - k : i + 1])] / (c[k - 1][tuple(w[i - k : i])] if k else total))
+
+    want = [(r["doc_id"], len(w), round(sum(one(w, i) for i in range(len(w))) / len(w), 5) if w else None) for r, w in zip(texts, words, strict=True)]
+    got = [(r["doc_id"], r["n_words"], None if r["score"] is None else round(r["score"], 5)) for r in lm_score.score(docs, hot, rows).collect()]
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-5) for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True))
 
 
 def test_every_word_is_its_own(spark):
-    # 66,000 words seen once and one seen twice: before, only the latter was known
+    # 66,000 words seen once and one seen twice
     text = " ".join(f"w{i}" for i in range(66_000))
     docs = spark.createDataFrame([(1, text), (2, "x"), (3, "x"), (4, "w7")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
     assert got[2] == got[3] == round(np.log10(2 / 66_003), 6) and got[4] == got[2]
-    assert got[1] == pytest.approx((np.log10(1 / 66_003) - np.log10(2)) / 66_000, abs=1e-6)
+    assert got[1] == pytest.approx(np.log10(1 / 66_003) / 66_000, abs=1e-6)
 
 
 # --- shared

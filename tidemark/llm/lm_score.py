@@ -1,22 +1,24 @@
 """Operator 5: stupid-backoff scores of documents, computed relationally.
 
-Words are runs of non-space bytes, A-Z lower-cased. Every word and every bigram of the whole corpus counts. A
-word after another scores log10(c(bigram) / c(first word)); the first word scores log10(c / N). A document's
-score is the mean over its words. The documents scored are the corpus counted, so each of their bigrams is
-seen and none backs off. Words can be limited to the ``vocabulary`` most frequent ones (words tied at the
-cut stay out); all others are then one unknown word.
-
-So a document's sum is that of the log counts of its bigrams, less those of its words but the last, plus that
-of its first, less log10(N): one weight for each of its words and bigrams, told by 64-bit hashes. Those
-that hold at least one in ``HOT`` of all words are not shuffled: their counts are broadcast and they are added
-where the text is. All others are shuffled once, with their documents, by the hash; a window counts each and
-its rows become gains, which are summed by document. So no key is hot, and nothing else is bounded.
+Words are runs of non-space bytes, A-Z lower-cased. Every word, bigram and trigram of the whole corpus counts,
+whatever its number. A word scores log10(c(trigram) / c(its first two words)), the second of a text
+log10(c(bigram) / c(first word)), the first log10(c / N); a document's score is the mean over its words. The
+documents scored are the corpus counted, so each of their trigrams is seen and the backoff, which takes the next
+shorter context for what is not, ends only at the beginning of a text. The first two words together give
+log10(c(bigram) / N), so that words alone count in texts of one.
+
+Each trigram is exploded into one row (its two words as a 64-bit hash, its third as 32 bits more, its document).
+Rows are shuffled once, by the two words: there a window counts the trigram and its context at once, and the
+gains are summed by document, with map-side partial sums. Contexts that are at least one in ``HOT`` of all words
+are counted beforehand and broadcast (at most ``HOT`` of them): their trigrams are shuffled by a hash of all three
+words, or added where the text is if they are as frequent themselves. So no key is hot.
 
 Hot ones are found by sums of counts by run of text: a run leaves out what it holds less than one in twice
 ``HOT`` times, so that no hot one falls below half its bound; the few that pass are counted exactly.
 
-Null and empty texts have no words and a null score. Rows are told apart by a hash of (doc_id, text); equal
-rows get equal scores and are all counted. An empty table gives an empty result.
+Null and empty texts have no words and a null score. A text of any length is read whole. Rows are told apart by a
+hash of (doc_id, text); equal rows get equal scores and are all counted. Columns beside doc_id and text are not
+read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,29 +30,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
-VOCABULARY = 65535  # of the SQL alone
-MIN_COUNT = 2  # of the SQL alone; the operator counts every bigram
-BACKOFF = 0.4  # of the SQL alone; see above
 HOT = 50_000
 RUN = 2 << 20
-#: The hash of the unknown word, and the code under which all words are counted.
-UNKNOWN, ALL = np.uint64(1), 0
-
-
-def _word_counts(batches):
-    for b in batches:
-        data, offsets = C.texts(b["text"])
-        for i, j in C.runs(offsets, RUN):
-            h, _, _, _ = C.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], C.NOT_SPACE)
-            u, n = np.unique(h, return_counts=True)
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
-
-
-def _known(words: DataFrame, vocabulary: int) -> np.ndarray:
-    """Hashes of the most frequent words, sorted."""
-    top = words.orderBy(F.col("n").desc()).limit(vocabulary + 1).collect()  # bounded by the vocabulary
-    cut_at = top[-1][1] if len(top) > vocabulary else 0
-    return np.sort(np.array([w for w, n in top if n > cut_at], np.int64).view(np.uint64))
+#: Trigrams to a partition of the counts.
+ROWS = 4_000_000
+#: The code under which all words are counted.
+ALL = 0
+#: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
+END, INSIDE, BEGIN, WHOLE = range(4)
 
 
 def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,45 +48,58 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def _codes(known: np.ndarray | None, data: np.ndarray, starts: np.ndarray):
-    """Codes (odd for words, even for bigrams), rows and weights in the sum of words, then of bigrams; and how many are words."""
-    h, row, _, _ = C.words(data, starts, C.NOT_SPACE)
-    if known is not None:
-        h = np.where(_place(known, h)[1], h, UNKNOWN)
-    same = row[1:] == row[:-1]
-    weight = np.zeros(len(h), np.int64)
-    weight[:-1] -= same
-    weight[1:] += ~same
-    weight[:1] += 1
-    code = np.concatenate([h | np.uint64(1), (C.pair(h[:-1], h[1:]) & ~np.uint64(1))[same]]).view(np.int64)
-    return code, np.concatenate([row, row[1:][same]]), np.concatenate([weight, np.ones(same.sum(), np.int64)]), len(h)
+class _Grams:
+    """The bigrams (odd codes) of some rows one after another, and of each the trigram it begins (even code)."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        h, row, _, _ = C.words(data, starts, C.NOT_SPACE)
+        self.words = np.bincount(row, minlength=len(starts) - 1)
+        at = np.flatnonzero(row[1:] == row[:-1])
+        self.row = row[at]
+        context = C.pair(h[at], h[at + 1]) | np.uint64(1)
+        last = np.ones(len(at), bool)
+        last[:-1] = at[1:] != at[:-1] + 1
+        first = np.ones(len(at), bool)
+        first[1:] = last[:-1]
+        third = h[np.minimum(at + 2, max(len(h) - 1, 0))] if len(h) else h
+        self.context, self.first, self.last = context.view(np.int64), first, last
+        self.third = (third >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.whole = (C.pair(context, third) & ~np.uint64(1)).view(np.int64)
+
+    def codes(self) -> np.ndarray:
+        return np.concatenate([self.context, self.whole[~self.last]])
+
+
+def _cut_up(column: pa.Array, most: int = RUN):
+    """(rows from, rows to, their grams) of a batch's texts."""
+    data, offsets = C.texts(column)
+    for i, j in C.runs(offsets, most):
+        yield i, j, _Grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _often(known, hot: int):
+def _often(hot: int):
     """text to (code, n): all words under ALL, and what a run holds often enough."""
 
     def run(batches):
         for b in batches:
-            data, offsets = C.texts(b["text"])
-            for i, j in C.runs(offsets, RUN):
-                code, _, _, words = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                u, n = np.unique(code, return_counts=True)
+            for _, _, g in _cut_up(b["text"]):
+                u, n = np.unique(g.codes(), return_counts=True)
+                words = g.words.sum()
                 some = n * 2 * hot >= words
                 yield pa.record_batch([pa.array(np.append(u[some], ALL)), pa.array(np.append(n[some], words))], ["code", "n"])
 
     return run
 
 
-def _exact(known, table):
+def _exact(table):
     """text to (code, n) of the codes in the table."""
 
     def run(batches):
         codes = table.value
         for b in batches:
-            data, offsets = C.texts(b["text"])
             sums = np.zeros(len(codes), np.int64)
-            for i, j in C.runs(offsets, RUN):
-                at, hit = _place(codes, _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])
+            for _, _, g in _cut_up(b["text"]):
+                at, hit = _place(codes, g.codes())
                 sums += np.bincount(at[hit], minlength=len(codes))
             some = np.flatnonzero(sums)
             yield pa.record_batch([pa.array(codes[some]), pa.array(sums[some])], ["code", "n"])
@@ -107,89 +107,110 @@ def _exact(known, table):
     return run
 
 
-def _base(known, table):
-    """(doc_id, key, text) to (doc_id, key, n_words, total): the sum without what is shuffled."""
+def _words(batches):
+    """text to (word, n)."""
+    for b in batches:
+        data, offsets = C.texts(b["text"])
+        for i, j in C.runs(offsets, 4 * RUN):
+            h, _, _, _ = C.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], C.NOT_SPACE)
+            u, n = np.unique(h, return_counts=True)
+            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def _base(table):
+    """(doc_id, key, text) to (doc_id, key, n_words, total, word): the sum without what is shuffled, and a text's only word."""
 
     def run(batches):
         codes, logs, log_all = table.value
         for b in batches:
             data, offsets = C.texts(b["text"])
-            n_words, sums = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for i, j in C.runs(offsets, RUN):
-                code, row, weight, words = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n_words[i:j] = np.bincount(row[:words], minlength=j - i)
-                at, hit = _place(codes, code)
-                if hit.any():
-                    sums[i:j] = np.bincount(row[hit], weight[hit] * logs[at[hit]], j - i)
-            yield pa.record_batch([b["doc_id"], b["key"], pa.array(n_words), pa.array(sums - log_all)], ["doc_id", "key", "n_words", "total"])
+            n_words, sums, only = np.zeros(len(b), np.int64), np.zeros(len(b)), np.zeros(len(b), np.int64)
+            for i, j, g in _cut_up(b["text"]):
+                n_words[i:j] = g.words
+                at, hot = _place(codes, g.context)
+                at_whole, hot_whole = _place(codes, g.whole)
+                inside = hot & ~g.last
+                gain = np.zeros(len(at))
+                if len(codes):
+                    gain = np.where(inside, np.where(hot_whole, logs[at_whole], 0.0) - logs[at], 0.0) + np.where(hot & g.first, logs[at], 0.0)
+                sums[i:j] = np.bincount(g.row, gain, j - i)
+                if (g.words == 1).any():
+                    h, row, _, _ = C.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], C.NOT_SPACE)
+                    alone = g.words[row] == 1
+                    only[i + row[alone]] = h[alone].view(np.int64)
+            word = pa.array(only, mask=n_words != 1)
+            yield pa.record_batch([b["doc_id"], b["key"], pa.array(n_words), pa.array(sums - log_all), word], ["doc_id", "key", "n_words", "total", "word"])
 
     return run
 
 
-def _exploded(known, table):
-    """(key, text) to (code, key, times, weight) of what is not broadcast."""
+def _exploded(table):
+    """(key, text) to (code, third, key, what) of what is not broadcast."""
 
     def run(batches):
         codes = table.value[0]
         for b in batches:
-            data, offsets = C.texts(b["text"])
-            for i, j in C.runs(offsets, C.RUN_BYTES):
-                code, row, weight, _ = _codes(known and known.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                cold = ~_place(codes, code)[1]
-                code, row, weight = code[cold], row[cold], weight[cold]
-                order = np.lexsort((code, row))
-                code, row, weight = code[order], row[order], weight[order]
-                new = np.ones(len(code), bool)
-                new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(code)))
-                sums = np.add.reduceat(weight, at) if len(at) else weight
-                yield pa.record_batch([pa.array(code[at]), b["key"].take(pa.array(row[at] + i)), pa.array(times.astype(np.int32)), pa.array(sums.astype(np.int32))], ["code", "key", "times", "weight"])
+            for i, _, g in _cut_up(b["text"], C.RUN_BYTES):
+                hot = _place(codes, g.context)[1]
+                whole = hot & ~g.last & ~_place(codes, g.whole)[1]
+                cold = np.flatnonzero(~hot)
+                begin, whole = np.flatnonzero(~hot & g.first), np.flatnonzero(whole)
+                at = np.concatenate([cold, begin, whole])
+                code = np.concatenate([g.context[cold], g.context[begin], g.whole[whole]])
+                third = np.concatenate([np.where(g.last[cold], 0, g.third[cold]), np.zeros(len(begin) + len(whole), np.int64)])
+                what = np.concatenate([np.where(g.last[cold], END, INSIDE), np.full(len(begin), BEGIN), np.full(len(whole), WHOLE)])
+                order = np.argsort(g.row[at], kind="stable")
+                yield pa.record_batch(
+                    [pa.array(code[order]), pa.array(third[order].astype(np.int32)), b["key"].take(pa.array(g.row[at[order]] + i)), pa.array(what[order].astype(np.int8))],
+                    ["code", "third", "key", "what"],
+                )
 
     return run
 
 
-def score(docs: DataFrame, vocabulary: int | None = None, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, score: one row a document. Without a vocabulary every word is its own."""
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
+def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_words, score: one row a document."""
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select("text")
-    known = None
-    if vocabulary is not None:
-        known = send(_known(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), vocabulary))
-
-    often = C.cut(texts.mapInArrow(_often(known, hot), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    often = C.cut(texts.mapInArrow(_often(hot), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     total = often.filter(F.col("code") == ALL).agg(F.sum("n")).first()[0] or 0
     maybe = often.filter((F.col("code") != ALL) & (F.col("n") * (2 * hot) >= total)).select("code").collect()  # at most four times hot
     maybe = send(np.sort(np.array([r[0] for r in maybe], np.int64)))
-    counts = texts.mapInArrow(_exact(known, maybe), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_exact(maybe), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = sorted(tuple(r) for r in counts.filter(F.col("n") * hot >= total).collect())  # at most twice hot
     table = send((np.array([r[0] for r in counts], np.int64), np.log10([float(r[1]) for r in counts]), float(np.log10(max(total, 1)))))
 
     # equal rows have equal keys
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-    base = keyed.mapInArrow(_base(known, table), "doc_id long, key long, n_words long, total double")
-    rows = keyed.select("key", "text").mapInArrow(_exploded(known, table), "code long, key long, times int, weight int")
-    found = rows.withColumn("n", F.sum("times").over(Window.partitionBy("code"))).filter("n > 1 and weight <> 0")  # log10(1) is 0
+    grams = keyed.select("key", "text").mapInArrow(_exploded(table), "code long, third int, key long, what byte").repartition(total // rows + 1, "code")
+    # both windows go by one shuffle and one sort
+    grams = grams.withColumn("full", F.count_if(F.col("what") == INSIDE).over(Window.partitionBy("code", "third")))
+    grams = grams.withColumn("context", F.count_if(F.col("what") != BEGIN).over(Window.partitionBy("code")))
+    gain = F.when(F.col("what") == INSIDE, F.log10("full") - F.log10("context")).otherwise(F.log10("context"))
+    grams = grams.filter(F.col("what") != END).select("key", gain.alias("gain")).filter("gain <> 0")
     # a row's own gains are summed once for each equal row, and shared out again
-    more = found.groupBy("key").agg(F.sum(F.col("weight") * F.log10("n")).alias("more"))
-    base = base.groupBy("doc_id", "key", "n_words").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("rows"))
-    out = base.join(more, "key", "left")
-    value = F.when(F.col("n_words") > 0, F.round((F.col("total") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0))) / F.col("n_words"), 6))
-    return out.withColumn("value", value).withColumn("i", F.explode(F.expr("sequence(1L, rows)"))).select("doc_id", "n_words", F.col("value").alias("score"))
+    more = grams.groupBy("key").agg(F.sum("gain").alias("more"))
+
+    base = C.cut(keyed.mapInArrow(_base(table), "doc_id long, key long, n_words long, total double, word long"))
+    alone = base.filter("word is not null").select("word").distinct()
+    alone = texts.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).join(alone, "word").select("word", F.log10("n").alias("log_n"))
+    base = base.groupBy("doc_id", "key", "n_words", "word").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("rows"))
+    out = base.join(more, "key", "left").join(alone, "word", "left")
+    whole = F.col("total") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0)) + F.coalesce("log_n", F.lit(0.0))
+    out = out.withColumn("value", F.when(F.col("n_words") > 0, F.round(whole / F.col("n_words"), 6)))
+    return out.withColumn("i", F.explode(F.expr("sequence(1L, rows)"))).select("doc_id", "n_words", F.col("value").alias("score"))
 
 
-ORACLE = rf"""
+ORACLE = r"""
 with t as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 k as (select r, generate_subscripts(w, 1) as i, unnest(w) as w from t),
-c as (select w, count(*) as n from k group by w),
-m as (select case when count(*) > {VOCABULARY} then (select n from c order by n desc offset {VOCABULARY} limit 1) else 0 end as cut, sum(n) as total from c),
-v as (select w, n from c, m where n > cut),
-u as (select k.r, k.i, case when v.w is null then '' else v.w end as w, coalesce(v.n, (select total from m) - (select sum(n) from v)) as n from k left join v on k.w = v.w),
-p as (select r, i, w, n, lag(w) over (partition by r order by i) as x, lag(n) over (partition by r order by i) as xn from u),
-b as (select x, w, count(*) as n from p where x is not null group by all having count(*) >= {MIN_COUNT}),
-s as (select r, case when p.x is null then log10(p.n / (select total from m)) when b.n is not null then log10(b.n / p.xn) else log10({BACKOFF} * p.n / (select total from m)) end as s
-        from p left join b on b.x = p.x and b.w = p.w),
+p as (select r, i, w, lag(w) over o as x, lag(w, 2) over o as y from k window o as (partition by r order by i)),
+c1 as (select w, count(*) as n from k group by w),
+c2 as (select x, w, count(*) as n from p where x is not null group by all),
+c3 as (select y, x, w, count(*) as n from p where y is not null group by all),
+s as (select p.r, case when p.y is not null then log10(c3.n / of_two.n) when p.x is not null then log10(c2.n / of_one.n) else log10(c1.n / (select count(*) from k)) end as s
+        from p join c1 on c1.w = p.w left join c1 of_one on of_one.w = p.x left join c2 on c2.x = p.x and c2.w = p.w
+        left join c2 of_two on of_two.x = p.y and of_two.w = p.x left join c3 on c3.y = p.y and c3.x = p.x and c3.w = p.w),
 g as (select r, sum(s) as s from s group by r)
 select doc_id, len(w)::bigint as n_words, case when len(w) > 0 then round(g.s / len(w), 6) end as score from t left join g using (r)
 """
