@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the kernels.
@@ -181,6 +181,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sums_before(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """df with, for each name, the sum of that column over the rows that stand before in the order (a total one).
+
+    Rows are sorted by ranges, never all in one task; only one row a range is summed up globally.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    whole = whole.select("__range", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"__{n}") for n in sums])
+    out = ranged.join(F.broadcast(whole), "__range")
+    return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()])
+
+
 def plain_names(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str], list[str]]:
     """df with the wanted columns as named and all others as x0, x1, ..., these names in order, and its own names.
 

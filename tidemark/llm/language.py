@@ -70,7 +70,8 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, held_out: int = 2, fold
     rows = docs.select("doc_id", "text", "lang").filter((C.crc_mod("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(float(max_rows)) / F.col("rows")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
+    # one row a language, as is the model: broadcast, so that texts are sampled where they are read
+    sample = rows.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "text")
     return sample.mapInArrow(_counts(vocabulary), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 

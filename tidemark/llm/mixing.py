@@ -5,15 +5,17 @@ null last, get the weights in turn; targets share the total size by weight, but
 ``cap`` times its source's size, the excess being reshared by weight. Within a source, documents stand
 in size classes; the expected copies (target / size, the same for each document of the source) are
 prefix-summed in that order, one random offset is added, and a document is emitted once for each
-integer boundary that its interval crosses. The offset is, of ``DRAWS`` evenly spaced ones from a random
-start, that whose words come nearest the target (the first of equals); this and the standing by size
-make the words taken follow the target closely, and cap bounds the copies of each document.
+integer boundary that its interval crosses. The offset is random in the source's name and the seed, so that
+reruns agree. As documents stand by size, the words taken differ from the target by about the size of the
+largest document at most, and cap bounds the copies of each document.
 
 The prefix sum never brings a source into one task: rows are counted by (source, size class, salt) with
 map-side partial sums, the bounded tables of counts are prefix-summed level by level, and rows are ranked
-only inside their salt. Null texts and empty ones have size 0 and are ranked like others (their copies
-hold no words); a null source is a source of its own; repeated rows are separate documents; an empty
-table gives an empty result. A source of size 0 has target 0 and no copies.
+only inside their salt. Sources, whatever their number, are summed by sorted ranges. Texts are read once.
+Null texts and empty ones have size 0 and are ranked like others (their copies
+hold no words); very long ones have large size classes; a null source is a source of its own; repeated rows
+are separate documents, ties in doc_id and size any order among them; columns of clashing names are kept as
+they are by ``mix``; an empty table gives an empty result. A source of size 0 has target 0 and no copies.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from tidemark.llm import common as C
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "tidemark-mix-1"
-#: Offsets tried for each source.
-DRAWS = 16
 #: Offsets are multiples of 2**-20, so that adding them to whole numbers is exact.
 STEPS = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,24 +43,18 @@ def targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
     The level that no target passes is found in closed form: by rising capacity per weight, the sources
     up to some place are full and the rest share what remains by weight.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(1))
-    listed = by_source.withColumn("place", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
+    listed = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    listed = C.sums_before(listed, ["none", "source"], place=F.lit(1))
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    listed = listed.withColumn("weight", weight.cast("long"))
-    rising = every.orderBy((F.col("source_size") * cap / F.col("weight")), "place").rowsBetween(Window.unboundedPreceding, -1)
-    listed = (
-        listed.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("full_before", F.coalesce(F.sum(F.col("source_size") * cap).over(rising), F.lit(0)))
-        .withColumn("left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(rising), F.lit(0)))
-    )
+    listed = listed.withColumn("weight", weight.cast("long")).withColumn("most", F.col("source_size") * cap).withColumn("level", F.col("most") / F.col("weight"))
+    listed = C.sums_before(listed, ["level", "place"], full_before=F.col("most"), weight_before=F.col("weight"))
+    total, weighed = listed.agg(F.sum("source_size"), F.sum("weight")).first()
     # full, if it can't hold its share of what those before it leave
-    full = F.col("source_size") * cap * F.col("left") <= (F.col("total") - F.col("full_before")) * F.col("weight")
-    listed = listed.withColumn("full", full)
-    listed = listed.withColumn("rest", F.col("total") - F.sum(F.when(F.col("full"), F.col("source_size") * cap).otherwise(0)).over(every)).withColumn(
-        "open", F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)).over(every)
-    )
-    target = F.when(F.col("full"), (F.col("source_size") * cap).cast("double")).otherwise((F.col("rest") * F.col("weight")).cast("double") / F.col("open"))
+    full = F.col("most") * (F.lit(weighed or 0) - F.col("weight_before")) <= (F.lit(total or 0) - F.col("full_before")) * F.col("weight")
+    listed = C.cut(listed.withColumn("full", full))
+    held, open_weight = listed.agg(F.sum(F.when(F.col("full"), F.col("most"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+    listed = listed.withColumn("rest", F.lit((total or 0) - (held or 0)).cast("long")).withColumn("open", F.lit(open_weight or 0).cast("long"))
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise((F.col("rest") * F.col("weight")).cast("double") / F.col("open"))
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 5), 16, 10).cast("double") / STEPS
     return listed.select(
         "source", "source_size", target.alias("target"),
@@ -71,8 +65,9 @@ def targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
 def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
-    sized = sized.withColumn("class", F.expr(CLASS)).withColumn("salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
+    # texts are read once, for their sizes; what follows reads this small table
+    salt = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 2)
+    sized = C.cut(docs.select("doc_id", "source", size.alias("size"), salt.alias("salt"))).withColumn("class", F.expr(CLASS))
     counts = sized.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"))
     # counts of the rows before a salt inside its class, and before a class inside its source
     in_class = Window.partitionBy("source", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,16 +89,10 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
     # ranked inside the salt, whose rows are a small share of a class of a source
     rank = F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("doc_id", "size"))
     ranked = eq(sized.withColumn("rank", rank), salts, ["source", "class", "salt"])
-    ranked = C.cut(ranked.select("doc_id", "source", "size", "source_size", "target", "per_doc", "shift", (F.col("start") + F.col("rank")).alias("place")))
+    ranked = ranked.select("doc_id", "source", "size", "source_size", "target", "per_doc", "shift", (F.col("start") + F.col("rank")).alias("place"))
 
-    def crossed(shift):
-        return F.floor(shift + F.col("place") * F.col("per_doc")) - F.floor(shift + (F.col("place") - 1) * F.col("per_doc"))
-
-    turns = [(F.col("shift") + k / DRAWS) % 1.0 for k in range(DRAWS)]
-    tried = ranked.groupBy("source").agg(F.first("target").alias("t"), F.first("shift").alias("shift"), *[F.sum(F.col("size") * crossed(u)).alias(f"w{k}") for k, u in enumerate(turns)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)]))
-    offset = tried.select("source", ((F.col("shift") + nearest["k"] / DRAWS) % 1.0).alias("offset"))
-    out = eq(ranked, offset, ["source"]).withColumn("copies", crossed(F.col("offset")).cast("long"))
+    copies = F.floor(F.col("shift") + F.col("place") * F.col("per_doc")) - F.floor(F.col("shift") + (F.col("place") - 1) * F.col("per_doc"))
+    out = ranked.withColumn("copies", copies.cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -127,8 +116,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
 
 
 ORACLE = rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
-k as (select *, substr(md5(coalesce(doc_id::varchar, '')), 1, 2) as salt,
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+k as (select *, substr(md5(coalesce(doc_id::varchar, text, '')), 1, 2) as salt,
         case when size < 64 then size else (length(bin(size)) - 6) * 64 + (size >> (length(bin(size)) - 7)) end as class from d),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 p as (select *, row_number() over (order by source collate "binary" nulls last) - 1 as place from s),
@@ -143,11 +132,6 @@ g as (select source, source_size, case when is_full then (source_size * {CAP})::
         ('0x' || substr(md5('{SEED}' || coalesce(source, '')), 1, 5))::bigint::double / {STEPS} as shift from t),
 r as (select doc_id, source, size, row_number() over (partition by source order by class, salt, doc_id nulls first, size) as place from k),
 j as (select r.doc_id, r.source, r.size, g.source_size, g.target, r.place, g.shift, case when g.source_size > 0 then g.target / g.source_size else 0 end as e
-        from r join g on r.source is not distinct from g.source),
-o as (select source, (shift + k / {DRAWS}.0::double) % 1.0::double as u, k, abs(sum(size * (floor((shift + k / {DRAWS}.0::double) % 1.0::double + place * e)
-        - floor((shift + k / {DRAWS}.0::double) % 1.0::double + (place - 1) * e))) - any_value(target)) as off
-        from j, range({DRAWS}) as x(k) group by source, shift, k),
-b as (select * from o qualify row_number() over (partition by source order by off, k) = 1)
-select doc_id, size, source_size, target, ((floor(u + place * e) - floor(u + (place - 1) * e)) * size)::bigint as taken
-from j join b on j.source is not distinct from b.source
+        from r join g on r.source is not distinct from g.source)
+select doc_id, size, source_size, target, ((floor(shift + place * e) - floor(shift + (place - 1) * e)) * size)::bigint as taken from j
 """
