@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.verdict import verdict_of
 from tidemark.operators import diff, guard, quarantine, reconcile
 from tidemark.schemas import DEAD_LETTER, SPECS, registry
-from tidemark.streaming.apply import Applier, Halted, healthy, poll_wait, start, with_retry
+from tidemark.streaming.apply import Applier, Halted, start, with_retry
+from tidemark.streaming.metrics import Meters, SkewProbe
+from tidemark.streaming.outbox import Outbox, Worker, poll_wait, run
 from tidemark.streaming.store import Store
 
-COMPUTER = {"brand": "Lenovo", "model": "ThinkPad X1", "cpu": "Core Ultra 7", "ram_gb": "32", "price_usd": "1650.00"}
+COMPUTER = {"brand": "Norrland", "model": "Slate 9", "cpu": "Heron 4", "ram_gb": "24", "price_usd": "1234.56"}
 
 
 def event(table, op, lsn, after=None, before=None, wrap=False):
@@ -40,11 +42,11 @@ def test_golden_row_and_lifecycle(spark, tmp_path, store):
     applier = Applier(store, audited="computer", least_failures=10)
     go(spark, tmp_path, applier)
     row = store.read("computer").collect()[0]
-    assert (row["full_name"], row["spec"], int(row["price_krw"]), row["deleted"], row["source_lsn"]) == ("Lenovo ThinkPad X1", "Core Ultra 7 / 32GB", 2227500, False, 1)
+    assert (row["full_name"], row["spec"], int(row["price_krw"]), row["deleted"], row["source_lsn"]) == ("Norrland Slate 9", "Heron 4 / 24GB", 1666656, False, 1)
     assert store.manifest()["position"] == 3  # skipped tables move progress too
     write(tmp_path / "in", "2.txt", [event("computer", "u", 8, {"id": "7", **COMPUTER, "ram_gb": "64"}, {"id": "7", **COMPUTER}, wrap=True), event("computer", "u", 9, {"id": "7", **COMPUTER, "ram_gb": "x"}), "{broken"])
     go(spark, tmp_path, applier)
-    assert store.read("computer").first()["spec"] == "Core Ultra 7 / 64GB"
+    assert store.read("computer").first()["spec"] == "Heron 4 / 64GB"
     letters = {r["failure_type"]: r for r in store.read("cdc_dead_letter").collect()}
     assert set(letters) == {"data", "unparsable"} and letters["data"]["failure_message"] == "bad:ram_gb" and letters["unparsable"]["source_table"] == "unknown"
     audits = {r["source_lsn"]: r for r in store.read("cdc_change_audit").collect()}
@@ -53,7 +55,7 @@ def test_golden_row_and_lifecycle(spark, tmp_path, store):
     write(tmp_path / "in", "3.txt", [event("computer", "d", 10, None, {"id": "7"}), event("computer", "d", 11, None, {"id": "99"})])
     go(spark, tmp_path, applier)
     rows = store.read("computer").collect()
-    assert len(rows) == 1 and rows[0]["deleted"] and rows[0]["spec"] == "Core Ultra 7 / 64GB"
+    assert len(rows) == 1 and rows[0]["deleted"] and rows[0]["spec"] == "Heron 4 / 64GB"
 
 
 def test_restart_loses_and_repeats_nothing(spark, tmp_path, store):
@@ -71,6 +73,135 @@ def test_restart_loses_and_repeats_nothing(spark, tmp_path, store):
     assert store.prune(1) is not None and store.read("car").count() == 999
 
 
+GRADE = {"id": "1", "code": "A", "name": "a", "discount_rate": "1.50", "created_at": "2024-01-01T00:00:00Z"}
+CAR = {"id": "1", "name": "n", "brand": "b", "price": "1.00", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"}
+
+
+def lines_of(spark, *events):
+    return spark.createDataFrame([(e,) for e in events], "value string").coalesce(1)
+
+
+def test_one_bad_row_among_equal_positions_is_alone_quarantined(spark, store):
+    good = [event("grade", "r", 0, {**GRADE, "id": str(i)}) for i in range(9)]
+    Applier(store)(lines_of(spark, *good[:4], event("grade", "r", 0, {**GRADE, "id": "x"}), *good[4:]), 0)
+    assert store.read("grade").count() == 9 and [r["failure_message"] for r in store.read("cdc_dead_letter").collect()] == ["bad:id"]
+
+
+def test_a_halt_is_not_tried_again(spark, store, monkeypatch):
+    calls = []
+    real = Applier.apply
+    monkeypatch.setattr(Applier, "apply", lambda self, *a: (calls.append(1), real(self, *a))[1])
+    applier = Applier(store)
+    with pytest.raises(Halted):
+        applier(lines_of(spark, event("grade", "u", 1, {"id": "x"}), event("grade", "u", 2, {"id": "y"})), 0)
+    assert len(calls) == 1 and verdict_of(Halted("x")) == "HALT" and applier.meters.get("halts_total", reason="Halted") == 1
+
+
+def test_unlisted_states_fall_back_to_the_kind_of_error():
+    class Odd(ValueError):
+        def getSqlState(self):
+            return "XX000"
+
+    class Plain(Exception):
+        def getSqlState(self):
+            return "XX000"
+
+    assert verdict_of(Odd()) == "DEAD_LETTER" and verdict_of(Plain()) == "RETRY"
+
+
+def test_letters_of_equal_text_are_their_own_and_the_oldest_goes_first(spark, store):
+    applier = Applier(store, least_failures=99)
+    applier(lines_of(spark, "{broken", "{broken", event("grade", "u", 5, {**GRADE, "discount_rate": "x"})), 0)
+    applier(lines_of(spark, event("grade", "u", 6, {**GRADE, "discount_rate": "y"}), "{broken"), 1)
+    letters = store.read("cdc_dead_letter").orderBy("id").collect()
+    assert [r["id"] for r in letters] == [1, 2, 3, 4, 5] and [r["failure_type"] for r in letters] == ["unparsable", "unparsable", "data", "data", "unparsable"]
+    asked = store.read("cdc_dead_letter").withColumn("status", F.lit("RETRY_REQUESTED"))
+    store.commit(2, None, {"cdc_dead_letter": asked})
+    assert [r["id"] for r in quarantine.claim(store.read("cdc_dead_letter"), 2).collect()] == [1, 2]
+    assert applier.reprocess(2) == {"claimed": 2, "resolved": 0}
+    after = store.read("cdc_dead_letter").orderBy("id").collect()
+    assert [(r["id"], r["status"], r["attempts"]) for r in after[:3]] == [(1, "PENDING", 2), (2, "PENDING", 2), (3, "RETRY_REQUESTED", 1)] and len(after) == 5
+    ids = spark.createDataFrame([(1,), (1,)], "id long")
+    assert quarantine.settled(store.read("cdc_dead_letter"), ids, ids.limit(0), "2024-01-01 00:00:00").count() == 5
+
+
+def test_unguarded_tables_take_the_last_arrival_guarded_ones_the_highest_position(spark, store):
+    Applier(store)(lines_of(spark, event("car", "u", 9, {**CAR, "name": "high"}), event("car", "u", 4, {**CAR, "name": "last"}), event("grade", "u", 9, {**GRADE, "name": "high"}), event("grade", "u", 4, {**GRADE, "name": "last"}), event("grade", "u", 9, {**GRADE, "name": "again"})), 0)
+    assert store.read("car").first()["name"] == "last" and store.read("grade").first()["name"] == "high"
+
+
+def test_only_touched_tables_and_buckets_are_written(spark, store):
+    applier = Applier(store, buckets=8)
+    applier(lines_of(spark, *[event("grade", "c", i, {**GRADE, "id": str(i)}) for i in range(1, 60)], event("car", "c", 60, CAR)), 0)
+    before = store.manifest()["versions"]
+    applier(lines_of(spark, event("grade", "u", 70, {**GRADE, "id": "7", "name": "new"})), 1)
+    after = store.manifest()["versions"]
+    assert after["car"] == before["car"] and sum(after["grade"][b] != before["grade"][b] for b in before["grade"]) == 1 and "cdc_dead_letter" not in after
+    assert store.read("grade").count() == 59 and store.read("grade").filter("name = 'new'").count() == 1
+    store.prune(0)
+    assert store.read("grade").count() == 59 and store.read("car").count() == 1
+    applier(lines_of(spark, event("car", "d", 71, None, {"id": "1"})), 2)
+    assert store.read("car") is None or store.read("car").count() == 0
+
+
+def test_appended_tables_are_compacted(spark, store):
+    for n in range(4):
+        store.commit(n, None, append={"log": spark.range(n, n + 1)})
+    assert not store.compact("log", 4) and store.compact("log", 3) and len(store.paths("log")) == 1 and store.read("log").count() == 4
+
+
+def test_a_gap_stops_the_start(spark, tmp_path, store):
+    (tmp_path / "in").mkdir()
+    checkpoints = spark.createDataFrame([("main", 100)], "pipeline string, last_applied long")
+    slots = spark.createDataFrame([("main", 500)], "pipeline string, restart long")
+    applier = Applier(store)
+    with pytest.raises(guard.CaptureGap):
+        start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/progress", applier, checkpoints=checkpoints, slots=slots)
+    assert applier.meters.get("capture_gap") == 1.0
+    start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/progress", applier, checkpoints=checkpoints, slots=slots, fail_on_gap=False).awaitTermination()
+    start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/progress", applier, checkpoints=checkpoints, slots=slots.withColumn("restart", F.lit(7).cast("long"))).awaitTermination()
+    assert applier.meters.get("capture_gap") == 0.0
+
+
+def test_outbox_cycles_restart_and_prune(spark, tmp_path, store):
+    log = Outbox(Store(spark, f"file://{tmp_path}/source"))
+    source = {
+        "grade": spark.createDataFrame([(i, f"c{i}", "now", i / 4) for i in range(1, 6)], "id long, code string, name string, discount_rate double").withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp")),
+        "car": spark.createDataFrame([(1, "car")], "id long, name string").select("id", "name", F.lit("b").alias("brand"), F.lit(1).cast("decimal(12,2)").alias("price"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")),
+    }
+    entries = [(1, "grade", 1, "c"), (2, "grade", 1, "u"), (3, "grade", 2, "c"), (4, "grade", 2, "d"), (5, "grade", 3, "c"), (6, "car", 1, "c"), (7, "grade", 9, "u"), (8, "grade", 3, "d"), (9, "grade", 3, "c"), (10, "car", 1, "d"), (11, "grade", 1, "d"), (12, "other", 1, "u")]
+    log.append(spark.createDataFrame([(*e, 0) for e in entries], "seq long, table_name string, row_id long, op string, t long").withColumn("changed_at", F.timestamp_seconds("t")))
+
+    def worker():
+        return Worker(log, source.__getitem__, store, size=6, buckets=4)
+
+    first = worker()
+    assert first.run_once() == 4 and first.meters.get("outbox_pending") == 6 and log.rows().count() == 6
+    assert {r["id"]: (r["deleted"], r["source_seq"]) for r in store.read("grade").collect()} == {1: (False, 6), 3: (False, 6)} and store.read("car").count() == 1
+    log.append(spark.createDataFrame([(2, "grade", 1, "u", 0)], "seq long, table_name string, row_id long, op string, t long").withColumn("changed_at", F.timestamp_seconds("t")))  # as if a prune was lost
+    second = worker()  # a restart goes on from the checkpoint
+    assert second.run_once() == 4 and second.run_once() == 0 and log.rows().count() == 0 and second.meters.get("outbox_pending") == 0
+    assert {r["id"]: (r["deleted"], r["source_seq"]) for r in store.read("grade").collect()} == {1: (True, 12), 3: (False, 12)}
+    assert (store.read("car") is None or store.read("car").count() == 0) and store.manifest()["position"] == 12
+
+
+def test_the_loop_rests_only_when_nothing_waits_and_backs_off():
+    class Fake:
+        meters = Meters()
+        results = iter([5, 5, 0, OSError("down"), OSError("down"), 3, 0])
+
+        def run_once(self):
+            x = next(self.results)
+            if isinstance(x, Exception):
+                raise x
+            self.meters.cycle()
+            return x
+
+    fake, waits, turns = Fake(), [], iter([True] * 7 + [False])
+    run(fake, lambda: next(turns), sleep=waits.append)
+    assert waits == [0.2, 0.4, 0.8, 0.2]
+
+
 def test_mass_failure_halts_and_commits_nothing(spark, store):
     bad = spark.createDataFrame([(event("grade", "u", i, {"id": "x"}),) for i in range(3)] + [(event("grade", "u", 9, {"id": "1", "code": "A", "name": "a", "discount_rate": "1.50", "created_at": "2024-01-01T00:00:00Z"}),)], "value string")
     with pytest.raises(Halted):
@@ -141,7 +272,29 @@ def test_retry_waits_twice_as_long_each_time():
 
 
 def test_small_rules(spark):
-    assert poll_wait(0) == 0.2 and poll_wait(20) == 12.8 and healthy(2, 60) and not healthy(3, 0) and not healthy(0, 61)
+    assert poll_wait(0) == 0.2 and poll_wait(20) == 12.8
+    now = [0.0]
+    m = Meters(lambda: now[0])
+    m.failed("x"), m.failed("x")
+    assert m.healthy() and m.get("capture_gap") == 0.0
+    m.failed("Halted", halted=True)
+    assert not m.healthy() and m.get("halts_total", reason="Halted") == 1
+    m.cycle()
+    now[0] = 61
+    assert not m.healthy()
+    m.time("lag_seconds", 2.0, table="car"), m.time("lag_seconds", 1.0, table="car")
+    got = {(r["metric"], r["labels"].get("table")): r["value"] for r in m.samples(spark).collect()}
+    assert got["lag_seconds_count", "car"] == 2 and got["lag_seconds_sum", "car"] == 3 and got["lag_seconds_max", "car"] == 2
+    readings = iter([61.4, None])
+
+    def read():
+        x = next(readings)
+        if x is None:
+            raise OSError("down")
+        return x
+
+    probe = SkewProbe(read, m, lambda: now[0])
+    assert probe() == pytest.approx(0.4) and probe() == pytest.approx(0.4) and m.get("skew_probe_errors_total") == 1
     assert not quarantine.must_halt(1, 2) and quarantine.must_halt(2, 3) and not quarantine.must_halt(1, 1, least=2)
     with pytest.raises(Exception) as e:
         spark.sql("select * from no_such_table").collect()

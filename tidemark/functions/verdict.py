@@ -10,37 +10,43 @@ RETRY_STATES = ("40001", "40P01", "55P03")
 RETRY_CLASSES = ("08", "53", "57")
 DATA_CLASSES = ("22", "23")
 HALT_CLASSES = ("28", "3D", "3F", "42")
+#: A state's beginning decides; no two of these begin alike.
+BY_BEGINNING = (("RETRY", RETRY_STATES + RETRY_CLASSES), ("DEAD_LETTER", DATA_CLASSES), ("HALT", HALT_CLASSES))
+DATA_ERRORS = (ValueError, ArithmeticError, KeyError)
 
 
 def verdict(state: Column, is_data_error: Column | None = None) -> Column:
-    """RETRY, DEAD_LETTER or HALT; data errors without a state are dead letters, anything else is retried."""
-    head = F.substring(state, 1, 2)
-    out = (
-        F.when(state.isin(*RETRY_STATES) | head.isin(*RETRY_CLASSES), "RETRY")
-        .when(head.isin(*DATA_CLASSES), "DEAD_LETTER")
-        .when(head.isin(*HALT_CLASSES), "HALT")
-    )
+    """RETRY, DEAD_LETTER or HALT; data errors without a listed state are dead letters, anything else is retried."""
+    out = None
+    for what, beginnings in BY_BEGINNING:
+        hit = state.rlike(f"^(?:{'|'.join(beginnings)})")
+        out = F.when(hit, what) if out is None else out.when(hit, what)
     if is_data_error is not None:
         out = out.when(is_data_error, "DEAD_LETTER")
     return out.otherwise("RETRY")
 
 
-def verdict_of(error: BaseException) -> str:
-    """The verdict on an exception: the first SQLSTATE along its causes decides."""
+def _causes(error: BaseException):
     seen: BaseException | None = error
     while seen is not None:
-        get = getattr(seen, "getSqlState", None)
+        yield seen
+        seen = seen.__cause__ or seen.__context__
+
+
+def verdict_of(error: BaseException) -> str:
+    """The verdict on an exception: its own, else that of the first SQLSTATE among its causes, else by kind."""
+    for e in _causes(error):
+        own = getattr(e, "verdict", None)
+        if own:
+            return own
+        get = getattr(e, "getSqlState", None)
         state = get() if callable(get) else None
         if state:
-            if state in RETRY_STATES or state[:2] in RETRY_CLASSES:
-                return "RETRY"
-            if state[:2] in DATA_CLASSES:
-                return "DEAD_LETTER"
-            return "HALT" if state[:2] in HALT_CLASSES else "RETRY"
-        if isinstance(seen, (ValueError, ArithmeticError, KeyError)):
-            return "DEAD_LETTER"
-        seen = seen.__cause__ or seen.__context__
-    return "RETRY"
+            listed = [what for what, beginnings in BY_BEGINNING if state.startswith(beginnings)]
+            if listed:
+                return listed[0]
+            break
+    return "DEAD_LETTER" if any(isinstance(e, DATA_ERRORS) for e in _causes(error)) else "RETRY"
 
 
 def clipped(text: Column, most: int = 4000) -> Column:

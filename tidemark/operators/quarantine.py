@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.verdict import clipped
 
@@ -22,13 +23,29 @@ def from_payload(letters: DataFrame) -> DataFrame:
     return out.withColumn("restored", F.col("table").isNotNull() & F.col("op_").isNotNull() & F.col("lsn").isNotNull())
 
 
+def numbered(bad: DataFrame, base: int = 0) -> DataFrame:
+    """bad with letter ids that rise with arrival from base + 1, none used twice.
+
+    Arrival numbers hold the partition read in their upper bits (as monotonically_increasing_id gives them):
+    rows are ranked inside it, and only one count a partition is summed up on the driver.
+    """
+    part = F.shiftright("arrival", 33)
+    counts = sorted(tuple(r) for r in bad.groupBy(part.alias("p")).count().collect())
+    start, upto = {}, base
+    for p, n in counts:
+        start[p], upto = upto, upto + n
+    offset = F.element_at(F.create_map(*[F.lit(x) for p in start for x in (p, start[p])]), part) if start else F.lit(base)
+    rank = F.row_number().over(Window.partitionBy(part).orderBy("arrival"))
+    return bad.withColumn("letter", (offset + rank).cast("bigint"))
+
+
 def dead_letters(bad: DataFrame, pipeline: str, now: str) -> DataFrame:
-    """Rows of the quarantine for events with a fault (or raw text that is no event)."""
+    """Rows of the quarantine for events with a fault (or raw text that is no event); their ids are in ``letter``."""
     broken = F.col("broken") if "broken" in bad.columns else F.lit(False)
     raw = F.col("raw") if "raw" in bad.columns else F.lit(None).cast("string")
     at = F.lit(now).cast("timestamp")
     return bad.select(
-        F.xxhash64(F.coalesce("table", F.lit("")), "lsn", F.coalesce(raw, to_payload())).alias("id"), F.lit(pipeline).alias("pipeline"),
+        F.col("letter").alias("id"), F.lit(pipeline).alias("pipeline"),
         F.when(broken, "unknown").otherwise(F.col("table")).alias("source_table"), F.when(broken, "unknown").otherwise(F.col("op")).alias("op"),
         F.when(broken, 0).otherwise(F.col("lsn")).cast("bigint").alias("source_lsn"), F.when(broken, clipped(raw)).otherwise(to_payload()).alias("payload"),
         F.when(broken, "unparsable").otherwise(F.lit("data")).alias("failure_type"), F.lit("22018").alias("failure_sql_state"), clipped(F.coalesce("fault", F.lit("broken json"))).alias("failure_message"),
@@ -42,13 +59,13 @@ def must_halt(failed: int, total: int, ratio: float = 0.5, least: int = 1) -> bo
 
 
 def claim(letters: DataFrame, most: int) -> DataFrame:
-    """The oldest letters that somebody asked to be tried again; pending ones are never taken."""
+    """The oldest letters that somebody asked to be tried again, as ids rise with arrival; pending ones are never taken."""
     return letters.filter("status = 'RETRY_REQUESTED'").orderBy("id").limit(most)
 
 
 def settled(letters: DataFrame, done: DataFrame, failed: DataFrame, now: str) -> DataFrame:
     """Letters after a round: done ones resolved, failed ones pending again with one more attempt."""
-    d, f = done.select(F.col("id").alias("_d")), failed.select(F.col("id").alias("_f"))
+    d, f = done.select(F.col("id").alias("_d")).distinct(), failed.select(F.col("id").alias("_f")).distinct()
     out = letters.join(d, F.col("id") == F.col("_d"), "left").join(f, F.col("id") == F.col("_f"), "left")
     hit = F.col("_d").isNotNull() | F.col("_f").isNotNull()
     out = (

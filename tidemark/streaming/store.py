@@ -1,16 +1,25 @@
 """Versioned tables under one manifest: the commit of a batch is one rename.
 
-A batch writes new versions of the tables it touches, its audit rows and its dead letters, and then
-replaces the manifest, which names the version of each table and the position applied. A batch that is
-committed already is skipped when it is replayed. Renames go through Hadoop's file system, so any store
-with an atomic rename will do.
+A batch writes new versions of what it touches, its audit rows and its dead letters, and then replaces the
+manifest, which names the files of each table and the position applied. A table may be kept in buckets by a
+hash of its key; a batch then writes only the buckets that hold its keys. A batch that is committed already
+is skipped when it is replayed. Renames go through Hadoop's file system, so any store with an atomic rename
+will do.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKET = "_bucket"
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket a key is kept in."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
 class Store:
@@ -22,36 +31,58 @@ class Store:
         self._fs.mkdirs(self._path(self.root))
 
     def manifest(self) -> dict:
-        """{versions: table -> path list, position, batch}."""
+        """{versions: table -> paths (by bucket, or a list), position, batch, marks}."""
         p = self._path(f"{self.root}/manifest.json")
         if not self._fs.exists(p):
-            return {"versions": {}, "position": None, "batch": -1}
+            return {"versions": {}, "position": None, "batch": -1, "marks": {}}
         stream = self._fs.open(p)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def read(self, table: str, schema=None) -> DataFrame | None:
-        paths = self.manifest()["versions"].get(table)
+    def paths(self, table: str, buckets: list[int] | None = None) -> list[str]:
+        """The files of a table, or of some of its buckets."""
+        kept = self.manifest()["versions"].get(table, [])
+        if isinstance(kept, dict):
+            return [p for b, p in sorted(kept.items()) if buckets is None or int(b) in buckets]
+        return kept
+
+    def read(self, table: str, schema=None, buckets: list[int] | None = None) -> DataFrame | None:
+        """A table, or some of its buckets; without rows None, or an empty table of the schema."""
+        paths = self.paths(table, buckets)
         if paths:
             return self.spark.read.parquet(*paths)
         return self.spark.createDataFrame([], schema) if schema is not None else None
 
-    def commit(self, batch: int, position: int | None, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> bool:
-        """Write a batch's tables and make it the present; False if it was committed before."""
+    def commit(self, batch: int, position: int | None, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, touched: dict[str, list[int]] | None = None, marks: dict | None = None) -> bool:
+        """Write a batch's tables and make it the present; False if it was committed before.
+
+        A replaced table with a list of touched buckets has a column ``_bucket`` and takes the place of those
+        buckets alone; without one it takes the place of the whole table.
+        """
         now = self.manifest()
         if batch <= now["batch"]:
             return False
         versions = dict(now["versions"])
-        for kind, tables in (("r", replace or {}), ("a", append or {})):
-            for name, df in tables.items():
-                path = f"{self.root}/{name}/{kind}-{batch}"
+        for name, df in (replace or {}).items():
+            path = f"{self.root}/{name}/r-{batch}"
+            if touched is not None and name in touched:
+                df.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+                old = versions.get(name, {})
+                kept = {b: p for b, p in (old if isinstance(old, dict) else {}).items() if int(b) not in touched[name]}
+                made = [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
+                versions[name] = kept | {m.split("=")[1]: f"{path}/{m}" for m in made if m.startswith(f"{BUCKET}=")}
+            else:
                 df.write.mode("overwrite").parquet(path)
-                versions[name] = [path] if kind == "r" else [*versions.get(name, []), path]
+                versions[name] = [path]
+        for name, df in (append or {}).items():
+            path = f"{self.root}/{name}/a-{batch}"
+            df.write.mode("overwrite").parquet(path)
+            versions[name] = [*versions.get(name, []), path]
         old = now["position"]
         position = old if position is None else position if old is None else max(old, position)
-        text = json.dumps({"versions": versions, "position": position, "batch": batch})
+        text = json.dumps({"versions": versions, "position": position, "batch": batch, "marks": now.get("marks", {}) | (marks or {})})
         fresh, final = self._path(f"{self.root}/manifest.{batch}.tmp"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(text.encode()))
@@ -63,16 +94,24 @@ class Store:
         context.rename(fresh, final, array)
         return True
 
+    def compact(self, table: str, most: int = 32) -> bool:
+        """Rewrite a table that batches append to as one version, once it has more than so many; then the list starts anew."""
+        paths = self.paths(table)
+        if len(paths) <= most:
+            return False
+        return self.commit(self.manifest()["batch"] + 1, None, {table: self.read(table)})
+
     def prune(self, keep: int = 2) -> list[str]:
-        """Remove replaced versions but the newest few of each table; returns what went."""
-        live = {p for paths in self.manifest()["versions"].values() for p in paths}
+        """Remove versions that the present does not use, but the newest few of each table; returns what went."""
+        live = {p.removeprefix("file:") for kept in self.manifest()["versions"].values() for p in (kept.values() if isinstance(kept, dict) else kept)}
         gone = []
         for status in self._fs.listStatus(self._path(self.root)):
             if not status.isDirectory():
                 continue
-            found = sorted((s.getPath().toString() for s in self._fs.listStatus(status.getPath()) if s.getPath().getName().startswith("r-")), key=lambda p: int(p.rsplit("-", 1)[1]))
+            found = sorted((s.getPath().toString() for s in self._fs.listStatus(status.getPath()) if s.getPath().getName()[:2] in ("r-", "a-")), key=lambda p: int(p.rsplit("-", 1)[1]))
             for p in found[: max(0, len(found) - keep)]:
-                if not any(p.endswith(x.removeprefix("file:")) for x in live):
+                plain = p.removeprefix("file:").replace("///", "/")
+                if not any(x.replace("///", "/") == plain or x.replace("///", "/").startswith(plain + "/") for x in live):
                     self._fs.delete(self._path(p), True)
                     gone.append(p)
         return gone
