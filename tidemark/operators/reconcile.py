@@ -32,11 +32,29 @@ def ordered_checksum(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 
 def bucket_checksums(df: DataFrame, columns: list[str], key: str, buckets: int = 64) -> DataFrame:
     """Order-free checksums of key buckets: sums of row hashes, aggregated map-side at any size."""
-    part = F.pmod(F.xxhash64(key), F.lit(buckets))
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("bigint") % buckets
     line = F.conv(F.substring(F.md5(row_text(columns)), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.select(part.alias("bucket"), line.alias("h")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("checksum"))
 
 
+def both_sides(pairs: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
+    """(table_name, source_rows, target_rows, verdict) of tables on both sides: rows, values, or equal.
+
+    Columns are named by each table, its key first. Counts decide before checksums, which are joined by table.
+    """
+    def sums(side: int) -> DataFrame:
+        out = None
+        for name, pair in sorted(pairs.items()):
+            one = ordered_checksum(live(pair[side]), pair[2], pair[2][0]).withColumn("table_name", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    a = sums(0).select("table_name", F.col("n").alias("source_rows"), F.col("checksum").alias("_s"))
+    b = sums(1).select("table_name", F.col("n").alias("target_rows"), F.col("checksum").alias("_t"))
+    verdict = F.when(F.col("source_rows") != F.col("target_rows"), "rows").when(F.col("_s") != F.col("_t"), "values").otherwise("equal")
+    return a.join(b, "table_name").select("table_name", "source_rows", "target_rows", verdict.alias("verdict"))
+
+
 def totals(df: DataFrame, when: str, amount: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.max(when).alias("latest"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("amount"))
 

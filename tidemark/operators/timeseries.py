@@ -39,6 +39,15 @@ def rate(samples: DataFrame, labels: list[str], seconds: int, ts: str = "ts") ->
     return increase(samples, labels, seconds, ts).withColumn("rate", F.col("increase") / seconds)
 
 
+def rate_ratio(over: DataFrame, under: DataFrame, labels: list[str], seconds: int, least: float | None = None, ts: str = "ts") -> DataFrame:
+    """Rate of one counter over the rate of another at equal times: where that is 0 no row, or with ``least`` no smaller divisor."""
+    a = rate(over, labels, seconds, ts).select(*labels, ts, F.col("rate").alias("_a"))
+    b = rate(under, labels, seconds, ts).select(*labels, ts, F.col("rate").alias("_b"))
+    both = a.join(b, [*labels, ts])
+    both = both.filter("_b > 0") if least is None else both.withColumn("_b", F.greatest("_b", F.lit(least)))
+    return both.withColumn("ratio", F.col("_a") / F.col("_b")).drop("_a", "_b")
+
+
 def delta(samples: DataFrame, labels: list[str], seconds: int, ts: str = "ts") -> DataFrame:
     """Last minus first value of the window, for gauges."""
     rows = samples.withColumn("_t", _clock(ts))
@@ -52,41 +61,60 @@ def changes(samples: DataFrame, labels: list[str], seconds: int, ts: str = "ts")
     return rows.withColumn("changes", F.sum("_c").over(w) - F.first("_c").over(w)).drop("_prev", "_t", "_c")
 
 
-def rolling_max(samples: DataFrame, labels: list[str], slot: int, ts: str = "ts") -> DataFrame:
-    """Per slot of that many seconds since the series' first sample: the greater of its own and the slot before's maximum.
+def _slots(samples: DataFrame, labels: list[str], slot: int, ts: str) -> DataFrame:
+    """(labels, start, before, top): slots of a series, the start of the one before, and what was observed in each.
 
-    A slot without samples has no row; after one, the maximum starts anew.
+    A slot starts at the first sample of the series that is ``slot`` seconds or more past the start of the one
+    before. That can only be told in order: the times of a series (eight bytes each) are gone through in one
+    place, the samples themselves are not moved there.
     """
-    t = _clock(ts)
-    first = F.min(t).over(Window.partitionBy(*labels))
-    place = F.floor((t - first) / (slot * 1_000_000)).cast("bigint")
-    slots = samples.withColumn("slot", place).groupBy(*labels, "slot").agg(F.max("value").alias("top"))
-    w = Window.partitionBy(*labels).orderBy("slot")
-    near = F.lag("slot").over(w) == F.col("slot") - 1
-    return slots.withColumn("rolling_max", F.greatest("top", F.when(near, F.lag("top").over(w))))
+    width = slot * 1_000_000
+    times = samples.select(*labels, _clock(ts).alias("_t")).groupBy(*labels).agg(F.sort_array(F.collect_set("_t")).alias("_times"))
+
+    def step(starts, t):
+        return F.when((F.size(starts) == 0) | (t - F.element_at(starts, -1) >= width), F.concat(starts, F.array(t))).otherwise(starts)
+
+    starts = times.select(*labels, F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), step)).alias("_start"))
+    by = Window.partitionBy(*labels).orderBy("_t", "_kind")
+    marked = starts.select(*labels, F.col("_start").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("value"))
+    both = marked.unionByName(samples.select(*labels, _clock(ts).alias("_t"), F.lit(1).alias("_kind"), F.col("value").cast("double").alias("value")))
+    both = both.withColumn("start", F.last(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(by))
+    out = both.groupBy(*labels, "start").agg(F.max("value").alias("top"))
+    return out.withColumn("before", F.lag("start").over(Window.partitionBy(*labels).orderBy("start")))
+
+
+def rolling_max(samples: DataFrame, labels: list[str], slot: int, ts: str = "ts") -> DataFrame:
+    """Per slot (see above): the greater of its own maximum and, unless that began two slots' time ago, of the one before."""
+    slots = _slots(samples, labels, slot, ts)
+    near = F.col("start") - F.col("before") < 2 * slot * 1_000_000
+    value = F.greatest("top", F.when(near, F.lag("top").over(Window.partitionBy(*labels).orderBy("start"))))
+    return slots.select(*labels, "start", "top", value.alias("rolling_max"))
 
 
 def rolling_max_at(samples: DataFrame, labels: list[str], slot: int, now: str, ts: str = "ts") -> DataFrame:
-    """The rolling maximum as read at an instant: 0 once two slots have passed without a sample."""
-    start = samples.groupBy(*labels).agg(F.min(_clock(ts)).alias("_first")).withColumn("_now", F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.col("_first")) / (slot * 1_000_000)).cast("bigint"))
-    slots = rolling_max(samples, labels, slot, ts)
-    joined = start.join(slots, labels)
-    value = F.max(F.when(F.col("slot").between(F.col("_now") - 1, F.col("_now")), F.col("top")))
-    return joined.groupBy(*labels).agg(F.coalesce(value, F.lit(0.0)).alias("rolling_max"))
+    """The rolling maximum of each series as read at an instant: it fades once a slot has passed, and is 0 after two."""
+    at, width = F.unix_micros(F.lit(now).cast("timestamp")), slot * 1_000_000
+    past = samples.filter(_clock(ts) <= at)
+    last = rolling_max(past, labels, slot, ts).groupBy(*labels).agg(F.max_by(F.struct("start", "top", "rolling_max"), "start").alias("l"))
+    age = at - F.col("l.start")
+    value = F.when(age >= 2 * width, 0.0).when(age >= width, F.col("l.top")).otherwise(F.col("l.rolling_max"))
+    every = samples.select(*labels).distinct()
+    return every.join(last.select(*labels, value.alias("rolling_max")), labels, "left").withColumn("rolling_max", F.coalesce("rolling_max", F.lit(0.0)))
 
 
-def held_for(rows: DataFrame, labels: list[str], condition: Column, seconds: int, every: int, ts: str = "ts") -> DataFrame:
-    """Runs of samples, no more than ``every`` seconds apart, on which the condition holds for that long.
+def held_for(rows: DataFrame, labels: list[str], condition: Column, seconds: int | Column, every: int, ts: str = "ts") -> DataFrame:
+    """Runs of samples, no more than ``every`` seconds apart, on which the condition holds for that long (a column may say).
 
     One row a run: when it began, when it had held long enough and when it ended.
     """
     by = Window.partitionBy(*labels).orderBy("_t")
-    rows = rows.withColumn("_t", _clock(ts)).withColumn("_ok", F.coalesce(condition, F.lit(False)))
+    least = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    rows = rows.withColumn("_t", _clock(ts)).withColumn("_ok", F.coalesce(condition, F.lit(False))).withColumn("_least", least)
     apart = (F.col("_t") - F.lag("_t").over(by)) > every * 1_000_000
     new = ~F.col("_ok") | ~F.coalesce(F.lag("_ok").over(by), F.lit(False)) | F.coalesce(apart, F.lit(True))
     rows = rows.withColumn("_run", F.sum(new.cast("int")).over(by)).filter("_ok")
-    out = rows.groupBy(*labels, "_run").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.min("_t").alias("_a"), F.max("_t").alias("_b"))
-    return out.filter(F.col("_b") - F.col("_a") >= seconds * 1_000_000).drop("_run", "_a", "_b")
+    out = rows.groupBy(*labels, "_run").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.max(F.col("_least").cast("bigint")).alias("_least"))
+    return out.filter(F.col("_b") - F.col("_a") >= F.col("_least") * 1_000_000).drop("_run", "_a", "_b", "_least")
 
 
 def gate(a: DataFrame, b: DataFrame) -> DataFrame:

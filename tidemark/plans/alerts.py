@@ -26,19 +26,21 @@ class Rule:
     make: str = "value"
     window: int = 0
     minus: str | None = None
+    total: bool = False
     gate: Rule | None = None
 
 
+# fixed values: what is compared, with which limit, and for how many seconds
 LAG_TRUSTED = Rule("clock", "clock_skew_seconds", "abs(value) <= 0.5")
 LAG_UNTRUSTED = Rule("clock", "clock_skew_seconds", "abs(value) > 0.5")
-FLOWING = Rule("flow", "events_total", "value > 0", make="increase", window=900)
-IDLE = Rule("idle", "events_total", "value / 900 < 0.01", make="increase", window=900)
+FLOWING = Rule("flow", "events_total", "value / 900 > 0", make="increase", window=900, total=True)
+IDLE = Rule("idle", "events_total", "value / 1800 < 0.01", make="increase", window=1800, total=True)
 
 RULES = (
     Rule("service_down", "up", "value = 0", 60),
-    Rule("restarts", "start_time", "value > 3", make="changes", window=900),
+    Rule("restarts", "start_time", "value > 3", 60, make="changes", window=900),
     Rule("capture_gap", "capture_gap", "value = 1", 60),
-    Rule("checkpoint_behind_slot", "checkpoint_lsn", "value < 0", minus="slot_restart_lsn"),
+    Rule("checkpoint_behind_slot", "checkpoint_lsn", "value < 0", 60, minus="slot_restart_lsn"),
     Rule("halts", "halts_total", "value > 0", make="increase", window=600),
     Rule("slot_inactive", "slot_active", "value = 0", 120),
     Rule("wal_unreserved", "wal_status", "value >= 2", 60),
@@ -48,64 +50,118 @@ RULES = (
     Rule("lag_over_goal", "lag_max_seconds", "value > 5", 120, gate=LAG_TRUSTED),
     Rule("lag_unverifiable", "lag_max_seconds", "value > 5", 120, gate=LAG_UNTRUSTED),
     Rule("clock_skew", "clock_skew_seconds", "abs(value) > 0.5", 300),
-    Rule("db_clock_skew", "db_epoch", "abs(value) > 0.5", make="since"),
+    Rule("db_clock_skew", "db_epoch", "abs(value) > 0.5", 300, make="since"),
     Rule("dead_letters", "dlq_pending", "value > 0", 300),
     Rule("orphans", "orphan_rows", "value > 0", 600),
-    Rule("slot_stuck", "slot_confirmed_lsn", "value <= 0", make="delta", window=900, gate=FLOWING),
+    Rule("slot_stuck", "slot_confirmed_lsn", "value = 0", 900, make="increase", window=900, gate=FLOWING),
     Rule("checkpoint_ahead", "checkpoint_lsn", f"value > {1024 * MIB}", 600, minus="slot_confirmed_lsn"),
-    Rule("idle_stuck", "slot_confirmed_lsn", "value <= 0", make="delta", window=1800, gate=IDLE),
+    Rule("idle_stuck", "slot_confirmed_lsn", "value = 0", 1800, make="increase", window=1800, gate=IDLE),
 )
+#: Seconds a metric must be absent, free disk must be short, and row counts must differ.
+ABSENT_HOLD, DISK_HOLD, MISMATCH_HOLD = 60, 300, 600
 
 
-def values(metrics: DataFrame, rule: Rule) -> DataFrame:
-    """(series, ts, value) that a rule compares."""
+def series_of(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """(metric, series, ts, value): labels as one comparable text."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
+    return metrics.filter(F.col("metric").isin(*names)).select("metric", text.alias("series"), "ts", "value")
+
+
+def values(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(series, ts, value) that a rule compares, from rows of series_of."""
     def of(name: str) -> DataFrame:
-        return metrics.filter(F.col("metric") == name).select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels")))).alias("series"), "ts", "value")
+        return rows.filter(F.col("metric") == name).select("series", "ts", "value")
 
-    rows = of(rule.metric)
+    out = of(rule.metric)
     if rule.minus:  # both sides without labels, at equal times
-        top = rows.groupBy("ts").agg(F.max("value").alias("value"))
-        rows = top.join(of(rule.minus).groupBy("ts").agg(F.max("value").alias("less")), "ts").select(F.lit("{}").alias("series"), "ts", (F.col("value") - F.col("less")).alias("value"))
+        top = out.groupBy("ts").agg(F.max("value").alias("value"))
+        out = top.join(of(rule.minus).groupBy("ts").agg(F.max("value").alias("less")), "ts").select(F.lit("{}").alias("series"), "ts", (F.col("value") - F.col("less")).alias("value"))
     if rule.make == "increase":
-        rows = S.increase(rows, ["series"], rule.window).select("series", "ts", F.col("increase").alias("value"))
+        out = S.increase(out, ["series"], rule.window).select("series", "ts", F.col("increase").alias("value"))
     elif rule.make == "changes":
-        rows = S.changes(rows, ["series"], rule.window).select("series", "ts", F.col("changes").cast("double").alias("value"))
-    elif rule.make == "delta":
-        rows = S.delta(rows, ["series"], rule.window).select("series", "ts", F.col("delta").alias("value"))
+        out = S.changes(out, ["series"], rule.window).select("series", "ts", F.col("changes").cast("double").alias("value"))
     elif rule.make == "since":
-        rows = rows.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return rows
+        out = out.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    if rule.total:
+        out = out.groupBy("ts").agg(F.sum("value").alias("value")).select(F.lit("{}").alias("series"), "ts", "value")
+    return out
 
 
-def fired(metrics: DataFrame, rule: Rule, every: int = 60) -> DataFrame:
-    """(alert, series, began, ended) of the times a rule fired, for samples at most that many seconds apart."""
-    rows = values(metrics, rule).withColumn("ok", F.expr(rule.test))
-    if rule.gate:
-        open_at = values(metrics, rule.gate).filter(F.expr(rule.gate.test)).select(F.col("ts").alias("_at")).distinct()
-        rows = rows.join(open_at, rows["ts"] == open_at["_at"], "left").withColumn("ok", F.col("ok") & F.col("_at").isNotNull()).drop("_at")
-    out = S.held_for(rows, ["series"], F.col("ok"), rule.hold, every)
-    return out.select(F.lit(rule.name).alias("alert"), "series", "began", "ended")
+def _key(rule: Rule) -> tuple:
+    return (rule.metric, rule.make, rule.window, rule.minus, rule.total)
 
 
 def all_fired(metrics: DataFrame, rules=RULES, every: int = 60) -> DataFrame:
+    """(alert, series, began, ended) of the times rules fired, for samples at most ``every`` seconds apart.
+
+    What rules compare is made once for each thing compared, however many rules and gates use it; the rules
+    themselves are rows that are joined to it, and one window over all of them tells how long they held.
+    """
+    gates = [r.gate for r in rules if r.gate]
+    names = sorted({n for r in [*rules, *gates] for n in (r.metric, r.minus) if n})
+    rows = series_of(metrics, names)
+    made = {}
+    for r in [*rules, *gates]:
+        made.setdefault(_key(r), values(rows, r))
     out = None
-    for r in rules:
-        one = fired(metrics, r, every)
+    for key, found in made.items():
+        mine = [r for r in rules if _key(r) == key]
+        if not mine:
+            continue
+        told = F.explode(F.array(*[F.struct(F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{_key(r.gate)} {r.gate.test}").alias("gate"), F.coalesce(F.expr(r.test), F.lit(False)).alias("ok")) for r in mine]))
+        one = found.select("series", "ts", told.alias("r")).select("r.*", "series", "ts")
         out = one if out is None else out.unionByName(one)
-    return out
+    opened = None
+    for g in {f"{_key(g)} {g.test}": g for g in gates}.items():
+        one = made[_key(g[1])].filter(F.expr(g[1].test)).select(F.lit(g[0]).alias("_gate"), F.col("ts").alias("_at")).distinct()
+        opened = one if opened is None else opened.unionByName(one)
+    if opened is not None:
+        out = out.join(opened, (F.col("gate") == F.col("_gate")) & (F.col("ts") == F.col("_at")), "left")
+        out = out.withColumn("ok", F.col("ok") & (F.col("gate").isNull() | F.col("_at").isNotNull())).drop("_gate", "_at")
+    return S.held_for(out.drop("gate"), ["alert", "series"], F.col("ok"), F.col("hold"), every)
+
+
+def fired(metrics: DataFrame, rule: Rule, every: int = 60) -> DataFrame:
+    """(alert, series, began, ended) of the times one rule fired."""
+    return all_fired(metrics, (rule,), every)
 
 
-def absent_metric(metrics: DataFrame, name: str) -> DataFrame:
-    return S.absent(metrics.filter(F.col("metric") == name)).select(F.lit(f"absent_{name}").alias("alert"))
+def absent_metric(metrics: DataFrame, name: str, hold: int = ABSENT_HOLD, every: int = 60) -> DataFrame:
+    """(alert, began, ended) of the times at which others were sampled and this metric was not, for as long as that."""
+    at = metrics.groupBy("ts").agg(F.count_if(F.col("metric") == name).alias("n")).withColumn("alert", F.lit(f"absent_{name}"))
+    return S.held_for(at, ["alert"], F.col("n") == 0, hold, every)
 
 
 def disk_runs_out(metrics: DataFrame, available: str = "disk_available_bytes", written: str = "wal_bytes_total", window: int = 600, least: int = 3600) -> DataFrame:
-    """(ts, seconds_left) where the free disk lasts less than ``least`` seconds at the present rate of log."""
+    """(ts, seconds_left, short): how long the free disk lasts at the present rate of log."""
     free = metrics.filter(F.col("metric") == available).groupBy("ts").agg(F.max("value").alias("free"))
     log = metrics.filter(F.col("metric") == written).select(F.lit("").alias("series"), "ts", "value")
     speed = S.rate(log, ["series"], window).groupBy("ts").agg(F.max("rate").alias("speed"))
     left = F.col("free") / F.greatest(F.col("speed"), F.lit(1.0))
-    return free.join(speed, "ts").select("ts", left.alias("seconds_left")).filter(F.col("seconds_left") < least)
+    return free.join(speed, "ts").select("ts", left.alias("seconds_left"), (left < least).alias("short"))
+
+
+def disk_alert(metrics: DataFrame, hold: int = DISK_HOLD, every: int = 60, **options) -> DataFrame:
+    """(alert, began, ended) of the times the disk was short for as long as that."""
+    return S.held_for(disk_runs_out(metrics, **options).withColumn("alert", F.lit("disk")), ["alert"], F.col("short"), hold, every)
+
+
+def row_drift(metrics: DataFrame, source: str = "source_rows", target: str = "target_rows", letters: str = "dlq_rows") -> DataFrame:
+    """(table_name, ts, value): by how much row counts differ beyond the pending letters.
+
+    A table without letters has none; one that either side does not count at a time has no row for it.
+    """
+    label = F.try_element_at("labels", F.lit("table_name"))
+    pending = (F.col("metric") != letters) | (F.try_element_at("labels", F.lit("status")) == "PENDING")
+    rows = metrics.filter(F.col("metric").isin(source, target, letters) & pending)
+    sums = rows.groupBy(label.alias("table_name"), "ts").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((source, "s"), (target, "t"), (letters, "l"))])
+    return sums.filter("s is not null and t is not null").select("table_name", "ts", (F.abs(F.col("s") - F.col("t")) - F.coalesce("l", F.lit(0.0))).alias("value"))
+
+
+def reconcile_mismatch(metrics: DataFrame, hold: int = MISMATCH_HOLD, every: int = 60) -> DataFrame:
+    """(alert, table_name, began, ended) of the times row counts differed unexplained for as long as that."""
+    drift = row_drift(metrics).withColumn("alert", F.lit("reconcile_mismatch"))
+    return S.held_for(drift, ["alert", "table_name"], F.col("value") != 0, hold, every)
 
 
 def recorded(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:

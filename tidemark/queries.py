@@ -6,6 +6,8 @@ tables by key, sign-ups create, errors delete, anything else updates. Times are
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from tidemark.plans import alerts
 from tidemark.schemas import SPECS
 from tidemark.sources import changes
 from tidemark.streaming import metrics as stream_metrics
+from tidemark.streaming import outbox
+from tidemark.streaming.store import Store
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -289,9 +293,48 @@ def bulk_update_expressions(spark, d):
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1).alias("point"), (price * F.lit("1.01").cast("decimal(3,2)")).cast("decimal(12,2)").alias("price"), toggled.cast("decimal(10,2)").alias("toggled"))
 
 
-@query("select count(*) as n from log where seq > 4000")
+@query("select seq, table_name, row_id, op from log where seq > 4000")
 def outbox_prune(spark, d):
-    return log(spark, d).filter("seq > 4000").agg(F.count(F.lit(1)).alias("n"))
+    """The log as it is after pruning up to a position that is applied, once more than needed."""
+    log_ = outbox.Outbox(scratch(spark))
+    log_.append(log(spark, d))
+    log_.prune(4000)
+    log_.prune(1000)
+    return log_.rows().select("seq", "table_name", "row_id", "op")
+
+
+def scratch(spark: SparkSession) -> Store:
+    """A store of its own in the folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return Store(spark, f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/store-{uuid.uuid4().hex}")
+
+
+#: Present rows of the source: a member for each customer, but one in eleven is gone.
+MEMBERS_SQL = "members as (select c_custkey as id, c_name || '@example.org' as email, c_name as name, c_nationkey::bigint as grade_id from customer where c_custkey % 11 <> 0)"
+CYCLE = 4000
+
+
+def _members(spark, d):
+    c = t(spark, d, "customer").filter("c_custkey % 11 <> 0")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return c.select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("bigint").alias("grade_id"), F.lit(0).alias("point"), at.alias("created_at"), at.alias("updated_at"))
+
+
+@query(f""", {MEMBERS_SQL}, f as (select row_id, (seq - 1) // {CYCLE} as cycle, max_by(op, seq) = 'd' as gone from log where table_name = 'member' group by all),
+top as (select (seq - 1) // {CYCLE} as cycle, max(seq) as seq from log group by 1),
+w as (select f.row_id, f.gone, top.seq, m.email, m.grade_id, m.id is not null as found from f join top using (cycle) left join members m on m.id = f.row_id),
+k as (select row_id, max_by(email, seq) filter (where found and not gone) as email, max_by(grade_id, seq) filter (where found and not gone) as grade_id,
+  max(seq) filter (where found and not gone) as up, max(seq) filter (where gone) as down from w group by row_id)
+select row_id as id, email, grade_id, coalesce(down > up, false) as deleted, greatest(up, coalesce(down, 0)) as source_seq from k where up is not null""")
+def outbox_cycles(spark, d):
+    """Cycles of the outbox worker until nothing is waiting; the members it leaves."""
+    log_ = outbox.Outbox(scratch(spark))
+    log_.append(log(spark, d))
+    store = scratch(spark)
+    worker = outbox.Worker(log_, {"member": _members(spark, d)}.__getitem__, store, {"member": SPECS["member"]}, CYCLE, 4)
+    while worker.run_once():
+        pass
+    return store.read("member").select("id", "email", "grade_id", "deleted", "source_seq")
 
 
 # --- joins ------------------------------------------------------------------------------------------
@@ -416,9 +459,29 @@ def dlq_pending(spark, d):
     return _letters(spark, d).filter(F.col("status").isin("PENDING", "RETRY_REQUESTED")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f", {LETTERS_SQL} select id, source_table, status from letters where status = 'RETRY_REQUESTED' order by id limit 50")
+#: Every delete of the log as a faulty event, in order of arrival, as the stream quarantines it.
+FAULTS_SQL = "faults as (select row_number() over (order by seq) + 100 as id, seq, table_name, row_id, amount, epoch_us(changed_at) // 1000 as ms from log where op = 'd')"
+
+
+def _faults(spark, d):
+    x = changes_of(spark, d).filter("op = 'd'").withColumns({"broken": F.lit(False), "raw": F.lit(None).cast("string"), "fault": F.lit("bad:amount"), "arrival": F.col("seq")})
+    return quarantine.dead_letters(quarantine.numbered(x, 100), "main", NOW)
+
+
+@query(f", {FAULTS_SQL} select id, table_name as source_table, seq as source_lsn from faults where seq % 3 = 0 order by id limit 50")
 def dlq_claim(spark, d):
-    return quarantine.claim(_letters(spark, d), 50)
+    letters = _faults(spark, d)
+    asked = letters.withColumn("status", F.when(F.col("source_lsn") % 3 == 0, "RETRY_REQUESTED").otherwise(F.col("status")))
+    return quarantine.claim(asked, 50).select("id", "source_table", "source_lsn")
+
+
+@query(f", {FAULTS_SQL} select id, case when seq % 6 = 0 then 'RESOLVED' else 'PENDING' end as status, case when seq % 6 = 3 then 2 else 1 end::int as attempts from faults")
+def dlq_settle(spark, d):
+    letters = _faults(spark, d)
+    asked = letters.withColumn("status", F.when(F.col("source_lsn") % 3 == 0, "RETRY_REQUESTED").otherwise(F.col("status")))
+    claimed = quarantine.claim(asked, 1 << 30).select("id", "source_lsn")
+    twice = lambda df: df.unionByName(df)  # noqa: E731  an id given twice settles one letter
+    return quarantine.settled(asked, twice(claimed.filter("source_lsn % 6 = 0")), twice(claimed.filter("source_lsn % 6 <> 0")), NOW).select("id", "status", "attempts")
 
 
 @query("select count(*) as n, md5(coalesce(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || cast(o_totalprice as decimal(14,2)), ',' order by o_orderkey), '')) as checksum from orders")
@@ -427,10 +490,27 @@ def reconcile_checksum(spark, d):
     return reconcile.ordered_checksum(o, ["o_orderkey", "o_custkey", "o_orderstatus", "amount"], "o_orderkey")
 
 
-@query(None)
+LINE_SQL = "md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || cast(o_totalprice as decimal(14,2)))"
+
+
+@query(f"select ('0x' || substr(md5(o_orderkey::varchar), 1, 12))::bigint % 64 as bucket, count(*) as n, sum(('0x' || substr({LINE_SQL}, 1, 12))::bigint)::hugeint::varchar as checksum from orders group by 1")
 def reconcile_bucket_checksums(spark, d):
     o = t(spark, d, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(14,2)"))
-    return reconcile.bucket_checksums(o, ["o_orderkey", "o_custkey", "o_orderstatus", "amount"], "o_orderkey")
+    return reconcile.bucket_checksums(o, ["o_orderkey", "o_custkey", "o_orderstatus", "amount"], "o_orderkey").withColumn("checksum", F.col("checksum").cast("string"))
+
+
+@query("""with s as (select 'orders' as table_name, count(*) as n, md5(coalesce(string_agg(o_orderkey || '|' || o_orderstatus, ',' order by o_orderkey), '')) as c from orders),
+x as (select 'orders' as table_name, count(*) as n, md5(coalesce(string_agg(o_orderkey || '|' || case when o_orderkey = 7 then 'X' else o_orderstatus end, ',' order by o_orderkey), '')) as c from orders),
+cs as (select 'customer' as table_name, count(*) as n, md5(coalesce(string_agg(c_custkey || '|' || c_name, ',' order by c_custkey), '')) as c from customer),
+cx as (select 'customer' as table_name, count(*) as n, md5(coalesce(string_agg(c_custkey || '|' || c_name, ',' order by c_custkey), '')) as c from customer where c_custkey % 5 <> 0),
+b as (select s.table_name, s.n as source_rows, x.n as target_rows, s.c = x.c as same from s join x using (table_name) union all select cs.table_name, cs.n, cx.n, cs.c = cx.c from cs join cx using (table_name))
+select table_name, source_rows, target_rows, case when source_rows <> target_rows then 'rows' when not same then 'values' else 'equal' end as verdict from b""")
+def reconcile_both_sides(spark, d):
+    """Count and checksum of both sides, told apart: missing rows, or values that differ at equal counts."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    wrong = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 7, "X").otherwise(F.col("o_orderstatus")))
+    pairs = {"orders": (o, wrong, ["o_orderkey", "o_orderstatus"]), "customer": (c, c.filter("c_custkey % 5 <> 0"), ["c_custkey", "c_name"])}
+    return reconcile.both_sides(pairs)
 
 
 @query("select count(*) as n, max(o_orderdate) as latest, sum(cast(o_totalprice as decimal(18,2)))::decimal(28,2) as amount from orders", decimals="amount")
@@ -505,6 +585,31 @@ def guarded_ratio(spark, d):
     return t(spark, d, "events").groupBy((F.col("user_id") % 20).alias("job")).agg(F.round(hit / F.greatest(read, F.lit(1)), 6).alias("ratio"))
 
 
+AVG_SQL = f"""with {HOURLY_SQL}, p as (select *, sum(gauge * 2.5) over (partition by event_type, date_trunc('day', ts) order by ts rows unbounded preceding) as total, lag(counter) over w as pc from h2 window w as (partition by event_type order by ts)),
+q as (select *, lag(total) over (partition by event_type order by ts) as pt from p),
+i as (select *, case when counter >= pc then counter - pc when pc is not null then counter end as dc, case when total >= pt then total - pt when pt is not null then total end as dt from q),
+v as (select event_type, ts, sum(coalesce(dc, 0)) over x - coalesce(first(dc) over x, 0) as c, sum(coalesce(dt, 0)) over x - coalesce(first(dt) over x, 0) as s from i
+  window x as (partition by event_type order by epoch_us(ts) range between 21599999999 preceding and current row))"""
+
+
+@query(AVG_SQL + " select event_type, ts, round(s / c, 6) as lag_avg from v where c > 0")
+def lag_average_rate(spark, d):
+    """Average lag over six hours as a timer tells it: rate of its sum over rate of its count."""
+    x = hourly(spark, d)
+    day = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    total = x.withColumn("value", F.sum(F.col("gauge") * 2.5).over(day)).select("event_type", "ts", "value")
+    return S.rate_ratio(total, x.select("event_type", "ts", F.col("counter").alias("value")), ["event_type"], 21600).select("event_type", "ts", F.round("ratio", 6).alias("lag_avg"))
+
+
+@query(AVG_SQL + " select event_type, ts, round((s / 21600) / greatest(c / 21600, 0.001), 6) as ratio from v")
+def guarded_rate_ratio(spark, d):
+    """The same with the divisor held above a least value, so that quiet times give 0."""
+    x = hourly(spark, d)
+    day = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    total = x.withColumn("value", F.sum(F.col("gauge") * 2.5).over(day)).select("event_type", "ts", "value")
+    return S.rate_ratio(total, x.select("event_type", "ts", F.col("counter").alias("value")), ["event_type"], 21600, 0.001).select("event_type", "ts", F.round("ratio", 6).alias("ratio"))
+
+
 # --- windows and series -----------------------------------------------------------------------------
 
 
@@ -514,15 +619,23 @@ def lsn_monotone(spark, d):
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").isNotNull() & (F.col("seq") <= F.col("p"))).alias("wrong"))
 
 
-@query("""with b as (select user_id, epoch_us(ts) as t, value, min(epoch_us(ts)) over (partition by user_id) as f from events where user_id < 40),
-s as (select user_id, (t - f) // 21600000000 as slot, max(value) as top from b group by all)
-select user_id, slot, top, greatest(top, case when lag(slot) over w = slot - 1 then lag(top) over w end) as rolling_max from s window w as (partition by user_id order by slot)""")
+#: Slots by the sample that starts each: the first one a slot's time or more past the start before.
+SLOTS_SQL = """with recursive b as (select user_id, epoch_us(ts) as t, value from events where ts <= timestamp '{upto}'),
+s(user_id, start, before) as (select user_id, min(t), null::bigint from b group by user_id
+  union all select s.user_id, min(b.t), s.start from s join b on b.user_id = s.user_id and b.t >= s.start + {width} group by s.user_id, s.start),
+o as (select s.user_id, s.start, s.before, max(b.value) as top from s asof join b n on n.user_id = s.user_id and s.start >= n.t join b on b.user_id = s.user_id and b.t >= s.start
+  left join s z on z.user_id = s.user_id and z.before = s.start where z.start is null or b.t < z.start group by all),
+r as (select user_id, start, top, greatest(top, case when start - before < 2 * {width} then lag(top) over (partition by user_id order by start) end) as rolling_max from o)"""
+
+
+@query(SLOTS_SQL.format(upto="9999-01-01", width=21_600_000_000) + " select user_id, start, top, rolling_max from r")
 def lag_rolling_max(spark, d):
     return S.rolling_max(t(spark, d, "events"), ["user_id"], 21600)
 
 
-@query(f"""with b as (select user_id, epoch_us(ts) as t, value, min(epoch_us(ts)) over (partition by user_id) as f from events where user_id < 40)
-select user_id, coalesce(max(value) filter (where (t - f) // 86400000000 between (epoch_us(timestamp '2024-01-30 12:00:00') - f) // 86400000000 - 1 and (epoch_us(timestamp '2024-01-30 12:00:00') - f) // 86400000000), 0) as rolling_max from b group by user_id""")
+@query(SLOTS_SQL.format(upto="2024-01-30 12:00:00", width=86_400_000_000) + """, l as (select user_id, max(start) as start, max_by(top, start) as top, max_by(rolling_max, start) as rolling_max from r group by user_id)
+select e.user_id, coalesce(case when epoch_us(timestamp '2024-01-30 12:00:00') - l.start >= 2 * 86400000000 then 0 when epoch_us(timestamp '2024-01-30 12:00:00') - l.start >= 86400000000 then top else rolling_max end, 0) as rolling_max
+from (select distinct user_id from events) e left join l on l.user_id = e.user_id""")
 def rolling_max_read(spark, d):
     return S.rolling_max_at(t(spark, d, "events"), ["user_id"], 86400, "2024-01-30 12:00:00")
 
@@ -646,6 +759,7 @@ def slot_lag(spark, d):
     return log(spark, d).select("seq", lsn_lag(F.col("seq") * 100, restart).alias("lag_bytes"))
 
 
+# fixed values: states of the SQL standard
 STATES = ["40001", "40P01", "55P03", "08006", "53300", "57014", "22018", "23505", "28000", "3D000", "3F000", "42P01", "XX000"]
 
 
@@ -688,17 +802,23 @@ def like_filters(spark, d):
     return t(spark, d, "customer").filter(F.col("c_name").like("Customer#00000%") & ~F.col("c_name").like("Customer#000000%")).select("c_custkey", "c_name")
 
 
+@query(r"select p_partkey, p_brand || '_' || p_size || '%' as code from part where p_brand || '_' || p_size || '%' like '%#_1\_1%\%' escape '\'")
+def like_escaped(spark, d):
+    """Wildcards taken as they stand where they are escaped."""
+    code = F.concat("p_brand", F.lit("_"), F.col("p_size").cast("string"), F.lit("%"))
+    return t(spark, d, "part").select("p_partkey", code.alias("code")).filter(F.col("code").like(r"%#_1\_1%\%"))
+
+
 @query("select event_type, count(*) as n from events where event_type <> 'view' and regexp_full_match(event_type, 'c.*|e.*') and not regexp_full_match(event_type, '.*r') group by 1")
 def label_matchers(spark, d):
     e = t(spark, d, "events").withColumn("labels", F.create_map(F.lit("kind"), F.col("event_type")))
     return S.match_labels(e, unequal={"kind": "view"}, like={"kind": "c.*|e.*"}, unlike={"kind": ".*r"}).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query(f", {FAULTS_SQL} select id, table_name as \"table\", 'd' as op, seq as lsn, ms as source_ts_ms, amount::varchar as amount, true as restored from faults")
 def dlq_roundtrip(spark, d):
-    x = changes_of(spark, d).withColumn("broken", F.lit(False)).withColumn("raw", F.lit(None).cast("string")).withColumn("fault", F.lit("bad:amount"))
-    letters = quarantine.dead_letters(x.filter("op = 'd'"), "main", NOW)
-    return quarantine.from_payload(letters).select("table", F.col("op_").alias("op"), "lsn", "source_ts_ms", F.element_at("after", "amount").alias("amount"), "restored")
+    back = quarantine.from_payload(_faults(spark, d))
+    return back.select("id", "table", F.col("op_").alias("op"), "lsn", "source_ts_ms", F.element_at("after", "amount").alias("amount"), "restored")
 
 
 @query(""", m as (select seq, case seq % 7 when 0 then 'begin' when 1 then 'insert' when 2 then 'update' when 3 then 'delete' when 4 then 'snapshot_row' when 5 then 'commit' else 'truncate' end as kind, epoch_us(changed_at) // 1000 as ms from log)
@@ -736,7 +856,7 @@ def known_lags(spark, d):
     return stream_metrics.lags(x, NOW).select("table", F.round("lag_max", 3).alias("lag_max"))
 
 
-@query(f"select c_custkey as pipeline, date_diff('second', timestamp '2024-01-01 00:00:00' + to_seconds(c_custkey), timestamp '{NOW}')::bigint as stale from customer where c_custkey < 100")
+@query(f"select c_custkey as pipeline, date_diff('second', timestamp '2024-01-01 00:00:00' + to_seconds(c_custkey), timestamp '{NOW}')::bigint as stale from customer")
 def checkpoint_staleness(spark, d):
     at = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("c_custkey")
     return t(spark, d, "customer").select(F.col("c_custkey").alias("pipeline"), (F.unix_seconds(F.lit(NOW).cast("timestamp")) - at).alias("stale"))
@@ -772,32 +892,88 @@ def key_histories(spark, d):
     return log(spark, d).groupBy("row_id").agg(h.alias("ops")).withColumn("last_op", F.substring("ops", -1, 1))
 
 
+#: Made-up metric samples a minute over four hours: (metric, labels, value as an expression of the minute m).
+SAMPLES = (
+    ("up", "{}", "if(m between 10 and 14, 0, 1)"), ("start_time", "{}", "if(m < 100, floor(m / 3), 33)"), ("capture_gap", "{}", "if(m between 50 and 60, 1, 0)"), ("checkpoint_lsn", "{}", "m * 1000 - if(m in (30, 31, 90), 100000, 0) + if(m between 180 and 200, 2e9, 0)"),
+    ("slot_restart_lsn", "{}", "m * 900"), ("halts_total", '{"reason":"ratio"}', "if(m < 40, 0, if(m < 80, 2, 1))"), ("halts_total", '{"reason":"verdict"}', "if(m < 200, 0, 1)"), ("slot_active", "{}", "if(m between 20 and 25, 0, 1)"),
+    ("wal_status", "{}", "if(m between 70 and 73, 2, if(m = 90, 3, 0))"), ("slot_lag_bytes", "{}", "if(m between 60 and 80, 6e8, 1000) * if(m between 75 and 79, 10, 1)"), ("lag_max_seconds", '{"table":"car"}', "if(m between 30 and 40, 9, 1)"),
+    ("lag_max_seconds", '{"table":"grade"}', "if(m between 120 and 121, 9, 1)"), ("clock_skew_seconds", "{}", "if(m between 35 and 60, 0.9, 0.1)"), ("db_epoch", "{}", "1704067200 + m * 60 + if(m = 5 or m between 10 and 16, 2, 0)"),
+    ("dlq_pending", "{}", "if(m between 85 and 95, 4, 0)"), ("orphan_rows", "{}", "if(m > 100, 1, 0)"), ("slot_confirmed_lsn", "{}", "if(m between 40 and 70, 40000, if(m >= 130, 130000, m * 1000))"),
+    ("events_total", '{"table":"car"}', "if(m < 130, m * 50, 6500)"), ("events_total", '{"table":"grade"}', "if(m < 130, m, 130 + floor((m - 130) / 20))"), ("disk_available_bytes", "{}", "1e9 - m * 1e6"), ("wal_bytes_total", "{}", "if(m < 150, m * 3e7, 4.5e9 + m)"),
+    ("source_rows", '{"table_name":"car"}', "100 + m"), ("target_rows", '{"table_name":"car"}', "100 + m - if(m between 20 and 45, 3, 0) - if(m between 60 and 75, 2, 0)"), ("source_rows", '{"table_name":"grade"}', "50"), ("target_rows", '{"table_name":"grade"}', "50 - if(m between 150 and 165, 1, 0)"),
+    ("dlq_rows", '{"status":"PENDING","table_name":"car"}', "if(m between 20 and 45, 3, 0)"), ("dlq_rows", '{"status":"RESOLVED","table_name":"car"}', "7"), ("sometimes", "{}", "if(m between 100 and 110, null, 1)"),
+)
+METRICS_SQL = "x as (select * from (" + " union all ".join(f"select '{n}' as metric, '{k}' as series, timestamp '2024-01-01 00:00:00' + to_minutes(m) as ts, ({v})::double as value from range(240) z(m)" for n, k, v in SAMPLES) + ") where value is not null)"
+
+
 def metrics(spark, d) -> DataFrame:
-    """Made-up metric samples a minute over two hours, from a row generator."""
-    m = spark.range(0, 120).withColumnRenamed("id", "m").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 60))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    series = {
-        "up": "if(m between 10 and 14, 0, 1)", "start_time": "floor(m / 3)", "capture_gap": "if(m between 50 and 60, 1, 0)", "checkpoint_lsn": "m * 1000 - if(m = 30, 100000, 0)", "slot_restart_lsn": "m * 900",
-        "halts_total": "if(m < 40, 0, if(m < 80, 2, 1))", "slot_active": "if(m between 20 and 25, 0, 1)", "wal_status": "if(m between 70 and 73, 2, if(m = 90, 3, 0))", "slot_lag_bytes": "if(m between 60 and 80, 6e8, 1000) * if(m between 75 and 79, 10, 1)",
-        "lag_max_seconds": "if(m between 30 and 40, 9, 1)", "clock_skew_seconds": "if(m between 35 and 60, 0.9, 0.1)", "db_epoch": "1704067200 + m * 60 + if(m = 5, 2, 0)", "dlq_pending": "if(m between 85 and 95, 4, 0)",
-        "orphan_rows": "if(m > 100, 1, 0)", "slot_confirmed_lsn": "if(m between 40 and 70, 40000, m * 1000)", "events_total": "m * 50", "disk_available_bytes": "1e9 - m * 1e6", "wal_bytes_total": "m * 3e7",
-    }
-    return alerts.recorded({k: (m.withColumn("labels", none), v) for k, v in series.items()})
-
-
-@query(None)
+    """The samples of SAMPLES, from a row generator."""
+    m = spark.range(0, 240).select(F.col("id").alias("m"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.from_json(F.lit(k), "map<string,string>").alias("labels"), F.expr(f"cast({v} as double)").alias("value")) for n, k, v in SAMPLES]))
+    return m.select("ts", rows.alias("r")).select("r.metric", "r.labels", "ts", "r.value").filter("value is not null")
+
+
+def _compared_sql(r: alerts.Rule) -> str:
+    """What a rule compares, as SQL: (series, ts, value)."""
+    own = f"select series, ts, value from x where metric = '{r.metric}'"
+    if r.minus:
+        own = f"select '{{}}' as series, a.ts, a.v - b.v as value from (select ts, max(value) as v from x where metric = '{r.metric}' group by ts) a join (select ts, max(value) as v from x where metric = '{r.minus}' group by ts) b on a.ts = b.ts"
+    if r.make in ("increase", "changes"):
+        step = "case when p is null then null when value >= p then value - p else value end" if r.make == "increase" else "case when p <> value then 1 else 0 end"
+        back = f"(partition by series order by epoch_us(ts) range between {r.window * 1_000_000 - 1} preceding and current row)"
+        own = f"select series, ts, (sum(coalesce(s, 0)) over {back} - coalesce(first(s) over {back}, 0))::double as value from (select *, {step} as s from (select *, lag(value) over (partition by series order by ts) as p from ({own})))"
+    if r.make == "since":
+        own = f"select series, ts, value - epoch_us(ts) / 1e6 as value from ({own})"
+    return f"select '{{}}' as series, ts, sum(value) as value from ({own}) group by ts" if r.total else own
+
+
+def _held_sql(rows: str, labels: str) -> str:
+    """Runs of rows (labels, ts, ok, hold) on which ok holds as long as hold, a minute apart at most."""
+    return f"""select {labels}, min(ts) as began, max(ts) as ended from (select *, sum(case when not ok or not coalesce(was, false) or ts - was_at > interval '60 seconds' then 1 else 0 end) over (partition by {labels} order by ts rows unbounded preceding) as run
+  from (select *, lag(ok) over (partition by {labels} order by ts) as was, lag(ts) over (partition by {labels} order by ts) as was_at from ({rows}))) where ok group by {labels}, run having epoch_us(max(ts)) - epoch_us(min(ts)) >= max(hold) * 1000000"""
+
+
+def _rules_sql() -> str:
+    parts = []
+    for r in alerts.RULES:
+        gate = f" and ts in (select ts from ({_compared_sql(r.gate)}) where {r.gate.test})" if r.gate else ""
+        parts.append(f"select '{r.name}' as alert, series, ts, coalesce({r.test}, false){gate} as ok, {r.hold} as hold from ({_compared_sql(r)})")
+    return f"with {METRICS_SQL} " + _held_sql(" union all ".join(parts), "alert, series")
+
+
+@query(_rules_sql())
 def alert_rules(spark, d):
     return alerts.all_fired(metrics(spark, d))
 
 
-@query(None)
+DISK_SQL = f"with {METRICS_SQL}, y as (select f.ts, f.v / greatest(w.value / 600, 1) as left_s from (select ts, max(value) as v from x where metric = 'disk_available_bytes' group by ts) f join ({_compared_sql(alerts.Rule('', 'wal_bytes_total', '', make='increase', window=600))}) w on w.ts = f.ts)"
+
+
+@query(DISK_SQL + " select ts, round(left_s, 6) as seconds_left, left_s < 3600 as short from y")
+def disk_headroom(spark, d):
+    return alerts.disk_runs_out(metrics(spark, d)).withColumn("seconds_left", F.round("seconds_left", 6))
+
+
+@query(DISK_SQL + " " + _held_sql("select 'disk' as alert, ts, left_s < 3600 as ok, 300 as hold from y", "alert"))
 def alert_disk(spark, d):
-    return alerts.disk_runs_out(metrics(spark, d)).select("ts", F.round("seconds_left", 6).alias("seconds_left"))
+    return alerts.disk_alert(metrics(spark, d))
+
 
+ABSENT_SQL = "select 'absent_{0}' as alert, ts, count(*) filter (where metric = '{0}') = 0 as ok, 60 as hold from x group by ts"
 
-@query("select 'absent_no_such' as alert")
+
+@query(f"with {METRICS_SQL} " + _held_sql(ABSENT_SQL.format("no_such") + " union all " + ABSENT_SQL.format("sometimes"), "alert"))
 def alert_absent(spark, d):
-    return alerts.absent_metric(metrics(spark, d), "no_such")
+    """A metric that never occurred and one that stops for a while."""
+    m = metrics(spark, d)
+    return alerts.absent_metric(m, "no_such").unionByName(alerts.absent_metric(m, "sometimes"))
+
+
+@query(f"""with {METRICS_SQL}, y as (select json_extract_string(series, '$.table_name') as table_name, ts, sum(value) filter (where metric = 'source_rows') as s, sum(value) filter (where metric = 'target_rows') as t,
+  coalesce(sum(value) filter (where metric = 'dlq_rows' and json_extract_string(series, '$.status') = 'PENDING'), 0) as l from x where metric in ('source_rows', 'target_rows', 'dlq_rows') group by all)
+""" + _held_sql("select 'reconcile_mismatch' as alert, table_name, ts, abs(s - t) - l <> 0 as ok, 600 as hold from y where s is not null and t is not null", "alert, table_name"))
+def alert_reconcile(spark, d):
+    return alerts.reconcile_mismatch(metrics(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
