@@ -150,9 +150,11 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
+    """The folder all executors share; a folder of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -178,7 +180,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once what was made of them is written itself."""
+    for df in cuts:
+        spark, path = df.sparkSession, df._cut_at
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove((spark, path))
 
 
 def sums_before(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:

@@ -11,8 +11,9 @@ that nothing reaches is allowed.
 
 Ranks are DataFrames, one row a host, summed with map-side partial sums and cut each round, until they are
 settled. Links to the
-own host and repeated links count nothing or once; null html has no links; repeated rows get equal
-results; an empty table gives an empty result.
+own host and repeated links count nothing or once; null html has no links; pages of any length are searched
+whole; repeated rows get equal results; columns beside page_id, url and html are not read, whatever their
+names; two rules of equal length go by their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common as C
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-ROUNDS = 10  # of the SQL, and of ``spread`` when it is given no tolerance
+ROUNDS = 60  # of the SQL, which cannot tell when ranks are settled
+#: Links of a host that are joined together.
+SLICE = 200_000
 #: Ranks are settled when they change by no more in sum and no further host is reached; an error after so many rounds.
 TOLERANCE = 1e-9
 MOST_ROUNDS = 1000
@@ -57,24 +60,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING, tolerance: float | None = TOLERANCE, slice_rows: int = SLICE) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, seed) along edges (src, dst).
 
-    With a tolerance it goes on until the ranks are settled, and fails if they are not after that many rounds.
+    It goes on until the ranks are settled, and fails if they are not after that many rounds; without a
+    tolerance it takes just those rounds. Edges are cut up by (src, slice), a host having a slice for each
+    ``slice_rows`` of its edges, and its rank is sent to each of them: a host with very many links is no hot key.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    edges = C.cut(edges.join(degree, "src"))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumn("slices", F.ceil(F.col("out") / slice_rows))
+    edges = C.cut(edges.join(degree, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("slices")).alias("slice")))
+    degree = C.cut(degree.withColumnRenamed("src", "host"))
+    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
+    rank, last = seeds.select("host", F.col("seed").alias("rank")), None
     for _ in range(rounds):
-        moved = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg((F.sum(F.col("rank") / F.col("out")) * damping).alias("rank")).select(F.col("dst").alias("host"), "rank")
-        start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-        if tolerance is None:
-            rank = C.cut(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
-            continue
+        sent = rank.join(degree, "host").select(F.col("host").alias("src"), (F.col("rank") / F.col("out") * damping).alias("rank"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
+        moved = edges.join(sent, ["src", "slice"]).groupBy("dst").agg(F.sum("rank").alias("rank")).select(F.col("dst").alias("host"), "rank")
         sums = moved.unionByName(start).withColumn("was", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
         both = C.cut(sums.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
+        if last is not None:
+            C.drop(last)
+        last, rank = both, both.filter("rank > 0").select("host", "rank")
+        if tolerance is None:
+            continue
         change, fresh = both.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.count_if((F.col("was") == 0) & (F.col("rank") > 0))).first()
-        rank = both.filter("rank > 0").select("host", "rank")
         if (change or 0.0) <= tolerance and not fresh:
             return rank
     if tolerance is not None:
@@ -126,6 +134,6 @@ k as (select *, case rule {said} end as said from j),
 e as (select distinct host as src, translate(dst, {lower}) as dst from (select host, unnest(regexp_extract_all(html, '{link}', 1)) as dst from h) where host <> '' and dst <> '' and host <> translate(dst, {lower})),
 s as (select host, avg((said is not distinct from 'allow')::int) as allow, avg((said is not distinct from 'block')::int) as block from k where host <> '' group by host),
 {rounds('t', 'src', 'dst', 'allow')}, {rounds('b', 'dst', 'src', 'block')},
-bad as (select b{ROUNDS}.host from b{ROUNDS} left join t{ROUNDS} using (host) where b{ROUNDS}.rank > coalesce(t{ROUNDS}.rank, 0) * {RATIO} and (select count(*) from e) > 0)
+bad as (select b{ROUNDS}.host from b{ROUNDS} left join t{ROUNDS} using (host) where b{ROUNDS}.rank > coalesce(t{ROUNDS}.rank, 0) * {RATIO})
 select page_id, host, path, rule, coalesce(said, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from k
 """
