@@ -32,9 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one(docs, shingle=5, percent=80)
 
 
+#: Bytes of a repeated string that goes: a passage of fifty words has hardly less.
+PASSAGE_BYTES = 200
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a repeated string of 400 go; n_chars follows the text."""
-    out = suffix.remove_repeated(docs)
+    """Bytes covered by a repeated string of ``PASSAGE_BYTES`` go; n_chars follows the text."""
+    out = suffix.remove_repeated(docs, PASSAGE_BYTES)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
