@@ -40,4 +40,36 @@ SAMPLES = [
         (0, "<html><body><div>Login</div>"), (0, '<div><a href="/">Home</a></div>'), (0, '<div><a href="/n">All the news of the week in one place</a></div>'), (1, f"<h1>{MID}</h1>"), (1, f"<p>{LONG}</p>"), (1, f"<p>{SHORT}</p>"), (1, f"<p>{LONG}</p>"),
         (1, f"<p>{MID}</p>"), (1, f"<p>{LONG}</p>"), (0, f'<div><a href="/m">{MID}</a></div>'), (0, f'<div><a href="/o">{LONG}</a></div></body></html>'),
     ],
+    # lists of links inside an article, and lone links between its paragraphs
+    [
+        (1, f"<html><body><article><h1>{SHORT}</h1>"), (1, f"<p>{LONG}</p>"), (0, '<ul><li><a href="/1">Ferry timetable</a></li><li><a href="/2">Bridge opens again</a></li><li><a href="/3">Harbour rules</a></li></ul>'), (1, f"<p>{LONG}</p>"), (1, f'<p><a href="/x">{MID}</a></p>'),
+        (1, f"<p>{MID}</p>"), (1, "<ul><li>bread</li><li>two apples</li><li>salt</li></ul>"), (0, '<div><a href="/s">Share</a> <a href="/m">Mail</a> <a href="/p">Print</a></div>'), (0, f'<div><a href="/n">{MID}</a></div>'), (0, f'<div><a href="/o">{SHORT}</a></div></article></body></html>'),
+    ],
+    [
+        (1, f'<html><body><main><div class="post-body"><p>{MID}</p>'), (1, f'<p>{LONG} <a href="/r">reference</a></p>'), (0, f'<div class="top-ad">{MID}</div>'), (1, f"<p>{SHORT}</p></div>"), (0, '<div><a href="/t1">Older story of the week</a></div>'), (0, '<div><a href="/t2">Newer story</a></div></main>'),
+        (0, f'<div class="page-footer"><p>{LONG}</p></div></body></html>'),
+    ],
+    # plain divisions: only words and links tell
+    [
+        (0, '<html><body><div><a href="/">Start</a></div>'), (0, '<div><a href="/b">Boats</a> <a href="/c">Cars</a></div>'), (1, f'<div class="content"><p>{LONG}</p>'), (1, "<p>It snowed.</p></div>"), (0, '<div><a href="/i">Imprint</a></div></body></html>'),
+    ],
+    [
+        (1, f"<html><body><div><p>{MID}</p>"), (1, f"<p>{LONG}</p>"), (1, f"<p>{SHORT}</p></div></body></html>"),
+    ],
+    [
+        (0, '<html><body><ul><li><a href="/">Start</a></li><li><a href="/2">Two</a></li></ul>'), (1, f"<div>{LONG}</div>"), (1, f"<div>{LONG} {MID}</div>"), (0, '<div><a href="/1">Previous</a></div>'), (0, '<div><a href="/3">Next</a></div>'), (0, "<div>Page 2</div></body></html>"),
+    ],
+    [
+        (0, f'<html><body><div class="site-header">{MID}</div>'), (1, f"<div><p>{LONG}</p>"), (1, f"<p>{SHORT}</p>"), (1, f"<h3>{SHORT}</h3>"), (1, f"<p>{LONG}</p></div>"), (0, f'<div id="comments"><p>{LONG}</p><p>{MID}</p></div>'), (0, f'<div class="cookie-banner"><p>{MID}</p></div></body></html>'),
+    ],
+    # short articles, and short pages without one
+    [(1, "<html><body><article><p>Yes.</p></article></body></html>")],
+    [(1, f"<html><body><main><h2>{SHORT}</h2>"), (1, "<p>No.</p>"), (1, "<pre>x = 1</pre></main></body></html>")],
+    [(1, f"<html><body><article><p>{SHORT}</p>"), (0, f"<form><p>{SHORT}</p></form>"), (1, f"<div>{SHORT}</div>"), (0, f'<div class="advert">{SHORT}</div></article>'), (0, f"<div>{MID}</div></body></html>")],
+    [(0, '<html><body><div><a href="/">Start</a></div>'), (1, f"<p>{MID}</p>"), (1, f"<p>{SHORT}</p>"), (1, f"<p>{MID}</p></body></html>")],
+    [(1, f"<html><body><h1>{MID}</h1>"), (1, f"<p>{MID}</p>"), (1, f"<p>{MID}</p>"), (0, "<div>Contact us</div></body></html>")],
+    [(1, f"<html><body><p>{LONG}</p>"), (1, f"<p>{SHORT}</p>"), (0, "<div>Printed by hand</div></body></html>")],
+    # a line between links belongs to them, one between texts does not
+    [(0, '<html><body><div><a href="/1">One</a></div>'), (0, "<p>or</p>"), (0, '<div><a href="/2">Two</a></div>'), (0, f"<p>{SHORT}</p>"), (0, '<div><a href="/3">Three</a></div>'), (1, f"<p>{LONG}</p>"), (1, f"<p>{SHORT}</p>"), (1, f"<p>{LONG}</p></body></html>")],
+    [(1, f"<html><body><article><p>{LONG}</p>"), (0, '<div><a href="/1">One</a></div>'), (0, "<div>or</div>"), (0, '<div><a href="/2">Two</a></div>'), (1, f"<p>{MID}</p></article></body></html>")],
 ]

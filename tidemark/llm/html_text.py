@@ -1,21 +1,24 @@
 """Operator 8: main text of web pages from flat text blocks, by a learned decision tree.
 
 The html is cut into blocks at block-level tags; scripts, styles, comments and other raw elements go.
-Each block has its number of words and its link density, those of the blocks before and after it, and
-where it stands: inside an article, inside an element named as boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, hidden parts), on a page that has an article. A
-decision tree, grown on the labelled blocks of ``html_samples`` when first needed, tells content from
-the rest. Character references are decoded, white space inside a block becomes one space (``br``
-included), blocks are trimmed and joined in page order by two newlines.
-
-Null and empty html give an empty text, tags that are never closed are fine, a page of any length is
-read whole, repeated rows get equal results, an empty table gives an empty result.
+Each block has its number of words and its link density, those of the blocks before and after it, its kind
+(paragraph, heading) and where it stands: inside an article, inside an element that is page furniture by its
+tag or role, or named as such, on a page that has an article. A decision tree, grown on the labelled blocks of
+``html_samples`` when first needed, tells content from the rest: marks decide where pages carry them (comments
+of readers read like any text), words and links of a block and its neighbours everywhere else, such as for lists
+of links inside an article and for pages made of plain divisions. Character references are decoded, white space
+inside a block becomes one space (``br`` included), blocks are trimmed and joined in page order by two newlines.
+
+Null and empty html give an empty text, tags that are never closed are fine (a quote that is not closed ends
+with its tag), a page of any length is read whole in time linear in it, repeated rows get equal results, columns
+beside page_id, url and html are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,56 +33,94 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select datalist button textarea head title applet noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id names that mark boilerplate.
-BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar header masthead footer foot colophon copyright legal disclaimer comment comments commentlist discussion replies respond disqus share sharing social follow related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager tags skip".split()
-)
-#: Words that may stand beside one of those without changing it.
-NEUTRAL = frozenset("container wrapper wrap box block list section area inner outer bar item items panel group row unit slot site page main top bottom left right primary secondary global post article entry user reader form link links text body content".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog search fieldset".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that class and id names of furniture end in.
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments newsletter".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Columns of a block's features.
-FEATURES = ("in_boiler", "in_article", "has_article", "links", "words", "heading", "words_before", "links_before", "words_after", "links_after")
-
-
-def _named_boiler(names: str) -> bool:
-    for name in names.lower().split():
-        parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
-        if not parts or parts[0] in ("has", "with", "no", "without", "js"):
-            continue
-        if parts[-1] in BOILER_NAMES or (any(p in BOILER_NAMES for p in parts) and all(p in BOILER_NAMES or p in NEUTRAL or p.isdigit() for p in parts)):
-            return True
-    return False
+FEATURES = ("furniture", "named", "in_article", "has_article", "links", "links_before", "links_after", "words", "words_before", "words_after", "paragraph", "heading")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element starts an article, and whether it is boilerplate."""
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is an article, furniture by tag, role or being hidden, and named as furniture."""
     found = {}
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     role = found.get("role", "").lower()
     article = tag in ("article", "main") or role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower()
-    if tag in ("html", "body", "article", "main"):
-        boiler = "hidden" in found or (tag == "article" and _named_boiler(found.get("class", "") + " " + found.get("id", "")))
-    else:
-        style = found.get("style", "").replace(" ", "").lower()
-        boiler = tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style or "visibility:hidden" in style
-        boiler = boiler or _named_boiler(found.get("class", "") + " " + found.get("id", ""))
-    return article, boiler
+    style = found.get("style", "").replace(" ", "").lower()
+    hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style or "visibility:hidden" in style
+    named = tag not in ("html", "body", "main") and any(n and re.split(r"[^a-z]+", n.strip("0123456789-_"))[-1] in NAMES for n in f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    return article, hidden or tag in FURNITURE or role in FURNITURE_ROLES, named
+
+
+class _Tags:
+    """The tags of a page from the front, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.never: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where what stands next; what was once not found is not looked for again."""
+        if what in self.never:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.never.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Where a tag ends whose name ends at ``at``, past any quoted values; -1 without an end."""
+        if self.quotes:
+            k = at
+            while m := QUOTE_OR_END.search(self.page, k):
+                if m[0] == ">":
+                    return m.start()
+                k = self.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            self.quotes = False  # from a quote or tag that nothing closes on, quotes are plain characters
+        return self.find(">", at)
+
+    def closing(self, tag: str, at: int) -> re.Match | None:
+        """The end tag of a raw element."""
+        if tag in self.never:
+            return None
+        found = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(self.page, at)
+        if not found:
+            self.never.add(tag)
+        return found
 
 
 def blocks(page: str) -> list[list]:
-    """[text, words, link words, in article, in boilerplate, heading] of each block that has text."""
+    """[text, words, link words, paragraph, heading, furniture, named, in article] of each block that has text."""
     out: list[list] = []
     parts: list[str] = []
     link_words = 0
     in_link = False
-    stack: list[tuple[str, bool, bool]] = []
-    heading = False
+    stack: list[tuple[str, bool, bool, bool]] = []
+    opened: Counter = Counter()  # elements of each tag on the stack
+    marks = [0, 0, 0]  # articles, furniture and named elements on the stack
+    kind = ""
+
+    def push(entry) -> None:
+        stack.append(entry)
+        opened[entry[0]] += 1
+        for k in range(3):
+            marks[k] += entry[k + 1]
+
+    def pop() -> str:
+        entry = stack.pop()
+        opened[entry[0]] -= 1
+        for k in range(3):
+            marks[k] -= entry[k + 1]
+        return entry[0]
 
     def end() -> None:
         nonlocal link_words
@@ -87,32 +128,54 @@ def blocks(page: str) -> list[list]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append([text, text.count(" ") + 1, min(link_words, text.count(" ") + 1), any(s[1] for s in stack), any(s[2] for s in stack), heading])
+                words = text.count(" ") + 1
+                heading = len(kind) == 2 and kind[0] == "h" and kind[1] in "123456"
+                out.append([text, words, min(link_words, words), kind == "p", heading, marks[1] > 0, marks[2] > 0, marks[0] > 0])
         link_words = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+    def add(text: str) -> None:
+        nonlocal link_words
         if text:
             parts.append(text)
             if in_link:
                 link_words += len(text.split())
-        if m is None:
+
+    tags, at, n = _Tags(page), 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            add(page[at:])
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3]))
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            stop = tags.find("-->", start + 4)
+            at = n if stop < 0 else stop + 3
             continue
-        closing = bool(m[1])
-        if tag in RAW and not closing and not m[3].endswith("/"):
+        if page.startswith("<![CDATA[", start) and (stop := tags.find("]]>", start)) >= 0:
+            parts.append(html.escape(page[start + 9 : stop]))
+            at = stop + 3
+            continue
+        closing = page.startswith("</", start)
+        name = NAME.match(page, start + 1 + closing)
+        if not name and not page.startswith(("<!", "<?", "</"), start):
+            add("<")
+            at = start + 1
+            continue
+        stop = tags.end(name.end()) if name else tags.find(">", start)
+        if stop < 0:  # a tag that never ends, and all after it is inside
+            add(page[start : start + 1])
+            at = start + 1
+            continue
+        at = stop + 1
+        if not name:
+            continue
+        tag, attributes = name[0].lower(), page[name.end() : stop]
+        if tag in RAW and not closing and not attributes.endswith("/"):
             if tag in ("head", "title"):
                 end()
-            stop = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
-            if stop:
-                at = stop.end()
+            found = tags.closing(tag, at)
+            if found:
+                at = found.end()
             elif tag not in ("head", "title", "button", "select", "object", "noscript", "svg"):
                 at = n
             continue
@@ -125,25 +188,30 @@ def blocks(page: str) -> list[list]:
         if closing:
             if tag in BLOCK:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK and any(s[0] in BLOCK for s in stack[k + 1 :]):
-                        break
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                if tag in BLOCK:
+                    while pop() != tag:
+                        pass
+                else:  # an inline element ends only with no block open in it
+                    k = len(stack) - 1
+                    while stack[k][0] != tag and stack[k][0] not in BLOCK:
+                        k -= 1
+                    if stack[k][0] == tag:
+                        while len(stack) > k:
+                            pop()
             if tag in BLOCK:
-                heading = False
+                kind = ""
             continue
-        article, boiler = _marks(tag, m[3]) if m[3] or tag in BLOCK else (False, False)
+        article, furniture, named = _marks(tag, attributes) if attributes or tag in BLOCK else (False, False, False)
         if tag in BLOCK:
             end()
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+            kind = tag
             if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                stack.pop()
+                pop()
             if stack and tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag:
-                stack.pop()
-        if tag not in VOID and not m[3].endswith("/") and (tag in BLOCK or boiler):
-            stack.append((tag, article, boiler))
+                pop()
+        if tag not in VOID and not attributes.endswith("/") and (tag in BLOCK or furniture or named):
+            push((tag, article, furniture, named))
     end()
     return out
 
@@ -155,13 +223,12 @@ def features(found: list[list]) -> np.ndarray:
     if n:
         words = np.array([b[1] for b in found], float)
         links = np.array([b[2] for b in found], float) / words
-        x[:, 0] = [b[4] for b in found]
-        x[:, 1] = [b[3] for b in found]
-        x[:, 2] = any(b[3] and not b[4] for b in found)
-        x[:, 3], x[:, 4] = links, words
-        x[:, 5] = [b[5] for b in found]
-        x[1:, 6], x[1:, 7] = words[:-1], links[:-1]
-        x[:-1, 8], x[:-1, 9] = words[1:], links[1:]
+        x[:, 0:3] = [b[5:8] for b in found]
+        x[:, 3] = any(b[7] and not b[5] and not b[6] for b in found)
+        x[:, 4], x[:, 7] = links, words
+        x[1:, 5], x[1:, 8] = links[:-1], words[:-1]
+        x[:-1, 6], x[:-1, 9] = links[1:], words[1:]
+        x[:, 10:12] = [b[3:5] for b in found]
     return x
 
 
