@@ -342,7 +342,7 @@ def test_main_text_of_given_pages(spark):
     ("page", "want"),
     [
         (None, ""), ("", ""), ("<p>", ""),
-        ("<article><h1>T &amp; U</h1><p>a&nbsp;b <i>c</i>d<p>e<div class='share'>no</div><!-- x --><script>var p='</p>'</script>f</article>", "T & U\n\na b cd\n\ne\n\nf"),
+        ("<article><h1>T &amp; U</h1><p>a&nbsp;b <i>c</i>d<p>e<div class='advert'>no</div><!-- x --><script>var p='</p>'</script>f</article>", "T & U\n\na b cd\n\ne\n\nf"),
         ("<main><p>x<section class='user-comments'><p>never</section><p>y</main><aside>z</aside>", "x\n\ny"),
         ("<body><article><p>unclosed <b>bold<p>next", "unclosed bold\n\nnext"),
         ("<article><p>1 < 2 & 3 &lt; 4</p><form><input><p>mail</p></form><pre> a\n  b </pre></article>", "1 < 2 & 3 < 4\n\na b"),
@@ -353,6 +353,54 @@ def test_main_text_of_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+PROSE = "The miller kept two donkeys behind the house, and on market days he walked them down to the ford before the bakers were awake, so that nobody ever saw him drive them."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='content'><p>{PROSE}</p><p>It rained.</p></div></body>", [PROSE, "It rained."]),
+        (f"<body><article><div class='legal'><p>{PROSE}</p></div><p>{PROSE}</p></article></body>", [PROSE, PROSE]),
+        (f"<body><div><a href='/'>Home</a></div><div><a href='/n'>News today</a></div><p>{PROSE}</p><p>{PROSE}</p><div><a href='/p'>Privacy</a></div></body>", [PROSE, PROSE]),
+        (f"<body><article><p>{PROSE}</p><ul><li><a href='/1'>One more story</a></li><li><a href='/2'>And another</a></li><li><a href='/3'>Third</a></li></ul><p>{PROSE}</p></article></body>", [PROSE, PROSE]),
+        (f"<body><main><p>{PROSE}</p><div class='reader-comments'><p>{PROSE}</p></div></main><aside><p>{PROSE}</p></aside></body>", [PROSE]),
+    ],
+)
+def test_words_links_and_marks_decide(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def test_the_tree_looks_at_words_links_and_neighbours():
+    used = set()
+
+    def walk(t):
+        if len(t) == 4:
+            used.add(html_text.FEATURES[t[0]])
+            walk(t[2]), walk(t[3])
+
+    walk(html_text.model())
+    assert {"links"} <= used and used & {"words", "words_before", "words_after"} and used & {"links_before", "links_after"}
+
+
+@pytest.mark.parametrize("piece", ["<a title=\"", "<div><p>x", "<![CDATA[", "<button>", "<span class=ad><i>", "<div></p></i>", "<a b='c\"", "</div", "&", "<", "<p>a</div>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    html_text.model()
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        html_text.main_text("<article><p>ok</p>" + piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 20 and took[1] < 9 * took[0] + 0.5
+
+
+def test_pages_with_extra_columns_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>")] * 3 + [(None, None, None), (2, "v", "")], "page_id long, url string, html string")
+    rows = html_text.extract(pages.withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("x"))).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in rows) == [("", 0), ("", 0), ("a", 1), ("a", 1), ("a", 1)]
+
+
 # --- 9, 10, 5
 
 

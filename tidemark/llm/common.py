@@ -194,6 +194,21 @@ def drop(*cuts: DataFrame) -> None:
         _written.remove((spark, path))
 
 
+#: Rows of a key that are joined in one place.
+SLICE = 2000
+
+
+def join_sliced(many: DataFrame, one: DataFrame, key: str, n: str, row: str, rows: int = SLICE) -> DataFrame:
+    """many joined to one by a key that many rows may share, a key having a slice for each so many of its rows.
+
+    Both have the number of the key's rows in ``n``; many is dealt by the hash of ``row``, one goes to all slices.
+    """
+    slices = F.ceil(F.col(n) / rows)
+    left = many.withColumn("slice", F.pmod(F.xxhash64(row), slices))
+    right = one.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))).drop(n)
+    return left.join(right, [key, "slice"]).drop("slice")
+
+
 def sums_before(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
     """df with, for each name, the sum of that column over the rows that stand before in the order (a total one).
 

@@ -7,9 +7,10 @@ documents scored are the corpus counted, so each of their trigrams is seen and t
 shorter context for what is not, ends only at the beginning of a text. The first two words together give
 log10(c(bigram) / N), so that words alone count in texts of one.
 
-Each trigram is exploded into one row (its two words as a 64-bit hash, its third as 32 bits more, its document).
-Rows are shuffled once, by the two words: there a window counts the trigram and its context at once, and the
-gains are summed by document, with map-side partial sums. Contexts that are at least one in ``HOT`` of all words
+Each trigram is exploded into its two words as a 64-bit hash, its third as 32 bits more, and its document. These
+are shuffled once, packed by run of text, to the bucket of the two words' hash, there being one for each ``ROWS``
+words of the corpus: there a sort counts the trigram and its context at once, and the gains are summed by
+document. Contexts that are at least one in ``HOT`` of all words
 are counted beforehand and broadcast (at most ``HOT`` of them): their trigrams are shuffled by a hash of all three
 words, or added where the text is if they are as frequent themselves. So no key is hot.
 
@@ -25,15 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
 HOT = 50_000
 RUN = 2 << 20
-#: Trigrams to a partition of the counts.
-ROWS = 4_000_000
+#: Bytes of text packed together, and words of the corpus to a bucket of counts.
+PACK, ROWS = 4 << 20, 3_000_000
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
@@ -144,30 +145,66 @@ def _base(table):
     return run
 
 
-def _exploded(table):
-    """(key, text) to (code, third, key, what) of what is not broadcast."""
+def _exploded(table, buckets: int):
+    """(key, text) to (bucket, codes, thirds, whats, keys, times) of what is not broadcast: a row for a run and bucket.
+
+    The first three hold a value for each trigram, keys and times the documents they are of, one after another.
+    """
 
     def run(batches):
         codes = table.value[0]
         for b in batches:
-            for i, _, g in _cut_up(b["text"], C.RUN_BYTES):
+            keys = b["key"].to_numpy()
+            for i, _, g in _cut_up(b["text"], PACK):
                 hot = _place(codes, g.context)[1]
-                whole = hot & ~g.last & ~_place(codes, g.whole)[1]
-                cold = np.flatnonzero(~hot)
-                begin, whole = np.flatnonzero(~hot & g.first), np.flatnonzero(whole)
+                whole = np.flatnonzero(hot & ~g.last & ~_place(codes, g.whole)[1])
+                cold, begin = np.flatnonzero(~hot), np.flatnonzero(~hot & g.first)
                 at = np.concatenate([cold, begin, whole])
+                if not len(at):
+                    continue
                 code = np.concatenate([g.context[cold], g.context[begin], g.whole[whole]])
-                third = np.concatenate([np.where(g.last[cold], 0, g.third[cold]), np.zeros(len(begin) + len(whole), np.int64)])
-                what = np.concatenate([np.where(g.last[cold], END, INSIDE), np.full(len(begin), BEGIN), np.full(len(whole), WHOLE)])
-                order = np.argsort(g.row[at], kind="stable")
-                yield pa.record_batch(
-                    [pa.array(code[order]), pa.array(third[order].astype(np.int32)), b["key"].take(pa.array(g.row[at[order]] + i)), pa.array(what[order].astype(np.int8))],
-                    ["code", "third", "key", "what"],
-                )
+                third = np.concatenate([np.where(g.last[cold], 0, g.third[cold]), np.zeros(len(begin) + len(whole), np.int32)]).astype(np.int32)
+                what = np.concatenate([np.where(g.last[cold], END, INSIDE), np.full(len(begin), BEGIN), np.full(len(whole), WHOLE)]).astype(np.uint8)
+                bucket = ((code.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                row = g.row[at]
+                order = np.lexsort((row, bucket))
+                code, third, what, row, bucket = code[order], third[order], what[order], row[order], bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = []
+                for lo, hi in zip(starts, np.append(starts[1:], len(code)), strict=True):
+                    first = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
+                    times = np.diff(np.append(first, hi - lo)).astype(np.int32)
+                    parts.append([x.tobytes() for x in (code[lo:hi], third[lo:hi], what[lo:hi], keys[i + row[lo + first]], times)])
+                cols = zip(*parts, strict=True)
+                yield pa.record_batch([pa.array(bucket[starts]), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "codes", "thirds", "whats", "keys", "times"])
 
     return run
 
 
+def _counted(packed: pa.Table) -> pa.Table:
+    """All rows of a bucket to (key, gain): each trigram and its context are counted here, and gains summed by document."""
+    code, third, what, key, times = (np.frombuffer(b"".join(x.as_py() for x in packed[c]), t) for c, t in (("codes", np.int64), ("thirds", np.int32), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
+    order = np.lexsort((third, code))
+    code, third, what = code[order], third[order], what[order]
+    new_code = np.diff(code, prepend=code[0] - 1) != 0
+    new_full = new_code | (np.diff(third, prepend=third[0]) != 0)
+
+    def counts(new: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """For each row, how many rows are counted in its run."""
+        run = np.cumsum(new) - 1
+        return np.bincount(run, counted)[run]
+
+    inside = what == INSIDE
+    context = counts(new_code, what != BEGIN)
+    full = counts(new_full, inside)
+    gain = np.where(inside, np.log10(np.maximum(full, 1)) - np.log10(np.maximum(context, 1)), np.where(what == END, 0.0, np.log10(np.maximum(context, 1))))
+    keys, which = np.unique(key, return_inverse=True)
+    document = np.repeat(which, times)[order]
+    sums = np.bincount(document, gain, len(keys))
+    some = np.flatnonzero(sums)
+    return pa.table({"key": keys[some], "gain": sums[some]})
+
+
 def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS) -> DataFrame:
     """doc_id, n_words, score: one row a document."""
     send = docs.sparkSession.sparkContext.broadcast
@@ -182,12 +219,8 @@ def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS) -> DataFrame:
 
     # equal rows have equal keys
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-    grams = keyed.select("key", "text").mapInArrow(_exploded(table), "code long, third int, key long, what byte").repartition(total // rows + 1, "code")
-    # both windows go by one shuffle and one sort
-    grams = grams.withColumn("full", F.count_if(F.col("what") == INSIDE).over(Window.partitionBy("code", "third")))
-    grams = grams.withColumn("context", F.count_if(F.col("what") != BEGIN).over(Window.partitionBy("code")))
-    gain = F.when(F.col("what") == INSIDE, F.log10("full") - F.log10("context")).otherwise(F.log10("context"))
-    grams = grams.filter(F.col("what") != END).select("key", gain.alias("gain")).filter("gain <> 0")
+    grams = keyed.select("key", "text").mapInArrow(_exploded(table, int(total // rows + 1)), "bucket long, codes binary, thirds binary, whats binary, keys binary, times binary")
+    grams = grams.groupBy("bucket").applyInArrow(_counted, "key long, gain double")
     # a row's own gains are summed once for each equal row, and shared out again
     more = grams.groupBy("key").agg(F.sum("gain").alias("more"))
 

@@ -13,7 +13,9 @@ reaches the threshold falls below ``MISS``; every survivor is verified on the fu
 
 Empty and null texts have no shingle and link with nothing. Rows sharing a doc_id are one vertex; rows
 without doc_id link with nothing, are kept and have a null component. Ties cannot matter: components do
-not depend on which links span them. An empty table gives an empty result.
+not depend on which links span them. Texts of any length are read whole; columns beside doc_id and text are not
+read, and ``keep_one`` gives them back under any names. A bucket of very many members is joined in slices. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -219,8 +221,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima
     member = C.cut(spread.join(sizes, "bucket"))
     weight = member.groupBy("id").agg(F.sum("n").alias("weight"))
     member = member.join(weight, "id")
-    centre = member.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c")).select("bucket", (-F.col("c.less")).alias("centre"))
-    pairs = member.join(centre, "bucket").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    centre = member.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"))).alias("c"), F.first("n").alias("n")).select("bucket", (-F.col("c.less")).alias("centre"), "n")
+    pairs = C.join_sliced(member, centre, "bucket", "n", "id").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     pairs = C.cut(pairs)
 
     # full sets of the documents that are compared at all; texts are packed for the shuffle, which is the
@@ -240,12 +242,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima
     # buckets that are still in several components: compare across them, unit by unit
     label = joined.select("id", F.col("component").alias("comp"))
     member = member.select("bucket", "id", "n").filter("n > 2").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    member = C.cut(member.join(mixed, "bucket").select("bucket", "id", "comp"))
-    near = member.groupBy("bucket").agg(F.min("id").alias("first"))
-    near = components(member.join(near, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).filter("lo <> hi").select("bucket", "n")
+    member = C.cut(C.join_sliced(member, mixed, "bucket", "n", "id").select("bucket", "id", "comp", "n"))
+    near = member.groupBy("bucket").agg(F.min("id").alias("first"), F.first("n").alias("n"))
+    near = components(C.join_sliced(member, near, "bucket", "n", "id").select(F.col("id").alias("a"), F.col("first").alias("b")))
     near = C.cut(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"))
-    member = member.join(near, "id")
+    member = member.drop("n").join(near, "id")
     small = member.filter(F.col("size") <= UNIT).select(F.lit(0).alias("kind"), F.col("component").alias("unit"), "id", "comp", "size").distinct()
     large = member.filter(F.col("size") > UNIT)
     counts = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))

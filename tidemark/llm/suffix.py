@@ -19,7 +19,9 @@ Ranks are counted by map-side partial sums and joined back on equal keys, so a p
 third of all documents is no hot spot. Each document's spans meet its text once. Null and empty texts
 and those shorter than ``least`` keep everything; repeated rows are occurrences of their own; rows are
 told apart by (doc_id, hash of the text), and equal rows get equal results. Matches never cross
-documents. A text of which the rest is not valid UTF-8 is decoded leaving the broken characters out.
+documents. A very long text is handled whole, in one piece. Columns beside doc_id and
+text are not read; ``remove_repeated`` gives them back under any names. An empty table gives an empty result. A
+text of which the rest is not valid UTF-8 is decoded leaving the broken characters out.
 """
 
 from __future__ import annotations
@@ -155,10 +157,11 @@ _STEP_SCHEMA = "doc_id long, th long, first long, back long, half long, times lo
 def repeated_spans(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
     """doc_id, th, lo, hi: byte ranges whose union is what repeats; rows keyed by (doc_id, hash of the text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    found = C.cut(keyed.mapInArrow(_anchors(least), "doc_id long, th long, start int, width int, back int, half long, whole long"))
-    # a table of its own, so that the join may split a rank that is very common
-    twice = C.cut(found.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
-    found = C.cut(found.join(twice, "half"))
+    every = C.cut(keyed.mapInArrow(_anchors(least), "doc_id long, th long, start int, width int, back int, half long, whole long"))
+    # counts are tables of their own, so that a join may split a rank that is very common
+    twice = C.cut(every.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
+    found = C.cut(every.join(twice, "half"))
+    C.drop(every, twice)
     one = F.struct("doc_id", "th", "start", "width", "back")
     classes = C.cut(found.groupBy("half", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one")))
     sure = found.join(classes.filter("times > 1").select("half", "whole"), ["half", "whole"])
@@ -172,20 +175,23 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, step: int = STEP) -> Dat
     texts = keyed.mapInArrow(C.pack, "doc_id long, th long, packed binary, n_bytes long")
     texts = texts.join(left, texts["doc_id"].eqNullSafe(left["r_id"]) & (texts["th"] == left["r_th"])).drop("r_id", "r_th")
     single = texts.dropDuplicates(["doc_id", "th"])
-    steps = C.cut(single.mapInArrow(_contexts(least, step), _STEP_SCHEMA))
-    core = steps.groupBy("half", "k", "core").agg(F.sum("times").alias("c"), F.min("times").alias("open")).filter("c > 1 and open = 1").select("half", "k", "core")
-    steps = C.cut(steps.join(core, ["half", "k", "core"]))
-    stretch = steps.groupBy("half", "k", "stretch").agg(F.sum("times").alias("s"))
-    steps = steps.join(stretch, ["half", "k", "stretch"])
+    every = C.cut(single.mapInArrow(_contexts(least, step), _STEP_SCHEMA))
+    core = C.cut(every.groupBy("half", "k", "core").agg(F.sum("times").alias("c"), F.min("times").alias("open")).filter("c > 1 and open = 1").select("half", "k", "core"))
+    open_steps = C.cut(every.join(core, ["half", "k", "core"]))
+    C.drop(every, core)
+    stretch = C.cut(open_steps.groupBy("half", "k", "stretch").agg(F.sum("times").alias("s")).filter("s > 1"))
+    steps = open_steps.join(stretch, ["half", "k", "stretch"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
     n = F.size("starts")
     # a stretch that is repeated: all its starts are
     sure = steps.filter("times = 1 and s > 1").select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + n - 1 + least).alias("hi"))
     single = steps.select("doc_id", "th", "first", "back", "half", "times", "s", F.posexplode("starts").alias("i", "rank"))
     single = single.withColumn("off", F.col("back") - F.col("i"))
-    counts = single.groupBy("half", "off", "rank").agg(F.sum("times").alias("c")).filter("c > 1")
-    last = single.filter("times = 1 and s = 1").join(counts.select("half", "off", "rank"), ["half", "off", "rank"])
+    counts = C.cut(single.groupBy("half", "off", "rank").agg(F.sum("times").alias("c")).filter("c > 1").select("half", "off", "rank"))
+    last = single.filter("times = 1 and s = 1").join(counts, ["half", "off", "rank"])
     last = last.select("doc_id", "th", (F.col("first") + F.col("i")).alias("lo"), (F.col("first") + F.col("i") + least).alias("hi"))
-    return spans.unionByName(sure).unionByName(last)
+    out = C.cut(spans.unionByName(sure).unionByName(last).distinct())
+    C.drop(found, classes, open_steps, stretch, counts)
+    return out
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -231,7 +237,7 @@ def _rest(batches):
 
 def _by_document(spans: DataFrame) -> DataFrame:
     """Spans gathered by document; there are at most as many as a text has bytes, and most are merged first."""
-    return spans.distinct().groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def removal(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
