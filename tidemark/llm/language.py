@@ -12,6 +12,8 @@ The model (languages x vocabulary) is bounded by the vocabulary and broadcast.
 
 Texts that are null or have no letter are ``und`` with score 0, as are all when nothing was learned;
 equal scores go to the language first by code point. A null doc_id is neither learned from nor held out.
+Repeated rows are learned from as often as they stand and get equal results; columns beside doc_id, text and lang
+are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,19 +38,25 @@ RUN = 2 << 20
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(lines: bytes):
+    """Ranks and encoder of a vocabulary file, which the driver reads and broadcasts."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     return ranks, tiktoken.Encoding("fixed", pat_str=r" ?\S+|\s+", mergeable_ranks=ranks, special_tokens={})
 
 
-def _counts(path: str):
+def _read(spark, path: str):
+    """The vocabulary file (a megabyte or two), broadcast: executors need no copy of it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _counts(shared):
     """(lang, text) to (lang, piece, n), summed over what the task reads."""
 
     def run(batches):
-        ranks, encoding = _encoding(path)
+        ranks, encoding = _encoding(shared.value)
         pieces = {v: k for k, v in ranks.items()}
         sums: dict[str, Counter] = {}
         for b in batches:
@@ -72,7 +80,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, held_out: int = 2, fold
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
     # one row a language, as is the model: broadcast, so that texts are sampled where they are read
     sample = rows.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "text")
-    return sample.mapInArrow(_counts(vocabulary), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(_counts(_read(docs.sparkSession, vocabulary)), "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -159,9 +167,9 @@ class Model:
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def _predict(shared, vocabulary: str):
+def _predict(shared, vocabulary):
     def run(batches):
-        model = Model(shared.value, _encoding(vocabulary)[0] if shared.value else ())
+        model = Model(shared.value, _encoding(vocabulary.value)[0] if shared.value else ())
         for b in batches:
             data, offsets = C.texts(b["text"])
             lang = ["und"] * len(b)
@@ -187,4 +195,4 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, held_out: int = 2, f
     model = [(r[0], bytes(r[1]), r[2]) for r in train(docs, vocabulary, held_out, folds, max_rows).collect()]  # at most languages x vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(C.crc_mod("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(shared, vocabulary), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, _read(docs.sparkSession, vocabulary)), "doc_id long, held_out boolean, lang_pred string, score double")

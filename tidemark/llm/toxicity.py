@@ -9,7 +9,10 @@ for ``epochs`` rounds of FTRL-proximal with per-coordinate rates. L1 leaves few
 
 Texts that are null or empty have the bias alone and get its score. A null doc_id is neither learned
 from nor held out; labels that are null or not 0/1 are ignored; a doc_id labelled twice is learned from
-twice. With no label to learn from, every weight is 0, every score 0.5 less a little (0.49).
+twice, and repeated rows as often as they stand; equal hashes are ordered by label, then by length. Texts of any
+length are scored whole. Columns beside doc_id and text are not read; ``drop_toxic`` gives them back under any
+names. Empty documents give an empty result. With no label to learn from, every weight is 0, every score 0.5 less
+a little (0.49).
 """
 
 from __future__ import annotations
