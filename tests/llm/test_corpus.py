@@ -460,6 +460,92 @@ def test_toxicity_finds_held_out_words(spark):
     assert toxicity.train(docs, m).count() < 2000
 
 
+def test_predictions_against_a_plain_forward_sum(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.unionByName(spark.createDataFrame([(3, "der Hund und die Katze " * 3, "de", None, None), (3, "x" * 70, None, None, None), (None, "la casa", "es", None, None)], DOCS))
+    rows = [(r[0], bytes(r[1]), r[2]) for r in language.train(docs).collect()]
+    import base64
+
+    with open(language.VOCABULARY, "rb") as f:
+        pieces = {base64.b64decode(x.split()[0]) for x in f} | {r[1] for r in rows} | {bytes([i]) for i in range(256)}
+    longest = max(map(len, pieces))
+    langs = sorted({r[0] for r in rows})
+    count = {x: Counter() for x in langs}
+    for lang, piece, n in rows:
+        count[lang][piece] += n
+    pooled = Counter(dict.fromkeys(pieces, 1))
+    for c in count.values():
+        pooled.update(c)
+    total, s = sum(pooled.values()), language.SMOOTHING
+    sums = {x: sum(c.values()) for x, c in count.items()}
+
+    def word(w, lang):
+        a = [1.0] + [0.0] * len(w)
+        scale = 0.0
+        for j in range(1, len(w) + 1):
+            a[j] = sum(a[i] * (count[lang][w[i:j]] + s * pooled[w[i:j]] / total) / (sums[lang] + s) for i in range(max(0, j - longest), j) if w[i:j] in pieces)
+            if a[j] < 1e-200:
+                a, scale = [x * 1e150 for x in a], scale - np.log(1e150)
+        return np.log(a[-1]) + scale
+
+    for r in language.identify(docs).join(docs.select("doc_id", "text").withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).filter("length(text) < 4000").collect():
+        logs = np.array([sum(word(b" " + w, x) * n for w, n in Counter(r["text"].encode().split()).items()) for x in langs])
+        if r["doc_id"] != 3 and r["lang_pred"] != "und":
+            assert r["lang_pred"] == langs[int(logs.argmax())] and r["score"] == pytest.approx(1 / np.exp(logs - logs.max()).sum(), abs=1e-6)
+
+
+def test_weights_against_plain_ftrl(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "Bad", "e"]) for _ in range(rng.randrange(12)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (3, rows[3][1])]
+    marks = [(i, 1, int("Bad" in (t or ""))) for i, t in rows[:110]] + [(5, 1, 1), (6, 1, None), (200, 1, 0), (None, 1, 1)]
+    docs, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["place"]: r["weight"] for r in toxicity.train(docs, m, bits=12, epochs=3).collect()}
+    # one row at a time, one feature at a time
+    joined = m.filter("toxic is not null and doc_id is not null").join(docs, "doc_id").select(F.xxhash64("doc_id", F.lit(10)).alias("h"), "doc_id", "toxic", "text").collect()
+    learned = []
+    for r in joined:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            raw = (r["text"] or "").encode()
+            place, _ = toxicity._features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 12)
+            learned.append((r["h"], r["toxic"], sorted(set(place.tolist()))))
+    learned.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    z, n, l1 = Counter(), Counter(), toxicity.L1_RATE * len(learned) ** 0.5
+
+    def weight(k):
+        free = k == 1 << 12
+        if not free and abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (0 if free else np.sign(z[k]) * l1)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for _, y, places in learned:
+            keys = [*places, 1 << 12]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -35, 35))) - y
+            for k in keys:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in n if weight(k)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_items_of_equal_words_and_common_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    long = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, "the"), (2, "The!"), (10, "the"), (3, long), (3, long), (4, long.upper()), (5, "q1 q2"), (6, None), (None, "q3 q4 q5")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "so the cat") for i in range(50)] + [(60, long), (61, long + " the"), (None, "q1, Q2"), (62, "nothing"), (62, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.contamination(docs.withColumn("w", F.lit(1)).withColumn("set", F.lit(2)), bench).collect()}
+
+    def sha(*ids):
+        return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+    assert got[7, 3]["n_hit"] == 1 and got[7, 3]["n_items"] == 3 and got[7, 3]["items_sha256"] == sha("1", "2", "10")
+    assert got[60, 30]["n_hit"] == 30 and got[60, 30]["items_sha256"] == sha("3", "4", "5") and got[61, 31]["n_items"] == 6
+    assert got[None, 2]["items_sha256"] == sha("5") and got[62, 1]["n_hit"] == 0 and got[62, 0]["items_sha256"] == hashlib.sha256(b"").hexdigest() and len(got) == 55
+
+
 def test_trigrams_seen_once_count(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a c"), (3, "a b d A b"), (4, "c"), (5, "rare"), (6, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}

@@ -7,11 +7,13 @@ consecutive words, the smallest hash among their k-grams (k = min(5, L)): texts
 share a fingerprint. Documents with a fingerprint in common are then extended: their windows are joined
 to the item windows on hash and text, so that a hit is certain.
 
-Item fingerprints and windows are broadcast only when they are counted to be few; otherwise both joins
-shuffle on the hash. Null and empty texts have no words and are never hit; an item without words never
-hits; items of equal words are handled once and counted each. Rows are told apart by (doc_id, hash of
-the text): repeated rows get equal results, a null doc_id is an id like any other. Empty tables are
-fine: without items nothing is hit.
+Items of equal words are one text, and the items that a document hits are told once for each different set of
+windows hit, so that a window of many items in many documents is not multiplied out. Item fingerprints and
+windows are broadcast only when their bytes are counted to be few; otherwise the joins shuffle on the hash. Null and empty texts have no words and are never hit; an item without words never
+hits; items of equal words are handled once and counted each (an item_id that stands twice counts once). Rows are
+told apart by (doc_id, hash of the text): repeated rows get equal results, a null doc_id is an id like any other.
+Texts of any length are read whole; columns beside those named are not read, and ``drop_contaminated`` gives them
+back under any names. Empty tables are fine: without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from tidemark.llm import common as C
 WINDOW = 13
 GRAM = 5
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Most rows of the benchmark side that are broadcast.
-BROADCAST_ROWS = 200_000
+#: Most bytes of benchmark windows that are broadcast, as counted; beyond it the same joins shuffle.
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,21 +55,25 @@ def _windows(length: int) -> str:
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, th, n_hit, items (sorted texts of item ids): one row a different hit document."""
-    items = with_words(benchmark.select("item_id", "text")).filter("size(w) > 0").select("item_id", "w")
-    items = C.cut(items.withColumn("len", F.least(F.size("w"), F.lit(window))))
-    lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most window numbers
+    items = with_words(benchmark.select("item_id", "text")).filter("size(w) > 0").select("item_id", F.array_join("w", " ").alias("item"))
+    # items of equal words are one text
+    items = C.cut(items)
+    different = items.select("item").distinct().withColumn("w", F.split("item", " ")).withColumn("len", F.least(F.size("w"), F.lit(window)))
+    different = C.cut(different)
+    lengths = sorted(r[0] for r in different.select("len").distinct().collect())  # at most window numbers
     prints = windows = None
     for n in lengths:
-        own = items.filter(F.col("len") == n)
+        own = different.filter(F.col("len") == n)
         p = own.select(F.lit(n).alias("len"), F.explode(F.expr(_fingerprints(n))).alias("print")).distinct()
-        v = own.select("item_id", F.explode(F.expr(_windows(n))).alias("v")).select("item_id", "v.len", "v.words").distinct()
+        v = own.select("item", F.explode(F.expr(_windows(n))).alias("v")).select("item", "v.len", "v.words").distinct()
         prints, windows = (p, v) if prints is None else (prints.unionByName(p), windows.unionByName(v))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     if prints is None:
         return keyed.limit(0).select("doc_id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     windows = C.cut(windows)
-    few = windows.count() <= BROADCAST_ROWS
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    known = C.cut(windows.select("len", "words").distinct().withColumn("window", F.monotonically_increasing_id()))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()[0]
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     # documents that share a fingerprint
     marks = F.expr("flatten(array(" + ", ".join(f"transform({_fingerprints(n)}, p -> struct({n} as len, p as print))" for n in lengths) + "))")
     shared = with_words(keyed).select("doc_id", "th", F.explode(marks).alias("m")).select("doc_id", "th", "m.len", "m.print")
@@ -77,13 +83,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     # their windows that are windows of items
     spread = F.expr("flatten(array(" + ", ".join(_windows(n) for n in lengths) + "))")
     of_docs = suspects.select("doc_id", "th", F.explode(spread).alias("v")).select("doc_id", "th", "v.at", "v.len", "v.words")
-    known = windows.select("len", "words").distinct()
-    hit = C.cut(of_docs.join(small(known), ["len", "words"], "left_semi"))
-    covered = "size(array_distinct(flatten(transform(collect_set(struct(at, len)), x -> sequence(x.at, x.at + x.len - 1)))))"
-    counts = hit.groupBy("doc_id", "th").agg(F.expr(covered).cast("long").alias("n_hit"))
-    listed = hit.select("doc_id", "th", "len", "words").distinct().join(small(windows), ["len", "words"]).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    listed = listed.withColumnsRenamed({"doc_id": "r_id", "th": "r_th"})
-    return counts.join(listed, counts["doc_id"].eqNullSafe(listed["r_id"]) & (counts["th"] == listed["r_th"])).select("doc_id", "th", "n_hit", "items")
+    hit = of_docs.join(small(known), ["len", "words"])
+    covered = "size(array_distinct(flatten(transform(spans, x -> sequence(x.at, x.at + x.len - 1)))))"
+    found = hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "len")).alias("spans"), F.sort_array(F.collect_set("window")).alias("windows"))
+    found = C.cut(found.select("doc_id", "th", F.expr(covered).cast("long").alias("n_hit"), F.xxhash64("windows", F.size("windows")).alias("set"), "windows"))
+    # items are told once for each different set of windows, however many documents have it
+    sets = found.groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
+    texts = sets.join(small(known), "window").join(small(windows), ["len", "words"]).select("set", "item").distinct()
+    listed = texts.join(items, "item").groupBy("set").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return found.join(listed, "set").select("doc_id", "th", "n_hit", "items")
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
