@@ -34,7 +34,7 @@ from tidemark.llm import common as C
 HOT = 50_000
 RUN = 2 << 20
 #: Bytes of text packed together, and words of the corpus to a bucket of counts.
-PACK, ROWS = 4 << 20, 3_000_000
+PACK, ROWS = 2 << 20, 1_000_000
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
