@@ -34,7 +34,7 @@ from tidemark.llm import common as C
 HOT = 50_000
 RUN = 2 << 20
 #: Bytes of text packed together, and words of the corpus to a bucket of counts.
-PACK, ROWS = 2 << 20, 1_000_000
+PACK, ROWS = 2 << 20, 3_000_000
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
@@ -181,9 +181,18 @@ def _exploded(table, buckets: int):
     return run
 
 
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The values packed in the rows of a binary column, one after another."""
+    parts = []
+    for c in column.chunks:
+        bounds = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _counted(packed: pa.Table) -> pa.Table:
     """All rows of a bucket to (key, gain): each trigram and its context are counted here, and gains summed by document."""
-    code, third, what, key, times = (np.frombuffer(b"".join(x.as_py() for x in packed[c]), t) for c, t in (("codes", np.int64), ("thirds", np.int32), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
+    code, third, what, key, times = (_joined(packed[c], t) for c, t in (("codes", np.int64), ("thirds", np.int32), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
     order = np.lexsort((third, code))
     code, third, what = code[order], third[order], what[order]
     new_code = np.diff(code, prepend=code[0] - 1) != 0
