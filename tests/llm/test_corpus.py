@@ -112,7 +112,7 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     x = vectors(np.random.default_rng(2), 400)
     rows = [(i, [float(v) for v in x[i]], int(i % 3 == 0)) for i in range(400)]
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [1.0, None], 1), (404, rows[3][1], None), (405, [], 1), (None, rows[1][1], 0), (406, [2.0, 2.0], 1), (407, [1.0, 1.0], 1)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({n: F.lit("x") for n in ("id", "unit", "k1", "cell", "n")})).collect()}
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     lab = np.array([r[2] for r in rows[:400]])

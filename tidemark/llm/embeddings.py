@@ -6,20 +6,21 @@ a vector of cell i can be that near to one of cell j only if it lies within r of
 two pivots: (d(x, pj)^2 - d(x, pi)^2) / (2 d(pi, pj)) <= r. It is then copied to cell j (only for j > i, so
 that each pair meets once), and cells join independently, with double-precision matrix products. A cell
 of more than ``BLOCK`` rows is joined by pairs of blocks. Workers hand on a count and one spanning link a
-row, never pairs.
+row, never pairs. There is a pivot for each ``BLOCK`` vectors of the largest label, as far as ``PIVOT_BYTES`` of
+them go (8,192 of 512 components): up to there cells do not grow with the data, past it they grow in proportion.
 
 Equal vectors of a label are collapsed first, whatever their number. Vectors that are null, empty, zero
 or hold null or non-finite components, and those without label or vec_id, link with nothing (without
 vec_id: kept, null component). Vectors of different length never link. Repeated rows are separate
-vectors of one vertex. An empty table gives an empty result.
+vectors of one vertex; equal distances to pivots go to the first. Columns beside vec_id, embedding and label are
+not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +29,31 @@ from tidemark.llm.graph import components
 
 COSINE = 0.98
 BLOCK = 2048
-#: Pivots are chosen among so many vectors at most, and are so many at most.
-SAMPLE, PIVOTS = 2048, 512
+#: Bytes of pivots at most, which are broadcast, and vectors to choose each among; and distances held at once.
+PIVOT_BYTES, CHOICE, CELLS = 32 << 20, 4, 1 << 20
 
 
 def _units(batches):
-    """(vec_id, embedding, label) to (vec_id, label, dim, key, unit); key and unit are null where nothing links."""
+    """(vec_id, embedding, label, k1, k2) to (vec_id, label, dim, k1, k2, unit); keys and unit are null where nothing links."""
     for b in batches:
         values = b["embedding"]
-        keys, units, dims = [], [], []
-        for r in range(len(b)):
-            key = unit = None
-            dim = 0
-            if values[r].is_valid and b["label"][r].is_valid and b["vec_id"][r].is_valid and values[r].values.null_count == 0:
-                x = values[r].values.to_numpy(zero_copy_only=False).astype(np.float64)
-                top = np.abs(x).max() if len(x) else 0.0
-                if np.isfinite(top) and top > 0:
-                    key = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                    x = x / top
-                    unit, dim = (x / np.sqrt(x @ x)).tobytes(), len(x)
-            keys.append(key), units.append(unit), dims.append(dim)
-        yield pa.record_batch([b["vec_id"], b["label"], pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "label", "dim", "key", "unit"])
+        sizes = pc.fill_null(values.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become nan
+        start = np.cumsum(sizes) - sizes
+        known = pc.and_(b["label"].is_valid(), b["vec_id"].is_valid()).to_numpy(zero_copy_only=False) & (sizes > 0)
+        units: list[bytes | None] = [None] * len(b)
+        for dim in np.unique(sizes[known]):
+            rows = np.flatnonzero(known & (sizes == dim))
+            x = flat[start[rows][:, None] + np.arange(dim)]
+            top = np.abs(x).max(1)
+            good = np.isfinite(top) & (top > 0)  # nan and infinity reach the maximum
+            x = x[good] / top[good][:, None]
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            for r, unit in zip(rows[good], x, strict=True):
+                units[r] = unit.tobytes()
+        none = np.array([u is None for u in units], bool)
+        keys = [pa.array(b[k].to_numpy(zero_copy_only=False), mask=none) for k in ("k1", "k2")]
+        yield pa.record_batch([b["vec_id"], b["label"], pa.array(np.where(none, 0, sizes).astype(np.int32)), *keys, pa.array(units, pa.binary())], ["vec_id", "label", "dim", "k1", "k2", "unit"])
 
 
 def _spread_out(sample: np.ndarray, count: int) -> np.ndarray:
@@ -78,16 +83,18 @@ def _cells(shared, r: float):
                 if p is None:
                     out_row.append(rows), out_cell.append(np.zeros(len(rows), np.int64)), out_home.append(np.ones(len(rows), bool))
                     continue
-                x = np.stack([np.frombuffer(b["unit"][int(i)].as_buffer()) for i in rows])
-                d = 2 - 2 * (x @ p.T)
-                home = d.argmin(1)
-                apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-18))
-                reach = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart[home]) <= r + 1e-9
-                reach &= np.arange(len(p))[None, :] > home[:, None]
-                i, j = np.nonzero(reach)
-                out_row += [rows, rows[i]]
-                out_cell += [home, j]
-                out_home += [np.ones(len(rows), bool), np.zeros(len(i), bool)]
+                step = max(1, CELLS // len(p))
+                for part in np.split(rows, range(step, len(rows), step)):
+                    x = np.stack([np.frombuffer(b["unit"][int(i)].as_buffer()) for i in part])
+                    d = 2 - 2 * (x @ p.T)
+                    home = d.argmin(1)
+                    apart = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 1e-18))
+                    reach = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart) <= r + 1e-9
+                    reach &= np.arange(len(p))[None, :] > home[:, None]
+                    i, j = np.nonzero(reach)
+                    out_row += [part, part[i]]
+                    out_cell += [home, j]
+                    out_home += [np.ones(len(part), bool), np.zeros(len(i), bool)]
             at = pa.array(np.concatenate(out_row) if out_row else np.zeros(0, np.int64))
             cell = pa.array((np.concatenate(out_cell) if out_cell else np.zeros(0)).astype(np.int64))
             yield pa.record_batch([*[b[c].take(at) for c in ("id", "label", "dim", "n", "unit")], cell, pa.array(np.concatenate(out_home) if out_home else np.zeros(0, bool))], ["id", "label", "dim", "n", "unit", "cell", "home"])
@@ -145,14 +152,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = embeddings.sparkSession
     r = float(np.sqrt(2 - 2 * cosine))
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    base = C.cut(source.mapInArrow(_units, "vec_id long, label string, dim int, key binary, unit binary"))
-    fine = base.filter("key is not null")
-    classes = C.cut(fine.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min_by("unit", "vec_id").alias("unit")))
+    source = source.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(2), "embedding"))
+    base = C.cut(source.mapInArrow(_units, "vec_id long, label string, dim int, k1 long, k2 long, unit binary"))
+    fine = base.filter("unit is not null")
+    classes = C.cut(fine.groupBy("label", "dim", "k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min_by("unit", "vec_id").alias("unit")))
     pivots = {}
     for dim, most in classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n")).orderBy(F.max("n").desc()).limit(64).collect():
         if most > BLOCK:  # fewer make one cell
-            rows = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("unit").limit(SAMPLE).collect()
-            pivots[dim] = _spread_out(np.stack([np.frombuffer(x[0]) for x in rows]), min(PIVOTS, -(-most // BLOCK)))
+            count = max(2, min(PIVOT_BYTES // (8 * dim), -(-most // BLOCK)))
+            rows = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("unit").limit(CHOICE * count).collect()
+            pivots[dim] = _spread_out(np.stack([np.frombuffer(x[0]) for x in rows]), count)
     shared = spark.sparkContext.broadcast(pivots)
     placed = classes.select("id", "label", "dim", "n", "unit").mapInArrow(_cells(shared, r), "id long, label string, dim int, n long, unit binary, cell long, home boolean")
     placed = C.cut(placed)
@@ -164,9 +173,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = C.cut(placed.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, other long"))
     joined = components(found.filter("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    rep = classes.select("label", "dim", "key", "id", "n").join(links, "id", "left").join(joined, "id", "left")
-    rep = rep.select("label", "dim", "key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("found"), F.coalesce("component", "id").alias("least"))
-    out = base.select("vec_id", "label", "dim", "key").join(rep, ["label", "dim", "key"], "left")
+    rep = classes.select("label", "dim", "k1", "k2", "id", "n").join(links, "id", "left").join(joined, "id", "left")
+    rep = rep.select("label", "dim", "k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("found"), F.coalesce("component", "id").alias("least"))
+    out = base.select("vec_id", "label", "dim", "k1", "k2").join(rep, ["label", "dim", "k1", "k2"], "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("found", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))
 
