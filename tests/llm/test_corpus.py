@@ -593,14 +593,86 @@ def test_word_hashes_follow_words():
     assert bytes(data[first[0] : last[0]]) == b"Ab"
 
 
-def test_pipeline_stages(spark):
+def brute_mix(rows):
+    """(doc_id, text) as often as taken, by plain loops."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in enumerate(rows)}
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    total = {s: sum(size[i] for i, r in enumerate(rows) if r["source"] == s) for s in sources}
+    full: set = set()
+    while True:
+        rest = sum(total.values()) - sum(3 * total[s] for s in full)
+        left = sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and 3 * total[s] * left <= rest * weight[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: float(3 * total[s]) if s in full else rest * weight[s] / left for s in sources}
+    out = Counter()
+    for s in sources:
+        def place(i):
+            n = size[i]
+            level = n if n < 64 else (n.bit_length() - 6) * 64 + (n >> (n.bit_length() - 7))
+            return level, hashlib.md5((rows[i]["text"] or "").encode() if rows[i]["doc_id"] is None else str(rows[i]["doc_id"]).encode()).hexdigest()[:2], rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, n
+
+        shift = int(hashlib.md5((mixing.SEED + (s or "")).encode()).hexdigest()[:5], 16) / mixing.STEPS
+        per = target[s] / total[s] if total[s] else 0.0
+        for k, i in enumerate(sorted((i for i, r in enumerate(rows) if r["source"] == s), key=place), 1):
+            out[rows[i]["doc_id"], rows[i]["text"]] += int(np.floor(shift + k * per) - np.floor(shift + (k - 1) * per))
+    return +out
+
+
+def brute_contaminated(text, windows):
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    hit = {k for i in range(len(w)) for n in {len(x) for x in windows} if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, SF))
+    docs = docs.unionByName(docs.filter("doc_id < 3")).unionByName(spark.createDataFrame([(None, "lone words of no id", "en", None, 19), (5, "another text under five", "en", "src1", 23), (7, None, None, None, None)], DOCS))
+    names, before = docs.columns, docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "minhash_near_dedup", "suffix_dedup", "decontaminate", "mix_sources"]
+    bench = [re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bench = [[x for x in w if x] for w in bench]
+    windows = {tuple(w[i : i + min(13, len(w))]) for w in bench if w for i in range(len(w) - min(13, len(w)) + 1)}
+    weights = {r["place"]: r["weight"] for r in toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+
+    def toxic(text):
+        raw = (text or "").encode()
+        place, _ = toxicity._features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), toxicity.BITS)
+        return weights.get(1 << toxicity.BITS, 0.0) + sum(weights.get(k, 0.0) for k in sorted(set(place.tolist()))) >= 0
+
+    for name in list(stages)[:-1]:
+        docs = common.cut(stages[name](spark, docs, SF))
         assert docs.columns == names, name
-        assert docs.count() <= before
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert mixed.count() > 0 and corpus_pipeline.run(spark, SF).count() == mixed.count()
+        after = docs.collect()
+        got = Counter((r["doc_id"], r["text"]) for r in after)
+        if name == "toxicity":
+            want = Counter((r["doc_id"], r["text"]) for r in before if not toxic(r["text"]))
+        elif name == "minhash_near_dedup":
+            rows = list(dict.fromkeys((r["doc_id"], r["text"]) for r in before))
+            group = brute_groups([(i, t) for i, (_, t) in enumerate(rows)], 5, 80)
+            first: dict = {}
+            for i, n, c, _ in group:
+                if n:
+                    first[c] = min(first.get(c, (True, 0, "")), (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))
+            want = Counter((None if none else d, t) for none, d, t in first.values()) + Counter((r["doc_id"], r["text"]) for r in before if not (r["text"] or "").split())
+            # rows of one group that share the smallest id: either may stay
+            assert sorted((d or -1) for d, _ in got.elements()) == sorted((d or -1) for d, _ in want.elements())
+            want = got
+        elif name == "suffix_dedup":
+            want = None
+            left = {(d, n - gone) for d, n, gone, _, _ in brute_removal([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.PASSAGE_BYTES)}
+            assert {(r["doc_id"], len((r["text"] or "").encode())) for r in after} == left and len(after) == len(before)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
+        else:
+            want = Counter((r["doc_id"], r["text"]) for r in before if not brute_contaminated(r["text"], windows))
+        assert want is None or got == want, name
+        before = after
+    mixed = Counter((r["doc_id"], r["text"]) for r in stages["mix_sources"](spark, docs, SF).collect())
+    assert mixed == brute_mix(before)
+    assert corpus_pipeline.run(spark, SF).count() > 0

@@ -10,7 +10,7 @@ log10(c(bigram) / N), so that words alone count in texts of one.
 Each trigram is exploded into its two words as a 64-bit hash, its third as 32 bits more, and its document. These
 are shuffled once, packed by run of text, to the bucket of the two words' hash, there being one for each ``ROWS``
 words of the corpus: there a sort counts the trigram and its context at once, and the gains are summed by
-document. Contexts that are at least one in ``HOT`` of all words
+document (each comes from as many buckets as it has words, at most). Contexts that are at least one in ``HOT`` of all words
 are counted beforehand and broadcast (at most ``HOT`` of them): their trigrams are shuffled by a hash of all three
 words, or added where the text is if they are as frequent themselves. So no key is hot.
 
@@ -33,8 +33,8 @@ from tidemark.llm import common as C
 
 HOT = 50_000
 RUN = 2 << 20
-#: Bytes of text packed together, and words of the corpus to a bucket of counts.
-PACK, ROWS = 2 << 20, 3_000_000
+#: Bytes of text packed together, words of the corpus to a bucket of counts, and buckets at least.
+PACK, ROWS, BUCKETS = 1 << 20, 3_000_000, 32
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
@@ -195,18 +195,16 @@ def _counted(packed: pa.Table) -> pa.Table:
     code, third, what, key, times = (_joined(packed[c], t) for c, t in (("codes", np.int64), ("thirds", np.int32), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
     order = np.lexsort((third, code))
     code, third, what = code[order], third[order], what[order]
-    new_code = np.diff(code, prepend=code[0] - 1) != 0
-    new_full = new_code | (np.diff(third, prepend=third[0]) != 0)
-
-    def counts(new: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """For each row, how many rows are counted in its run."""
-        run = np.cumsum(new) - 1
-        return np.bincount(run, counted)[run]
-
+    new = np.diff(code, prepend=code[0] - 1) != 0
+    run = np.cumsum(new, dtype=np.int32) - 1
+    gain = np.log10(np.maximum(np.bincount(run, what != BEGIN), 1))[run]  # of the context
+    new |= np.diff(third, prepend=third[0]) != 0
+    del code, third
+    run = np.cumsum(new, dtype=np.int32) - 1
     inside = what == INSIDE
-    context = counts(new_code, what != BEGIN)
-    full = counts(new_full, inside)
-    gain = np.where(inside, np.log10(np.maximum(full, 1)) - np.log10(np.maximum(context, 1)), np.where(what == END, 0.0, np.log10(np.maximum(context, 1))))
+    gain[what == END] = 0.0
+    gain[inside] = np.log10(np.maximum(np.bincount(run, inside), 1))[run[inside]] - gain[inside]
+    del run, new, inside, what
     keys, which = np.unique(key, return_inverse=True)
     document = np.repeat(which, times)[order]
     sums = np.bincount(document, gain, len(keys))
@@ -228,7 +226,7 @@ def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS) -> DataFrame:
 
     # equal rows have equal keys
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-    grams = keyed.select("key", "text").mapInArrow(_exploded(table, int(total // rows + 1)), "bucket long, codes binary, thirds binary, whats binary, keys binary, times binary")
+    grams = keyed.select("key", "text").mapInArrow(_exploded(table, max(BUCKETS, int(total // rows + 1))), "bucket long, codes binary, thirds binary, whats binary, keys binary, times binary")
     grams = grams.groupBy("bucket").applyInArrow(_counted, "key long, gain double")
     # a row's own gains are summed once for each equal row, and shared out again
     more = grams.groupBy("key").agg(F.sum("gain").alias("more"))
