@@ -308,6 +308,19 @@ def test_empty_batch_moves_nothing(spark, store):
     assert store.manifest()["position"] is None and store.manifest()["batch"] == 0
 
 
+def test_beats_come_while_nothing_changes(spark, tmp_path):
+    from tidemark.streaming.metrics import heartbeat
+
+    q = heartbeat(spark, 10).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="100 milliseconds").start(f"file://{tmp_path}/beats")
+    for _ in range(60):
+        if (q.lastProgress or {}).get("batchId", 0) >= 2:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    rows = sorted(r["beat_at"].timestamp() for r in spark.read.parquet(f"file://{tmp_path}/beats").collect())
+    assert len(rows) >= 2 and all(b - a == 10 for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_pages_cover_each_row_once(spark):
     from tidemark.operators import chunks
 

@@ -6,23 +6,37 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def page_bounds(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(page, lo, hi, rows) of runs of ``size`` keys in order, from one sort by ranges.
+
+    Keys are numbered inside their range; only one count a range is summed up.
+    """
+    ranged = df.select(key).repartitionByRange(key).withColumn("_r", F.spark_partition_id()).persist()
+    ahead = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
+    numbered = ranged.join(F.broadcast(counts.select("_r", "_before")), "_r").withColumn("page", F.floor(place / size).cast("bigint"))
+    return numbered.groupBy("page").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
 
 
 def pages(df: DataFrame, key: str, size: int, most: int | None = None) -> Iterator[tuple[int, int, int]]:
     """(after, upto, rows) of each page in key order, until the table or ``most`` rows are used up.
 
-    Only page bounds reach the driver: one row a page, found by filtering past the last key.
+    Only page bounds reach the driver, one row a page. The last page that ``most`` allows is whole if the limit
+    falls between pages, else it is looked up on its own.
     """
-    after, left = None, most
-    while left is None or left > 0:
-        take = size if left is None else min(size, left)
-        rest = df if after is None else df.filter(F.col(key) > after)
-        found = rest.select(key).orderBy(key).limit(take).agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-        if not found[2]:
+    left = most
+    for r in page_bounds(df, key, size).orderBy("page").collect():
+        lo, hi, rows = r["lo"], r["hi"], r["rows"]
+        if left is not None and left <= 0:
             return
-        yield found[0] if after is None else after + 1, found[1], found[2]
-        after = found[1]
-        left = None if left is None else left - found[2]
+        if left is not None and rows > left:
+            hi, rows = df.filter(F.col(key).between(lo, hi)).select(key).orderBy(key).limit(left).agg(F.max(key), F.count(F.lit(1))).first()
+        yield lo, hi, rows
+        left = None if left is None else left - rows
 
 
 def chunked_update(df: DataFrame, key: str, size: int, change: dict[str, Column], commit: Callable[[DataFrame], None], most: int | None = None) -> int:

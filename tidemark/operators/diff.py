@@ -14,8 +14,11 @@ def _get(image: Column, name: Column) -> Column:
     return F.try_element_at(image, name)
 
 
-def field_diff(before: Column, after: Column) -> Column:
-    """(identifiable, changed, unreadable): without both images nothing can be told; an absent field is null."""
+def field_diff(before: Column, after: Column, absent_is_null: bool = True) -> Column:
+    """(identifiable, changed, unreadable): without both images nothing can be told.
+
+    An absent field is null, or, if that is not wanted, a field that only one image has is changed.
+    """
     names = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
 
     def hidden(c: Column) -> Column:
@@ -23,7 +26,12 @@ def field_diff(before: Column, after: Column) -> Column:
 
     known = before.isNotNull() & after.isNotNull()
     none = F.array().cast("array<string>")
-    changed = F.filter(names, lambda c: ~_get(before, c).eqNullSafe(_get(after, c)) & ~hidden(c))
+
+    def other(c: Column) -> Column:
+        differs = ~_get(before, c).eqNullSafe(_get(after, c))
+        return differs if absent_is_null else differs | (F.map_contains_key(before, c) != F.map_contains_key(after, c))
+
+    changed = F.filter(names, lambda c: other(c) & ~hidden(c))
     return F.struct(
         known.alias("identifiable"), F.when(known, changed).otherwise(none).alias("changed"), F.when(known, F.filter(names, hidden)).otherwise(none).alias("unreadable")
     )

@@ -19,6 +19,13 @@ def gaps(checkpoints: DataFrame, slots: DataFrame) -> DataFrame:
     return both.select("pipeline", "last_applied", "restart", reason.alias("reason")).filter("reason is not null")
 
 
+def slot_states(pipelines: DataFrame, log: DataFrame) -> DataFrame:
+    """(pipeline, present, restart): whether a log still has anything for a pipeline, and from where on (0 if not)."""
+    kept = log.groupBy(F.col("pipeline").alias("_p")).agg(F.min("lsn").alias("_restart"))
+    both = pipelines.join(kept, pipelines["pipeline"] == kept["_p"], "left")
+    return both.select("pipeline", F.col("_p").isNotNull().alias("present"), F.coalesce("_restart", F.lit(0)).cast("bigint").alias("restart"))
+
+
 class CaptureGap(RuntimeError):
     """Raised before a stream starts on a log with a gap."""
 

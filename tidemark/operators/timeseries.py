@@ -127,6 +127,17 @@ def otherwise(a: DataFrame, b: DataFrame, labels: list[str]) -> DataFrame:
     return a.unionByName(b.join(a.select(*labels).distinct(), labels, "left_anti"))
 
 
+def or_zero(a: DataFrame) -> DataFrame:
+    """The values of a, or one 0 if it has no row."""
+    none = a.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(0.0).alias("value"))
+    return a.select(F.col("value").cast("double").alias("value")).unionByName(none)
+
+
+def seconds_since(samples: DataFrame, now: str) -> DataFrame:
+    """Samples whose value is a time in seconds, as ages at an instant."""
+    return samples.withColumn("value", F.unix_micros(F.lit(now).cast("timestamp")) / 1e6 - F.col("value"))
+
+
 def absent(a: DataFrame) -> DataFrame:
     """One row (value 1) if a has none."""
     return a.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(1.0).alias("value"))

@@ -832,6 +832,80 @@ def message_decode(spark, d):
     return changes.decode(m).select("lsn", "op", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"), "source_ts_ms")
 
 
+MESSAGES_SQL = "m as (select seq as lsn, case seq % 9 when 0 then 'begin' when 1 then 'insert' when 2 then 'update' when 3 then 'delete' when 4 then 'snapshot_row' when 5 then 'commit' when 6 then 'truncate' when 7 then 'garbage' end as kind, table_name from log)"
+
+
+def _messages(spark, d):
+    kinds = F.array(*[F.lit(k) for k in ("begin", "insert", "update", "delete", "snapshot_row", "commit", "truncate", "garbage", None)])
+    return log(spark, d).select(F.col("seq").alias("lsn"), F.element_at(kinds, (F.col("seq") % 9 + 1).cast("int")).alias("kind"), F.col("table_name").alias("table"))
+
+
+@query(f""", {MESSAGES_SQL} select lsn, true as broken, '{{"kind":' || case when kind is null then 'null' else '"' || kind || '"' end || ',"table":"' || table_name || '","lsn":' || lsn || '}}' as raw from m where kind is null or kind = 'garbage'""")
+def message_undecodable(spark, d):
+    return changes.undecodable(_messages(spark, d))
+
+
+@query(f", {MESSAGES_SQL} select max(lsn) as position, count(*) filter (where kind in ('insert', 'update', 'delete', 'snapshot_row')) as data, count(*) filter (where kind in ('begin', 'commit', 'truncate')) as silent, count(*) filter (where kind is null or kind = 'garbage') as undecodable from m")
+def message_acknowledged(spark, d):
+    return changes.acknowledged(_messages(spark, d))
+
+
+@query(", p as (select distinct table_name as pipeline from log union all select 'gone') select pipeline, r.restart is not null as present, coalesce(r.restart, 0)::bigint as restart from p left join (select table_name, min(seq) as restart from log where seq > 3000 group by 1) r on r.table_name = p.pipeline")
+def slot_states(spark, d):
+    x = log(spark, d).select(F.col("table_name").alias("pipeline"), F.col("seq").alias("lsn"))
+    named = x.select("pipeline").distinct().unionByName(spark.createDataFrame([("gone",)], "pipeline string"))
+    return guard.slot_states(named, x.filter("lsn > 3000"))
+
+
+@query("with p as (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 700 as page from orders where o_orderkey % 3 <> 1) select page, min(o_orderkey) as lo, max(o_orderkey) as hi, count(*) as rows from p group by page")
+def keyset_pages(spark, d):
+    return chunks.page_bounds(t(spark, d, "orders").filter("o_orderkey % 3 <> 1"), "o_orderkey", 700)
+
+
+@query("select 'none' as which, 0.0::double as value union all select 'some', max(o_orderkey)::double from orders")
+def or_zero(spark, d):
+    o = t(spark, d, "orders").agg(F.max("o_orderkey").cast("double").alias("value"))
+    return S.or_zero(o.filter("value < 0")).select(F.lit("none").alias("which"), "value").unionByName(S.or_zero(o).select(F.lit("some").alias("which"), "value"))
+
+
+@query(f"select user_id, round(epoch_us(timestamp '{NOW}') / 1e6 - min(epoch_us(ts)) / 1e6, 6) as value from events group by user_id")
+def uptime(spark, d):
+    started = t(spark, d, "events").groupBy("user_id").agg((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("value"))
+    return S.seconds_since(started, NOW).withColumn("value", F.round("value", 6))
+
+
+@query(f"with b as (select user_id % 3 as pipeline, to_timestamp((epoch_us(ts) // 10000000 * 10)::double)::timestamp as beat_at from events) select pipeline, max(beat_at) as beat_at, date_diff('second', max(beat_at), timestamp '{NOW}')::bigint as age from b group by pipeline")
+def heartbeat_state(spark, d):
+    """One row a pipeline, rewritten by each beat (every ten seconds in which there was one)."""
+    at = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 10) * 10).cast("timestamp_ntz")
+    beats = t(spark, d, "events").select((F.col("user_id") % 3).alias("pipeline"), at.alias("beat_at")).distinct()
+    rows = merge.last_arrival(None, beats.select("pipeline", F.unix_micros(F.col("beat_at").cast("timestamp")).alias("arrival"), F.lit("u").alias("op"), "beat_at"), "pipeline", ["beat_at"])
+    return rows.withColumn("age", F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds(F.col("beat_at").cast("timestamp")))
+
+
+@query("""select 'wal_bytes_total' as name, sum(strlen(props))::double as value from events union all select 'connections', count(distinct user_id) from events
+union all select 'wide_values', count(*) filter (where strlen(text) > 2000) from documents union all select 'wide_bytes', coalesce(sum(strlen(text)) filter (where strlen(text) > 2000), 0) from documents union all select 'database_bytes', sum(strlen(text)) from documents""")
+def source_figures(spark, d):
+    """What an exporter reads off a source: bytes of log and of tables, sessions, values too wide to stay in their row."""
+    e, x = t(spark, d, "events"), t(spark, d, "documents")
+    n = F.octet_length("text")
+    a = e.agg(F.sum(F.octet_length("props")).alias("wal_bytes_total"), F.count_distinct("user_id").alias("connections"))
+    b = x.agg(F.count_if(n > 2000).alias("wide_values"), F.coalesce(F.sum(F.when(n > 2000, n)), F.lit(0)).alias("wide_bytes"), F.sum(n).alias("database_bytes"))
+    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("r")).select("r.*")
+    return long(a).unionByName(long(b))
+
+
+@query(", x as (select seq, op, event_type, lag(event_type) over (partition by row_id order by seq) as pk, lag(seq) over (partition by row_id order by seq) as ps from log) select seq, case when ps is null then '' else array_to_string(list_filter([case when seq % 4 = 0 then 'amount' end, case when event_type is distinct from pk then 'kind' end], lambda z: z is not null), ',') end as changed from x")
+def field_diff_one_sided(spark, d):
+    """A field that only one image has counts as changed, be it null there."""
+    x = changes_of(spark, d)
+    drop = lambda m, names: F.map_filter(m, lambda k, _: ~k.isin(*names))
+    null = F.create_map(F.lit("amount"), F.lit(None).cast("string"))
+    after = F.when(F.col("seq") % 4 == 0, F.map_concat(drop(F.col("after"), ["amount"]), null)).otherwise(drop(F.col("after"), ["amount"]))
+    f = diff.field_diff(drop(F.col("before"), ["amount"]), after, absent_is_null=False)
+    return x.select("seq", F.array_join(f["changed"], ",").alias("changed"))
+
+
 @query("select o_orderkey // 1000 as page, count(*) as rows, max(o_orderkey) as last from orders group by 1")
 def chunk_totals(spark, d):
     return chunks.page_totals(t(spark, d, "orders"), "o_orderkey", 1000)

@@ -76,12 +76,34 @@ def snapshot_tables(tables: list[str], without: tuple[str, ...] = ("cdc_heartbea
     return [t for t in tables if t not in without]
 
 
+#: Kinds of replication messages that only move the position.
+SILENT = ("begin", "commit", "truncate", "relation", "keepalive")
+DATA = {"insert": "c", "update": "u", "delete": "d", "snapshot_row": "r"}
+
+
+def undecodable(messages: DataFrame) -> DataFrame:
+    """Messages of no known kind, with their raw text, as rows that can be quarantined."""
+    known = F.coalesce(F.col("kind").isin(*SILENT, *DATA), F.lit(False))
+    raw = F.to_json(F.struct("kind", "table", "lsn"), {"ignoreNullFields": "false"})
+    return messages.filter(~known).select("lsn", F.lit(True).alias("broken"), raw.alias("raw"))
+
+
+def acknowledged(messages: DataFrame) -> DataFrame:
+    """(position, data, silent, undecodable): how far the log may be released once a batch is committed.
+
+    Messages without rows, and those that went to quarantine, move the position as well.
+    """
+    kind = F.col("kind")
+    known = F.coalesce(kind.isin(*SILENT, *DATA), F.lit(False))
+    return messages.agg(F.max("lsn").alias("position"), F.count_if(kind.isin(*DATA)).alias("data"), F.count_if(kind.isin(*SILENT)).alias("silent"), F.count_if(~known).alias("undecodable"))
+
+
 def decode(messages: DataFrame) -> DataFrame:
     """Replication messages (kind, old, new, table, lsn, sent_ms) as change events.
 
     Inserts, updates, deletes and rows of a snapshot count (the last without a time); other kinds go.
     """
-    op = F.when(F.col("kind") == "insert", "c").when(F.col("kind") == "update", "u").when(F.col("kind") == "delete", "d").when(F.col("kind") == "snapshot_row", "r")
+    op = F.create_map(*[F.lit(x) for pair in DATA.items() for x in pair])[F.col("kind")]
     out = messages.withColumn("op", op).filter("op is not null")
     return out.select(
         "table", "op", F.when(F.col("op").isin("u", "d"), F.col("old")).alias("before"), F.when(F.col("op") != "d", F.col("new")).alias("after"), "lsn",
