@@ -180,7 +180,10 @@ def test_outbox_cycles_restart_and_prune(spark, tmp_path, store):
     assert {r["id"]: (r["deleted"], r["source_seq"]) for r in store.read("grade").collect()} == {1: (False, 6), 3: (False, 6)} and store.read("car").count() == 1
     log.append(spark.createDataFrame([(2, "grade", 1, "u", 0)], "seq long, table_name string, row_id long, op string, t long").withColumn("changed_at", F.timestamp_seconds("t")))  # as if a prune was lost
     second = worker()  # a restart goes on from the checkpoint
-    assert second.run_once() == 4 and second.run_once() == 0 and log.rows().count() == 0 and second.meters.get("outbox_pending") == 0
+    assert second.run_once() == 4 and second.run_once() == 0 and log.rows().count() == 0 and log.store.read("sync_outbox").count() == 13
+    log.vacuum()
+    assert log.store.read("sync_outbox").count() == 0
+    assert second.meters.get("outbox_pending") == 0
     assert {r["id"]: (r["deleted"], r["source_seq"]) for r in store.read("grade").collect()} == {1: (True, 12), 3: (False, 12)}
     assert (store.read("car") is None or store.read("car").count() == 0) and store.manifest()["position"] == 12
 

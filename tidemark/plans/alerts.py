@@ -67,54 +67,50 @@ def series_of(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.filter(F.col("metric").isin(*names)).select("metric", text.alias("series"), "ts", "value")
 
 
-def values(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(series, ts, value) that a rule compares, from rows of series_of."""
-    def of(name: str) -> DataFrame:
-        return rows.filter(F.col("metric") == name).select("series", "ts", "value")
-
-    out = of(rule.metric)
-    if rule.minus:  # both sides without labels, at equal times
-        top = out.groupBy("ts").agg(F.max("value").alias("value"))
-        out = top.join(of(rule.minus).groupBy("ts").agg(F.max("value").alias("less")), "ts").select(F.lit("{}").alias("series"), "ts", (F.col("value") - F.col("less")).alias("value"))
-    if rule.make == "increase":
-        out = S.increase(out, ["series"], rule.window).select("series", "ts", F.col("increase").alias("value"))
-    elif rule.make == "changes":
-        out = S.changes(out, ["series"], rule.window).select("series", "ts", F.col("changes").cast("double").alias("value"))
-    elif rule.make == "since":
-        out = out.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    if rule.total:
-        out = out.groupBy("ts").agg(F.sum("value").alias("value")).select(F.lit("{}").alias("series"), "ts", "value")
-    return out
+def made(rows: DataFrame, make: str, window: int) -> DataFrame:
+    """(metric, series, ts, value): what is made of samples before they are compared."""
+    by = ["metric", "series"]
+    if make == "increase":
+        rows = S.increase(rows, by, window).withColumn("value", F.col("increase"))
+    elif make == "changes":
+        rows = S.changes(rows, by, window).withColumn("value", F.col("changes").cast("double"))
+    elif make == "since":
+        rows = rows.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return rows.select(*by, "ts", "value")
 
 
-def _key(rule: Rule) -> tuple:
-    return (rule.metric, rule.make, rule.window, rule.minus, rule.total)
+def less(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """The greatest sample of one metric less that of another at equal times, without labels."""
+    top = rows.groupBy("ts").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((one, "a"), (other, "b"))])
+    return top.filter("a is not null and b is not null").select(F.lit(one).alias("metric"), F.lit("{}").alias("series"), "ts", (F.col("a") - F.col("b")).alias("value"))
 
 
 def all_fired(metrics: DataFrame, rules=RULES, every: int = 60) -> DataFrame:
     """(alert, series, began, ended) of the times rules fired, for samples at most ``every`` seconds apart.
 
-    What rules compare is made once for each thing compared, however many rules and gates use it; the rules
-    themselves are rows that are joined to it, and one window over all of them tells how long they held.
+    Samples are gone through once for each way of making what is compared, whatever the number of rules: these
+    are rows that the samples of their metric meet, and one window over all of them tells how long they held.
     """
     gates = [r.gate for r in rules if r.gate]
     names = sorted({n for r in [*rules, *gates] for n in (r.metric, r.minus) if n})
     rows = series_of(metrics, names)
-    made = {}
+    ways: dict[tuple, list[Rule]] = {}
     for r in [*rules, *gates]:
-        made.setdefault(_key(r), values(rows, r))
-    out = None
-    for key, found in made.items():
-        mine = [r for r in rules if _key(r) == key]
-        if not mine:
-            continue
-        told = F.explode(F.array(*[F.struct(F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{_key(r.gate)} {r.gate.test}").alias("gate"), F.coalesce(F.expr(r.test), F.lit(False)).alias("ok")) for r in mine]))
-        one = found.select("series", "ts", told.alias("r")).select("r.*", "series", "ts")
-        out = one if out is None else out.unionByName(one)
-    opened = None
-    for g in {f"{_key(g)} {g.test}": g for g in gates}.items():
-        one = made[_key(g[1])].filter(F.expr(g[1].test)).select(F.lit(g[0]).alias("_gate"), F.col("ts").alias("_at")).distinct()
-        opened = one if opened is None else opened.unionByName(one)
+        ways.setdefault((r.make, r.window, r.minus and (r.metric, r.minus)), []).append(r)
+    out = opened = None
+    for (make, window, pair), some in ways.items():
+        own = less(rows.filter(F.col("metric").isin(*pair)), *pair) if pair else rows.filter(F.col("metric").isin(*{r.metric for r in some}))
+        found = made(own, make, window)
+        mine = [r for r in some if r in rules]
+        if mine:
+            told = [F.struct(F.lit(r.metric).alias("of"), F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{r.gate}").alias("gate"), F.coalesce(F.expr(r.test), F.lit(False)).alias("ok")) for r in mine]
+            one = found.select("series", "ts", F.explode(F.filter(F.array(*told), lambda r: r["of"] == F.col("metric"))).alias("r")).select("r.*", "series", "ts").drop("of")
+            out = one if out is None else out.unionByName(one)
+        for g in {r for r in some if r in gates}:
+            of = found.filter(F.col("metric") == g.metric)
+            of = of.groupBy("ts").agg(F.sum("value").alias("value")) if g.total else of
+            one = of.filter(F.expr(g.test)).select(F.lit(f"{g}").alias("_gate"), F.col("ts").alias("_at")).distinct()
+            opened = one if opened is None else opened.unionByName(one)
     if opened is not None:
         out = out.join(opened, (F.col("gate") == F.col("_gate")) & (F.col("ts") == F.col("_at")), "left")
         out = out.withColumn("ok", F.col("ok") & (F.col("gate").isNull() | F.col("_at").isNotNull())).drop("_gate", "_at")

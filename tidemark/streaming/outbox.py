@@ -9,13 +9,14 @@ The log is pruned after it; a crash between the two only leaves entries that the
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import merge
-from tidemark.operators.fold import fold, oldest_change
+from tidemark.operators.fold import fold
 from tidemark.operators.mapping import mapped
 from tidemark.schemas import OUTBOX, SPECS, TableSpec
 from tidemark.sources import changes
@@ -40,13 +41,20 @@ def applied(target: DataFrame | None, source: DataFrame, folded: DataFrame, spec
 
 
 class Outbox:
-    """A key-only log kept in a store, as its source would keep it."""
+    """A key-only log kept in a store, as its source would keep it.
+
+    Pruning moves a mark, below which nothing is read any more; ``vacuum`` rewrites the log without it.
+    """
 
     def __init__(self, store: Store, table: str = "sync_outbox"):
         self.store, self.table = store, table
 
+    def pruned(self) -> int | None:
+        return self.store.manifest()["marks"].get(self.table)
+
     def rows(self) -> DataFrame:
-        return self.store.read(self.table, OUTBOX)
+        kept, upto = self.store.read(self.table, OUTBOX), self.pruned()
+        return kept if upto is None else kept.filter(F.col("seq") > upto)
 
     def append(self, entries: DataFrame) -> None:
         self.store.commit(self.store.manifest()["batch"] + 1, None, append={self.table: entries.select(*OUTBOX.names)})
@@ -58,8 +66,13 @@ class Outbox:
         return self.rows().filter(F.col("seq") > after).count()
 
     def prune(self, upto: int) -> None:
-        """Remove what has been applied; harmless to repeat."""
-        self.store.commit(self.store.manifest()["batch"] + 1, None, {self.table: self.rows().filter(F.col("seq") > upto)})
+        """Let go of what has been applied; harmless to repeat."""
+        old = self.pruned()
+        self.store.commit(self.store.manifest()["batch"] + 1, None, marks={self.table: upto if old is None else max(old, upto)})
+
+    def vacuum(self) -> None:
+        """Rewrite the log without what was pruned; its files go with the store's next ``prune``."""
+        self.store.commit(self.store.manifest()["batch"] + 1, None, {self.table: self.rows()})
 
 
 class Worker:
@@ -74,17 +87,21 @@ class Worker:
         after = self.store.manifest()["position"] or 0
         batch = self.outbox.poll(after, self.size).persist()
         try:
-            raw, top = batch.agg(F.count(F.lit(1)), F.max("seq")).first()
-            if not raw:
+            by_table = batch.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("top"), F.min(F.unix_micros(F.col("changed_at").cast("timestamp"))).alias("oldest")).collect()  # one row a table
+            if not by_table:
                 self.meters.set("outbox_pending", 0)
                 self.meters.cycle()
                 return 0
+            raw, top = sum(r["n"] for r in by_table), max(r["top"] for r in by_table)
             folded = fold(batch).persist()
-            counts = {(r["table_name"], r["is_delete"]): r["n"] for r in folded.groupBy("table_name", "is_delete").agg(F.count(F.lit(1)).alias("n")).collect()}
+            figures = folded.groupBy("table_name", "is_delete", bucket_of("row_id", self.buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by tables and buckets
+            counts = Counter()
+            for r in figures:
+                counts[r["table_name"], r["is_delete"]] += r["n"]
             replace, touched = {}, {}
             for name in sorted({t for t, _ in counts} & set(self.specs)):
                 spec, own = self.specs[name], folded.filter(F.col("table_name") == name)
-                touched[name] = sorted(r[0] for r in own.select(bucket_of("row_id", self.buckets)).distinct().collect())  # bounded by the buckets
+                touched[name] = sorted({r["bucket"] for r in figures if r["table_name"] == name})
                 target = self.store.read(name, buckets=touched[name])
                 replace[name] = applied(target, self.source(name), own, spec, top).withColumn(BUCKET, bucket_of(spec.key, self.buckets))
             self.store.commit(self.store.manifest()["batch"] + 1, top, replace, touched=touched)
@@ -93,8 +110,8 @@ class Worker:
                     self.meters.add("applied_total", n, table=table, op="d" if gone else "u")
             self.meters.add("outbox_read_total", raw)
             self.meters.add("outbox_folded_total", sum(counts.values()))
-            for r in oldest_change(batch).select("table_name", F.unix_micros(F.col("oldest").cast("timestamp")).alias("us")).collect():  # one row a table
-                self.meters.time("lag_seconds", max(0.0, self.clock() - r["us"] / 1e6), table=r["table_name"])
+            for r in by_table:
+                self.meters.time("lag_seconds", max(0.0, self.clock() - r["oldest"] / 1e6), table=r["table_name"])
             folded.unpersist()
         finally:
             batch.unpersist()
