@@ -25,6 +25,8 @@ from tidemark.llm import common as C
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ROUNDS = 60  # of the SQL, which cannot tell when ranks are settled
+#: Rounds in one plan, after which ranks are written and looked at.
+TOGETHER = 4
 #: Links of a host that are joined together.
 SLICE = 200_000
 #: Ranks are settled when they change by no more in sum and no further host is reached; an error after so many rounds.
@@ -71,11 +73,18 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, dampin
     edges = C.cut(edges.join(degree, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("slices")).alias("slice")))
     degree = C.cut(degree.withColumnRenamed("src", "host"))
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank, last = seeds.select("host", F.col("seed").alias("rank")), None
-    for _ in range(rounds):
+
+    def moved(rank: DataFrame) -> DataFrame:
         sent = rank.join(degree, "host").select(F.col("host").alias("src"), (F.col("rank") / F.col("out") * damping).alias("rank"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
-        moved = edges.join(sent, ["src", "slice"]).groupBy("dst").agg(F.sum("rank").alias("rank")).select(F.col("dst").alias("host"), "rank")
-        sums = moved.unionByName(start).withColumn("was", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+        received = edges.join(sent, ["src", "slice"]).select(F.col("dst").alias("host"), "rank")
+        return received.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+
+    rank, last = seeds.select("host", F.col("seed").alias("rank")), None
+    for done in range(0, rounds, TOGETHER):
+        now = rank
+        for _ in range(min(TOGETHER, rounds - done)):
+            now = moved(now)
+        sums = now.withColumn("was", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
         both = C.cut(sums.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
         if last is not None:
             C.drop(last)
