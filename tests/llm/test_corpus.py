@@ -167,8 +167,9 @@ def test_repeated_strings_against_brute_force(spark, least):
         x = "".join(rng.choice([rng.choice(base)[rng.randrange(150) : rng.randrange(150, 300)], word(rng.randrange(3, 40)), "x" * rng.randrange(1, 150)]) for _ in range(rng.randrange(9)))
         rows.append((i // 2 if i % 9 else None, x if i % 17 else None))
     rows += rows[:8]
-    got = sorted(map(tuple, suffix.removal(spark.createDataFrame(rows, "doc_id long, text string"), least, 6).collect()), key=str)
-    assert got == brute_removal(rows, least) and sum(r[2] for r in got) > 1000
+    got = sorted(map(tuple, suffix.removal(spark.createDataFrame(rows, "doc_id long, text string"), least, 6, 30).collect()), key=str)
+    assert [r[:5] for r in got] == brute_removal(rows, least) and sum(r[2] for r in got) > 1000
+    assert sorted((str(r[0]), r[1], r[5]) for r in got) == sorted((str(r[0]), r[1], r[2]) for r in brute_removal(rows, 30)) and any(r[5] > r[2] for r in got)
 
 
 def test_what_is_left_is_text(spark):

@@ -27,7 +27,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removal(_table(spark, sf_dir, "documents"))
+    return suffix.removal(_table(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 
 LEAST = 400
+#: Bytes that fifty words hardly fall below.
+PASSAGE = 200
 STEP = 25
 
 
@@ -220,10 +222,11 @@ def _digests(batches):
         for r in range(len(b)):
             size = b["n_bytes"][r].as_py()
             kept, runs = _kept(b["packed"][r], size, b["spans"][r].as_py(), codec)
-            rows.append((b["doc_id"][r].as_py(), size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            passages = sum(hi - lo for lo, hi in _merged((x["lo"], x["hi"]) for x in b["passages"][r].as_py() or ()))
+            rows.append((b["doc_id"][r].as_py(), size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), passages))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
 
 def _rest(batches):
@@ -240,13 +243,22 @@ def _by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def removal(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
-    spans = _by_document(repeated_spans(docs, least, step))
+def removal(docs: DataFrame, least: int = LEAST, step: int = STEP, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes: one row a document.
+
+    The last tells how many bytes strings of ``passage`` bytes cover that repeat, which are shorter than those
+    removed (None: the same strings); nothing else goes by it.
+    """
+    spans = repeated_spans(docs, least, step)
+    marked = spans.select("doc_id", "th", "lo", "hi", F.lit(True).alias("goes"))
+    short = spans if passage is None else repeated_spans(docs, passage, step)
+    marked = marked.unionByName(short.select("doc_id", "th", "lo", "hi", F.lit(False).alias("goes")))
+    found = marked.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(*[F.collect_list(F.when(F.col("goes") == goes, F.struct("lo", "hi"))).alias(n) for n, goes in (("spans", True), ("passages", False))])
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     packed = keyed.mapInArrow(C.pack, "doc_id long, th long, packed binary, n_bytes long")
-    joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["r_id"]) & (packed["th"] == spans["r_th"]), "left")
-    return joined.select("doc_id", "packed", "n_bytes", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = packed.join(found, packed["doc_id"].eqNullSafe(found["r_id"]) & (packed["th"] == found["r_th"]), "left")
+    out = joined.select("doc_id", "packed", "n_bytes", "spans", "passages")
+    return out.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 def remove_repeated(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
