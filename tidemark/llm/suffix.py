@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 
 LEAST = 400
-#: Bytes that fifty words hardly fall below.
-PASSAGE = 200
+#: Bytes that fifty words hardly fall below (one in fifty such passages of the given tables does).
+PASSAGE = 250
 STEP = 25
 
 
