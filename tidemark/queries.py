@@ -304,9 +304,13 @@ def outbox_prune(spark, d):
 
 
 def scratch(spark: SparkSession) -> Store:
-    """A store of its own in the folder that all executors share."""
+    """A store of its own in the folder that all executors share; a local one only where all run on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return Store(spark, f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/store-{uuid.uuid4().hex}")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return Store(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
 
 
 #: Present rows of the source: a member for each customer, but one in eleven is gone.
