@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, embeddings, html_text, language, lm_score, minhash, mixing, suffix, toxicity, urls
+from tidemark.llm import codes, decontaminate, embeddings, exact, html_text, language, lm_score, minhash, mixing, suffix, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -77,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_score": lm_score.ORACLE,
         "op6_minhash_near_dedup": minhash.ORACLE,
         "op7_url_filter": urls.oracle(),
+        "op12_exact_dedup": exact.ORACLE,
+        "op13_vector_codes": codes.oracle(),
     }
