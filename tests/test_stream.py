@@ -219,7 +219,7 @@ def test_letters_are_tried_again_only_when_asked(spark, store):
     assert applier.reprocess() == {"claimed": 0, "resolved": 0}
     letters = store.read("cdc_dead_letter")
     fixed = letters.withColumn("status", F.lit("RETRY_REQUESTED")).withColumn("payload", F.regexp_replace("payload", "oops", "2.25"))
-    store.commit(store.manifest()["batch"] + 1, None, {"cdc_dead_letter": fixed})
+    store.commit(None, None, {"cdc_dead_letter": fixed})
     assert applier.reprocess() == {"claimed": 1, "resolved": 1}
     assert {r["id"]: str(r["discount_rate"]) for r in store.read("grade").collect()} == {1: "2.25", 2: "1.50"}
     assert [r["status"] for r in store.read("cdc_dead_letter", DEAD_LETTER).collect()] == ["RESOLVED"]
@@ -354,3 +354,22 @@ def test_progress_is_counted(spark, tmp_path, store):
     spark.range(1).createOrReplaceTempView("cdc_own")
     spark.range(1).createOrReplaceTempView("car_view")
     assert "car_view" in tables_with_prefix(spark) and "cdc_own" not in tables_with_prefix(spark)
+
+
+def test_maintenance_between_batches_loses_nothing(spark, tmp_path, store):
+    """Reprocessing, resync and compaction make commits of their own: the stream's next batch is still applied."""
+    (tmp_path / "in").mkdir()
+    grade = {"code": "A", "name": "a", "discount_rate": "1.50", "created_at": "2024-01-01T00:00:00Z"}
+    applier = Applier(store, audited="grade", least_failures=99)
+    source = spark.createDataFrame([(1, "A", "a", 1.5)], "id long, code string, name string, r double").select("id", "code", "name", F.col("r").cast("decimal(5,2)").alias("discount_rate"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    between = [lambda: applier.reprocess(), lambda: applier.resync("car", spark.createDataFrame([], "id long, name string, brand string, price decimal(12,2), created_at timestamp, updated_at timestamp"), 1), lambda: store.compact("cdc_change_audit", 0), lambda: applier.resync("grade", source.unionByName(source.withColumn("id", F.lit(2).cast("long"))), 2), lambda: store.prune()]
+    for n, work in enumerate(between, 1):
+        write(tmp_path / "in", f"{n}.txt", [event("grade", "c", 10 * n, {"id": str(n + 100), **grade})])
+        go(spark, tmp_path, applier)
+        assert store.manifest()["batch"] == n - 1
+        work()
+    write(tmp_path / "in", "9.txt", [event("grade", "c", 99, {"id": "199", **grade})])
+    go(spark, tmp_path, applier)
+    rows = {r["id"]: r["deleted"] for r in store.read("grade").collect()}
+    assert {k for k in rows if k > 100} == {101, 102, 103, 104, 105, 199} and not rows[105] and not rows[199] and not rows[1]
+    assert rows[101] and store.read("cdc_change_audit").count() == 0  # the resync found them gone; inserts are not audited

@@ -126,7 +126,7 @@ class Applier:
         failed = claimed.select("id").join(done, "id", "left_anti")
         replace["cdc_dead_letter"] = quarantine.settled(letters, done, failed, self.now)
         out = {"claimed": claimed.count(), "resolved": done.count()}
-        self.store.commit(self.store.manifest()["batch"] + 1, None, replace, touched=touched)
+        self.store.commit(None, None, replace, touched=touched)
         claimed.unpersist()
         return out
 
@@ -141,7 +141,7 @@ class Applier:
                 gone = stored.join(fresh.select(spec.key), spec.key, "left_anti").withColumn("deleted", F.lit(True)).withColumn("source_lsn", F.greatest("source_lsn", F.lit(lsn)))
                 fresh = fresh.unionByName(gone.select(*fresh.columns))
         fresh = fresh.withColumn(BUCKET, bucket_of(spec.key, self.buckets))
-        self.store.commit(self.store.manifest()["batch"] + 1, lsn, {name: fresh}, touched={name: list(range(self.buckets))})
+        self.store.commit(None, lsn, {name: fresh}, touched={name: list(range(self.buckets))})
 
 
 def start(

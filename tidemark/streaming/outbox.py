@@ -57,7 +57,7 @@ class Outbox:
         return kept if upto is None else kept.filter(F.col("seq") > upto)
 
     def append(self, entries: DataFrame) -> None:
-        self.store.commit(self.store.manifest()["batch"] + 1, None, append={self.table: entries.select(*OUTBOX.names)})
+        self.store.commit(None, None, append={self.table: entries.select(*OUTBOX.names)})
 
     def poll(self, after: int, most: int) -> DataFrame:
         return changes.poll(self.rows(), after, most)
@@ -68,11 +68,11 @@ class Outbox:
     def prune(self, upto: int) -> None:
         """Let go of what has been applied; harmless to repeat."""
         old = self.pruned()
-        self.store.commit(self.store.manifest()["batch"] + 1, None, marks={self.table: upto if old is None else max(old, upto)})
+        self.store.commit(None, None, marks={self.table: upto if old is None else max(old, upto)})
 
     def vacuum(self) -> None:
         """Rewrite the log without what was pruned; its files go with the store's next ``prune``."""
-        self.store.commit(self.store.manifest()["batch"] + 1, None, {self.table: self.rows()})
+        self.store.commit(None, None, {self.table: self.rows()})
 
 
 class Worker:
@@ -104,7 +104,7 @@ class Worker:
                 touched[name] = sorted({r["bucket"] for r in figures if r["table_name"] == name})
                 target = self.store.read(name, buckets=touched[name])
                 replace[name] = applied(target, self.source(name), own, spec, top).withColumn(BUCKET, bucket_of(spec.key, self.buckets))
-            self.store.commit(self.store.manifest()["batch"] + 1, top, replace, touched=touched)
+            self.store.commit(None, top, replace, touched=touched)
             for (table, gone), n in counts.items():
                 if table in self.specs:
                     self.meters.add("applied_total", n, table=table, op="d" if gone else "u")

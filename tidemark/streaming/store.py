@@ -1,9 +1,10 @@
-"""Versioned tables under one manifest: the commit of a batch is one rename.
+"""Versioned tables under one manifest: a commit is one rename.
 
 A batch writes new versions of what it touches, its audit rows and its dead letters, and then replaces the
 manifest, which names the files of each table and the position applied. A table may be kept in buckets by a
-hash of its key; a batch then writes only the buckets that hold its keys. A batch that is committed already
-is skipped when it is replayed. Renames go through Hadoop's file system, so any store with an atomic rename
+hash of its key; a batch then writes only the buckets that hold its keys. Versions count commits of any kind.
+The stream's batches have a mark of their own, which maintenance (``batch`` None) never moves: a batch that is
+committed already is skipped when it is replayed, and no other is. Renames go through Hadoop's file system, so any store with an atomic rename
 will do.
 """
 
@@ -31,10 +32,10 @@ class Store:
         self._fs.mkdirs(self._path(self.root))
 
     def manifest(self) -> dict:
-        """{versions: table -> paths (by bucket, or a list), position, batch, marks}."""
+        """{versions: table -> paths (by bucket, or a list), position, version, batch, marks}."""
         p = self._path(f"{self.root}/manifest.json")
         if not self._fs.exists(p):
-            return {"versions": {}, "position": None, "batch": -1, "marks": {}}
+            return {"versions": {}, "position": None, "version": -1, "batch": -1, "marks": {}}
         stream = self._fs.open(p)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -55,18 +56,19 @@ class Store:
             return self.spark.read.parquet(*paths)
         return self.spark.createDataFrame([], schema) if schema is not None else None
 
-    def commit(self, batch: int, position: int | None, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, touched: dict[str, list[int]] | None = None, marks: dict | None = None) -> bool:
-        """Write a batch's tables and make it the present; False if it was committed before.
+    def commit(self, batch: int | None, position: int | None, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, touched: dict[str, list[int]] | None = None, marks: dict | None = None) -> bool:
+        """Write tables and make them the present; False if it is a batch that was committed before.
 
         A replaced table with a list of touched buckets has a column ``_bucket`` and takes the place of those
         buckets alone; without one it takes the place of the whole table.
         """
         now = self.manifest()
-        if batch <= now["batch"]:
+        if batch is not None and batch <= now["batch"]:
             return False
+        version = now.get("version", now["batch"]) + 1
         versions = dict(now["versions"])
         for name, df in (replace or {}).items():
-            path = f"{self.root}/{name}/r-{batch}"
+            path = f"{self.root}/{name}/r-{version}"
             if touched is not None and name in touched:
                 df.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
                 old = versions.get(name, {})
@@ -77,13 +79,13 @@ class Store:
                 df.write.mode("overwrite").parquet(path)
                 versions[name] = [path]
         for name, df in (append or {}).items():
-            path = f"{self.root}/{name}/a-{batch}"
+            path = f"{self.root}/{name}/a-{version}"
             df.write.mode("overwrite").parquet(path)
             versions[name] = [*versions.get(name, []), path]
         old = now["position"]
         position = old if position is None else position if old is None else max(old, position)
-        text = json.dumps({"versions": versions, "position": position, "batch": batch, "marks": now.get("marks", {}) | (marks or {})})
-        fresh, final = self._path(f"{self.root}/manifest.{batch}.tmp"), self._path(f"{self.root}/manifest.json")
+        text = json.dumps({"versions": versions, "position": position, "version": version, "batch": now["batch"] if batch is None else batch, "marks": now.get("marks", {}) | (marks or {})})
+        fresh, final = self._path(f"{self.root}/manifest.{version}.tmp"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
@@ -99,7 +101,7 @@ class Store:
         paths = self.paths(table)
         if len(paths) <= most:
             return False
-        return self.commit(self.manifest()["batch"] + 1, None, {table: self.read(table)})
+        return self.commit(None, None, {table: self.read(table)})
 
     def prune(self, keep: int = 2) -> list[str]:
         """Remove versions that the present does not use, but the newest few of each table; returns what went."""
