@@ -39,6 +39,8 @@ from tidemark.llm.whitening import by_length, integers, packed_integers
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Components below this have distances that fit 64 bits, for vectors of up to 2^13 components.
 MOST = 4096.0
+#: Groups of tasks whose smallest vec_ids are gathered apart before they meet.
+GROUPS = 256
 #: Rows of label sums that are broadcast at most.
 LABELS = 1 << 20
 
@@ -142,8 +144,10 @@ def _moved(table: DataFrame, books: dict[int, np.ndarray]) -> dict[int, np.ndarr
 
 def _start(base: DataFrame) -> dict[int, np.ndarray]:
     """The parts of the smallest vec_ids, by length."""
-    order = Window.partitionBy("dim").orderBy(F.col("vec_id").asc_nulls_last(), "x")
-    first = base.select("dim", "vec_id", "x").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ENTRIES)
+    order = F.col("vec_id").asc_nulls_last(), "x"
+    first = base.select("dim", "vec_id", "x", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("group"))
+    for by in (["dim", "group"], ["dim"]):  # each task hands on its smallest, and so does each group
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("k") <= ENTRIES)
     rows: dict[int, list] = {}
     for r in sorted(first.collect(), key=lambda r: (r["dim"], r["k"])):
         rows.setdefault(r["dim"], []).append(bytes(r["x"]))
