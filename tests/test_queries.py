@@ -12,16 +12,6 @@ def test_same_as_sql(spark, name):
     assert collected(M.queries()[name](spark, SF)) == duck(M.oracle_sql()[name])
 
 
-def test_alert_rules_fire_once_or_twice(spark):
-    rows = M.alert_rules(spark, SF).collect()
-    fired = {r["alert"] for r in rows}
-    assert {"service_down", "restarts", "checkpoint_behind_slot", "checkpoint_ahead", "halts", "slot_lag_critical", "lag_over_goal", "lag_unverifiable", "slot_stuck", "idle_stuck", "db_clock_skew"} <= fired
-    assert sum(r["alert"] == "halts" for r in rows) == 3
-    began = {(r["alert"], r["series"]): r["began"].strftime("%H:%M") for r in rows}
-    assert began["checkpoint_behind_slot", "{}"] == "00:30" and began["db_clock_skew", "{}"] == "00:10" and began["idle_stuck", "{}"] == "02:39"
-    assert ("lag_over_goal", '{"table":"grade"}') not in began
-
-
 def test_restarted_slots_differ_from_a_grid(spark):
     from tidemark.operators.timeseries import rolling_max, rolling_max_at
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Seconds for which a sample is seen after its instant.
+LOOK_BACK = 300
+
+
 def _clock(ts: str) -> Column:
     """Microseconds since the epoch, for exact range frames."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -61,6 +65,74 @@ def changes(samples: DataFrame, labels: list[str], seconds: int, ts: str = "ts")
     return rows.withColumn("changes", F.sum("_c").over(w) - F.first("_c").over(w)).drop("_prev", "_t", "_c")
 
 
+def asof(left: DataFrame, right: DataFrame, labels: list[str], seconds: int, ts: str = "ts") -> DataFrame:
+    """left with the last value of right at or before its instant, and that sample's own instant (``value_at``).
+
+    A sample is seen for less than ``seconds``; rows that see none are left out. Of samples of one instant the
+    greatest value counts. Both sides are dealt by series and spans of that length, a sample going to its own
+    span and the next, and sorted together there: a series of any length is shared by many tasks.
+    """
+    width = seconds * 1_000_000
+    rest = [c for c in left.columns if c not in labels]
+    mine = left.select(*labels, _clock(ts).alias("_t"), F.lit(1).alias("_kind"), F.floor(_clock(ts) / width).alias("_span"), F.struct(*rest).alias("_row"))
+    theirs = right.filter("value is not null").select(*labels, _clock(ts).alias("_t"), F.lit(0).alias("_kind"), F.col(ts).alias("_at"), "value")
+    own = F.floor(F.col("_t") / width)
+    theirs = theirs.withColumn("_span", F.explode(F.array(own, own + 1)))
+    by = Window.partitionBy(*labels, "_span").orderBy("_t", "_kind", "value")
+    sample = F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("t"), F.col("_at").alias("at"), "value"))
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_seen", F.last(sample, ignorenulls=True).over(by))
+    found = both.filter(F.col("_kind") == 1).filter(F.col("_t") - F.col("_seen.t") < width)
+    return found.select(*labels, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_seen.value").alias("value"), F.col("_seen.at").alias("value_at"))
+
+
+def _instants(first: Column, last: Column, every: int) -> Column:
+    """The multiples of so many seconds from first to last (microseconds), none if there is none between."""
+    step = every * 1_000_000
+    lo, hi = F.ceil(first / step), F.floor(last / step)
+    return F.transform(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")), lambda n: n * step)
+
+
+def _at(t: Column) -> Column:
+    return F.timestamp_micros(t).cast("timestamp_ntz")
+
+
+def evaluated(samples: DataFrame, labels: list[str], every: int = 60, seconds: int = LOOK_BACK, ts: str = "ts") -> DataFrame:
+    """(labels, ts, value): each series at the multiples of ``every``, as its last sample within ``seconds`` tells.
+
+    A sample is offered to all instants that may see it and the latest one is kept by partial maxima, so nothing is
+    sorted and a series of any length is shared by many tasks.
+    """
+    t = _clock(ts)
+    seen = samples.filter("value is not null").select(*labels, t.alias("_t"), "value", F.explode(_instants(t, t + seconds * 1_000_000 - 1, every)).alias("_g"))
+    out = seen.groupBy(*labels, "_g").agg(F.max(F.struct("_t", "value")).alias("_s"))
+    return out.select(*labels, _at(F.col("_g")).alias(ts), F.col("_s.value").alias("value"))
+
+
+def over_window(samples: DataFrame, labels: list[str], seconds: int, every: int = 60, ts: str = "ts") -> DataFrame:
+    """(labels, ts, increase, changes, delta) over the ``seconds`` before each multiple of ``every``.
+
+    Instants with fewer than two samples in their window have no row. A counter's drop is a restart from 0. As
+    in ``asof`` samples are dealt by spans of the window's length, so what a task sorts does not grow with a series.
+    """
+    width = seconds * 1_000_000
+    own = F.floor(F.col("_t") / width)
+    rows = samples.filter("value is not null").select(*labels, _clock(ts).alias("_t"), F.col("value").cast("double").alias("value"))
+    rows = rows.withColumn("_span", F.explode(F.array(own, own + 1)))
+    spans = rows.select(*labels, "_span").distinct()
+    instants = spans.withColumn("_t", F.explode(_instants(F.col("_span") * width, (F.col("_span") + 1) * width - 1, every)))
+    by = Window.partitionBy(*labels, "_span").orderBy("_t")
+    was = F.lag("value").over(Window.partitionBy(*labels, "_span").orderBy("_t", "value"))
+    step = F.when(F.col("value") >= was, F.col("value") - was).otherwise(F.col("value"))
+    rows = rows.withColumn("_s", F.struct("value", F.coalesce(step, F.lit(0.0)).alias("step"), F.when(was != F.col("value"), 1).otherwise(0).alias("change"))).drop("value")
+    both = rows.unionByName(instants, allowMissingColumns=True)
+    back = by.rangeBetween(-width + 1, 0)
+    first, last = F.first("_s", ignorenulls=True).over(back), F.last("_s", ignorenulls=True).over(back)
+    inside = F.sum("_s.step").over(back), F.sum("_s.change").over(back), F.count("_s").over(back)
+    found = both.select(*labels, "_t", "_s", *[c.alias(n) for c, n in zip((first, last, *inside), ("_first", "_last", "_sum", "_changes", "_n"), strict=True)])
+    found = found.filter("_s is null and _n >= 2")
+    return found.select(*labels, _at(F.col("_t")).alias(ts), (F.col("_sum") - F.col("_first.step")).alias("increase"), (F.col("_changes") - F.col("_first.change")).alias("changes"), (F.col("_last.value") - F.col("_first.value")).alias("delta"))
+
+
 def _slots(samples: DataFrame, labels: list[str], slot: int, ts: str) -> DataFrame:
     """(labels, start, before, top): slots of a series, the start of the one before, and what was observed in each.
 

@@ -1,8 +1,11 @@
 """Alert rules as data: a condition over a metric and how long it must hold.
 
-Metrics come as (metric, labels, ts, value). A rule names its metric, what is made of it first (the value
-itself, its increase or its number of changes over a window), a comparison, the time for which it must
-hold, and perhaps a gate: another rule that must hold at the same time.
+Metrics come as (metric, labels, ts, value), each exporter sampled at instants of its own. Rules are looked at
+on a grid: at each multiple of ``every`` seconds a series has the value of its last sample within five minutes,
+and a window holds the samples of the time before. A rule names its metric, what is made of it first (the
+value itself, its increase or its number of changes over a window), a comparison, the time for which it must
+hold, and perhaps a gate: another rule that must hold at the same instant. Where two metrics or a gate are
+joined, it is on the instant and the labels in ``on``.
 """
 
 from __future__ import annotations
@@ -61,102 +64,107 @@ RULES = (
 ABSENT_HOLD, DISK_HOLD, MISMATCH_HOLD = 60, 300, 600
 
 
-def series_of(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """(metric, series, ts, value): labels as one comparable text."""
+def series_of(metrics: DataFrame, names: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, series, ts, value) with a column for each label in on; all labels as one comparable text."""
     text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
-    return metrics.filter(F.col("metric").isin(*names)).select("metric", text.alias("series"), "ts", "value")
-
-
-def made(rows: DataFrame, make: str, window: int) -> DataFrame:
-    """(metric, series, ts, value): what is made of samples before they are compared."""
-    by = ["metric", "series"]
-    if make == "increase":
-        rows = S.increase(rows, by, window).withColumn("value", F.col("increase"))
-    elif make == "changes":
-        rows = S.changes(rows, by, window).withColumn("value", F.col("changes").cast("double"))
-    elif make == "since":
-        rows = rows.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    own = [F.coalesce(F.try_element_at("labels", F.lit(k)), F.lit("")).alias(k) for k in on]
+    return metrics.filter(F.col("metric").isin(*names)).select("metric", text.alias("series"), *own, "ts", "value")
+
+
+def made(rows: DataFrame, make: str, window: int, on: tuple[str, ...] = (), every: int = 60) -> DataFrame:
+    """(metric, series, on, ts, value): what is made of samples before they are compared, at each instant of the grid."""
+    by = ["metric", "series", *on]
+    if make in ("increase", "changes"):
+        rows = S.over_window(rows, by, window, every).withColumn("value", F.col(make).cast("double"))
+    else:
+        if make == "since":
+            rows = rows.withColumn("value", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+        rows = S.evaluated(rows, by, every)
     return rows.select(*by, "ts", "value")
 
 
-def less(rows: DataFrame, one: str, other: str) -> DataFrame:
-    """The greatest sample of one metric less that of another at equal times, without labels."""
-    top = rows.groupBy("ts").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((one, "a"), (other, "b"))])
-    return top.filter("a is not null and b is not null").select(F.lit(one).alias("metric"), F.lit("{}").alias("series"), "ts", (F.col("a") - F.col("b")).alias("value"))
+def less(rows: DataFrame, one: str, other: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """The greatest series of one metric less that of another at the instants of a grid, told by the labels in on."""
+    top = rows.groupBy("ts", *on).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((one, "a"), (other, "b"))])
+    top = top.filter("a is not null and b is not null")
+    text = F.to_json(F.struct(*on)) if on else F.lit("{}")
+    return top.select(F.lit(one).alias("metric"), text.alias("series"), *on, "ts", (F.col("a") - F.col("b")).alias("value"))
 
 
-def all_fired(metrics: DataFrame, rules=RULES, every: int = 60) -> DataFrame:
-    """(alert, series, began, ended) of the times rules fired, for samples at most ``every`` seconds apart.
+def all_fired(metrics: DataFrame, rules=RULES, every: int = 60, on: tuple[str, ...] = ()) -> DataFrame:
+    """(alert, series, began, ended) of the times rules fired, on a grid of ``every`` seconds.
 
     Samples are gone through once for each way of making what is compared, whatever the number of rules: these
     are rows that the samples of their metric meet, and one window over all of them tells how long they held.
     """
     gates = [r.gate for r in rules if r.gate]
     names = sorted({n for r in [*rules, *gates] for n in (r.metric, r.minus) if n})
-    rows = series_of(metrics, names)
+    rows = series_of(metrics, names, on)
     ways: dict[tuple, list[Rule]] = {}
     for r in [*rules, *gates]:
         ways.setdefault((r.make, r.window, r.minus and (r.metric, r.minus)), []).append(r)
     out = opened = None
     for (make, window, pair), some in ways.items():
-        own = less(rows.filter(F.col("metric").isin(*pair)), *pair) if pair else rows.filter(F.col("metric").isin(*{r.metric for r in some}))
-        found = made(own, make, window)
+        found = made(rows.filter(F.col("metric").isin(*(pair or {r.metric for r in some}))), make, window, on, every)
+        found = less(found, *pair, on) if pair else found
         mine = [r for r in some if r in rules]
         if mine:
             told = [F.struct(F.lit(r.metric).alias("of"), F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{r.gate}").alias("gate"), F.coalesce(F.expr(r.test), F.lit(False)).alias("ok")) for r in mine]
-            one = found.select("series", "ts", F.explode(F.filter(F.array(*told), lambda r: r["of"] == F.col("metric"))).alias("r")).select("r.*", "series", "ts").drop("of")
+            one = found.select("series", *on, "ts", F.explode(F.filter(F.array(*told), lambda r: r["of"] == F.col("metric"))).alias("r")).select("r.*", "series", *on, "ts").drop("of")
             out = one if out is None else out.unionByName(one)
         for g in {r for r in some if r in gates}:
             of = found.filter(F.col("metric") == g.metric)
-            of = of.groupBy("ts").agg(F.sum("value").alias("value")) if g.total else of
-            one = of.filter(F.expr(g.test)).select(F.lit(f"{g}").alias("_gate"), F.col("ts").alias("_at")).distinct()
+            of = of.groupBy("ts", *on).agg(F.sum("value").alias("value")) if g.total else of
+            one = of.filter(F.expr(g.test)).select(F.lit(f"{g}").alias("gate"), "ts", *on).distinct()
             opened = one if opened is None else opened.unionByName(one)
     if opened is not None:
-        out = out.join(opened, (F.col("gate") == F.col("_gate")) & (F.col("ts") == F.col("_at")), "left")
-        out = out.withColumn("ok", F.col("ok") & (F.col("gate").isNull() | F.col("_at").isNotNull())).drop("_gate", "_at")
-    return S.held_for(out.drop("gate"), ["alert", "series"], F.col("ok"), F.col("hold"), every)
+        out = out.join(opened.withColumn("_open", F.lit(True)), ["gate", "ts", *on], "left")
+        out = out.withColumn("ok", F.col("ok") & (F.col("gate").isNull() | F.col("_open").isNotNull())).drop("_open")
+    return S.held_for(out.drop("gate", *on), ["alert", "series"], F.col("ok"), F.col("hold"), every)
 
 
-def fired(metrics: DataFrame, rule: Rule, every: int = 60) -> DataFrame:
+def fired(metrics: DataFrame, rule: Rule, every: int = 60, on: tuple[str, ...] = ()) -> DataFrame:
     """(alert, series, began, ended) of the times one rule fired."""
-    return all_fired(metrics, (rule,), every)
+    return all_fired(metrics, (rule,), every, on)
 
 
 def absent_metric(metrics: DataFrame, name: str, hold: int = ABSENT_HOLD, every: int = 60) -> DataFrame:
-    """(alert, began, ended) of the times at which others were sampled and this metric was not, for as long as that."""
-    at = metrics.groupBy("ts").agg(F.count_if(F.col("metric") == name).alias("n")).withColumn("alert", F.lit(f"absent_{name}"))
+    """(alert, began, ended) of the times at which others were seen and this metric was not, for as long as that."""
+    seen = S.evaluated(metrics.select((F.col("metric") == name).alias("own"), "ts", F.lit(1.0).alias("value")), ["own"], every)
+    at = seen.groupBy("ts").agg(F.count_if("own").alias("n")).withColumn("alert", F.lit(f"absent_{name}"))
     return S.held_for(at, ["alert"], F.col("n") == 0, hold, every)
 
 
-def disk_runs_out(metrics: DataFrame, available: str = "disk_available_bytes", written: str = "wal_bytes_total", window: int = 600, least: int = 3600) -> DataFrame:
-    """(ts, seconds_left, short): how long the free disk lasts at the present rate of log."""
-    free = metrics.filter(F.col("metric") == available).groupBy("ts").agg(F.max("value").alias("free"))
-    log = metrics.filter(F.col("metric") == written).select(F.lit("").alias("series"), "ts", "value")
-    speed = S.rate(log, ["series"], window).groupBy("ts").agg(F.max("rate").alias("speed"))
+def disk_runs_out(metrics: DataFrame, available: str = "disk_available_bytes", written: str = "wal_bytes_total", window: int = 600, least: int = 3600, on: tuple[str, ...] = (), every: int = 60) -> DataFrame:
+    """(on, ts, seconds_left, short): how long the free disk lasts at the present rate of log."""
+    rows = series_of(metrics, [available, written], on)
+    free = made(rows.filter(F.col("metric") == available), "value", 0, on, every).groupBy(*on, "ts").agg(F.max("value").alias("free"))
+    speed = made(rows.filter(F.col("metric") == written), "increase", window, on, every).groupBy(*on, "ts").agg(F.max(F.col("value") / window).alias("speed"))
     left = F.col("free") / F.greatest(F.col("speed"), F.lit(1.0))
-    return free.join(speed, "ts").select("ts", left.alias("seconds_left"), (left < least).alias("short"))
+    return free.join(speed, [*on, "ts"]).select(*on, "ts", left.alias("seconds_left"), (left < least).alias("short"))
 
 
-def disk_alert(metrics: DataFrame, hold: int = DISK_HOLD, every: int = 60, **options) -> DataFrame:
-    """(alert, began, ended) of the times the disk was short for as long as that."""
-    return S.held_for(disk_runs_out(metrics, **options).withColumn("alert", F.lit("disk")), ["alert"], F.col("short"), hold, every)
+def disk_alert(metrics: DataFrame, hold: int = DISK_HOLD, every: int = 60, on: tuple[str, ...] = (), **options) -> DataFrame:
+    """(alert, on, began, ended) of the times the disk was short for as long as that."""
+    short = disk_runs_out(metrics, on=on, every=every, **options).withColumn("alert", F.lit("disk"))
+    return S.held_for(short, ["alert", *on], F.col("short"), hold, every)
 
 
-def row_drift(metrics: DataFrame, source: str = "source_rows", target: str = "target_rows", letters: str = "dlq_rows") -> DataFrame:
-    """(table_name, ts, value): by how much row counts differ beyond the pending letters.
+def row_drift(metrics: DataFrame, source: str = "source_rows", target: str = "target_rows", letters: str = "dlq_rows", every: int = 60) -> DataFrame:
+    """(table_name, ts, value): by how much row counts differ beyond the pending letters, on a grid.
 
     A table without letters has none; one that either side does not count at a time has no row for it.
     """
     label = F.try_element_at("labels", F.lit("table_name"))
     pending = (F.col("metric") != letters) | (F.try_element_at("labels", F.lit("status")) == "PENDING")
-    rows = metrics.filter(F.col("metric").isin(source, target, letters) & pending)
-    sums = rows.groupBy(label.alias("table_name"), "ts").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((source, "s"), (target, "t"), (letters, "l"))])
+    rows = metrics.filter(F.col("metric").isin(source, target, letters) & pending).select("metric", label.alias("table_name"), F.to_json("labels").alias("series"), "ts", "value")
+    sums = S.evaluated(rows, ["metric", "table_name", "series"], every).groupBy("table_name", "ts").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in ((source, "s"), (target, "t"), (letters, "l"))])
     return sums.filter("s is not null and t is not null").select("table_name", "ts", (F.abs(F.col("s") - F.col("t")) - F.coalesce("l", F.lit(0.0))).alias("value"))
 
 
 def reconcile_mismatch(metrics: DataFrame, hold: int = MISMATCH_HOLD, every: int = 60) -> DataFrame:
     """(alert, table_name, began, ended) of the times row counts differed unexplained for as long as that."""
-    drift = row_drift(metrics).withColumn("alert", F.lit("reconcile_mismatch"))
+    drift = row_drift(metrics, every=every).withColumn("alert", F.lit("reconcile_mismatch"))
     return S.held_for(drift, ["alert", "table_name"], F.col("value") != 0, hold, every)
 
 

@@ -1,13 +1,11 @@
 """Queries of the change-stream engine over the test tables, each with the SQL that gives the same rows.
 
-The change log is derived from the event table: position = event_id + 1, key = user_id, one of four
-tables by key, sign-ups create, errors delete, anything else updates. Times are passed in, never now().
+The change log is that of ``query_base``. Series and alerts are in ``queries_series``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,50 +19,11 @@ from tidemark.functions.verdict import verdict
 from tidemark.operators import chunks, diff, fold, guard, merge, quarantine, reconcile
 from tidemark.operators import timeseries as S
 from tidemark.operators.mapping import mapped, typed
-from tidemark.plans import alerts
+from tidemark.query_base import LOG_SQL, NOW, SQL, Q, log, query, scratch, t
 from tidemark.schemas import SPECS
 from tidemark.sources import changes
 from tidemark.streaming import metrics as stream_metrics
 from tidemark.streaming import outbox
-from tidemark.streaming.store import Store
-
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-LOG_SQL = """log as (select event_id + 1 as seq, user_id as row_id, case user_id % 4 when 0 then 'car' when 1 then 'computer' when 2 then 'grade' else 'member' end as table_name,
-  case event_type when 'signup' then 'c' when 'error' then 'd' else 'u' end as op, ts as changed_at, event_type, value, cast(value as decimal(12,2)) as amount from events)"""
-#: A fixed instant that stands for now.
-NOW = "2024-02-01 00:00:00"
-
-
-def query(sql: str | None = None, decimals: str = ""):
-    """Register a query and its SQL; decimal columns named are compared as doubles, as both sides print them apart."""
-    names = decimals.split()
-
-    def add(f):
-        def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(spark, sf_dir)
-            return out.withColumns({c: F.col(c).cast("double") for c in names}) if names else out
-
-        Q[f.__name__] = shown
-        if sql:
-            text = f"with {LOG_SQL} {sql}" if sql.lstrip().startswith((",", "select")) else sql
-            SQL[f.__name__] = f"select * replace ({', '.join(f'{c}::double as {c}' for c in names)}) from ({text})" if names else text
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "events")
-    names = F.element_at(F.array(*[F.lit(x) for x in ("car", "computer", "grade", "member")]), (F.col("user_id") % 4 + 1).cast("int"))
-    op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
-    return e.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("row_id"), names.alias("table_name"), op.alias("op"), F.col("ts").alias("changed_at"), "event_type", "value", F.col("value").cast("decimal(12,2)").alias("amount"))
-
 
 def changes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as change events with images of three text fields."""
@@ -84,6 +43,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOURLY_SQL = """h as (select event_type, date_trunc('hour', ts)::timestamp as ts, count(*)::double as gauge from events group by all),
 h2 as (select *, sum(gauge) over (partition by event_type, date_trunc('day', ts) order by ts rows unbounded preceding) as counter from h)"""
 
+#: Modules that register queries beside those of this one.
+MODULES = ("queries_series",)
+
 # --- sources ---------------------------------------------------------------------------------------
 
 
@@ -303,16 +265,6 @@ def outbox_prune(spark, d):
     return log_.rows().select("seq", "table_name", "row_id", "op")
 
 
-def scratch(spark: SparkSession) -> Store:
-    """A store of its own in the folder that all executors share; a local one only where all run on this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return Store(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
-
-
 #: Present rows of the source: a member for each customer, but one in eleven is gone.
 MEMBERS_SQL = "members as (select c_custkey as id, c_name || '@example.org' as email, c_name as name, c_nationkey::bigint as grade_id from customer where c_custkey % 11 <> 0)"
 CYCLE = 4000
@@ -970,93 +922,12 @@ def key_histories(spark, d):
     return log(spark, d).groupBy("row_id").agg(h.alias("ops")).withColumn("last_op", F.substring("ops", -1, 1))
 
 
-#: Made-up metric samples a minute over four hours: (metric, labels, value as an expression of the minute m).
-SAMPLES = (
-    ("up", "{}", "if(m between 10 and 14, 0, 1)"), ("start_time", "{}", "if(m < 100, floor(m / 3), 33)"), ("capture_gap", "{}", "if(m between 50 and 60, 1, 0)"), ("checkpoint_lsn", "{}", "m * 1000 - if(m in (30, 31, 90), 100000, 0) + if(m between 180 and 200, 2e9, 0)"),
-    ("slot_restart_lsn", "{}", "m * 900"), ("halts_total", '{"reason":"ratio"}', "if(m < 40, 0, if(m < 80, 2, 1))"), ("halts_total", '{"reason":"verdict"}', "if(m < 200, 0, 1)"), ("slot_active", "{}", "if(m between 20 and 25, 0, 1)"),
-    ("wal_status", "{}", "if(m between 70 and 73, 2, if(m = 90, 3, 0))"), ("slot_lag_bytes", "{}", "if(m between 60 and 80, 6e8, 1000) * if(m between 75 and 79, 10, 1)"), ("lag_max_seconds", '{"table":"car"}', "if(m between 30 and 40, 9, 1)"),
-    ("lag_max_seconds", '{"table":"grade"}', "if(m between 120 and 121, 9, 1)"), ("clock_skew_seconds", "{}", "if(m between 35 and 60, 0.9, 0.1)"), ("db_epoch", "{}", "1704067200 + m * 60 + if(m = 5 or m between 10 and 16, 2, 0)"),
-    ("dlq_pending", "{}", "if(m between 85 and 95, 4, 0)"), ("orphan_rows", "{}", "if(m > 100, 1, 0)"), ("slot_confirmed_lsn", "{}", "if(m between 40 and 70, 40000, if(m >= 130, 130000, m * 1000))"),
-    ("events_total", '{"table":"car"}', "if(m < 130, m * 50, 6500)"), ("events_total", '{"table":"grade"}', "if(m < 130, m, 130 + floor((m - 130) / 20))"), ("disk_available_bytes", "{}", "1e9 - m * 1e6"), ("wal_bytes_total", "{}", "if(m < 150, m * 3e7, 4.5e9 + m)"),
-    ("source_rows", '{"table_name":"car"}', "100 + m"), ("target_rows", '{"table_name":"car"}', "100 + m - if(m between 20 and 45, 3, 0) - if(m between 60 and 75, 2, 0)"), ("source_rows", '{"table_name":"grade"}', "50"), ("target_rows", '{"table_name":"grade"}', "50 - if(m between 150 and 165, 1, 0)"),
-    ("dlq_rows", '{"status":"PENDING","table_name":"car"}', "if(m between 20 and 45, 3, 0)"), ("dlq_rows", '{"status":"RESOLVED","table_name":"car"}', "7"), ("sometimes", "{}", "if(m between 100 and 110, null, 1)"),
-)
-METRICS_SQL = "x as (select * from (" + " union all ".join(f"select '{n}' as metric, '{k}' as series, timestamp '2024-01-01 00:00:00' + to_minutes(m) as ts, ({v})::double as value from range(240) z(m)" for n, k, v in SAMPLES) + ") where value is not null)"
-
-
-def metrics(spark, d) -> DataFrame:
-    """The samples of SAMPLES, from a row generator."""
-    m = spark.range(0, 240).select(F.col("id").alias("m"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"))
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.from_json(F.lit(k), "map<string,string>").alias("labels"), F.expr(f"cast({v} as double)").alias("value")) for n, k, v in SAMPLES]))
-    return m.select("ts", rows.alias("r")).select("r.metric", "r.labels", "ts", "r.value").filter("value is not null")
-
-
-def _compared_sql(r: alerts.Rule) -> str:
-    """What a rule compares, as SQL: (series, ts, value)."""
-    own = f"select series, ts, value from x where metric = '{r.metric}'"
-    if r.minus:
-        own = f"select '{{}}' as series, a.ts, a.v - b.v as value from (select ts, max(value) as v from x where metric = '{r.metric}' group by ts) a join (select ts, max(value) as v from x where metric = '{r.minus}' group by ts) b on a.ts = b.ts"
-    if r.make in ("increase", "changes"):
-        step = "case when p is null then null when value >= p then value - p else value end" if r.make == "increase" else "case when p <> value then 1 else 0 end"
-        back = f"(partition by series order by epoch_us(ts) range between {r.window * 1_000_000 - 1} preceding and current row)"
-        own = f"select series, ts, (sum(coalesce(s, 0)) over {back} - coalesce(first(s) over {back}, 0))::double as value from (select *, {step} as s from (select *, lag(value) over (partition by series order by ts) as p from ({own})))"
-    if r.make == "since":
-        own = f"select series, ts, value - epoch_us(ts) / 1e6 as value from ({own})"
-    return f"select '{{}}' as series, ts, sum(value) as value from ({own}) group by ts" if r.total else own
-
-
-def _held_sql(rows: str, labels: str) -> str:
-    """Runs of rows (labels, ts, ok, hold) on which ok holds as long as hold, a minute apart at most."""
-    return f"""select {labels}, min(ts) as began, max(ts) as ended from (select *, sum(case when not ok or not coalesce(was, false) or ts - was_at > interval '60 seconds' then 1 else 0 end) over (partition by {labels} order by ts rows unbounded preceding) as run
-  from (select *, lag(ok) over (partition by {labels} order by ts) as was, lag(ts) over (partition by {labels} order by ts) as was_at from ({rows}))) where ok group by {labels}, run having epoch_us(max(ts)) - epoch_us(min(ts)) >= max(hold) * 1000000"""
-
-
-def _rules_sql() -> str:
-    parts = []
-    for r in alerts.RULES:
-        gate = f" and ts in (select ts from ({_compared_sql(r.gate)}) where {r.gate.test})" if r.gate else ""
-        parts.append(f"select '{r.name}' as alert, series, ts, coalesce({r.test}, false){gate} as ok, {r.hold} as hold from ({_compared_sql(r)})")
-    return f"with {METRICS_SQL} " + _held_sql(" union all ".join(parts), "alert, series")
-
-
-@query(_rules_sql())
-def alert_rules(spark, d):
-    return alerts.all_fired(metrics(spark, d))
-
-
-DISK_SQL = f"with {METRICS_SQL}, y as (select f.ts, f.v / greatest(w.value / 600, 1) as left_s from (select ts, max(value) as v from x where metric = 'disk_available_bytes' group by ts) f join ({_compared_sql(alerts.Rule('', 'wal_bytes_total', '', make='increase', window=600))}) w on w.ts = f.ts)"
-
-
-@query(DISK_SQL + " select ts, round(left_s, 6) as seconds_left, left_s < 3600 as short from y")
-def disk_headroom(spark, d):
-    return alerts.disk_runs_out(metrics(spark, d)).withColumn("seconds_left", F.round("seconds_left", 6))
-
-
-@query(DISK_SQL + " " + _held_sql("select 'disk' as alert, ts, left_s < 3600 as ok, 300 as hold from y", "alert"))
-def alert_disk(spark, d):
-    return alerts.disk_alert(metrics(spark, d))
-
-
-ABSENT_SQL = "select 'absent_{0}' as alert, ts, count(*) filter (where metric = '{0}') = 0 as ok, 60 as hold from x group by ts"
-
-
-@query(f"with {METRICS_SQL} " + _held_sql(ABSENT_SQL.format("no_such") + " union all " + ABSENT_SQL.format("sometimes"), "alert"))
-def alert_absent(spark, d):
-    """A metric that never occurred and one that stops for a while."""
-    m = metrics(spark, d)
-    return alerts.absent_metric(m, "no_such").unionByName(alerts.absent_metric(m, "sometimes"))
-
-
-@query(f"""with {METRICS_SQL}, y as (select json_extract_string(series, '$.table_name') as table_name, ts, sum(value) filter (where metric = 'source_rows') as s, sum(value) filter (where metric = 'target_rows') as t,
-  coalesce(sum(value) filter (where metric = 'dlq_rows' and json_extract_string(series, '$.status') = 'PENDING'), 0) as l from x where metric in ('source_rows', 'target_rows', 'dlq_rows') group by all)
-""" + _held_sql("select 'reconcile_mismatch' as alert, table_name, ts, abs(s - t) - l <> 0 as ok, 600 as hold from y where s is not null and t is not null", "alert, table_name"))
-def alert_reconcile(spark, d):
-    return alerts.reconcile_mismatch(metrics(spark, d))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    for module in MODULES:
+        importlib.import_module(f"tidemark.{module}")
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
