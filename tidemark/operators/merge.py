@@ -1,8 +1,11 @@
 """Applying changes to target tables as set operations.
 
 Guarded tables take a change only if its position is strictly higher than all taken before for the key.
-Applied in order of arrival that is a running maximum, computed in one window a key; where a batch is
-known to be in order, a plain aggregation with map-side partial maxima does the same without the sort.
+Applied in order of arrival that is a running maximum, which is computed as a segmented scan: a key's changes are
+cut into segments of ``SPAN`` arrivals, each sorted by itself, and what the segments before tell - whether the
+row exists, and the highest position since it does - is carried in. The state is associative, so a key that
+holds a third of all changes is shared by as many tasks as it has segments. Where a batch is known to be in
+order, a plain aggregation with map-side partial maxima does the same without the sort.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Arrivals, numbered by whole numbers, of one key that are sorted together.
+SPAN = 1 << 16
+
 
 def last_arrival(stored: DataFrame | None, events: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Unguarded upsert and hard delete: the last arrival of each key wins; deleted keys are gone.
@@ -38,31 +44,54 @@ def guarded_in_order(events: DataFrame, key: str, values: list[str]) -> DataFram
     return out.select(key, *[F.col(f"v.{v}").alias(v) for v in values], (F.col("o") == "d").alias("deleted"), F.col("m").alias("source_lsn"))
 
 
-def guarded(events: DataFrame, key: str, values: list[str], stored: DataFrame | None = None) -> DataFrame:
+def accepted(rows: DataFrame, key: str, span: int | None = SPAN) -> DataFrame:
+    """Of rows (key, arrival, op, lsn, ...) those that the guard lets through, in order of arrival.
+
+    A key's row exists from its first change that is no delete. A span of None sorts each key in one place, for
+    batches that are known to be small.
+    """
+    upsert = (F.col("op") != "d").cast("int")
+    if span is None:
+        own, by = [key], Window.partitionBy(key).orderBy("arrival")
+    else:
+        rows = rows.withColumn("_segment", F.floor(F.col("arrival") / span))
+        own, by = [key, "_segment"], Window.partitionBy(key, "_segment").orderBy("arrival")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_there", F.max(upsert).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = F.when(F.col("_there") == 1, F.col("lsn"))
+    seen = seen.withColumn("_top", F.max(counted).over(before)).withColumn("_all", F.max("lsn").over(before))
+    if span is None:
+        return seen.filter("_there = 1 and (_top is null or lsn > _top)").drop("_there", "_top", "_all")
+    # a segment's state: whether it has an upsert, the highest position since, and the highest of all
+    states = seen.groupBy(*own).agg(F.max("_there").alias("there"), F.max(counted).alias("top"), F.max("lsn").alias("all"))
+    earlier = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    states = states.withColumn("was", F.coalesce(F.max("there").over(earlier), F.lit(0)))
+    carried = F.max(F.when(F.col("was") == 1, F.col("all")).otherwise(F.col("top"))).over(earlier)
+    states = states.select(*own, "was", carried.alias("carried"))
+    both = seen.join(states, own)
+    top = F.when(F.col("was") == 1, F.greatest("carried", "_all")).otherwise(F.col("_top"))
+    both = both.filter(F.greatest("was", "_there") == 1).withColumn("_top", top)
+    return both.filter("_top is null or lsn > _top").drop("_segment", "_there", "_top", "_all", "was", "carried")
+
+
+def guarded(events: DataFrame, key: str, values: list[str], stored: DataFrame | None = None, span: int | None = SPAN) -> DataFrame:
     """Guarded state for any order of arrival, on top of stored rows (key, values, deleted, source_lsn)."""
     rows = events.select(key, F.col("arrival").cast("bigint").alias("arrival"), "op", "lsn", *values)
     if stored is not None:
         old = stored.select(key, F.lit(-1).cast("bigint").alias("arrival"), F.when(F.col("deleted"), "D").otherwise("c").alias("op"), F.col("source_lsn").alias("lsn"), *values)
         rows = old.unionByName(rows)
-    w = Window.partitionBy(key).orderBy("arrival")
-    seen = rows.withColumn("ups", F.sum(F.when(F.col("op") != "d", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    seen = seen.filter("ups > 0").withColumn("top", F.max("lsn").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    taken = seen.filter("top is null or lsn > top")
-    out = taken.groupBy(key).agg(
+    out = accepted(rows, key, span).groupBy(key).agg(
         F.max_by(F.struct(*values), F.when(F.col("op") != "d", F.col("arrival"))).alias("v"), F.max_by("op", "arrival").alias("o"), F.max("lsn").alias("source_lsn")
     )
     return out.select(key, *[F.col(f"v.{v}").alias(v) for v in values], F.col("o").isin("d", "D").alias("deleted"), "source_lsn")
 
 
-def applied(events: DataFrame, key: str, stored: DataFrame | None = None) -> DataFrame:
+def applied(events: DataFrame, key: str, stored: DataFrame | None = None, span: int | None = SPAN) -> DataFrame:
     """The events that the guard lets through."""
     rows = events.select(key, F.col("arrival").cast("bigint").alias("arrival"), "op", "lsn")
     if stored is not None:
         rows = stored.select(key, F.lit(-1).cast("bigint").alias("arrival"), F.lit("c").alias("op"), F.col("source_lsn").alias("lsn")).unionByName(rows)
-    w = Window.partitionBy(key).orderBy("arrival")
-    seen = rows.withColumn("ups", F.sum(F.when(F.col("op") != "d", 1).otherwise(0)).over(w)).filter("ups > 0")
-    seen = seen.withColumn("top", F.max("lsn").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return seen.filter("arrival >= 0 and (top is null or lsn > top)").select(key, "arrival", "op", "lsn")
+    return accepted(rows, key, span).filter("arrival >= 0").select(key, "arrival", "op", "lsn")
 
 
 def bulk_upsert(target: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

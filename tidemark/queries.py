@@ -44,7 +44,7 @@ HOURLY_SQL = """h as (select event_type, date_trunc('hour', ts)::timestamp as ts
 h2 as (select *, sum(gauge) over (partition by event_type, date_trunc('day', ts) order by ts rows unbounded preceding) as counter from h)"""
 
 #: Modules that register queries beside those of this one.
-MODULES = ("queries_series",)
+MODULES = ("queries_series", "queries_stream")
 
 # --- sources ---------------------------------------------------------------------------------------
 

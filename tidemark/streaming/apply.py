@@ -81,7 +81,7 @@ class Applier:
                 raise Halted(f"{failed} of {total} events failed")
             replace, touched = {}, {}
             for name, rows in parts.items():
-                replace[name], touched[name] = self.merged(name, rows)
+                replace[name], touched[name] = self.merged(name, rows, None if total <= merge.SPAN else merge.SPAN)
             letters = manifest.get("marks", {}).get("letters", 0)
             append = {"cdc_dead_letter": quarantine.dead_letters(quarantine.numbered(bad, letters), self.pipeline, self.now)} if failed else {}
             if self.audited and seen:
@@ -98,14 +98,14 @@ class Applier:
             if bad is not None:
                 bad.unpersist()
 
-    def merged(self, name: str, rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    def merged(self, name: str, rows: DataFrame, span: int | None = merge.SPAN) -> tuple[DataFrame, list[int]]:
         """The buckets of a table that rows change, as they are afterwards, and their numbers."""
         spec = self.specs[name]
         values = [c for c in spec.fields if c != spec.key]
         bucket = bucket_of(spec.key, self.buckets)
         touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())  # bounded by the buckets
         stored = self.store.read(name, buckets=touched)
-        out = merge.guarded(rows, spec.key, values, stored) if spec.guarded else merge.last_arrival(stored, rows, spec.key, values)
+        out = merge.guarded(rows, spec.key, values, stored, span) if spec.guarded else merge.last_arrival(stored, rows, spec.key, values)
         return out.withColumn(BUCKET, bucket), touched
 
     def reprocess(self, most: int = 50) -> dict:
