@@ -4,10 +4,12 @@ On unit vectors cosine >= c is Euclidean distance <= r with r^2 = 2 - 2c. Pivots
 bounded sample, partition the vectors of a label into cells (nearest pivot). By the triangle inequality
 a vector of cell i can be that near to one of cell j only if it lies within r of the plane between the
 two pivots: (d(x, pj)^2 - d(x, pi)^2) / (2 d(pi, pj)) <= r. It is then copied to cell j (only for j > i, so
-that each pair meets once), and cells join independently, with double-precision matrix products. A cell
-of more than ``BLOCK`` rows is joined by pairs of blocks. Workers hand on a count and one spanning link a
-row, never pairs. There is a pivot for each ``BLOCK`` vectors of the largest label, as far as ``PIVOT_BYTES`` of
-them go (8,192 of 512 components): up to there cells do not grow with the data, past it they grow in proportion.
+that each pair meets once), and cells join independently, with double-precision matrix products: the vectors at
+home in a cell with each other and with the copies, never copies with copies. A cell of more than ``BLOCK`` rows is
+joined by pairs of blocks. Workers hand on a count and one spanning link a row, never pairs. There is a pivot for
+each ``BLOCK`` vectors of the largest label, as far as ``PIVOT_BYTES`` of them go (8,192 of 512 components): up to
+there a cell has about ``BLOCK`` rows of its own, past it their number grows in proportion. Copies come on top: how
+many depends on how near the planes between pivots the vectors lie.
 
 Equal vectors of a label are collapsed first, whatever their number. Vectors that are null, empty, zero
 or hold null or non-finite components, and those without label or vec_id, link with nothing (without
@@ -103,50 +105,59 @@ def _cells(shared, r: float):
 
 
 def _join(cosine: float):
-    """The rows of one pair of blocks of a cell to (id, links, other): links found, and a vector of the same component."""
+    """The rows of one unit to (id, links, other): links found, and a vector of the same component.
+
+    A unit is a block of a cell's own rows (side 0) with itself, or with another block of own rows or of copies (side 1).
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        ids, n, home, block = (table[c].to_numpy() for c in ("id", "n", "home", "block"))
+        ids, n, side = (table[c].to_numpy() for c in ("id", "n", "side"))
         x = np.stack([np.frombuffer(v.as_buffer()) for v in table["unit"].combine_chunks()])
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = (x[a] @ x[b].T >= cosine) & (home[a][:, None] | home[b][None, :])
-        if i == j:
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = table["i"][0].as_py() == table["j"][0].as_py()
+        if alone:
+            b = a
+        near = x[a] @ x[b].T >= cosine
+        if alone:
             np.fill_diagonal(near, False)
         links = np.zeros(len(ids), np.int64)
         links[a] += near @ n[b]
-        if i != j:
+        if not alone:
             links[b] += near.T @ n[a]
-        # components inside these rows
+        # components inside these rows: the smallest id of each row's neighbours, until nothing changes
+        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        near = near[np.ix_(rows, cols)]
         to = ids.copy()
-        seen = np.zeros(len(ids), bool)
-        place = np.full(len(ids), -1)
-        place[a] = np.arange(len(a))
-        other = np.full(len(ids), -1)
-        other[b] = np.arange(len(b))
-        for k in np.flatnonzero(links):
-            if seen[k]:
-                continue
-            seen[k] = True
-            queue, group = [k], [k]
-            while queue:
-                y = queue.pop()
-                hit = np.zeros(len(ids), bool)
-                if place[y] >= 0:
-                    hit[b[near[place[y]]]] = True
-                if other[y] >= 0:
-                    hit[a[near[:, other[y]]]] = True
-                fresh = np.flatnonzero(hit & ~seen)
-                seen[fresh] = True
-                queue += fresh.tolist()
-                group += fresh.tolist()
-            to[group] = ids[group].min()
+        while len(rows):
+            was = to.copy()
+            for at, other, seen in ((a[rows], b[cols], near), (b[cols], a[rows], near.T)):
+                least = np.where(seen, to[other][None, :], np.iinfo(np.int64).max).min(1)
+                to[at] = np.minimum(to[at], least)
+            if (to == was).all():
+                break
         some = np.flatnonzero(links)
         return pa.table({"id": ids[some], "links": links[some], "other": to[some]})
 
     return run
 
 
+def _paired(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of cells, once for each unit they belong to: label, dim, cell, i, j, side, and what they carry.
+
+    Blocks of a cell's own rows are numbered from 0, those of copies go on after them.
+    """
+    cell = ["label", "dim", "cell"]
+    sizes = placed.groupBy(*cell).agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("copies")).filter("own > 0 and own + copies > 1")
+    blocks = [F.ceil(F.col(c) / block).cast("int").alias(n) for c, n in (("own", "owns"), ("copies", "others"))]
+    rows = placed.join(sizes.select(*cell, *blocks), cell)
+    deal = F.xxhash64("id", F.lit(2))
+    rows = rows.withColumn("block", F.when(F.col("home"), F.pmod(deal, F.col("owns"))).otherwise(F.col("owns") + F.pmod(deal, F.greatest("others", F.lit(1)))).cast("int"))
+    # a block of own rows meets itself, every other one and all copies; a block of copies meets those of own rows
+    met = F.when(F.col("home"), F.sequence(F.lit(0), F.col("owns") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("owns") - 1))
+    rows = rows.withColumn("other", F.explode(met))
+    return rows.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "n", "unit")
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     spark = embeddings.sparkSession
@@ -165,12 +176,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     shared = spark.sparkContext.broadcast(pivots)
     placed = classes.select("id", "label", "dim", "n", "unit").mapInArrow(_cells(shared, r), "id long, label string, dim int, n long, unit binary, cell long, home boolean")
     placed = C.cut(placed)
-    count = F.ceil(F.col("rows") / BLOCK).cast("int")
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    placed = placed.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), count).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    placed = placed.select("label", "dim", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "home", "unit")
-    found = C.cut(placed.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, other long"))
+    found = C.cut(_paired(placed, BLOCK).groupBy("label", "dim", "cell", "i", "j").applyInArrow(_join(cosine), "id long, links long, other long"))
     joined = components(found.filter("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     rep = classes.select("label", "dim", "k1", "k2", "id", "n").join(links, "id", "left").join(joined, "id", "left")

@@ -3,7 +3,9 @@
 The html is cut into blocks at block-level tags; scripts, styles, comments and other raw elements go.
 Each block has its number of words and its link density, those of the blocks before and after it, its kind
 (paragraph, heading) and where it stands: inside an article, inside an element that is page furniture by its
-tag or role, or named as such, on a page that has an article. A decision tree, grown on the labelled blocks of
+tag or role, or named as such, on a page that has an article. A name counts where the element is itself
+what it names: not on an article, and what an element around an article is called after other words (a layout
+with or without a sidebar) says nothing of the article in it. A decision tree, grown on the labelled blocks of
 ``html_samples`` when first needed, tells content from the rest: marks decide where pages carry them (comments
 of readers read like any text), words and links of a block and its neighbours everywhere else, such as for lists
 of links inside an article and for pages made of plain divisions. Character references are decoded, white space
@@ -36,7 +38,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE = frozenset("nav header footer aside form menu dialog search fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words that class and id names of furniture end in.
-NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments newsletter".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion paid banner cookie cookies consent notice sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist discussion respond response responses reply replies reactions disqus newsletter subscribe".split())
+#: Words before them that tell how a page is laid out, not what an element is.
+LAYOUT = frozenset("no not without has have with is hide show layout wrap wrapper container".split())
 
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 QUOTE_OR_END = re.compile(r"[\"'>]")
@@ -45,8 +49,18 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|
 FEATURES = ("furniture", "named", "in_article", "has_article", "links", "links_before", "links_after", "words", "words_before", "words_after", "paragraph", "heading")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is an article, furniture by tag, role or being hidden, and named as furniture."""
+def _named(names: str) -> int:
+    """2 if one of the class and id names is that of furniture, 1 if one ends in such a word after others, else 0."""
+    found = 0
+    for n in names.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", n) if w]
+        if words and words[-1] in NAMES and not LAYOUT & set(words[:-1]):
+            found = max(found, 2 if len(words) == 1 else 1)
+    return found
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, int]:
+    """Whether an element is an article, furniture by tag, role or being hidden, and how far it is named as furniture."""
     found = {}
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
@@ -55,8 +69,8 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     article = tag in ("article", "main") or role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower()
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style or "visibility:hidden" in style
-    named = tag not in ("html", "body", "main") and any(n and re.split(r"[^a-z]+", n.strip("0123456789-_"))[-1] in NAMES for n in f"{found.get('class', '')} {found.get('id', '')}".lower().split())
-    return article, hidden or tag in FURNITURE or role in FURNITURE_ROLES, named
+    named = _named(f"{found.get('class', '')} {found.get('id', '')}") if tag not in ("html", "body", "main") else 0
+    return article, hidden or tag in FURNITURE or role in FURNITURE_ROLES, 0 if article and named < 2 else named
 
 
 class _Tags:
@@ -104,22 +118,27 @@ def blocks(page: str) -> list[list]:
     parts: list[str] = []
     link_words = 0
     in_link = False
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
     opened: Counter = Counter()  # elements of each tag on the stack
-    marks = [0, 0, 0]  # articles, furniture and named elements on the stack
+    marks = [0, 0, 0, 0]  # articles, furniture, elements named so in full and in part on the stack
+    outside = [0]  # elements named in part around each open article: a wrapper's name says nothing of an article in it
     kind = ""
 
     def push(entry) -> None:
         stack.append(entry)
         opened[entry[0]] += 1
-        for k in range(3):
-            marks[k] += entry[k + 1]
+        if entry[1]:
+            outside.append(marks[3])
+        for k, there in enumerate((entry[1], entry[2], entry[3] == 2, entry[3] == 1)):
+            marks[k] += there
 
     def pop() -> str:
         entry = stack.pop()
         opened[entry[0]] -= 1
-        for k in range(3):
-            marks[k] -= entry[k + 1]
+        if entry[1]:
+            outside.pop()
+        for k, there in enumerate((entry[1], entry[2], entry[3] == 2, entry[3] == 1)):
+            marks[k] -= there
         return entry[0]
 
     def end() -> None:
@@ -130,7 +149,7 @@ def blocks(page: str) -> list[list]:
             if text:
                 words = text.count(" ") + 1
                 heading = len(kind) == 2 and kind[0] == "h" and kind[1] in "123456"
-                out.append([text, words, min(link_words, words), kind == "p", heading, marks[1] > 0, marks[2] > 0, marks[0] > 0])
+                out.append([text, words, min(link_words, words), kind == "p", heading, marks[1] > 0, marks[2] > 0 or marks[3] > outside[-1], marks[0] > 0])
         link_words = 0
 
     def add(text: str) -> None:
@@ -202,7 +221,7 @@ def blocks(page: str) -> list[list]:
             if tag in BLOCK:
                 kind = ""
             continue
-        article, furniture, named = _marks(tag, attributes) if attributes or tag in BLOCK else (False, False, False)
+        article, furniture, named = _marks(tag, attributes) if attributes or tag in BLOCK else (False, False, 0)
         if tag in BLOCK:
             end()
             kind = tag

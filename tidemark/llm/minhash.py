@@ -264,6 +264,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, minima
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
+def _vertices(docs: DataFrame) -> DataFrame:
+    """docs with ``__v``, a number for each different (doc_id, text): their hash, or where two have one hash another."""
+    keys = "doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    rows = docs.withColumn("__v", F.xxhash64(*keys[:2]))
+    each = rows.select("__v", F.struct(*keys).alias("key")).groupBy("__v").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    shared = C.cut(each.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select(F.col("__v").alias("__clash")))
+    if shared.isEmpty():  # three are expected in 10^10 rows
+        return rows
+    rows = rows.join(shared, F.col("__v") == F.col("__clash"), "left")
+    return rows.withColumn("__v", F.when(F.col("__clash").isNull(), F.col("__v")).otherwise(F.xxhash64(F.lit(2), *keys))).drop("__clash")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of which one of each group stays, with all their columns.
 
@@ -272,18 +284,20 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id stays, null last. Rows without words all stay.
     """
     docs, names, own = C.plain_names(docs, ["doc_id", "text"])
-    rows = docs.withColumn("__v", F.xxhash64("doc_id", F.xxhash64("text")))
+    rows = _vertices(docs)
     found = near_duplicates(rows.select(F.col("__v").alias("doc_id"), "text"), **options)
     member = C.cut(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("v"), F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")))
     groups = member.groupBy("c").agg(F.sum("n").alias("rows")).filter("rows > 1").select("c")
-    member = member.join(groups, "c").select("v", "c")
+    member = member.join(groups, "c").select("v", "c", "n")
     ids = rows.select(F.col("__v").alias("v"), "doc_id").distinct()
     first = member.join(ids, "v").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("f"))
-    judged = member.join(first.select(F.col("c"), F.col("f.v").alias("first")), "c").select(F.col("v").alias("__at"), (F.col("v") == F.col("first")).alias("__first"))
-    # one merge on the row's key; equal rows then stand together, sorted, and are numbered there
-    out = rows.join(judged.hint("merge"), F.col("__v") == F.col("__at"), "left")
-    out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__v").orderBy("__v")))
-    return out.filter("__first is null or (__first and __nth = 1)").select(*names).toDF(*own)
+    judged = member.join(first.select(F.col("c"), F.col("f.v").alias("first")), "c")
+    judged = C.cut(judged.select(F.col("v").alias("__at"), (F.col("v") == F.col("first")).alias("__first"), "n"))
+    # one merge on the row's key, whose large parts are split
+    out = rows.join(judged.hint("merge"), F.col("__v") == F.col("__at"), "left").filter("__first is null or (__first and n = 1)")
+    # rows that are equal: one of each, by partial sums, so that however many there are a task hands on one
+    same = rows.join(judged.filter("__first and n > 1").hint("merge"), F.col("__v") == F.col("__at")).dropDuplicates(["__v"])
+    return out.select(*names).unionByName(same.select(*names)).toDF(*own)
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ they are by ``mix``; an empty table gives an empty result. A source of size 0 ha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,12 +62,21 @@ def targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
     )
 
 
+def _size_and_salt() -> tuple[Column, Column]:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return size, F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 2)
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size, salt = _size_and_salt()
     # texts are read once, for their sizes; what follows reads this small table
-    salt = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 2)
-    sized = C.cut(docs.select("doc_id", "source", size.alias("size"), salt.alias("salt"))).withColumn("class", F.expr(CLASS))
+    return _plan(C.cut(docs.select("doc_id", "source", size.alias("size"), salt.alias("salt"))), weights, cap, seed)
+
+
+def _plan(sized: DataFrame, weights, cap: int, seed: str, row: tuple[str, ...] = ()) -> DataFrame:
+    """The plan of a table of (doc_id, source, size, salt), with a column that tells rows if there is one."""
+    sized = sized.withColumn("class", F.expr(CLASS))
     counts = sized.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"))
     # counts of the rows before a salt inside its class, and before a class inside its source
     in_class = Window.partitionBy("source", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,30 +98,25 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED)
     # ranked inside the salt, whose rows are a small share of a class of a source
     rank = F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("doc_id", "size"))
     ranked = eq(sized.withColumn("rank", rank), salts, ["source", "class", "salt"])
-    ranked = ranked.select("doc_id", "source", "size", "source_size", "target", "per_doc", "shift", (F.col("start") + F.col("rank")).alias("place"))
+    ranked = ranked.select(*row, "doc_id", "source", "size", "source_size", "target", "per_doc", "shift", (F.col("start") + F.col("rank")).alias("place"))
 
     copies = F.floor(F.col("shift") + F.col("place") * F.col("per_doc")) - F.floor(F.col("shift") + (F.col("place") - 1) * F.col("per_doc"))
     out = ranked.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*row, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents themselves, each as often as the mix takes it (all their columns).
 
-    Documents are joined to their copies by (doc_id, source, size); rows equal in all three share the
-    copies of their group evenly, the first ones getting the remainder.
+    They are written once, numbered, with their sizes; the plan reads the numbers and sizes alone, and texts meet
+    their copies by number, which no two rows share.
     """
     docs, names, own = C.plain_names(docs, ["doc_id", "source", "text"])
-    plan = mix_plan(docs, weights, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")], "__copies", "__rows")
-    sized = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    on = sized["doc_id"].eqNullSafe(plan["__doc_id"]) & sized["source"].eqNullSafe(plan["__source"]) & (sized["__n"] == plan["__size"])
-    joined = sized.join(plan, on)
-    once = joined.filter("__rows = 1").withColumn("__take", F.col("__copies"))
-    same = joined.filter("__rows > 1").withColumn("__rank", F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy("__n")))
-    same = same.withColumn("__take", F.expr("__copies div __rows + if(__rank <= __copies % __rows, 1, 0)")).drop("__rank")
-    out = once.unionByName(same)
-    return out.withColumn("__i", F.explode(F.expr("if(__take > 0, sequence(1L, __take), array())"))).select(*names).toDF(*own)
+    size, salt = _size_and_salt()
+    whole = C.cut(docs.withColumns({"__size": size, "__salt": salt, "__row": F.monotonically_increasing_id()}))
+    sized = whole.select("doc_id", "source", F.col("__size").alias("size"), F.col("__salt").alias("salt"), "__row")
+    plan = _plan(sized, weights, cap, seed, ("__row",)).filter("copies > 0").select("__row", "copies")
+    return whole.join(plan, "__row").withColumn("__i", F.explode(F.expr("sequence(1L, copies)"))).select(*names).toDF(*own)
 
 
 ORACLE = rf"""

@@ -1,22 +1,23 @@
 """Operator 4: removal of repeated byte strings by distributed prefix doubling over sparse positions.
 
 A byte is removed if a string of ``least`` bytes that covers it starts anywhere else in the corpus as
-well. Prefix doubling ranks positions by growing prefixes and drops those that have become unique. Here
-a rank is a 64-bit fingerprint of the prefix (only equality counts, so no total order is needed), and
-positions are thinned before the first rank:
-
-1. Prefixes of h = least / 2 bytes. Of every h + 1 neighbouring ones the smallest fingerprint is the
-   anchor (the leftmost of equals), so equal strings of ``least`` bytes have the same anchor at the same
-   place, and every start belongs to one anchor. Anchors whose rank is unique are dropped with all their
-   starts.
-2. All starts of an anchor at once, up to 2 * least bytes: anchors that are ranked equal over the whole
-   stretch make all their starts repeated; one of each such class stands for it from here on.
+well. Prefix doubling ranks positions by growing prefixes and drops those that have become unique. Positions are
+thinned before the first rank: of every h + 1 neighbouring prefixes of h = least / 2 bytes the one with the
+smallest fingerprint is the anchor (the leftmost of equals), so equal strings of ``least`` bytes have the same
+anchor at the same place, and every start belongs to one anchor.
+
+1. Doubling: anchors are ranked by their first h / 2 bytes, then by pairs of that rank and the next h / 2, and so
+   by h bytes. Each round counts the pairs, drops those of a single anchor with all its starts, and Spark
+   sorts the others by ranges: their places in that order are the new ranks.
+2. The next pair is of the rank and all that an anchor's starts reach, up to 2 * least bytes: anchors that are
+   equal over the whole stretch make all their starts repeated; one of each such class stands for it from here on.
 3. The other starts in steps of ``STEP``: a step whose common core (least - STEP + 1 bytes) is unique has
    no repeated start; one whose whole stretch is repeated has only repeated ones.
 4. Single starts of the steps left, at ``least`` bytes, past which nothing is compared.
 
-Ranks are counted by map-side partial sums and joined back on equal keys, so a passage that stands in a
-third of all documents is no hot spot. Each document's spans meet its text once. Null and empty texts
+What no rank covers yet is compared by 64-bit fingerprints, of which only equality counts. Pairs are counted by
+map-side partial sums, each is sorted once however many anchors have it, and ranks are joined back on equal keys,
+so a passage that stands in a third of all documents is no hot spot. Each document's spans meet its text once. Null and empty texts
 and those shorter than ``least`` keep everything; repeated rows are occurrences of their own; rows are
 told apart by (doc_id, hash of the text), and equal rows get equal results. Matches never cross
 documents. A very long text is handled whole, in one piece. Columns beside doc_id and
@@ -37,8 +38,6 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 
 LEAST = 400
-#: Bytes that fifty words hardly fall below (one in fifty such passages of the given tables does).
-PASSAGE = 250
 STEP = 25
 
 
@@ -56,11 +55,13 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _anchors(least: int):
-    """Batches of (doc_id, th, text) to (doc_id, th, start, width, back, half, whole): one row an anchor.
+    """Batches of (doc_id, th, text) to (doc_id, th, start, width, back, near, next, whole): one row an anchor.
 
-    Its starts are start .. start + width, the anchor stands back bytes after the first of them.
+    Its starts are start .. start + width, the anchor stands back bytes after the first of them; near and next
+    are fingerprints of the two halves of its prefix.
     """
     half = least // 2
+    near = half // 2
 
     def run(batches):
         for b in batches:
@@ -93,17 +94,28 @@ def _anchors(least: int):
                 whole = C.pair(C.mix((h[e + least] - h[s]) * down[s]), shape)
                 r = row[s]
                 at.append(r + i)
-                out.append(np.stack([(s - st[r]), e - s, a - s, gram[a].view(np.int64), whole.view(np.int64)]))
+                first, second = (C.mix((h[a + y] - h[a + x]) * down[a + x]).view(np.int64) for x, y in ((0, near), (near, half)))
+                out.append(np.stack([(s - st[r]), e - s, a - s, first, second, whole.view(np.int64)]))
             if not out:
                 continue
             at, out = pa.array(np.concatenate(at)), np.concatenate(out, 1)
             cols = [b["doc_id"].take(at), b["th"].take(at)]
             cols += [pa.array(x.astype(np.int32)) for x in out[:3]] + [pa.array(x) for x in out[3:]]
-            yield pa.record_batch(cols, ["doc_id", "th", "start", "width", "back", "half", "whole"])
+            yield pa.record_batch(cols, ["doc_id", "th", "start", "width", "back", "near", "next", "whole"])
 
     return run
 
 
+def _reranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows whose pair in by is shared, with its place among all shared pairs instead of it."""
+    shared = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*by)
+    # a table of its own, so that the join may split a pair that is very common
+    order = C.cut(shared.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    out = C.cut(rows.join(order, by).drop(*by))
+    C.drop(order)
+    return out
+
+
 def _contexts(least: int, step: int):
     """Documents with their listed anchors to rows of steps: the ranks of the core, the stretch and each start.
 
@@ -159,11 +171,11 @@ _STEP_SCHEMA = "doc_id long, th long, first long, back long, half long, times lo
 def repeated_spans(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
     """doc_id, th, lo, hi: byte ranges whose union is what repeats; rows keyed by (doc_id, hash of the text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    every = C.cut(keyed.mapInArrow(_anchors(least), "doc_id long, th long, start int, width int, back int, half long, whole long"))
-    # counts are tables of their own, so that a join may split a rank that is very common
-    twice = C.cut(every.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
-    found = C.cut(every.join(twice, "half"))
-    C.drop(every, twice)
+    every = C.cut(keyed.mapInArrow(_anchors(least), "doc_id long, th long, start int, width int, back int, near long, next long, whole long"))
+    begun = _reranked(every, ["near"], "rank")
+    C.drop(every)
+    found = _reranked(begun, ["rank", "next"], "half")
+    C.drop(begun)
     one = F.struct("doc_id", "th", "start", "width", "back")
     classes = C.cut(found.groupBy("half", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one")))
     sure = found.join(classes.filter("times > 1").select("half", "whole"), ["half", "whole"])
@@ -222,11 +234,10 @@ def _digests(batches):
         for r in range(len(b)):
             size = b["n_bytes"][r].as_py()
             kept, runs = _kept(b["packed"][r], size, b["spans"][r].as_py(), codec)
-            passages = sum(hi - lo for lo, hi in _merged((x["lo"], x["hi"]) for x in b["passages"][r].as_py() or ()))
-            rows.append((b["doc_id"][r].as_py(), size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), passages))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
+            rows.append((b["doc_id"][r].as_py(), size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _rest(batches):
@@ -243,22 +254,14 @@ def _by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def removal(docs: DataFrame, least: int = LEAST, step: int = STEP, passage: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes: one row a document.
-
-    The last tells how many bytes strings of ``passage`` bytes cover that repeat, which are shorter than those
-    removed (None: the same strings); nothing else goes by it.
-    """
-    spans = repeated_spans(docs, least, step)
-    marked = spans.select("doc_id", "th", "lo", "hi", F.lit(True).alias("goes"))
-    short = spans if passage is None else repeated_spans(docs, passage, step)
-    marked = marked.unionByName(short.select("doc_id", "th", "lo", "hi", F.lit(False).alias("goes")))
-    found = marked.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(*[F.collect_list(F.when(F.col("goes") == goes, F.struct("lo", "hi"))).alias(n) for n, goes in (("spans", True), ("passages", False))])
+def removal(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
+    found = _by_document(repeated_spans(docs, least, step))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     packed = keyed.mapInArrow(C.pack, "doc_id long, th long, packed binary, n_bytes long")
     joined = packed.join(found, packed["doc_id"].eqNullSafe(found["r_id"]) & (packed["th"] == found["r_th"]), "left")
-    out = joined.select("doc_id", "packed", "n_bytes", "spans", "passages")
-    return out.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
+    out = joined.select("doc_id", "packed", "n_bytes", "spans")
+    return out.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeated(docs: DataFrame, least: int = LEAST, step: int = STEP) -> DataFrame:

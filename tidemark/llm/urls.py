@@ -11,13 +11,15 @@ that nothing reaches is allowed.
 
 Ranks are DataFrames, one row a host, summed with map-side partial sums and cut each round, until they are
 settled. Links to the
-own host and repeated links count nothing or once; null html has no links; pages of any length are searched
+own host and repeated links count nothing or once; a link's tag ends at the next < or >; null html has no links; pages of any length are searched
 whole; repeated rows get equal results; columns beside page_id, url and html are not read, whatever their
 names; two rules of equal length go by their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,16 @@ ROUNDS = 60  # of the SQL, which cannot tell when ranks are settled
 TOGETHER = 4
 #: Links of a host that are joined together.
 SLICE = 200_000
-#: Ranks are settled when they change by no more in sum and no further host is reached; an error after so many rounds.
+#: Ranks are settled when they change by no more in sum and no further host is reached, or after so many rounds.
 TOLERANCE = 1e-9
 MOST_ROUNDS = 1000
 DAMPING = 0.85
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"^(?s).*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/"'\s<>?#]+)"""
+#: An opening link as far as the next < or >, and the host that its href names; possessive, so that neither goes back over what it has read.
+LINK = r"""(?i)<a\s[^<>]*+"""
+HREF = r"""(?i)href\s*+=\s*+["']?+\s*+(?:https?:)?+//([^/"'\s<>?#]++)"""
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -58,15 +62,16 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) of links between different hosts."""
-    linked = pages.filter(F.col("html").contains("//")).select(host_and_path("url")[0].alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
+    linked = pages.filter(F.col("html").contains("//")).select(host_and_path("url")[0].alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("tag"))
+    linked = linked.select("src", F.regexp_extract("tag", HREF, 1).alias("dst"))
     return linked.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING, tolerance: float | None = TOLERANCE, slice_rows: int = SLICE) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, seed) along edges (src, dst).
 
-    It goes on until the ranks are settled, and fails if they are not after that many rounds; without a
-    tolerance it takes just those rounds. Edges are cut up by (src, slice), a host having a slice for each
+    It goes on until the ranks are settled; without a tolerance it takes just those rounds. A host that is further
+    than that many links from every seed counts as not reached: its rank would be under damping ** rounds. Edges are cut up by (src, slice), a host having a slice for each
     ``slice_rows`` of its edges, and its rank is sent to each of them: a host with very many links is no hot key.
     """
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")).withColumn("slices", F.ceil(F.col("out") / slice_rows))
@@ -94,8 +99,6 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = MOST_ROUNDS, dampin
         change, fresh = both.agg(F.sum(F.abs(F.col("rank") - F.col("was"))), F.count_if((F.col("was") == 0) & (F.col("rank") > 0))).first()
         if (change or 0.0) <= tolerance and not fresh:
             return rank
-    if tolerance is not None:
-        raise RuntimeError(f"ranks are not settled after {rounds} rounds")
     return rank
 
 
@@ -131,7 +134,7 @@ def oracle() -> str:
                 union all select host, seed * (1 - {DAMPING}) from {name}_s) group by host)"""
         return out
 
-    link = LINK.replace("'", "''")
+    link, href = (re.sub(r"([*+?])\+", r"\1", p).replace("'", "''") for p in (LINK, HREF))
     names = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}'" for _, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])))
     said = " ".join(f"when '{h}{p}' then '{w}'" for w, h, p in RULES)
     lower = f"'{UPPER}', '{LOWER}'"
@@ -140,7 +143,7 @@ with h as (select page_id, html, case when contains(url, '://') then translate(r
         case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) else '' end as path from pages),
 j as (select page_id, host, path, case {names} end as rule from h),
 k as (select *, case rule {said} end as said from j),
-e as (select distinct host as src, translate(dst, {lower}) as dst from (select host, unnest(regexp_extract_all(html, '{link}', 1)) as dst from h) where host <> '' and dst <> '' and host <> translate(dst, {lower})),
+e as (select distinct host as src, translate(dst, {lower}) as dst from (select host, regexp_extract(unnest(regexp_extract_all(html, '{link}')), '{href}', 1) as dst from h) where host <> '' and dst <> '' and host <> translate(dst, {lower})),
 s as (select host, avg((said is not distinct from 'allow')::int) as allow, avg((said is not distinct from 'block')::int) as block from k where host <> '' group by host),
 {rounds('t', 'src', 'dst', 'allow')}, {rounds('b', 'dst', 'src', 'block')},
 bad as (select b{ROUNDS}.host from b{ROUNDS} left join t{ROUNDS} using (host) where b{ROUNDS}.rank > coalesce(t{ROUNDS}.rank, 0) * {RATIO})
