@@ -72,12 +72,12 @@ def foreign_keys(columns: DataFrame) -> DataFrame:
     return columns.join(parents, F.col("column_name") == F.concat("parent", F.lit("_id"))).select(F.col("table_name").alias("child"), F.col("column_name").alias("fk"), "parent")
 
 
-def guard_matrix(columns: DataFrame) -> DataFrame:
-    """Which tables have a position, a deletion flag and a time of synchronisation."""
+def guard_matrix(columns: DataFrame, names: tuple[str, ...] = ("source_lsn", "deleted", "synced_at")) -> DataFrame:
+    """Which tables have certain columns: a position, a deletion flag and a time of synchronisation."""
     def has(name: str) -> Column:
         return F.max(F.when(F.col("column_name") == name, 1).otherwise(0)).alias(f"has_{name}")
 
-    return columns.groupBy("table_name").agg(has("source_lsn"), has("deleted"), has("synced_at"))
+    return columns.groupBy("table_name").agg(*[has(n) for n in names])
 
 
 def drift(source: DataFrame, target: DataFrame, pending: DataFrame) -> DataFrame:

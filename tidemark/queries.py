@@ -44,7 +44,7 @@ HOURLY_SQL = """h as (select event_type, date_trunc('hour', ts)::timestamp as ts
 h2 as (select *, sum(gauge) over (partition by event_type, date_trunc('day', ts) order by ts rows unbounded preceding) as counter from h)"""
 
 #: Modules that register queries beside those of this one.
-MODULES = ("queries_series", "queries_stream")
+MODULES = ("queries_series", "queries_stream", "queries_tables")
 
 # --- sources ---------------------------------------------------------------------------------------
 
@@ -246,9 +246,9 @@ def insert_if_absent(spark, d):
 
 @query("""select p_partkey as id, p_size + 1 as point, cast(cast(p_retailprice as decimal(12,2)) * 1.01 as decimal(12,2)) as price,
 cast(case when (cast(cast(p_retailprice as decimal(10,2)) * 100 as bigint)) % 2 = 0 then cast(p_retailprice as decimal(10,2)) + 0.01 else cast(p_retailprice as decimal(10,2)) - 0.01 end as decimal(10,2)) as toggled
-from part order by p_partkey limit 1000""", decimals="price toggled")
+from part""", decimals="price toggled")
 def bulk_update_expressions(spark, d):
-    p = t(spark, d, "part").orderBy("p_partkey").limit(1000)
+    p = t(spark, d, "part")
     price, usd = F.col("p_retailprice").cast("decimal(12,2)"), F.col("p_retailprice").cast("decimal(10,2)")
     cent = F.lit("0.01").cast("decimal(3,2)")
     toggled = F.when((usd * 100).cast("bigint") % 2 == 0, usd + cent).otherwise(usd - cent)
@@ -301,27 +301,6 @@ def orphan_rows(spark, d):
     return reconcile.orphans(t(spark, d, "orders"), t(spark, d, "customer").filter("c_custkey % 10 <> 3"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-COLUMNS = [("grade", "id"), ("grade", "deleted"), ("grade", "source_lsn"), ("member", "id"), ("member", "grade_id"), ("member", "deleted"), ("member", "source_lsn"), ("member", "synced_at"), ("car", "id"), ("car", "maker_id"), ("note", "car_id")]
-COLUMNS_SQL = "cols as (select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in COLUMNS) + ") x(table_name, column_name))"
-
-
-@query(f"with {COLUMNS_SQL} select c.table_name as child, c.column_name as fk, p.table_name as parent from cols c join cols p on c.column_name = p.table_name || '_id' and p.column_name = 'id'")
-def foreign_key_discovery(spark, d):
-    return reconcile.foreign_keys(spark.createDataFrame(COLUMNS, "table_name string, column_name string"))
-
-
-@query(f"with {COLUMNS_SQL} select table_name, max(case when column_name = 'source_lsn' then 1 else 0 end) as has_source_lsn, max(case when column_name = 'deleted' then 1 else 0 end) as has_deleted, max(case when column_name = 'synced_at' then 1 else 0 end) as has_synced_at from cols group by table_name")
-def guard_matrix(spark, d):
-    return reconcile.guard_matrix(spark.createDataFrame(COLUMNS, "table_name string, column_name string"))
-
-
-@query(f"with {COLUMNS_SQL}, ts as (select distinct table_name from cols) select ts.table_name, c.column_name is not null as soft from ts left join cols c on c.table_name = ts.table_name and c.column_name = 'deleted'")
-def catalog_left_join(spark, d):
-    c = spark.createDataFrame(COLUMNS, "table_name string, column_name string")
-    flag = c.filter("column_name = 'deleted'").select("table_name", F.lit(True).alias("soft"))
-    return c.select("table_name").distinct().join(flag, "table_name", "left").select("table_name", F.coalesce("soft", F.lit(False)).alias("soft"))
-
-
 @query("with s as (select c_nationkey as k, count(*) as n from customer group by 1), x as (select s_nationkey as k, count(*) as n from supplier group by 1) select s.k, s.n - x.n as gap from s join x on s.k = x.k")
 def label_join(spark, d):
     s = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -367,15 +346,17 @@ def in_subquery(spark, d):
     return o.join(keys, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("select c_custkey from customer except select o_custkey from orders where o_orderkey < 2000")
+@query("select c_custkey from customer except select o_custkey from orders where o_custkey % 7 <> 3")
 def missing_keys(spark, d):
-    return t(spark, d, "customer").select("c_custkey").subtract(t(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_custkey").alias("c_custkey")))
+    return t(spark, d, "customer").select("c_custkey").subtract(t(spark, d, "orders").filter("o_custkey % 7 <> 3").select(F.col("o_custkey").alias("c_custkey")))
 
 
-@query(", a as (select * from log where seq <= 3000), b as (select * from log where seq > 2500 and seq <= 5000) select seq, row_id from b where exists (select 1 from a where a.seq = b.seq)")
+@query(", h as (select max(seq) as top from log), a as (select log.* from log, h where seq <= top * 0.6), b as (select log.* from log, h where seq > top * 0.5) select seq, row_id from b where exists (select 1 from a where a.seq = b.seq)")
 def duplicate_lsn(spark, d):
     x = log(spark, d)
-    return x.filter("seq > 2500 and seq <= 5000").join(x.filter("seq <= 3000").select("seq"), "seq", "left_semi").select("seq", "row_id")
+    top = F.broadcast(x.agg(F.max("seq").alias("top")))  # one row
+    a = x.join(top, F.col("seq") <= F.col("top") * 0.6).select("seq")
+    return x.join(top, F.col("seq") > F.col("top") * 0.5).join(a, "seq", "left_semi").select("seq", "row_id")
 
 
 # --- aggregation ------------------------------------------------------------------------------------
@@ -719,11 +700,33 @@ def slot_lag(spark, d):
 STATES = ["40001", "40P01", "55P03", "08006", "53300", "57014", "22018", "23505", "28000", "3D000", "3F000", "42P01", "XX000"]
 
 
-@query("with s as (select * from (values " + ", ".join(f"('{s}')" for s in STATES) + """) x(state)) select state, case when state in ('40001', '40P01', '55P03') or left(state, 2) in ('08', '53', '57') then 'RETRY' when left(state, 2) in ('22', '23') then 'DEAD_LETTER'
+CASES_SQL = ", s as (select seq, [{}][(seq % {} + 1)::int] as state from log)"
+
+
+def _cases(spark, d, states: list[str]) -> DataFrame:
+    """The log with one of some states for each change."""
+    return log(spark, d).select("seq", F.element_at(F.array(*[F.lit(x) for x in states]), (F.col("seq") % len(states) + 1).cast("int")).alias("state"))
+
+
+@query(CASES_SQL.format(", ".join(f"'{x}'" for x in STATES), len(STATES)) + """ select seq, state, case when state in ('40001', '40P01', '55P03') or left(state, 2) in ('08', '53', '57') then 'RETRY' when left(state, 2) in ('22', '23') then 'DEAD_LETTER'
 when left(state, 2) in ('28', '3D', '3F', '42') then 'HALT' else 'RETRY' end as verdict from s""")
 def failure_verdict(spark, d):
-    s = spark.createDataFrame([(x,) for x in STATES], "state string")
-    return s.select("state", verdict(F.col("state")).alias("verdict"))
+    return _cases(spark, d, STATES).select("seq", "state", verdict(F.col("state")).alias("verdict"))
+
+
+WAL = {"reserved": 0, "extended": 1, "unreserved": 2, "lost": 3}
+IDENTITY = {"d": 0, "f": 1, "i": 2, "n": 3}
+
+
+@query(CASES_SQL.format("'reserved', 'extended', 'unreserved', 'lost', 'other'", 5) + " select state as status, case state when 'reserved' then 0 when 'extended' then 1 when 'unreserved' then 2 when 'lost' then 3 else -1 end as code, count(*) as n from s group by all")
+def status_codes(spark, d):
+    s = _cases(spark, d, [*WAL, "other"]).select(F.col("state").alias("status"), code_of(F.col("state"), WAL).alias("code"))
+    return s.groupBy("status", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(CASES_SQL.format("'d', 'f', 'i', 'n', '?'", 5) + " select seq, state, case state when 'd' then 0 when 'f' then 1 when 'i' then 2 when 'n' then 3 else -1 end as code from s")
+def replica_identity_codes(spark, d):
+    return _cases(spark, d, [*IDENTITY, "?"]).select("seq", "state", code_of(F.col("state"), IDENTITY).alias("code"))
 
 
 @query("""with c as (select c_custkey as pipeline, nullif(c_custkey % 50, 0) as last_applied from customer), s as (select c_custkey as pipeline, case when c_custkey % 9 = 0 then null else (c_custkey * 7) % 60 end as restart from customer where c_custkey % 4 <> 0)
@@ -746,13 +749,6 @@ def column_width(spark, d):
     return t(spark, d, "customer").agg(*[F.round(F.avg(F.octet_length(c)), 6).alias(c) for c in ("c_name", "c_mktsegment")])
 
 
-@query("select case status when 'reserved' then 0 when 'extended' then 1 when 'unreserved' then 2 when 'lost' then 3 else -1 end as code, status from (values ('reserved'), ('extended'), ('unreserved'), ('lost'), ('other')) x(status)")
-def status_codes(spark, d):
-    s = spark.createDataFrame([(x,) for x in ("reserved", "extended", "unreserved", "lost", "other")], "status string")
-    code = F.when(F.col("status") == "reserved", 0).when(F.col("status") == "extended", 1).when(F.col("status") == "unreserved", 2).when(F.col("status") == "lost", 3).otherwise(-1)
-    return s.select(code.alias("code"), "status")
-
-
 @query("select c_custkey, c_name from customer where c_name like 'Customer#00000%' and c_name not like 'Customer#000000%'")
 def like_filters(spark, d):
     return t(spark, d, "customer").filter(F.col("c_name").like("Customer#00000%") & ~F.col("c_name").like("Customer#000000%")).select("c_custkey", "c_name")
@@ -892,18 +888,6 @@ def checkpoint_staleness(spark, d):
     return t(spark, d, "customer").select(F.col("c_custkey").alias("pipeline"), (F.unix_seconds(F.lit(NOW).cast("timestamp")) - at).alias("stale"))
 
 
-@query("select state, case state when 'd' then 0 when 'f' then 1 when 'i' then 2 when 'n' then 3 else -1 end as code from (values ('d'), ('f'), ('i'), ('n'), ('?')) x(state)")
-def replica_identity_codes(spark, d):
-    s = spark.createDataFrame([(x,) for x in "dfin?"], "state string")
-    return s.select("state", code_of(F.col("state"), {"d": 0, "f": 1, "i": 2, "n": 3}).alias("code"))
-
-
-@query(f"with {COLUMNS_SQL} select table_name, count(*) as n from cols where table_name in (select table_name from cols where column_name = 'deleted') group by table_name")
-def catalog_semi_join(spark, d):
-    c = spark.createDataFrame(COLUMNS, "table_name string, column_name string")
-    return c.join(c.filter("column_name = 'deleted'").select("table_name"), "table_name", "left_semi").groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("select n_name, r_name, s_name from nation join region on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey")
 def catalog_inner_joins(spark, d):
     n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
