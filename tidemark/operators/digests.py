@@ -35,11 +35,11 @@ def _unlike(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter(~(F.col("n_0").eqNullSafe(F.col("n_1")) & F.col("d_0").eqNullSafe(F.col("d_1")))).select("node")
 
 
-def differing_leaves(a: DataFrame, b: DataFrame, fan: int = FAN) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Leaves that differ between two tables of leaves, and (width in leaves, nodes looked at) of each level."""
+def differing_leaves(a: DataFrame, b: DataFrame, written, fan: int = FAN) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Leaves that differ between two tables of leaves, and (width in leaves, nodes looked at) of each level; what differs is written level by level."""
     ends = a.select("node").unionByName(b.select("node")).agg(F.min("node"), F.max("node")).first()
     width = 1
-    while ends[0] is not None and ends[0] // width != ends[1] // width:
+    while ends[0] is not None and ends[1] // width - ends[0] // width >= fan:  # the top level has up to fan nodes
         width *= fan
     found, seen = None, []
     while True:
@@ -48,7 +48,7 @@ def differing_leaves(a: DataFrame, b: DataFrame, fan: int = FAN) -> tuple[DataFr
             parents = found.withColumnRenamed("node", "parent")
             x, y = (s.join(parents, F.floor(F.col("node") / fan) == F.col("parent"), "left_semi") for s in (x, y))
         seen.append((width, x.select("node").unionByName(y.select("node")).distinct().count()))
-        found = _unlike(x, y)
+        found = written(_unlike(x, y))
         if width == 1:
             return found, seen
         width //= fan
@@ -60,8 +60,7 @@ def tree_reconcile(source: DataFrame, target: DataFrame, key: str, columns: list
     written: makes a table of a DataFrame (a path of its own each time) and reads it back.
     """
     a, b = (written(leaves(s, key, columns, leaf)) for s in (source, target))
-    found, seen = differing_leaves(a, b, fan)
-    found = written(found)
+    found, seen = differing_leaves(a, b, written, fan)
     count = found.count()
     few = F.broadcast(found) if count <= MOST else found
     rows = [s.join(few, F.floor(F.col(key) / leaf) == F.col("node"), "left_semi") for s in (source, target)]
