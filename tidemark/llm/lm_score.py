@@ -7,15 +7,21 @@ documents scored are the corpus counted, so each of their trigrams is seen and t
 shorter context for what is not, ends only at the beginning of a text. The first two words together give
 log10(c(bigram) / N), so that words alone count in texts of one.
 
-Each trigram is exploded into its two words as a 64-bit hash, its third as 32 bits more, and its document. These
-are shuffled once, packed by run of text, to the bucket of the two words' hash, there being one for each ``ROWS``
-words of the corpus: there a sort counts the trigram and its context at once, and the gains are summed by
-document (each comes from as many buckets as it has words, at most). Contexts that are at least one in ``HOT`` of all words
-are counted beforehand and broadcast (at most ``HOT`` of them): their trigrams are shuffled by a hash of all three
-words, or added where the text is if they are as frequent themselves. So no key is hot.
-
-Hot ones are found by sums of counts by run of text: a run leaves out what it holds less than one in twice
-``HOT`` times, so that no hot one falls below half its bound; the few that pass are counted exactly.
+Each trigram is exploded into its two words as a 64-bit hash, its third as another (numbered within the pack, where
+each stands once), and its document. These are shuffled once, packed by run of text, to the bucket of the two words'
+hash, there being one for each ``ROWS`` words of the corpus: there a sort counts the trigram and its context at once,
+and the gains are summed by document (each comes from as many buckets as it has words, at most). Contexts that are at
+least one in ``HOT`` of all words, or that stand ``MOST`` times, are counted beforehand and broadcast (at most ``HOT``
+and one for each ``MOST`` words of the corpus, 16 bytes each): their trigrams are shuffled by a hash of all three
+words, or added where the text is if they are as frequent themselves. So no key has much more than ``MOST`` rows.
+
+Those of a share are found by sums of counts by run of text: a run leaves out what it holds less than one in twice
+``HOT`` times, so that no hot one falls below half its bound. Those of a number are found by drawing ``DRAWN`` places
+in ``MOST`` at random, half as many draws being enough. All that pass are counted exactly, and one that is missed
+only makes its bucket larger: results are the same whatever is hot.
+
+Texts outside the corpus, with the discounted backoff that these then need, are scored by ``lm_model``, which keeps
+the counts as a table and gives the same scores for texts of the corpus.
 
 Null and empty texts have no words and a null score. A text of any length is read whole. Rows are told apart by a
 hash of (doc_id, text); equal rows get equal scores and are all counted. Columns beside doc_id and text are not
@@ -26,15 +32,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
 HOT = 50_000
+#: Rows of a key that make it hot whatever its share, and draws expected of such a one.
+MOST, DRAWN = 1 << 23, 64
 RUN = 2 << 20
 #: Bytes of text packed together, words of the corpus to a bucket of counts, and buckets at least.
 PACK, ROWS, BUCKETS = 1 << 20, 3_000_000, 32
+#: Trigrams in a packed row at most, so that two bytes number their third words.
+PACKED = 1 << 16
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
@@ -64,7 +76,7 @@ class _Grams:
         first[1:] = last[:-1]
         third = h[np.minimum(at + 2, max(len(h) - 1, 0))] if len(h) else h
         self.context, self.first, self.last = context.view(np.int64), first, last
-        self.third = (third >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.third = third
         self.whole = (C.pair(context, third) & ~np.uint64(1)).view(np.int64)
 
     def codes(self) -> np.ndarray:
@@ -78,16 +90,22 @@ def _cut_up(column: pa.Array, most: int = RUN):
         yield i, j, _Grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _often(hot: int):
-    """text to (code, n): all words under ALL, and what a run holds often enough."""
+def _often(hot: int, most: int):
+    """text to (code, n, drawn): all words under ALL, what a run holds often enough, and some drawn at random."""
 
     def run(batches):
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
             for _, _, g in _cut_up(b["text"]):
-                u, n = np.unique(g.codes(), return_counts=True)
+                codes = g.codes()
+                u, n = np.unique(codes, return_counts=True)
                 words = g.words.sum()
                 some = n * 2 * hot >= words
-                yield pa.record_batch([pa.array(np.append(u[some], ALL)), pa.array(np.append(n[some], words))], ["code", "n"])
+                code, n = np.append(u[some], ALL), np.append(n[some], words)
+                drawn = rng.choice(codes, rng.binomial(len(codes), min(1.0, DRAWN / most))) if len(codes) else codes
+                zero, one = np.zeros(len(code), np.int64), np.ones(len(drawn), np.int64)
+                cols = np.append(code, drawn), np.append(n, 0 * one), np.append(zero, one)
+                yield pa.record_batch([pa.array(c) for c in cols], ["code", "n", "drawn"])
 
     return run
 
@@ -146,9 +164,10 @@ def _base(table):
 
 
 def _exploded(table, buckets: int):
-    """(key, text) to (bucket, codes, thirds, whats, keys, times) of what is not broadcast: a row for a run and bucket.
+    """(key, text) to (bucket, codes, words, thirds, whats, keys, times) of what is not broadcast, by run and bucket.
 
-    The first three hold a value for each trigram, keys and times the documents they are of, one after another.
+    Codes, thirds and whats hold a value for each trigram, thirds being numbers into words, keys and times the documents
+    they are of, one after another. A row holds ``PACKED`` trigrams at most.
     """
 
     def run(batches):
@@ -163,20 +182,22 @@ def _exploded(table, buckets: int):
                 if not len(at):
                     continue
                 code = np.concatenate([g.context[cold], g.context[begin], g.whole[whole]])
-                third = np.concatenate([np.where(g.last[cold], 0, g.third[cold]), np.zeros(len(begin) + len(whole), np.int32)]).astype(np.int32)
+                third = np.concatenate([np.where(g.last[cold], np.uint64(0), g.third[cold]), np.zeros(len(begin) + len(whole), np.uint64)])
                 what = np.concatenate([np.where(g.last[cold], END, INSIDE), np.full(len(begin), BEGIN), np.full(len(whole), WHOLE)]).astype(np.uint8)
                 bucket = ((code.view(np.uint64) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
                 row = g.row[at]
                 order = np.lexsort((row, bucket))
                 code, third, what, row, bucket = code[order], third[order], what[order], row[order], bucket[order]
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                starts = np.union1d(starts, np.arange(0, len(code), PACKED))
                 parts = []
                 for lo, hi in zip(starts, np.append(starts[1:], len(code)), strict=True):
                     first = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
                     times = np.diff(np.append(first, hi - lo)).astype(np.int32)
-                    parts.append([x.tobytes() for x in (code[lo:hi], third[lo:hi], what[lo:hi], keys[i + row[lo + first]], times)])
+                    words, number = np.unique(third[lo:hi], return_inverse=True)
+                    parts.append([x.tobytes() for x in (code[lo:hi], words, number.astype(np.uint16), what[lo:hi], keys[i + row[lo + first]], times)])
                 cols = zip(*parts, strict=True)
-                yield pa.record_batch([pa.array(bucket[starts]), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "codes", "thirds", "whats", "keys", "times"])
+                yield pa.record_batch([pa.array(bucket[starts]), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "codes", "words", "thirds", "whats", "keys", "times"])
 
     return run
 
@@ -190,9 +211,24 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _lengths(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """How many values of that many bytes each row of a binary column holds."""
+    return pc.binary_length(column).to_numpy().astype(np.int64) // size
+
+
+def _thirds(packed: pa.Table) -> np.ndarray:
+    """Of each trigram the number of its third word among all those of the bucket."""
+    _, number = np.unique(_joined(packed["words"], np.uint64), return_inverse=True)
+    sizes = _lengths(packed["words"], 8)
+    at = np.repeat(np.cumsum(sizes) - sizes, _lengths(packed["thirds"], 2))
+    at += _joined(packed["thirds"], np.uint16)
+    return number.astype(np.int32)[at]
+
+
 def _counted(packed: pa.Table) -> pa.Table:
     """All rows of a bucket to (key, gain): each trigram and its context are counted here, and gains summed by document."""
-    code, third, what, key, times = (_joined(packed[c], t) for c, t in (("codes", np.int64), ("thirds", np.int32), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
+    code, what, key, times = (_joined(packed[c], t) for c, t in (("codes", np.int64), ("whats", np.uint8), ("keys", np.int64), ("times", np.int32)))
+    third = _thirds(packed)
     order = np.lexsort((third, code))
     code, third, what = code[order], third[order], what[order]
     new = np.diff(code, prepend=code[0] - 1) != 0
@@ -212,21 +248,24 @@ def _counted(packed: pa.Table) -> pa.Table:
     return pa.table({"key": keys[some], "gain": sums[some]})
 
 
-def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_words, score: one row a document."""
+def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """doc_id, n_words, score: one row a document. ``doc_id`` must be a number; a text as id is an error."""
     send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select("text")
-    often = C.cut(texts.mapInArrow(_often(hot), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    often = texts.mapInArrow(_often(hot, most), "code long, n long, drawn long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
+    often = C.cut(often)
     total = often.filter(F.col("code") == ALL).agg(F.sum("n")).first()[0] or 0
-    maybe = often.filter((F.col("code") != ALL) & (F.col("n") * (2 * hot) >= total)).select("code").collect()  # at most four times hot
-    maybe = send(np.sort(np.array([r[0] for r in maybe], np.int64)))
+    # at most four times hot, and four for each most words
+    maybe = often.filter((F.col("code") != ALL) & ((F.col("n") * (2 * hot) >= total) | (F.col("drawn") * 2 >= DRAWN)))
+    maybe = send(np.sort(maybe.select("code").toArrow()["code"].to_numpy()))
     counts = texts.mapInArrow(_exact(maybe), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = sorted(tuple(r) for r in counts.filter(F.col("n") * hot >= total).collect())  # at most twice hot
-    table = send((np.array([r[0] for r in counts], np.int64), np.log10([float(r[1]) for r in counts]), float(np.log10(max(total, 1)))))
+    # at most twice hot, and two for each most words
+    counts = counts.filter((F.col("n") * hot >= total) | (F.col("n") >= most)).toArrow().sort_by("code")
+    table = send((counts["code"].to_numpy(), np.log10(counts["n"].to_numpy().astype(float)), float(np.log10(max(total, 1)))))
 
     # equal rows have equal keys
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-    grams = keyed.select("key", "text").mapInArrow(_exploded(table, max(BUCKETS, int(total // rows + 1))), "bucket long, codes binary, thirds binary, whats binary, keys binary, times binary")
+    grams = keyed.select("key", "text").mapInArrow(_exploded(table, max(BUCKETS, int(total // rows + 1))), "bucket long, codes binary, words binary, thirds binary, whats binary, keys binary, times binary")
     grams = grams.groupBy("bucket").applyInArrow(_counted, "key long, gain double")
     # a row's own gains are summed once for each equal row, and shared out again
     more = grams.groupBy("key").agg(F.sum("gain").alias("more"))
