@@ -7,8 +7,8 @@ documents scored are the corpus counted, so each of their trigrams is seen and t
 shorter context for what is not, ends only at the beginning of a text. The first two words together give
 log10(c(bigram) / N), so that words alone count in texts of one.
 
-Each trigram is exploded into its two words as a 64-bit hash, its third as another (numbered within the pack, where
-each stands once), and its document. These are shuffled once, packed by run of text, to the bucket of the two words'
+Each trigram is exploded into its two words as a 64-bit hash, its third as its number among the words that are at
+least one in ``HOT`` of all (at most ``HOT``, broadcast) or else as another hash, and its document. These are shuffled once, packed by run of text, to the bucket of the two words'
 hash, there being one for each ``ROWS`` words of the corpus: there a sort counts the trigram and its context at once,
 and the gains are summed by document (each comes from as many buckets as it has words, at most). Contexts that are at
 least one in ``HOT`` of all words, or that stand ``MOST`` times, are counted beforehand and broadcast (at most ``HOT``
@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +44,8 @@ MOST, DRAWN = 1 << 23, 64
 RUN = 2 << 20
 #: Bytes of text packed together, words of the corpus to a bucket of counts, and buckets at least.
 PACK, ROWS, BUCKETS = 1 << 20, 3_000_000, 32
-#: Trigrams in a packed row at most, so that two bytes number their third words.
-PACKED = 1 << 16
+#: The number of a third word that is not a frequent one: its hash stands among the others.
+OTHER = 65_535
 #: The code under which all words are counted.
 ALL = 0
 #: What a row is: the end of a text (its context counts), a trigram, the beginning of a text, a trigram of a hot context.
@@ -163,15 +162,15 @@ def _base(table):
     return run
 
 
-def _exploded(table, buckets: int):
-    """(key, text) to (bucket, codes, words, thirds, whats, keys, times) of what is not broadcast, by run and bucket.
+def _exploded(table, frequent, buckets: int):
+    """(key, text) to (bucket, codes, thirds, others, whats, keys, times) of what is not broadcast: a row a run and bucket.
 
-    Codes, thirds and whats hold a value for each trigram, thirds being numbers into words, keys and times the documents
-    they are of, one after another. A row holds ``PACKED`` trigrams at most.
+    Codes, thirds and whats hold a value for each trigram, others the hashes of third words without a number, keys and
+    times the documents they are of, one after another.
     """
 
     def run(batches):
-        codes = table.value[0]
+        codes, common = table.value[0], frequent.value
         for b in batches:
             keys = b["key"].to_numpy()
             for i, _, g in _cut_up(b["text"], PACK):
@@ -188,16 +187,17 @@ def _exploded(table, buckets: int):
                 row = g.row[at]
                 order = np.lexsort((row, bucket))
                 code, third, what, row, bucket = code[order], third[order], what[order], row[order], bucket[order]
+                number, known = _place(common, third)
+                number = np.where(known | (what != INSIDE), number, OTHER).astype(np.uint16)
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                starts = np.union1d(starts, np.arange(0, len(code), PACKED))
                 parts = []
                 for lo, hi in zip(starts, np.append(starts[1:], len(code)), strict=True):
                     first = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
                     times = np.diff(np.append(first, hi - lo)).astype(np.int32)
-                    words, number = np.unique(third[lo:hi], return_inverse=True)
-                    parts.append([x.tobytes() for x in (code[lo:hi], words, number.astype(np.uint16), what[lo:hi], keys[i + row[lo + first]], times)])
+                    others = third[lo:hi][number[lo:hi] == OTHER]
+                    parts.append([x.tobytes() for x in (code[lo:hi], number[lo:hi], others, what[lo:hi], keys[i + row[lo + first]], times)])
                 cols = zip(*parts, strict=True)
-                yield pa.record_batch([pa.array(bucket[starts]), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "codes", "words", "thirds", "whats", "keys", "times"])
+                yield pa.record_batch([pa.array(bucket[starts]), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "codes", "thirds", "others", "whats", "keys", "times"])
 
     return run
 
@@ -207,22 +207,16 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     parts = []
     for c in column.chunks:
         bounds = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind))
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-
-def _lengths(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    """How many values of that many bytes each row of a binary column holds."""
-    return pc.binary_length(column).to_numpy().astype(np.int64) // size
+        if bounds[-1] > bounds[0]:  # a column of empty values may have no bytes at all
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, kind), *parts])
 
 
 def _thirds(packed: pa.Table) -> np.ndarray:
-    """Of each trigram the number of its third word among all those of the bucket."""
-    _, number = np.unique(_joined(packed["words"], np.uint64), return_inverse=True)
-    sizes = _lengths(packed["words"], 8)
-    at = np.repeat(np.cumsum(sizes) - sizes, _lengths(packed["thirds"], 2))
-    at += _joined(packed["thirds"], np.uint16)
-    return number.astype(np.int32)[at]
+    """A number for the third word of each trigram of the bucket, equal for equal words only."""
+    third = _joined(packed["thirds"], np.uint16).astype(np.int32)
+    third[third == OTHER] += 1 + np.unique(_joined(packed["others"], np.uint64), return_inverse=True)[1].astype(np.int32)
+    return third
 
 
 def _counted(packed: pa.Table) -> pa.Table:
@@ -263,16 +257,21 @@ def score(docs: DataFrame, hot: int = HOT, rows: int = ROWS, most: int = MOST) -
     counts = counts.filter((F.col("n") * hot >= total) | (F.col("n") >= most)).toArrow().sort_by("code")
     table = send((counts["code"].to_numpy(), np.log10(counts["n"].to_numpy().astype(float)), float(np.log10(max(total, 1)))))
 
+    words = C.cut(texts.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # at most one in OTHER of all words, so no more than OTHER of them
+    frequent = words.filter(F.col("n") * min(hot, OTHER) >= total).select("word").toArrow()
+    frequent = send(np.sort(frequent["word"].to_numpy().view(np.uint64)))
+
     # equal rows have equal keys
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text")
-    grams = keyed.select("key", "text").mapInArrow(_exploded(table, max(BUCKETS, int(total // rows + 1))), "bucket long, codes binary, words binary, thirds binary, whats binary, keys binary, times binary")
+    grams = keyed.select("key", "text").mapInArrow(_exploded(table, frequent, max(BUCKETS, int(total // rows + 1))), "bucket long, codes binary, thirds binary, others binary, whats binary, keys binary, times binary")
     grams = grams.groupBy("bucket").applyInArrow(_counted, "key long, gain double")
     # a row's own gains are summed once for each equal row, and shared out again
     more = grams.groupBy("key").agg(F.sum("gain").alias("more"))
 
     base = C.cut(keyed.mapInArrow(_base(table), "doc_id long, key long, n_words long, total double, word long"))
     alone = base.filter("word is not null").select("word").distinct()
-    alone = texts.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).join(alone, "word").select("word", F.log10("n").alias("log_n"))
+    alone = words.join(alone, "word").select("word", F.log10("n").alias("log_n"))
     base = base.groupBy("doc_id", "key", "n_words", "word").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("rows"))
     out = base.join(more, "key", "left").join(alone, "word", "left")
     whole = F.col("total") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0)) + F.coalesce("log_n", F.lit(0.0))
