@@ -14,12 +14,14 @@ def test_same_as_sql(spark, name):
 
 def test_restarted_slots_differ_from_a_grid(spark):
     from tidemark.operators.timeseries import rolling_max, rolling_max_at
+    from tidemark.query_base import written
 
+    keep = written(spark)
     rows = [(0, 5.0), (50, 1.0), (130, 2.0), (205, 3.0), (235, 9.0), (500, 1.0)]  # slots start at 0, 130, 235, 500
     df = spark.createDataFrame(rows, "s long, value double").select(F.timestamp_seconds("s").alias("ts"), "value", F.lit("a").alias("k"))
-    got = [(r["start"] // 1_000_000, r["top"], r["rolling_max"]) for r in rolling_max(df, ["k"], 100).orderBy("start").collect()]
+    got = [(r["start"] // 1_000_000, r["top"], r["rolling_max"]) for r in rolling_max(df, ["k"], 100, keep).orderBy("start").collect()]
     assert got == [(0, 5.0, 5.0), (130, 3.0, 5.0), (235, 9.0, 9.0), (500, 1.0, 1.0)]
-    read = [rolling_max_at(df, ["k"], 100, f"1970-01-01 00:{s // 60:02d}:{s % 60:02d}").first()["rolling_max"] for s in (60, 140, 240, 336, 434, 436, 500, 601)]
+    read = [rolling_max_at(df, ["k"], 100, f"1970-01-01 00:{s // 60:02d}:{s % 60:02d}", keep).first()["rolling_max"] for s in (60, 140, 240, 336, 434, 436, 500, 601)]
     assert read == [5.0, 5.0, 9.0, 9.0, 9.0, 0.0, 1.0, 1.0]
 
 

@@ -6,11 +6,16 @@ take those later than ``ts - seconds``; nothing is extrapolated to window edges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Writes a DataFrame to a table and reads it again.
+Written = Callable[[DataFrame], DataFrame]
+
 #: Seconds for which a sample is seen after its instant.
 LOOK_BACK = 300
 
@@ -133,41 +138,76 @@ def over_window(samples: DataFrame, labels: list[str], seconds: int, every: int
     return found.select(*labels, _at(F.col("_t")).alias(ts), (F.col("_sum") - F.col("_first.step")).alias("increase"), (F.col("_changes") - F.col("_first.change")).alias("changes"), (F.col("_last.value") - F.col("_first.value")).alias("delta"))
 
 
-def _slots(samples: DataFrame, labels: list[str], slot: int, ts: str) -> DataFrame:
-    """(labels, start, before, top): slots of a series, the start of the one before, and what was observed in each.
+def _next_starts(points: DataFrame, width: int) -> DataFrame:
+    """(_key, _t, _next): the first instant ``width`` or more past _t; rows without one are starts whatever came before.
+
+    An instant that stands ``width`` or more behind the one before it is always a start, so no pointer leads over
+    such a hole and each is found within two spans of its own.
+    """
+    span = F.floor(F.col("_t") / width)
+    times = points.select("_key", F.col("_t").alias("_pos"), F.lit(0).alias("_kind"), "_t", span.alias("_home"), F.explode(F.array(span - 1, span, span + 1)).alias("_span"))
+    asked = points.select("_key", (F.col("_t") + width).alias("_pos"), F.lit(1).alias("_kind"), "_t", span.alias("_home"), (span + 1).alias("_span"))
+    seen = F.when(F.col("_kind") == 0, F.col("_t"))
+    by = Window.partitionBy("_key", "_span")
+    after = F.last(seen, ignorenulls=True).over(by.orderBy(F.desc("_pos"), "_kind"))
+    was = F.last(seen, ignorenulls=True).over(by.orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, -1))
+    both = times.unionByName(asked).withColumns({"_next": after, "_was": was})
+    first = (F.col("_kind") == 0) & (F.col("_span") == F.col("_home")) & (F.col("_was").isNull() | (F.col("_t") - F.col("_was") >= width))
+    return both.filter(first | ((F.col("_kind") == 1) & (F.col("_next") - F.col("_t") < 2 * width))).select("_key", "_t", F.when(F.col("_kind") == 1, F.col("_next")).alias("_next"))
+
+
+def _starts(points: DataFrame, width: int, written: Written) -> DataFrame:
+    """(_key, _t): where slots start, by pointers doubled until none is left.
+
+    Pointers of level n lead out of aligned blocks of 2^n spans and are kept for the first two spans of a block, as
+    no other can be come to from outside. Levels thus halve, and all together hold twice the instants. Starts
+    are spread up the levels and down again.
+    """
+    links = written(_next_starts(points, width))
+    levels, blocks = [links.filter("_next is not null")], 1
+    while not levels[-1].isEmpty():
+        blocks *= 2
+        span, block = F.floor(F.col("_t") / width), lambda c, n=blocks: F.floor(F.floor(F.col(c) / width) / n)
+        a = levels[-1].filter(F.pmod(span, F.lit(blocks)) < 2).withColumn("_via", F.when(block("_t") == block("_next"), F.col("_next")))
+        b = levels[-1].select("_key", F.col("_t").alias("_via"), F.col("_next").alias("_on"))
+        out = F.when(F.col("_via").isNull(), F.col("_next")).otherwise(F.col("_on"))
+        levels.append(written(a.join(b, ["_key", "_via"], "left").select("_key", "_t", out.alias("_next")).filter("_next is not null")))
+    found = links.filter("_next is null").select("_key", "_t")
+    for level in [*levels[:-1], *levels[-2::-1]]:
+        found = found.join(level, ["_key", "_t"], "left").select("_key", F.explode(F.array_compact(F.array("_t", "_next"))).alias("_t")).distinct()
+    return found
+
+
+def rolling_max(samples: DataFrame, labels: list[str], slot: int, written: Written, ts: str = "ts") -> DataFrame:
+    """(labels, start, top, rolling_max) a slot: its own maximum, and the greater of that and, unless it began two slots' time ago, the one before's.
 
     A slot starts at the first sample of the series that is ``slot`` seconds or more past the start of the one
-    before. That can only be told in order: the times of a series (eight bytes each) are gone through in one
-    place, the samples themselves are not moved there.
+    before. Samples without an instant are left out, those without a value count as times only; null labels are
+    labels like others. Everything is dealt by series and spans of a slot's time, so a series of any length is
+    shared by tasks. ``written`` keeps a table where all executors see it.
     """
     width = slot * 1_000_000
-    times = samples.select(*labels, _clock(ts).alias("_t")).groupBy(*labels).agg(F.sort_array(F.collect_set("_t")).alias("_times"))
-
-    def step(starts, t):
-        return F.when((F.size(starts) == 0) | (t - F.element_at(starts, -1) >= width), F.concat(starts, F.array(t))).otherwise(starts)
-
-    starts = times.select(*labels, F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), step)).alias("_start"))
-    by = Window.partitionBy(*labels).orderBy("_t", "_kind")
-    marked = starts.select(*labels, F.col("_start").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("value"))
-    both = marked.unionByName(samples.select(*labels, _clock(ts).alias("_t"), F.lit(1).alias("_kind"), F.col("value").cast("double").alias("value")))
-    both = both.withColumn("start", F.last(F.when(F.col("_kind") == 0, F.col("_t")), ignorenulls=True).over(by))
-    out = both.groupBy(*labels, "start").agg(F.max("value").alias("top"))
-    return out.withColumn("before", F.lag("start").over(Window.partitionBy(*labels).orderBy("start")))
-
-
-def rolling_max(samples: DataFrame, labels: list[str], slot: int, ts: str = "ts") -> DataFrame:
-    """Per slot (see above): the greater of its own maximum and, unless that began two slots' time ago, of the one before."""
-    slots = _slots(samples, labels, slot, ts)
-    near = F.col("start") - F.col("before") < 2 * slot * 1_000_000
-    value = F.greatest("top", F.when(near, F.lag("top").over(Window.partitionBy(*labels).orderBy("start"))))
-    return slots.select(*labels, "start", "top", value.alias("rolling_max"))
-
-
-def rolling_max_at(samples: DataFrame, labels: list[str], slot: int, now: str, ts: str = "ts") -> DataFrame:
+    rows = samples.select(F.struct(*labels).alias("_key"), _clock(ts).alias("_t"), F.col("value").cast("double").alias("value")).filter("_t is not null")
+    points = written(rows.groupBy("_key", "_t").agg(F.max("value").alias("value")))
+    span = F.floor(F.col("_t") / width)
+    # starts are a slot's time apart, so a span has one at most and its instants see that or the one of the span before
+    offered = _starts(points, width, written).select("_key", F.col("_t").alias("_s"), F.explode(F.array(span, span + 1)).alias("_span"))
+    opened = offered.groupBy("_key", "_span").agg(F.min("_s").alias("_a"), F.max("_s").alias("_b"))
+    placed = points.withColumn("_span", span).join(opened, ["_key", "_span"])
+    slots = placed.groupBy("_key", F.when(F.col("_b") <= F.col("_t"), F.col("_b")).otherwise(F.col("_a")).alias("start")).agg(F.max("value").alias("top"))
+    home = F.floor(F.col("start") / width)
+    near = slots.withColumn("_home", home).withColumn("_span", F.explode(F.array(home, home + 1, home + 2)))
+    by = Window.partitionBy("_key", "_span").orderBy("start")
+    prior = F.when(F.col("start") - F.lag("start").over(by) < 2 * width, F.lag("top").over(by))
+    out = near.withColumn("rolling_max", F.greatest("top", prior)).filter("_span = _home")
+    return out.select(*[F.col("_key")[c].alias(c) for c in labels], "start", "top", "rolling_max")
+
+
+def rolling_max_at(samples: DataFrame, labels: list[str], slot: int, now: str, written: Written, ts: str = "ts") -> DataFrame:
     """The rolling maximum of each series as read at an instant: it fades once a slot has passed, and is 0 after two."""
     at, width = F.unix_micros(F.lit(now).cast("timestamp")), slot * 1_000_000
     past = samples.filter(_clock(ts) <= at)
-    last = rolling_max(past, labels, slot, ts).groupBy(*labels).agg(F.max_by(F.struct("start", "top", "rolling_max"), "start").alias("l"))
+    last = rolling_max(past, labels, slot, written, ts).groupBy(*labels).agg(F.max_by(F.struct("start", "top", "rolling_max"), "start").alias("l"))
     age = at - F.col("l.start")
     value = F.when(age >= 2 * width, 0.0).when(age >= width, F.col("l.top")).otherwise(F.col("l.rolling_max"))
     every = samples.select(*labels).distinct()

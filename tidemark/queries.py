@@ -19,7 +19,7 @@ from tidemark.functions.verdict import verdict
 from tidemark.operators import chunks, diff, fold, guard, merge, quarantine, reconcile
 from tidemark.operators import timeseries as S
 from tidemark.operators.mapping import mapped, typed
-from tidemark.query_base import LOG_SQL, NOW, SQL, Q, log, query, scratch, t
+from tidemark.query_base import LOG_SQL, NOW, SQL, Q, log, query, scratch, t, written
 from tidemark.schemas import SPECS
 from tidemark.sources import changes
 from tidemark.streaming import metrics as stream_metrics
@@ -567,14 +567,14 @@ r as (select user_id, start, top, greatest(top, case when start - before < 2 * {
 
 @query(SLOTS_SQL.format(upto="9999-01-01", width=21_600_000_000) + " select user_id, start, top, rolling_max from r")
 def lag_rolling_max(spark, d):
-    return S.rolling_max(t(spark, d, "events"), ["user_id"], 21600)
+    return S.rolling_max(t(spark, d, "events"), ["user_id"], 21600, written(spark))
 
 
 @query(SLOTS_SQL.format(upto="2024-01-30 12:00:00", width=86_400_000_000) + """, l as (select user_id, max(start) as start, max_by(top, start) as top, max_by(rolling_max, start) as rolling_max from r group by user_id)
 select e.user_id, coalesce(case when epoch_us(timestamp '2024-01-30 12:00:00') - l.start >= 2 * 86400000000 then 0 when epoch_us(timestamp '2024-01-30 12:00:00') - l.start >= 86400000000 then top else rolling_max end, 0) as rolling_max
 from (select distinct user_id from events) e left join l on l.user_id = e.user_id""")
 def rolling_max_read(spark, d):
-    return S.rolling_max_at(t(spark, d, "events"), ["user_id"], 86400, "2024-01-30 12:00:00")
+    return S.rolling_max_at(t(spark, d, "events"), ["user_id"], 86400, "2024-01-30 12:00:00", written(spark))
 
 
 RATE_SQL = f"""with {HOURLY_SQL}, p as (select *, lag(counter) over (partition by event_type order by ts) as prev from h2),

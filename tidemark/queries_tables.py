@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import digests, inclusion, reconcile
-from tidemark.query_base import query, shared_folder, t
+from tidemark.query_base import query, t, written
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,27 +26,16 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     return o, x.filter(~gone).withColumn("o_custkey", changed).drop("top")
 
 
-def _written(spark):
-    root = shared_folder(spark)
-
-    def one(df: DataFrame) -> DataFrame:
-        path = f"{root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return one
-
-
 @query(f"with {PLACES_SQL} select o_orderkey, case when missing then 'missing' else 'changed' end as state from s where missing or changed")
 def tree_reconcile(spark, d):
     """Keys that differ, found by going down a tree of digests."""
-    return digests.tree_reconcile(*_sides(spark, d), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"], _written(spark), leaf=32, fan=8)[0]
+    return digests.tree_reconcile(*_sides(spark, d), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"], written(spark), leaf=32, fan=8)[0]
 
 
 @query(f"with {PLACES_SQL}, l as (select o_orderkey // 32 as leaf, count(*) as n, bool_or(missing or changed) as unlike from s group by 1) select count(*) filter (where unlike) as leaves, coalesce(sum(n) filter (where unlike), 0)::bigint as source_rows from l")
 def tree_reconcile_effort(spark, d):
     """Leaves that differ and the rows compared for them."""
-    found = digests.tree_reconcile(*_sides(spark, d), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"], _written(spark), leaf=32, fan=8)[1]
+    found = digests.tree_reconcile(*_sides(spark, d), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"], written(spark), leaf=32, fan=8)[1]
     return spark.createDataFrame([(found["leaves"], found["source_rows"])], "leaves long, source_rows long")
 
 

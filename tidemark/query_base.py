@@ -63,5 +63,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Keeps tables in a folder of its own there."""
+    root = shared_folder(spark)
+
+    def one(df: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return one
+
+
 def scratch(spark: SparkSession) -> Store:
     return Store(spark, shared_folder(spark))
