@@ -669,6 +669,15 @@ def change_audit(spark, d):
     return x.select("row_key", "source_lsn", "identifiable", "changed_fields", "before_values", "after_values")
 
 
+@query(f"""select row_id::varchar as row_key, seq as source_lsn, case when seq % 5 = 0 then 0 else epoch_us(timestamp '{NOW}') // 1000 - epoch_us(changed_at) // 1000 end as age_ms
+from log where op = 'u' and row_id % 4 in (1, 3)""")
+def audit_source_times(spark, d):
+    """How old audited changes are by the source's time, which every fifth does not tell: those count from now."""
+    x = changes_of(spark, d).withColumn("source_ts_ms", F.when(F.col("lsn") % 5 != 0, F.col("source_ts_ms")))
+    age = F.unix_millis(F.lit(NOW).cast("timestamp")) - F.unix_millis("source_ts")
+    return diff.audit(x, "computer, member", "main", NOW).select("row_key", "source_lsn", age.alias("age_ms"))
+
+
 @query(", x as (select seq, amount, lag(amount) over (partition by row_id order by seq) as pa from log) select seq, case when seq % 3 = 0 and pa is not null then pa else case when seq % 3 = 0 then null else amount end end as amount from x", decimals="amount")
 def toast_recovery(spark, d):
     x = changes_of(spark, d)
