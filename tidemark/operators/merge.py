@@ -3,7 +3,8 @@
 Guarded tables take a change only if its position is strictly higher than all taken before for the key.
 Applied in order of arrival that is a running maximum, which is computed as a segmented scan: a key's changes are
 cut into segments of ``SPAN`` arrivals, each sorted by itself, and what the segments before tell - whether the
-row exists, and the highest position since it does - is carried in. The state is associative, so a key that
+row exists, and the highest position since it does - is carried in. Changes of a key that arrive at once are taken in
+order of position, so nothing is left to chance. The state is associative, so a key that
 holds a third of all changes is shared by as many tasks as it has segments. Where a batch is known to be in
 order, a plain aggregation with map-side partial maxima does the same without the sort.
 """
@@ -52,10 +53,10 @@ def accepted(rows: DataFrame, key: str, span: int | None = SPAN) -> DataFrame:
     """
     upsert = (F.col("op") != "d").cast("int")
     if span is None:
-        own, by = [key], Window.partitionBy(key).orderBy("arrival")
+        own, by = [key], Window.partitionBy(key).orderBy("arrival", "lsn")
     else:
         rows = rows.withColumn("_segment", F.floor(F.col("arrival") / span))
-        own, by = [key, "_segment"], Window.partitionBy(key, "_segment").orderBy("arrival")
+        own, by = [key, "_segment"], Window.partitionBy(key, "_segment").orderBy("arrival", "lsn")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("_there", F.max(upsert).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     counted = F.when(F.col("_there") == 1, F.col("lsn"))
@@ -80,8 +81,9 @@ def guarded(events: DataFrame, key: str, values: list[str], stored: DataFrame |
     if stored is not None:
         old = stored.select(key, F.lit(-1).cast("bigint").alias("arrival"), F.when(F.col("deleted"), "D").otherwise("c").alias("op"), F.col("source_lsn").alias("lsn"), *values)
         rows = old.unionByName(rows)
+    last = F.struct("arrival", "lsn")
     out = accepted(rows, key, span).groupBy(key).agg(
-        F.max_by(F.struct(*values), F.when(F.col("op") != "d", F.col("arrival"))).alias("v"), F.max_by("op", "arrival").alias("o"), F.max("lsn").alias("source_lsn")
+        F.max_by(F.struct(*values), F.when(F.col("op") != "d", last)).alias("v"), F.max_by("op", last).alias("o"), F.max("lsn").alias("source_lsn")
     )
     return out.select(key, *[F.col(f"v.{v}").alias(v) for v in values], F.col("o").isin("d", "D").alias("deleted"), "source_lsn")
 

@@ -197,8 +197,8 @@ def guarded_merge_inorder(spark, d):
 
 REPLAY_SQL = """, ev as (select row_id, (seq * 7919) % 104729 as arrival, op, seq as lsn, amount from log
   union all select c_custkey, -1, case when c_custkey % 6 = 0 then 'D' else 'c' end, c_custkey * 13, cast(c_acctbal as decimal(12,2)) from customer where c_custkey % 3 = 0),
-a as (select *, sum(case when op <> 'd' then 1 else 0 end) over (partition by row_id order by arrival rows unbounded preceding) as ups from ev),
-b as (select *, max(lsn) over (partition by row_id order by arrival rows between unbounded preceding and 1 preceding) as top from a where ups > 0),
+a as (select *, sum(case when op <> 'd' then 1 else 0 end) over (partition by row_id order by arrival, lsn rows unbounded preceding) as ups from ev),
+b as (select *, max(lsn) over (partition by row_id order by arrival, lsn rows between unbounded preceding and 1 preceding) as top from a where ups > 0),
 k as (select * from b where top is null or lsn > top)"""
 
 
@@ -208,7 +208,7 @@ def _replay(spark, d):
     return e, stored
 
 
-@query(REPLAY_SQL + " select row_id, max_by(amount, arrival) filter (where op <> 'd') as amount, max_by(op, arrival) in ('d', 'D') as deleted, max(lsn) as source_lsn from k group by row_id", decimals="amount")
+@query(REPLAY_SQL + " select row_id, max_by(amount, lsn) filter (where op <> 'd') as amount, max_by(op, lsn) in ('d', 'D') as deleted, max(lsn) as source_lsn from k group by row_id", decimals="amount")
 def guarded_merge_replay(spark, d):
     e, stored = _replay(spark, d)
     return merge.guarded(e, "row_id", ["amount"], stored)
