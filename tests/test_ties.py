@@ -37,3 +37,8 @@ def test_equal_arrivals_go_by_position(spark, span):
 
 def test_guarded_merge_replay_with_ties(spark, tied):
     assert collected(M.queries()["guarded_merge_replay"](spark, tied)) == duck(M.oracle_sql()["guarded_merge_replay"], tied)
+
+
+def test_guard_accepted_with_ties(spark, tied):
+    got = collected(M.queries()["guard_accepted"](spark, tied))
+    assert got == duck(M.oracle_sql()["guard_accepted"], tied)
