@@ -42,3 +42,7 @@ def test_guarded_merge_replay_with_ties(spark, tied):
 def test_guard_accepted_with_ties(spark, tied):
     got = collected(M.queries()["guard_accepted"](spark, tied))
     assert got == duck(M.oracle_sql()["guard_accepted"], tied)
+
+
+def test_guard_accepted_hot_key_with_ties(spark, tied):
+    assert collected(M.queries()["guard_accepted_hot_key"](spark, tied)) == duck(M.oracle_sql()["guard_accepted_hot_key"], tied)
