@@ -24,7 +24,7 @@ def _hot(spark, d) -> DataFrame:
     return log(spark, d).select(key.alias("row_id"), (F.col("seq") * 7919 % 104729).alias("arrival"), "op", F.col("seq").alias("lsn"), "amount")
 
 
-@query(HOT_SQL + " select row_id, max_by(amount, arrival) filter (where op <> 'd') as amount, max_by(op, arrival) = 'd' as deleted, max(lsn) as source_lsn from k group by row_id", decimals="amount")
+@query(HOT_SQL + " select row_id, max_by(amount, lsn) filter (where op <> 'd') as amount, max_by(op, lsn) = 'd' as deleted, max(lsn) as source_lsn from k group by row_id", decimals="amount")
 def guarded_hot_key(spark, d):
     """A third of all changes are of one key; it is gone through in segments of 1,000 arrivals."""
     return merge.guarded(_hot(spark, d), "row_id", ["amount"], span=1000)
