@@ -50,3 +50,7 @@ def test_guard_accepted_hot_key_with_ties(spark, tied):
 
 def test_guarded_hot_key_with_ties(spark, tied):
     assert collected(M.queries()["guarded_hot_key"](spark, tied)) == duck(M.oracle_sql()["guarded_hot_key"], tied)
+
+
+def test_guarded_stream_takes_the_log_twice(spark, tied):
+    assert collected(M.queries()["guarded_stream"](spark, tied)) == duck(M.oracle_sql()["guarded_stream"], tied)

@@ -2,7 +2,7 @@
 
 Both are processors for ``transformWithState`` on the RocksDB state store, so state is as large as the keys are
 many, stands on the executors' disks and is checkpointed with the stream's progress. Rows of a key in one
-micro-batch are sorted by arrival; the reader bounds how many there are.
+micro-batch are sorted by arrival, those of one arrival by position; the reader bounds how many there are.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Guard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.row.get()
         out = []
-        for r in sorted(rows, key=lambda r: r["arrival"]):
+        for r in sorted(rows, key=lambda r: (r["arrival"], r["lsn"])):
             gone = r["op"] == "d"
             if (held is None and gone) or (held is not None and r["lsn"] <= held[0]):
                 continue
