@@ -83,3 +83,37 @@ def test_a_long_series_is_shared_by_tasks(spark):
     out = S.asof(x.withColumnRenamed("value", "own"), x, ["k"], 300)
     assert out.count() == 20_000 and out.filter("own <> value").count() == 0
     assert "hashpartitioning(k" in out._jdf.queryExecution().toString() and "_span" in out._jdf.queryExecution().toString()
+
+
+def test_samples_are_told_once_and_only_those_of_metrics_asked_for(spark):
+    """What is made of one metric neither makes the samples of others nor offers a sample to instants that see a later one."""
+    from conftest import SF
+
+    from tidemark.queries_series import metrics
+
+    one = metrics(spark, SF).filter("metric = 'up'")
+    plan = S.evaluated(one, ["metric"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot_lag_bytes" not in plan and "Union" not in plan and "Aggregate" not in plan
+    assert one.count() == metrics(spark, SF).filter("metric = 'start_time'").count() > 0
+
+
+def test_grid_against_one_by_one_over_many_spans(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [("a", round(r.uniform(0, 60_000), 1), float(r.randrange(6))) for _ in range(900)] + [("b", 16 * 300.0 * n - d, n + d) for n in range(1, 6) for d in (0.0, 0.5, 299.0)]
+    x = series(spark, rows)
+    got = {(q["k"], int(seconds_of(q["ts"]))): q["value"] for q in S.evaluated(x, ["k"]).collect()}
+    over = {(q["k"], int(seconds_of(q["ts"]))): (q["increase"], q["changes"], q["delta"]) for q in S.over_window(x.withColumn("w", F.lit(480)), ["k", "w"], F.col("w")).collect()}
+    want, wide = {}, {}
+    for k in "ab":
+        own = sorted((s, v) for name, s, v in rows if name == k)
+        for g in range(0, 61_000, 60):
+            seen = [v for s, v in own if g - 300 < s <= g]
+            if seen:
+                want[k, g] = seen[-1]
+            seen = [v for s, v in own if g - 480 < s <= g]
+            if len(seen) > 1:
+                steps = list(zip(seen, seen[1:], strict=False))
+                wide[k, g] = (sum(b - a if b >= a else b for a, b in steps), sum(a != b for a, b in steps), seen[-1] - seen[0])
+    assert got == want and over == wide

@@ -19,6 +19,9 @@ Written = Callable[[DataFrame], DataFrame]
 #: Seconds for which a sample is seen after its instant.
 LOOK_BACK = 300
 
+#: How many times what a sample is seen for are sorted together.
+SPANS = 16
+
 
 def _clock(ts: str) -> Column:
     """Microseconds since the epoch, for exact range frames."""
@@ -90,11 +93,18 @@ def asof(left: DataFrame, right: DataFrame, labels: list[str], seconds: int, ts:
     return found.select(*labels, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_seen.value").alias("value"), F.col("_seen.at").alias("value_at"))
 
 
-def _instants(first: Column, last: Column, every: int) -> Column:
-    """The multiples of so many seconds from first to last (microseconds), none if there is none between."""
+def _on_grid(rows: DataFrame, first: Column, last: Column, every: int) -> DataFrame:
+    """rows once for each multiple of so many seconds from first to last (microseconds), as ``_g``."""
     step = every * 1_000_000
-    lo, hi = F.ceil(first / step), F.floor(last / step)
-    return F.transform(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")), lambda n: n * step)
+    some = rows.withColumns({"_lo": F.ceil(first / step), "_hi": F.floor(last / step)}).filter("_lo <= _hi")
+    return some.withColumn("_n", F.explode(F.sequence("_lo", "_hi"))).withColumn("_g", F.col("_n") * step)
+
+
+def _dealt(rows: DataFrame, width: Column) -> tuple[DataFrame, Column, Column]:
+    """rows dealt by spans of ``SPANS`` widths, those that are seen beyond the end of theirs to the next as well; a span's first and last microsecond."""
+    span = width * SPANS
+    near = rows.withColumn("_span", F.explode(F.sequence(F.floor(F.col("_t") / span), F.floor((F.col("_t") + width - 1) / span))))
+    return near, F.col("_span") * span, (F.col("_span") + 1) * span - 1
 
 
 def _at(t: Column) -> Column:
@@ -104,38 +114,48 @@ def _at(t: Column) -> Column:
 def evaluated(samples: DataFrame, labels: list[str], every: int = 60, seconds: int = LOOK_BACK, ts: str = "ts") -> DataFrame:
     """(labels, ts, value): each series at the multiples of ``every``, as its last sample within ``seconds`` tells.
 
-    A sample is offered to all instants that may see it and the latest one is kept by partial maxima, so nothing is
-    sorted and a series of any length is shared by many tasks.
+    Samples are dealt by series and spans of time and sorted there, so a series of any length is shared by tasks. Each
+    is then told at the instants before the next one only, so nothing is made that is not kept.
     """
-    t = _clock(ts)
-    seen = samples.filter("value is not null").select(*labels, t.alias("_t"), "value", F.explode(_instants(t, t + seconds * 1_000_000 - 1, every)).alias("_g"))
-    out = seen.groupBy(*labels, "_g").agg(F.max(F.struct("_t", "value")).alias("_s"))
-    return out.select(*labels, _at(F.col("_g")).alias(ts), F.col("_s.value").alias("value"))
+    width = F.lit(seconds).cast("bigint") * 1_000_000
+    rows, begin, end = _dealt(samples.filter("value is not null").select(*labels, _clock(ts).alias("_t"), "value"), width)
+    after = F.lead("_t").over(Window.partitionBy(*labels, "_span").orderBy("_t", "value"))
+    out = _on_grid(rows.withColumn("_after", after), F.greatest("_t", begin), F.least(F.col("_t") + width - 1, F.col("_after") - 1, end), every)
+    return out.select(*labels, _at(F.col("_g")).alias(ts), "value")
 
 
-def over_window(samples: DataFrame, labels: list[str], seconds: int, every: int = 60, ts: str = "ts") -> DataFrame:
-    """(labels, ts, increase, changes, delta) over the ``seconds`` before each multiple of ``every``.
+def over_window(samples: DataFrame, labels: list[str], seconds: int | Column, every: int = 60, ts: str = "ts") -> DataFrame:
+    """(labels, ts, increase, changes, delta) over the ``seconds`` before each multiple of ``every`` (a label may say).
 
-    Instants with fewer than two samples in their window have no row. A counter's drop is a restart from 0. As
-    in ``asof`` samples are dealt by spans of the window's length, so what a task sorts does not grow with a series.
+    Instants with fewer than two samples in their window have no row. A counter's drop is a restart from 0. Samples are
+    dealt by series and spans of time. What a window holds changes when a sample comes and when one goes, so these
+    are sorted together, with running sums; the instants between two such changes all see the same.
     """
-    width = seconds * 1_000_000
-    own = F.floor(F.col("_t") / width)
-    rows = samples.filter("value is not null").select(*labels, _clock(ts).alias("_t"), F.col("value").cast("double").alias("value"))
-    rows = rows.withColumn("_span", F.explode(F.array(own, own + 1)))
-    spans = rows.select(*labels, "_span").distinct()
-    instants = spans.withColumn("_t", F.explode(_instants(F.col("_span") * width, (F.col("_span") + 1) * width - 1, every)))
-    by = Window.partitionBy(*labels, "_span").orderBy("_t")
-    was = F.lag("value").over(Window.partitionBy(*labels, "_span").orderBy("_t", "value"))
-    step = F.when(F.col("value") >= was, F.col("value") - was).otherwise(F.col("value"))
-    rows = rows.withColumn("_s", F.struct("value", F.coalesce(step, F.lit(0.0)).alias("step"), F.when(was != F.col("value"), 1).otherwise(0).alias("change"))).drop("value")
-    both = rows.unionByName(instants, allowMissingColumns=True)
-    back = by.rangeBetween(-width + 1, 0)
-    first, last = F.first("_s", ignorenulls=True).over(back), F.last("_s", ignorenulls=True).over(back)
-    inside = F.sum("_s.step").over(back), F.sum("_s.change").over(back), F.count("_s").over(back)
-    found = both.select(*labels, "_t", "_s", *[c.alias(n) for c, n in zip((first, last, *inside), ("_first", "_last", "_sum", "_changes", "_n"), strict=True)])
-    found = found.filter("_s is null and _n >= 2")
-    return found.select(*labels, _at(F.col("_t")).alias(ts), (F.col("_sum") - F.col("_first.step")).alias("increase"), (F.col("_changes") - F.col("_first.change")).alias("changes"), (F.col("_last.value") - F.col("_first.value")).alias("delta"))
+    width = (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("bigint") * 1_000_000
+    rows, begin, end = _dealt(samples.filter("value is not null").select(*labels, _clock(ts).alias("_t"), F.col("value").cast("double").alias("value")), width)
+    by = Window.partitionBy(*labels, "_span").orderBy("_t", "value")
+    rows = rows.withColumn("_was", F.lag("value").over(by))
+    step = F.when(F.col("_was").isNull(), 0.0).when(F.col("value") >= F.col("_was"), F.col("value") - F.col("_was")).otherwise(F.col("value"))
+    rows = rows.withColumn("_step", step)
+    finite = F.abs("_step") < float("inf")  # false for NaN as well, which stands above all
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"sum": F.sum(F.when(finite, F.col("_step")).otherwise(0.0)), "odd": F.sum(F.when(finite, 0).otherwise(1)), "changes": F.sum(F.when(F.col("_was") != F.col("value"), 1).otherwise(0)), "first": F.first("value")}
+    rows = rows.withColumn("_s", F.struct(F.row_number().over(by).alias("n"), "value", *[c.over(upto).alias(n) for n, c in sums.items()]))
+    rows = rows.withColumn("_next", F.lead("_s").over(by))
+    gone = F.struct((F.col("_s.n") + 1).alias("n"), *[F.col(f"_next.{c}").alias(c) for c in ("value", "sum", "odd", "changes")])
+    come = F.struct(F.col("_t").alias("at"), F.col("_s.n").alias("n"), F.col("_s").alias("last"), F.when(F.lit(False), gone).alias("first"))
+    go = F.struct((F.col("_t") + width).alias("at"), F.col("_s.n").alias("n"), F.when(F.lit(False), F.col("_s")).alias("last"), gone.alias("first"))
+    events = rows.select(*labels, "_span", F.explode(F.array(come, go)).alias("_e")).select(*labels, "_span", "_e.*").filter(F.col("at") <= end)
+    order = Window.partitionBy(*labels, "_span").orderBy("at", "n")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.select(*labels, "_span", "at", F.lead("at").over(order).alias("_after"), F.last("last", ignorenulls=True).over(upto).alias("_l"), F.last("first", ignorenulls=True).over(upto).alias("_f"))
+    seen = seen.filter(F.col("_l.n") - F.coalesce("_f.n", F.lit(1)) >= 1)
+    first = {c: F.coalesce(F.col(f"_f.{c}"), F.lit(0)) for c in ("sum", "odd", "changes")}
+    grown = F.when(F.col("_l.odd") > first["odd"], F.lit(float("nan"))).otherwise(F.col("_l.sum") - first["sum"])
+    delta = F.col("_l.value") - F.coalesce("_f.value", F.col("_l.first"))
+    seen = seen.select(*labels, "_span", "at", "_after", grown.alias("increase"), (F.col("_l.changes") - first["changes"]).alias("changes"), delta.alias("delta"))
+    out = _on_grid(seen, F.greatest("at", begin), F.least(F.col("_after") - 1, end), every)
+    return out.select(*labels, _at(F.col("_g")).alias(ts), "increase", "changes", "delta")
 
 
 def _next_starts(points: DataFrame, width: int) -> DataFrame:

@@ -60,6 +60,8 @@ RULES = (
     Rule("checkpoint_ahead", "checkpoint_lsn", f"value > {1024 * MIB}", 600, minus="slot_confirmed_lsn"),
     Rule("idle_stuck", "slot_confirmed_lsn", "value = 0", 1800, make="increase", window=1800, gate=IDLE),
 )
+#: What is made over a window; anything else is made of single samples.
+WINDOWED = ("increase", "changes")
 #: Seconds a metric must be absent, free disk must be short, and row counts must differ.
 ABSENT_HOLD, DISK_HOLD, MISMATCH_HOLD = 60, 300, 600
 
@@ -74,7 +76,7 @@ def series_of(metrics: DataFrame, names: list[str], on: tuple[str, ...] = ()) ->
 def made(rows: DataFrame, make: str, window: int, on: tuple[str, ...] = (), every: int = 60) -> DataFrame:
     """(metric, series, on, ts, value): what is made of samples before they are compared, at each instant of the grid."""
     by = ["metric", "series", *on]
-    if make in ("increase", "changes"):
+    if make in WINDOWED:
         rows = S.over_window(rows, by, window, every).withColumn("value", F.col(make).cast("double"))
     else:
         if make == "since":
@@ -91,36 +93,62 @@ def less(rows: DataFrame, one: str, other: str, on: tuple[str, ...] = ()) -> Dat
     return top.select(F.lit(one).alias("metric"), text.alias("series"), *on, "ts", (F.col("a") - F.col("b")).alias("value"))
 
 
+def _told(found: DataFrame, rules: list[Rule], on: tuple[str, ...]) -> DataFrame:
+    """(alert, hold, gate, series, on, ts) of the instants at which rules are met by what is made for them."""
+    told = [F.struct(F.lit(r.metric).alias("of"), F.lit(r.make).alias("make"), F.lit(r.window).alias("window"), F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{r.gate}").cast("string").alias("gate"), F.expr(r.test).alias("ok")) for r in rules]
+    met = F.filter(F.array(*told), lambda r: r["ok"] & (r["of"] == F.col("metric")) & (r["make"] == F.col("make")) & (r["window"] == F.col("window")))
+    return found.select("series", *on, "ts", F.explode(met).alias("r")).select("r.alert", "r.hold", "r.gate", "series", *on, "ts")
+
+
+def _made(rows: DataFrame, rules: list[Rule], on: tuple[str, ...], every: int) -> DataFrame:
+    """(metric, series, on, make, window, ts, value) of what such rules compare, each metric gone through once."""
+    ways = sorted({(r.metric, r.make, r.window) for r in rules})
+    own = F.filter(F.array(*[F.struct(F.lit(m).alias("of"), F.lit(k).alias("make"), F.lit(w).alias("window")) for m, k, w in ways]), lambda w: w["of"] == F.col("metric"))
+    by = ["metric", "series", *on, "make", "window"]
+    each = rows.filter(F.col("metric").isin(*{m for m, _, _ in ways})).withColumn("_w", F.explode(own)).select("metric", "series", *on, "_w.make", "_w.window", "ts", "value")
+    if rules[0].make in WINDOWED:
+        found = S.over_window(each, by, F.col("window"), every).withColumn("value", F.when(F.col("make") == "changes", F.col("changes").cast("double")).otherwise(F.col("increase")))
+    else:
+        found = S.evaluated(each.withColumn("value", F.when(F.col("make") == "since", F.col("value") - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).otherwise(F.col("value"))), by, every)
+    return found.select(*by, "ts", "value")
+
+
 def all_fired(metrics: DataFrame, rules=RULES, every: int = 60, on: tuple[str, ...] = ()) -> DataFrame:
     """(alert, series, began, ended) of the times rules fired, on a grid of ``every`` seconds.
 
-    Samples are gone through once for each way of making what is compared, whatever the number of rules: these
-    are rows that the samples of their metric meet, and one window over all of them tells how long they held.
+    The samples of all rules of a kind are gone through once: rules are rows that what is made of the samples meets.
+    Only instants at which a rule is met are kept; on a grid those of a run follow each other by ``every`` seconds.
     """
-    gates = [r.gate for r in rules if r.gate]
+    gates = list(dict.fromkeys(r.gate for r in rules if r.gate))
     names = sorted({n for r in [*rules, *gates] for n in (r.metric, r.minus) if n})
     rows = series_of(metrics, names, on)
-    ways: dict[tuple, list[Rule]] = {}
-    for r in [*rules, *gates]:
-        ways.setdefault((r.make, r.window, r.minus and (r.metric, r.minus)), []).append(r)
-    out = opened = None
-    for (make, window, pair), some in ways.items():
-        found = made(rows.filter(F.col("metric").isin(*(pair or {r.metric for r in some}))), make, window, on, every)
-        found = less(found, *pair, on) if pair else found
-        mine = [r for r in some if r in rules]
-        if mine:
-            told = [F.struct(F.lit(r.metric).alias("of"), F.lit(r.name).alias("alert"), F.lit(r.hold).alias("hold"), F.lit(r.gate and f"{r.gate}").alias("gate"), F.coalesce(F.expr(r.test), F.lit(False)).alias("ok")) for r in mine]
-            one = found.select("series", *on, "ts", F.explode(F.filter(F.array(*told), lambda r: r["of"] == F.col("metric"))).alias("r")).select("r.*", "series", *on, "ts").drop("of")
-            out = one if out is None else out.unionByName(one)
-        for g in {r for r in some if r in gates}:
-            of = found.filter(F.col("metric") == g.metric)
-            of = of.groupBy("ts", *on).agg(F.sum("value").alias("value")) if g.total else of
-            one = of.filter(F.expr(g.test)).select(F.lit(f"{g}").alias("gate"), "ts", *on).distinct()
-            opened = one if opened is None else opened.unionByName(one)
-    if opened is not None:
-        out = out.join(opened.withColumn("_open", F.lit(True)), ["gate", "ts", *on], "left")
-        out = out.withColumn("ok", F.col("ok") & (F.col("gate").isNull() | F.col("_open").isNotNull())).drop("_open")
-    return S.held_for(out.drop("gate", *on), ["alert", "series"], F.col("ok"), F.col("hold"), every)
+
+    def groups(some) -> list[tuple[DataFrame, list[Rule]]]:
+        """What is made for rules, by kind: windows, values, and each pair of metrics."""
+        kinds: dict[tuple, list[Rule]] = {}
+        for r in some:
+            kinds.setdefault((r.make in WINDOWED, r.minus and (r.metric, r.minus, r.make, r.window)), []).append(r)
+        out = []
+        for (_, pair), own in kinds.items():
+            if pair:
+                found = made(rows.filter(F.col("metric").isin(*pair[:2])), pair[2], pair[3], on, every)
+                out.append((less(found, *pair[:2], on).withColumns({"make": F.lit(pair[2]), "window": F.lit(pair[3])}), own))
+            else:
+                out.append((_made(rows, own, on, every), own))
+        return out
+
+    parts = [(_told(found, own, on), gated) for gated in (False, True) for found, own in groups(r for r in rules if bool(r.gate) == gated)]
+    opened = None
+    for g in gates:
+        [(of, _)] = groups([g])
+        of = of.groupBy("ts", *on).agg(F.sum("value").alias("value")) if g.total else of
+        one = of.filter(F.expr(g.test)).select(F.lit(f"{g}").alias("gate"), "ts", *on)
+        opened = one if opened is None else opened.unionByName(one)
+    out = None
+    for part, gated in parts:
+        one = part.join(opened, ["gate", "ts", *on], "left_semi") if gated else part
+        out = one.select("alert", "hold", "series", "ts") if out is None else out.unionByName(one.select("alert", "hold", "series", "ts"))
+    return S.held_for(out, ["alert", "series"], F.lit(True), F.col("hold"), every)
 
 
 def fired(metrics: DataFrame, rule: Rule, every: int = 60, on: tuple[str, ...] = ()) -> DataFrame:
@@ -130,9 +158,13 @@ def fired(metrics: DataFrame, rule: Rule, every: int = 60, on: tuple[str, ...] =
 
 def absent_metric(metrics: DataFrame, name: str, hold: int = ABSENT_HOLD, every: int = 60) -> DataFrame:
     """(alert, began, ended) of the times at which others were seen and this metric was not, for as long as that."""
-    seen = S.evaluated(metrics.select((F.col("metric") == name).alias("own"), "ts", F.lit(1.0).alias("value")), ["own"], every)
-    at = seen.groupBy("ts").agg(F.count_if("own").alias("n")).withColumn("alert", F.lit(f"absent_{name}"))
-    return S.held_for(at, ["alert"], F.col("n") == 0, hold, every)
+    # of the samples before an instant the last one of each metric is enough, at it and at all that follow
+    step = every * 1_000_000
+    place = F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / step)
+    last = metrics.groupBy("metric", place.alias("_g")).agg(F.max("ts").alias("ts"))
+    seen = S.evaluated(last.select((F.col("metric") == name).alias("own"), "ts", F.lit(1.0).alias("value")), ["own"], every)
+    at = seen.groupBy("ts").agg(F.count_if("own").alias("n")).filter("n = 0").withColumn("alert", F.lit(f"absent_{name}"))
+    return S.held_for(at, ["alert"], F.lit(True), hold, every)
 
 
 def disk_runs_out(metrics: DataFrame, available: str = "disk_available_bytes", written: str = "wal_bytes_total", window: int = 600, least: int = 3600, on: tuple[str, ...] = (), every: int = 60) -> DataFrame:
@@ -146,8 +178,8 @@ def disk_runs_out(metrics: DataFrame, available: str = "disk_available_bytes", w
 
 def disk_alert(metrics: DataFrame, hold: int = DISK_HOLD, every: int = 60, on: tuple[str, ...] = (), **options) -> DataFrame:
     """(alert, on, began, ended) of the times the disk was short for as long as that."""
-    short = disk_runs_out(metrics, on=on, every=every, **options).withColumn("alert", F.lit("disk"))
-    return S.held_for(short, ["alert", *on], F.col("short"), hold, every)
+    short = disk_runs_out(metrics, on=on, every=every, **options).filter("short").withColumn("alert", F.lit("disk"))
+    return S.held_for(short, ["alert", *on], F.lit(True), hold, every)
 
 
 def row_drift(metrics: DataFrame, source: str = "source_rows", target: str = "target_rows", letters: str = "dlq_rows", every: int = 60) -> DataFrame:
