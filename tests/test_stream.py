@@ -188,6 +188,30 @@ def test_outbox_cycles_restart_and_prune(spark, tmp_path, store):
     assert (store.read("car") is None or store.read("car").count() == 0) and store.manifest()["position"] == 12
 
 
+def test_a_backlog_in_few_commits_is_as_cycle_by_cycle(spark, tmp_path):
+    import random
+
+    from tidemark.streaming.outbox import catch_up
+
+    r = random.Random(5)
+    source = {
+        "grade": spark.createDataFrame([(i, f"c{i}", "now", i / 4) for i in range(1, 30, 2)], "id long, code string, name string, discount_rate double").withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp")),
+        "car": spark.createDataFrame([(i, "car") for i in range(1, 30, 2)], "id long, name string").select("id", "name", F.lit("b").alias("brand"), F.lit(1).cast("decimal(12,2)").alias("price"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-01").cast("timestamp").alias("updated_at")),
+    }
+    entries = [(seq, r.choice(["grade", "car"]), r.randrange(30), r.choice("cud"), 0) for seq in range(1, 160, 2)]
+    log = spark.createDataFrame(entries, "seq long, table_name string, row_id long, op string, t long").withColumn("changed_at", F.timestamp_seconds("t"))
+    held, commits = [], []
+    for name, go in (("one", lambda w: [None for _ in iter(w.run_once, 0)]), ("many", lambda w: catch_up(w, 4))):
+        own, store = Outbox(Store(spark, f"file://{tmp_path}/{name}-log")), Store(spark, f"file://{tmp_path}/{name}")
+        own.append(log)
+        go(Worker(own, source.__getitem__, store, size=8, buckets=2))
+        held.append({(t, x["id"]): (x["deleted"], x["source_seq"]) if t == "grade" else None for t in ("grade", "car") for x in store.read(t).collect()})
+        commits.append(store.manifest()["version"] + 1)
+        assert store.manifest()["position"] == 159
+    assert held[0] == held[1] and any(v and v[0] for v in held[0].values())
+    assert commits == [10, 3]
+
+
 def test_the_loop_rests_only_when_nothing_waits_and_backs_off():
     class Fake:
         meters = Meters()

@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def page_bounds(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(page, lo, hi, rows) of runs of ``size`` keys in order, from one sort by ranges.
+def by_ranges(df: DataFrame, key: str) -> DataFrame:
+    """df sorted into ranges of the key, kept until it is unpersisted: what ``numbered`` counts must not change."""
+    return df.repartitionByRange(key).withColumn("_r", F.spark_partition_id()).persist()
 
-    Keys are numbered inside their range; only one count a range is summed up.
-    """
-    ranged = df.select(key).repartitionByRange(key).withColumn("_r", F.spark_partition_id()).persist()
+
+def numbered(ranged: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of ``by_ranges`` with ``page``, their run of ``size`` keys in order. Only one count a range is summed up."""
     ahead = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
-    numbered = ranged.join(F.broadcast(counts.select("_r", "_before")), "_r").withColumn("page", F.floor(place / size).cast("bigint"))
-    return numbered.groupBy("page").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
+    return ranged.join(F.broadcast(counts.select("_r", "_before")), "_r").withColumn("page", F.floor(place / size).cast("bigint")).drop("_r", "_before")
+
+
+def page_bounds(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(page, lo, hi, rows) of runs of ``size`` keys in order, from one sort by ranges."""
+    rows = numbered(by_ranges(df.select(key), key), key, size)
+    return rows.groupBy("page").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
 
 
 def pages(df: DataFrame, key: str, size: int, most: int | None = None) -> Iterator[tuple[int, int, int]]:

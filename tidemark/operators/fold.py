@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(log: DataFrame) -> DataFrame:
-    """Last operation of each (table_name, row_id) by seq; anything but d is an upsert."""
-    last = log.groupBy("table_name", "row_id").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
+def fold(log: DataFrame, *within: str) -> DataFrame:
+    """Last operation of each (table_name, row_id), within columns that tell batches, by seq; anything but d is an upsert."""
+    last = log.groupBy("table_name", "row_id", *within).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
     return last.withColumn("is_delete", F.col("op") == "d")
 
 

@@ -288,8 +288,7 @@ def outbox_cycles(spark, d):
     log_.append(log(spark, d))
     store = scratch(spark)
     worker = outbox.Worker(log_, {"member": _members(spark, d)}.__getitem__, store, {"member": SPECS["member"]}, CYCLE, 4)
-    while worker.run_once():
-        pass
+    outbox.catch_up(worker)
     return store.read("member").select("id", "email", "grade_id", "deleted", "source_seq")
 
 
