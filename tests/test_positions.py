@@ -115,3 +115,65 @@ def test_idle_keys_close_their_batch(sources, tmp_path):
     until_done(state.batches(source, "k", 3, 0.2), tmp_path)
     got = {(r["k"], r["batch"]): (r["n"], r["lo"], r["hi"]) for r in committed(spark, f"{tmp_path}/table", "k string, batch long, n long, lo long, hi long").collect()}
     assert got == {("a", 0): (3, 0, 4), ("a", 1): (3, 5, 7), ("b", 0): (2, 1, 3), ("a", 2): (1, 8, 8)}
+
+
+def test_a_backlog_is_read_by_larger_batches(sources, tmp_path):
+    spark = sources
+    spark.range(1000).write.parquet(f"{tmp_path}/log")
+    assert until_done(reading(spark, tmp_path, rows="10", backlog="500"), tmp_path, position="id") == [10, 80, 500, 410]
+    rows = committed(spark, f"{tmp_path}/table", "id long")
+    assert sorted(r["id"] for r in rows.collect()) == list(range(1000))
+    reader = PositionReader({"path": f"{tmp_path}/log", "position": "id", "slot": f"{tmp_path}/s.json", "rows": "10", "backlog": "500", "upto": "49"})
+    ends = [0]
+    for _ in range(3):  # a batch that is not full brings the size back
+        ends.append(reader.latestOffset()["position"])
+        reader.partitions({"position": ends[-2]}, {"position": ends[-1]})
+    assert ends == [0, 10, 50, 50] and reader.size == 10
+
+
+@pytest.mark.parametrize("most,wait", [(1, 3), (4, 3), (20, 50), (7, 1000)])
+def test_batches_same_as_one_by_one_and_a_timer_for_the_open_one_alone(most, wait):
+    import random
+
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            assert all(type(v) is int for v in value)
+            self.held = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    r = random.Random(most)
+    us = [0]
+    for _ in range(499):
+        us.append(us[-1] + r.choice([0, 0, 1, 2, 60]) * 1_000_000)
+    want, i = [], 0
+    while i < 500:
+        j = i + 1
+        while j < 500 and j < i + most and us[j] - us[i] < wait * 1_000_000:
+            j += 1
+        want.append((len(want), j - i, i, j - 1))
+        i = j
+    handle, got, calls = Handle(), [], 0
+    p = state.Batches("k", most, wait)
+    p.init(handle)
+    for lo in range(0, 500, 90):
+        rows = pd.DataFrame({"k": "a", "position": range(lo, min(500, lo + 90)), "us": us[lo : lo + 90]})[::-1]  # out of order, in two frames
+        for frame in p.handleInputRows(("a",), iter([rows[:40], rows[40:]]), None):
+            got += list(frame[["batch", "n", "lo", "hi"]].itertuples(index=False, name=None))
+        calls += 1
+    assert len(handle.timers) <= calls
+    if handle.held[1]:
+        got.append(tuple(handle.held[:4]))
+    assert got == want

@@ -137,7 +137,7 @@ def batches_by_count_or_age(spark, d):
     # a beat a day later moves the watermark past all that is open
     beat = x.agg((F.max("position") + 1).alias("position"), (F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts")).select(F.lit("beat").alias("table_name"), "position", "ts")
     beat.write.mode("append").parquet(f"{root}/log")
-    source = spark.readStream.format("tidemark_positions").options(path=f"{root}/log", position="position", slot=f"{root}/slot.json", rows="40000").load()
+    source = spark.readStream.format("tidemark_positions").options(path=f"{root}/log", position="position", slot=f"{root}/slot.json", rows="40000", backlog="1280000").load()
     out = state.batches(source, "table_name", 20, 21600, "1 hour")
     _run(out, root, "batches", "hi")
     return committed(spark, f"{root}/table", "table_name string, batch long, n long, lo long, hi long")

@@ -2,10 +2,11 @@
 
 ``spark.readStream.format("tidemark_positions")`` with ``path`` (Parquet files), ``position`` (a column of whole
 numbers, each standing once), ``slot`` (a file for its progress), and perhaps ``rows`` (positions a batch at
-most), ``ranges`` (tasks a batch) and ``upto`` (a position to stop at).
+most), ``backlog`` (the same while the stream is behind), ``ranges`` (tasks a batch) and ``upto`` (a position to stop at).
 
 A batch goes from the position where the one before ended to at most ``rows`` further on, so however far the
-stream is behind, a batch has a bound. Each task reads one range of it, with the filter and the columns pushed
+stream is behind, a batch has a bound. With ``backlog`` a batch that follows a full one may be eight times as large, up
+to that many positions, so a long log takes few batches; one that is not full brings the size back to ``rows``. Each task reads one range of it, with the filter and the columns pushed
 to the files. The slot holds the end of the last batch that was planned, so that a restart goes on from there, and
 the end of the last one that Spark has committed, up to which the log may be pruned. Batches that were planned and
 not committed are planned again by Spark's own checkpoint with the same ends. A slot that was lost while the
@@ -88,6 +89,7 @@ class PositionReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.column, self.slot = options["path"], options["position"], options["slot"]
         self.rows, self.ranges = int(options.get("rows", 5000)), int(options.get("ranges", 4))
+        self.size, self.backlog = self.rows, max(self.rows, int(options.get("backlog", self.rows)))
         self.upto = int(options["upto"]) if "upto" in options else None
         self.start = int(options.get("start", 0))
         #: end of the last planned batch: the first position that is not in it
@@ -100,13 +102,14 @@ class PositionReader(DataSourceStreamReader):
         top = highest(table_of(self.path), self.column) + 1
         if self.upto is not None:
             top = min(top, self.upto + 1)
-        return {"position": max(self.planned, min(top, self.planned + self.rows))}
+        return {"position": max(self.planned, min(top, self.planned + self.size))}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Range]:
         lo, hi = start["position"], end["position"]
         if hi < lo:
             raise SlotLost(f"the slot {self.slot} stands at {hi}, the checkpoint at {lo}")
         if hi > self.planned:
+            self.size = min(self.size * 8, self.backlog) if hi - lo >= self.size else self.rows
             self.planned = hi
             write_json(self.slot, (read_json(self.slot) or {}) | {"planned": hi})
         step = max(1, -(-(hi - lo) // self.ranges))

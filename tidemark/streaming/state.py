@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -71,7 +72,8 @@ class Batches(StatefulProcessor):
 
     Input: key, ts, position; output: key, batch, n, first and last position of each batch closed. An event that comes
     when the batch's time is over closes it and begins the next; a key without further events is closed by a timer,
-    once the watermark has passed.
+    once the watermark has passed. Only the batch that a micro-batch leaves open needs one. Rows come as frames and are
+    gone through a batch at a time, not one by one.
     """
 
     def __init__(self, key: str, most: int, wait: float):
@@ -81,37 +83,44 @@ class Batches(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "batch long, n long, lo long, hi long, began long")
 
-    def _closed(self, key, held) -> Row:
-        return Row(**{self.key: key[0], "batch": held[0], "n": held[1], "lo": held[2], "hi": held[3]})
+    def _closed(self, key, done: list[tuple]) -> Iterator[pd.DataFrame]:
+        if done:
+            frame = pd.DataFrame(done, columns=["batch", "n", "lo", "hi"])
+            frame.insert(0, self.key, key[0])
+            yield frame
 
     def _due(self, began: int) -> int:
         """The first whole millisecond at which a batch's time is over."""
         return -(-(began + self.wait) // 1000)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = tuple(self.open.get() or (0, 0, 0, 0, 0))
-        out = []
-        for r in sorted(rows, key=lambda r: r["position"]):
-            if held[1] and r["us"] - held[4] >= self.wait:
-                out.append(self._closed(key, held))
-                held = (held[0] + 1, 0, 0, 0, 0)
-            if not held[1]:
-                held = (held[0], 1, r["position"], r["position"], r["us"])
-                self.handle.registerTimer(self._due(r["us"]))
-            else:
-                held = (held[0], held[1] + 1, held[2], r["position"], held[4])
-            if held[1] == self.most:
-                out.append(self._closed(key, held))
-                held = (held[0] + 1, 0, 0, 0, 0)
-        self.open.update(held)
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch, n, lo, hi, began = self.open.get() or (0, 0, 0, 0, 0)
+        came = pd.concat([r[["position", "us"]] for r in rows]).sort_values("position", kind="stable")
+        position, us = came["position"].to_numpy(), came["us"].to_numpy()
+        done, i = [], 0
+        while i < len(us):
+            if not n:
+                n, lo, hi, began = 1, int(position[i]), int(position[i]), int(us[i])
+                i += 1
+            over = us[i : i + self.most - n] - began >= self.wait
+            late = bool(over.any())
+            took = int(over.argmax()) if late else len(over)
+            if took:
+                n, hi, i = n + took, int(position[i + took - 1]), i + took
+            if late or n == self.most:
+                done.append((batch, n, lo, hi))
+                batch, n, lo, hi, began = batch + 1, 0, 0, 0, 0
+        if n:
+            self.handle.registerTimer(self._due(began))
+        self.open.update((batch, n, lo, hi, began))
+        return self._closed(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.open.get()
         if held is None or not held[1] or self._due(held[4]) > expiredTimerInfo.getExpiryTimeInMs():
             return iter([])  # it was closed before, and another has begun since
         self.open.update((held[0] + 1, 0, 0, 0, 0))
-        return iter([self._closed(key, tuple(held))])
+        return self._closed(key, [tuple(held[:4])])
 
     def close(self) -> None:
         pass
@@ -124,4 +133,4 @@ def batches(events: DataFrame, key: str, most: int = 500, wait: float = 0.2, lat
     """
     kind = events.schema[key].dataType.simpleString()
     rows = events.selectExpr(key, "position", "unix_micros(cast(ts as timestamp)) as us", "cast(ts as timestamp) as ts").withWatermark("ts", late)
-    return rows.groupBy(key).transformWithState(Batches(key, most, wait), f"{key} {kind}, batch long, n long, lo long, hi long", "Append", "EventTime")
+    return rows.groupBy(key).transformWithStateInPandas(Batches(key, most, wait), f"{key} {kind}, batch long, n long, lo long, hi long", "Append", "EventTime")
