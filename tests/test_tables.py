@@ -2,6 +2,7 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries as M
@@ -44,3 +45,41 @@ def test_keys_of_the_given_tables(spark):
 
     found = {(r["child"], r["parent"]) for r in M.queries()["foreign_key_discovery"](spark, SF).collect()}
     assert found == {("nation.n_regionkey", "region.r_regionkey"), ("customer.c_nationkey", "nation.n_nationkey"), ("supplier.s_nationkey", "nation.n_nationkey"), ("orders.o_custkey", "customer.c_custkey"), ("lineitem.l_orderkey", "orders.o_orderkey"), ("lineitem.l_partkey", "part.p_partkey"), ("lineitem.l_suppkey", "supplier.s_suppkey")}
+
+
+def test_a_checksum_is_taken_up_range_by_range(spark, tmp_path, monkeypatch):
+    """A table of many ranges has the checksum of its one string, which is never made."""
+    import hashlib
+
+    from tidemark.operators import reconcile
+
+    df = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5000).alias("id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("ä"), F.col("id"))).alias("v"))
+    line = {r["id"]: f"{r['id']}|{r['v'] or ''}" for r in df.collect()}
+    want = hashlib.md5(",".join(line[k] for k in sorted(line)).encode()).hexdigest()
+    monkeypatch.setattr(reconcile, "ordered_checksum", lambda *a: pytest.fail("one string"))
+    for most in (2_000, 30_000):
+        got = reconcile.chained_checksum(df, ["id", "v"], "id", f"file://{tmp_path}", most).first()
+        assert (got["n"], got["checksum"]) == (5000, want)
+    twice = df.filter("id < 900").select("id", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("v"))  # keys that stand twice go by their text
+    got = reconcile.chained_checksum(twice, ["id", "v"], "id", f"file://{tmp_path}", 1_000).first()
+    assert got["checksum"] == hashlib.md5(",".join(f"{k}|{v}" for k in range(900) for v in "ab").encode()).hexdigest()
+    x = df.withColumn("v", F.when(F.col("id") == 4321, "x").otherwise(F.col("v")))
+    sides = reconcile.both_sides({"t": (df, x, ["id", "v"]), "u": (df, df, ["id", "v"])}, f"file://{tmp_path}", 20_000)
+    assert {r["table_name"]: r["verdict"] for r in sides.collect()} == {"t": "values", "u": "equal"}
+
+
+def test_md5_is_put_down_and_taken_up():
+    import hashlib
+    import random
+
+    from tidemark.functions import md5
+
+    r = random.Random(3)
+    for size in (0, 1, 55, 56, 63, 64, 65, 119, 120, 1000):
+        text = r.randbytes(size)
+        for update in (md5.update, md5.update_plain, lambda s, b: r.choice([md5.update, md5.update_plain])(s, b)):
+            state, i = md5.START, 0
+            while i < size:
+                j = i + r.randrange(1, 90)
+                state, i = update(state, text[i:j]), j
+            assert len(state) == 92 and md5.hexdigest(state) == hashlib.md5(text).hexdigest() == md5.hexdigest(state, md5.update)

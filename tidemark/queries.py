@@ -19,7 +19,7 @@ from tidemark.functions.verdict import verdict
 from tidemark.operators import chunks, diff, fold, guard, merge, quarantine, reconcile
 from tidemark.operators import timeseries as S
 from tidemark.operators.mapping import mapped, typed
-from tidemark.query_base import LOG_SQL, NOW, SQL, Q, log, query, scratch, t, written
+from tidemark.query_base import LOG_SQL, NOW, SQL, Q, log, query, scratch, shared_folder, t, written
 from tidemark.schemas import SPECS
 from tidemark.sources import changes
 from tidemark.streaming import metrics as stream_metrics
@@ -423,7 +423,7 @@ def dlq_settle(spark, d):
 @query("select count(*) as n, md5(coalesce(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || cast(o_totalprice as decimal(14,2)), ',' order by o_orderkey), '')) as checksum from orders")
 def reconcile_checksum(spark, d):
     o = t(spark, d, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(14,2)"))
-    return reconcile.ordered_checksum(o, ["o_orderkey", "o_custkey", "o_orderstatus", "amount"], "o_orderkey")
+    return reconcile.chained_checksum(o, ["o_orderkey", "o_custkey", "o_orderstatus", "amount"], "o_orderkey", shared_folder(spark))
 
 
 LINE_SQL = "md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || cast(o_totalprice as decimal(14,2)))"
@@ -446,7 +446,7 @@ def reconcile_both_sides(spark, d):
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     wrong = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 7, "X").otherwise(F.col("o_orderstatus")))
     pairs = {"orders": (o, wrong, ["o_orderkey", "o_orderstatus"]), "customer": (c, c.filter("c_custkey % 5 <> 0"), ["c_custkey", "c_name"])}
-    return reconcile.both_sides(pairs)
+    return reconcile.both_sides(pairs, shared_folder(spark))
 
 
 @query("select count(*) as n, max(o_orderdate) as latest, sum(cast(o_totalprice as decimal(18,2)))::decimal(28,2) as amount from orders", decimals="amount")
