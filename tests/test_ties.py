@@ -54,3 +54,17 @@ def test_guarded_hot_key_with_ties(spark, tied):
 
 def test_guarded_stream_takes_the_log_twice(spark, tied):
     assert collected(M.queries()["guarded_stream"](spark, tied)) == duck(M.oracle_sql()["guarded_stream"], tied)
+
+
+@pytest.mark.parametrize("odd", ["no key", "one position", "both"])
+def test_guard_accepted_with_rows_without_key_and_several_changes_of_a_position(spark, tied, tmp_path, odd):
+    con = duckdb.connect()
+    user = "case when event_id % 5 = 0 then null else user_id end" if odd != "one position" else "user_id"
+    again = "['signup', 'error', 'view']" if odd != "no key" else "[event_type]"  # each event comes as all three, in any order
+    con.execute(f"copy (select event_id, ts, {user} as user_id, event_type, value, props from (select * exclude (event_type), unnest({again}) as event_type from '{tied}/events.parquet') order by hash(event_id, event_type)) to '{tmp_path}/events.parquet'")
+    con.execute(f"copy (select * from '{tied}/customer.parquet') to '{tmp_path}/customer.parquet'")
+    for name in "region nation supplier part orders lineitem documents embeddings pages benchmark labels conversations".split():
+        (tmp_path / f"{name}.parquet").symlink_to(f"{tied}/{name}.parquet")
+    want = duck(M.oracle_sql()["guard_accepted"], str(tmp_path))
+    assert collected(M.queries()["guard_accepted"](spark, str(tmp_path))) == want
+    assert any(r[-1] == "None" for r in want[0]) == (odd != "one position")

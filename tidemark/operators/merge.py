@@ -4,7 +4,7 @@ Guarded tables take a change only if its position is strictly higher than all ta
 Applied in order of arrival that is a running maximum, which is computed as a segmented scan: a key's changes are
 cut into segments of ``SPAN`` arrivals, each sorted by itself, and what the segments before tell - whether the
 row exists, and the highest position since it does - is carried in. Changes of a key that arrive at once are taken in
-order of position, so nothing is left to chance. The state is associative, so a key that
+order of position, those of one position by their operation's letter, so nothing is left to chance. The state is associative, so a key that
 holds a third of all changes is shared by as many tasks as it has segments. Where a batch is known to be in
 order, a plain aggregation with map-side partial maxima does the same without the sort.
 """
@@ -53,10 +53,10 @@ def accepted(rows: DataFrame, key: str, span: int | None = SPAN) -> DataFrame:
     """
     upsert = (F.col("op") != "d").cast("int")
     if span is None:
-        own, by = [key], Window.partitionBy(key).orderBy("arrival", "lsn")
-    else:
-        rows = rows.withColumn("_segment", F.floor(F.col("arrival") / span))
-        own, by = [key, "_segment"], Window.partitionBy(key, "_segment").orderBy("arrival", "lsn")
+        by = Window.partitionBy(key).orderBy("arrival", "lsn", "op")
+    else:  # in one column, so that rows without a key meet their segment's state too
+        rows = rows.withColumn("_own", F.struct(key, F.floor(F.col("arrival") / span).alias("segment")))
+        by = Window.partitionBy("_own").orderBy("arrival", "lsn", "op")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("_there", F.max(upsert).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     counted = F.when(F.col("_there") == 1, F.col("lsn"))
@@ -64,15 +64,15 @@ def accepted(rows: DataFrame, key: str, span: int | None = SPAN) -> DataFrame:
     if span is None:
         return seen.filter("_there = 1 and (_top is null or lsn > _top)").drop("_there", "_top", "_all")
     # a segment's state: whether it has an upsert, the highest position since, and the highest of all
-    states = seen.groupBy(*own).agg(F.max("_there").alias("there"), F.max(counted).alias("top"), F.max("lsn").alias("all"))
-    earlier = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    states = seen.groupBy("_own").agg(F.max("_there").alias("there"), F.max(counted).alias("top"), F.max("lsn").alias("all"))
+    earlier = Window.partitionBy(f"_own.{key}").orderBy("_own.segment").rowsBetween(Window.unboundedPreceding, -1)
     states = states.withColumn("was", F.coalesce(F.max("there").over(earlier), F.lit(0)))
     carried = F.max(F.when(F.col("was") == 1, F.col("all")).otherwise(F.col("top"))).over(earlier)
-    states = states.select(*own, "was", carried.alias("carried"))
-    both = seen.join(states, own)
+    states = states.select("_own", "was", carried.alias("carried"))
+    both = seen.join(states, "_own")
     top = F.when(F.col("was") == 1, F.greatest("carried", "_all")).otherwise(F.col("_top"))
     both = both.filter(F.greatest("was", "_there") == 1).withColumn("_top", top)
-    return both.filter("_top is null or lsn > _top").drop("_segment", "_there", "_top", "_all", "was", "carried")
+    return both.filter("_top is null or lsn > _top").drop("_own", "_there", "_top", "_all", "was", "carried")
 
 
 def guarded(events: DataFrame, key: str, values: list[str], stored: DataFrame | None = None, span: int | None = SPAN) -> DataFrame:

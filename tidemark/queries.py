@@ -214,7 +214,8 @@ def guarded_merge_replay(spark, d):
     return merge.guarded(e, "row_id", ["amount"], stored)
 
 
-@query(REPLAY_SQL + " select row_id, arrival, op, lsn from k where arrival >= 0")
+# op is shown, so it decides last among changes of one position
+@query(REPLAY_SQL.replace("order by arrival, lsn", "order by arrival, lsn, op") + " select row_id, arrival, op, lsn from k where arrival >= 0")
 def guard_accepted(spark, d):
     e, stored = _replay(spark, d)
     return merge.applied(e, "row_id", stored)
