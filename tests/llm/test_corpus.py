@@ -178,6 +178,26 @@ def test_what_is_left_is_text(spark):
     assert {d: len((x or "").encode()) for d, x in rows.items()} == want
 
 
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark, tmp_path):
+    """The query's bound is bytes, not words; n_bytes is the size of what was read, whatever goes."""
+    rows, want = [], []
+    for k, size in enumerate((399, 400, 401)):
+        passage = "\u00e9 " + "".join(f"{chr(97 + k)}{i} " for i in range(200))
+        passage = passage.encode()[:size].decode()
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        for d, (before, after) in enumerate((("before one|", "|after"), ("before another;", ";after"))):
+            rows.append((2 * k + d, before + passage + after))
+            left = before + after if size >= 400 else before + passage + after
+            full = len((before + passage + after).encode())
+            want.append((2 * k + d, full, full - len(left.encode()), int(size >= 400), hashlib.sha256(left.encode()).hexdigest()))
+    run = "x" * 401  # a string that starts twice in one document
+    rows += [(6, None), (7, ""), (8, run), (9, "y" * 400)]
+    want += [(d, n, gone, gone > 0, hashlib.sha256(b"y" * (n - gone)).hexdigest()) for d, n, gone in ((6, 0, 0), (7, 0, 0), (8, 401, 401), (9, 400, 0))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries.op4_suffix_dedup(spark, str(tmp_path)).collect())) == want
+    assert want == brute_removal(rows, 400)
+
+
 # --- 6
 
 
